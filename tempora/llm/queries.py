@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import dedup, mixing, quality, sharding
+from tempora.llm import dedup, mixing, packing, quality, sharding, simhash
 from tempora.session import table
 
 
@@ -12,10 +12,25 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file; the folder is a parameter of the environment."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "v2")
 
@@ -26,7 +41,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
+    "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
 }
