@@ -11,9 +11,9 @@ padding is a few tokens a bin and one sequence a worker.
 One narrow pass: no shuffle. A sequence's number is its task's number and a
 count, the same when a lost task is run again over the same split.
 
-Tokens are those of the tokenizer file given, and then the end id. A piece of
-text between blanks always has the same ids, so each worker remembers them, in
-a store of bounded size; texts with characters where that might not hold are
+Tokens are those of the tokenizer file given, and then the end id. A word, as
+the file splits text, always has the same ids, so each worker remembers them, in
+a store of bounded size; texts with characters outside a checked set are
 tokenized whole. Defined cases: a null or blank text is the end id alone;
 repeated rows are packed one by one; an empty table gives an empty result;
 extra columns are ignored.
@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,26 +40,44 @@ END_ID = 2
 TAIL = 128
 #: A piece this close below its class's size, in parts of it, is not cut either.
 SLACK = 64
-#: Distinct pieces of text that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Distinct words that a worker remembers before it starts anew.
+REMEMBERED = 800_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long"
 )
 
-#: Any character for which blanks, composition or case need the tokenizer itself.
-_NOT_SIMPLE = re.compile(
-    "[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]|<\\|"
+#: Characters whose words need no more of the tokenizer than lower-casing: no
+#: composition, one lower case each, and only tab, line feed, return and space as blanks.
+_SIMPLE = [
+    chr(c)
+    for span in (
+        range(0x21, 0x7F),
+        range(0xA1, 0x130),
+        range(0x131, 0x250),
+        range(0x2010, 0x2028),
+        range(0x2030, 0x205F),
+        (0x20AC,),
+    )
+    for c in span
+]
+
+
+def _of_category(kind: str) -> str:
+    return "".join(re.escape(c) for c in _SIMPLE if unicodedata.category(c)[0] == kind)
+
+
+_LETTERS, _NUMBERS = _of_category("L"), _of_category("N")
+_NOT_SIMPLE = re.compile(rf"[^\t\n\r\x20{''.join(map(re.escape, _SIMPLE))}]|<\|")
+#: Fixed value: how the tokenizer file splits lower-cased text into words.
+_WORDS = re.compile(
+    rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+"
 )
 
 
-#: Fixed value: how the tokenizer file splits normalised text into words.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
-
 class WordTokens:
-    """ids(text) by a tokenizer file, remembering the pieces between blanks."""
+    """ids(texts) by a tokenizer file, remembering the ids of words."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,33 +89,32 @@ class WordTokens:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode many pieces in one call; words end in a token of their own kind."""
-        ids = self.encode(" ".join(pieces))
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        n_words = np.array([len(_WORDS.findall(p.lower())) for p in pieces])
-        if n_words.sum() != len(ends):
+    def learn(self, words: list[str]) -> None:
+        """Encode many words in one call; each ends in a token of a kind of its own."""
+        ids = self.encode(" ".join(words))
+        stops = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(stops) != len(words):
             raise ValueError("the tokenizer splits words in another way than expected")
-        stops = ends[n_words.cumsum() - 1].tolist()
         raw, start = ids.tobytes(), 0
-        for piece, stop in zip(pieces, stops, strict=True):
-            self.known[piece] = raw[4 * start : 4 * stop]
+        for word, stop in zip(words, stops, strict=True):
+            self.known[word] = raw[4 * start : 4 * stop]
             start = stop
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _NOT_SIMPLE.search(t) else t.split() for t in texts]
+        split = [None if _NOT_SIMPLE.search(t) else _WORDS.findall(t.lower()) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        if new := list({p for pieces in split if pieces for p in pieces if p not in known}):
+        if new := list(set().union(*filter(None, split)).difference(known)):
             self.learn(new)
+        get = known.__getitem__
         return [
-            self.encode(t) if pieces is None else np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
-            for t, pieces in zip(texts, split, strict=True)
+            self.encode(t) if words is None else np.frombuffer(b"".join(map(get, words)), "<u4")
+            for t, words in zip(texts, split, strict=True)
         ]
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, learning new pieces from about a million characters at once."""
+        """Ids of each text, learning new words from about a million characters at once."""
         group, chars = [], 0
         for text in texts:
             group.append(text)
