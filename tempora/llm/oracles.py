@@ -1,3 +1,130 @@
-"""SQL for the queries of this subpackage."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Written from the contracts, without the operators' own detours: no digests to
+shorten work, no buckets, no screens.
+"""
+
+from __future__ import annotations
+
+import string
+
+from tempora.llm import mixing, quality
+
+BLANKS = r"[\x20\x09-\x0D]+"
+
+EXACT_DEDUP = f"""
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS norm
+  FROM documents)
+SELECT doc_id,
+       max(doc_id) OVER (PARTITION BY norm) AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept,
+       sha256(norm) AS text_sha256
+FROM d
+"""
+
+
+def _bits() -> str:
+    return " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES.values()))
+
+
+QUALITY = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '{BLANKS}'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n
+  FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '{BLANKS}', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) AS BIGINT) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id)
+SELECT *, CAST({_bits()} AS BIGINT) AS rule_bits,
+       (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > 3 * n_words) AS kept
+FROM m
+"""
+
+
+def _weight(level: str, weights: dict[str, int]) -> str:
+    return "CASE " + level + "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+def _share(name: str, children: str, parent: tuple[str, ...], level: str, weights: dict[str, int]) -> str:
+    """CTEs that split each parent's budget among children(parent.., level, cap, budget)."""
+    part = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    cols = ", ".join((*parent, level))
+    w = _weight(level, weights) if weights else "1"
+    return f"""
+{name}_a AS (SELECT *, {w} AS w FROM ({children}) WHERE cap > 0 AND {w} > 0),
+{name}_b AS (
+  SELECT *,
+    CAST(cap AS HUGEINT) * (sum(w) OVER ({part})
+        - coalesce(sum(w) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      <= (budget - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {level}
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * CAST(w AS HUGEINT) AS is_full
+  FROM {name}_a),
+{name}_c AS (
+  SELECT *,
+    CASE WHEN is_full THEN CAST(cap AS HUGEINT) ELSE
+      (budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({part})) * w
+      // sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({part}) END AS flo
+  FROM {name}_b),
+{name} AS (
+  SELECT {cols}, CAST(flo + CASE WHEN NOT is_full
+      AND row_number() OVER ({part} ORDER BY is_full, {level}) <= budget - sum(flo) OVER ({part})
+      THEN 1 ELSE 0 END AS BIGINT) AS budget
+  FROM {name}_c)"""
+
+
+def _mixing(t: mixing.MixTargets) -> str:
+    e = t.max_epochs
+    return rf"""
+WITH u AS (
+  SELECT doc_id,
+    'd' || coalesce(try_cast(nullif(regexp_extract(coalesce(source, '(none)'), '([0-9]{{1,9}})$', 1), '') AS BIGINT) % 4, 0)
+      AS domain,
+    coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n) AS tokens FROM u GROUP BY ALL),
+{_share("s1", f"SELECT domain, sum(tokens) * {e} AS cap, (SELECT sum(tokens) * {t.budget_num} // {t.budget_den} FROM leaves) AS budget FROM leaves GROUP BY domain", (), "domain", t.weights.get("domain", {}))},
+{_share("s2", f"SELECT domain, lang, sum(tokens) * {e} AS cap, any_value(budget) AS budget FROM leaves JOIN s1 USING (domain) GROUP BY domain, lang", ("domain",), "lang", t.weights.get("lang", {}))},
+{_share("s3", f"SELECT domain, lang, source, tokens * {e} AS cap, budget FROM leaves JOIN s2 USING (domain, lang)", ("domain", "lang"), "source", t.weights.get("source", {}))},
+plan AS (
+  SELECT l.domain, l.lang, l.source, CAST(coalesce(budget, 0) AS BIGINT) AS budget,
+    CASE WHEN tokens > 0 THEN CAST(coalesce(budget, 0) // tokens AS BIGINT) ELSE 0 END AS whole,
+    CASE WHEN tokens > 0 THEN coalesce(budget, 0) % tokens ELSE 0 END AS rest
+  FROM leaves l LEFT JOIN s3 USING (domain, lang, source)),
+keyed AS (
+  SELECT u.*, budget, whole, rest,
+    md5('{t.seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM u JOIN plan USING (domain, lang, source)),
+placed AS (
+  SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+          - sum(n) OVER (PARTITION BY domain, lang, source, k) AS before
+  FROM keyed)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, n AS n_tokens, budget AS leaf_budget
+FROM (
+  SELECT *, unnest(range(0, whole + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END)) AS epoch
+  FROM placed)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_mixing": _mixing(mixing.PRODUCTION),
+    "op6_quality": QUALITY,
+    "op7_exact_dedup": EXACT_DEDUP,
+}
