@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import html
 import string
+import urllib.parse
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +38,69 @@ def words(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words; null counts as an empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def file_key(name: Column) -> Column:
+    """Base name without 'File:', Unicode NFC, blanks as underscores.
+
+    Only names with non-ASCII characters go through Python, in Arrow batches:
+    composition has no built-in.
+    """
+    base = F.regexp_replace(F.substring_index(name, "/", -1), "^File:", "")
+    composed = F.when(base.rlike("[^\\x00-\\x7F]"), compose(base)).otherwise(base)
+    return F.replace(composed, F.lit(" "), F.lit("_"))
+
+
+@F.pandas_udf("string")
+def compose(s: pd.Series) -> pd.Series:
+    """Unicode normalisation form C."""
+    return s.str.normalize("NFC")
+
+
+@F.pandas_udf("string")
+def unescape(s: pd.Series) -> pd.Series:
+    """HTML entities to characters."""
+    return s.map(html.unescape, na_action="ignore")
+
+
+def strip_html(value: Column, hidden: bool = True) -> Column:
+    """Text of an HTML fragment; hidden blocks go first if asked, blanks collapse."""
+    text = F.coalesce(value, F.lit(""))
+    if hidden:
+        text = F.regexp_replace(text, "(?is)<div[^>]*display:\\s*none[^>]*>.*?</div>", " ")
+    text = F.regexp_replace(text, "<[^>]+>", " ")
+    text = F.when(text.contains("&"), unescape(text)).otherwise(text)
+    return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
+
+
+#: The characters that stay as they are in a stored name, and its length.
+SAFE = " ()_,.'-&!+=@~[]"
+LONGEST_NAME = 180
+
+
+@F.pandas_udf("string")
+def safe_filename(s: pd.Series) -> pd.Series:
+    """Percent-encoded name; a long one is cut and ends in a digest of the whole."""
+
+    def one(name: str) -> str:
+        quoted = urllib.parse.quote(name, safe=SAFE)
+        if len(quoted) <= LONGEST_NAME:
+            return quoted
+        return f"{quoted[: LONGEST_NAME - 13]}_{hashlib.sha1(name.encode()).hexdigest()[:12]}"
+
+    return s.map(one, na_action="ignore")
+
+
+def scene_prefix(scene_id: Column) -> Column:
+    """'110/925' for 110925."""
+    return F.format_string("%03d/%03d", F.floor(scene_id / 1000), F.pmod(scene_id, F.lit(1000)))
+
+
+def title_of(name: Column) -> Column:
+    """Page title of a stored image name."""
+    return F.concat(F.lit("File:"), F.replace(F.substring_index(name, "/", -1), F.lit("_"), F.lit(" ")))
+
+
+def stable_hash(text: Column) -> Column:
+    """The first 12 hexadecimal digits of SHA-1 as a number."""
+    return F.conv(F.substring(F.sha1(text), 1, 12), 16, 10).cast("long")
