@@ -10,6 +10,7 @@ import urllib.parse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A word: a run without space, tab, line feed, vertical tab, form feed, return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -51,13 +52,13 @@ def file_key(name: Column) -> Column:
     return F.replace(composed, F.lit(" "), F.lit("_"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose(s: pd.Series) -> pd.Series:
     """Unicode normalisation form C."""
     return s.str.normalize("NFC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """HTML entities to characters."""
     return s.map(html.unescape, na_action="ignore")
@@ -78,7 +79,7 @@ SAFE = " ()_,.'-&!+=@~[]"
 LONGEST_NAME = 180
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def safe_filename(s: pd.Series) -> pd.Series:
     """Percent-encoded name; a long one is cut and ends in a digest of the whole."""
 
