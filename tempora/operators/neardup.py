@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.strings import stable_hash
 from tempora.operators.components import connected_components
 from tempora.plans.materialize import broadcast_if_small, materialize
+from tempora.plans.ranking import rank_by_hash, row_numbers
 
 
 def band_join(df: DataFrame, key: str, bands: dict[str, float], equal: tuple[str, ...] = ()) -> DataFrame:
@@ -72,10 +73,9 @@ def near_duplicate_groups(views: DataFrame, date_tol: float = 0.1, pose_tol: flo
 
 
 def number_groups(groups: DataFrame, key: str = "row_id") -> DataFrame:
-    """Number groups 0, 1, 2, .. by first appearance; the ranked table holds one row a group."""
+    """Number groups 0, 1, 2, .. by first appearance."""
     firsts = groups.groupBy("group_id").agg(F.min(key).alias("first"))
-    order = Window.orderBy("first")
-    ids = firsts.select("group_id", (F.dense_rank().over(order) - 1).alias("n"))
+    ids = row_numbers(firsts, "first", "n").select("group_id", "n")
     return groups.join(ids, "group_id").drop("group_id").withColumnRenamed("n", "group_id")
 
 
@@ -104,17 +104,15 @@ def assign_splits(
 ) -> DataFrame:
     """file_key, group_id, split: whole groups, stratified by their majority era.
 
-    Groups of an era are ordered by a hash of their smallest file_key. Only one
-    row per group is ranked.
+    Groups of an era are ordered by a hash of their smallest file_key, and ranked
+    in buckets of that hash, so that a common era stays spread over the cluster.
     """
     named = views.groupBy("group_id").agg(F.min("file_key").alias("name"))
     era = majority(views, "group_id", "era") if "era" in views.columns else named.select(
         "group_id", F.lit("all").alias("era")
     )
     g = named.join(era, "group_id").withColumn("h", stable_hash(F.concat(F.lit(f"{seed}:"), F.col("name"))))
-    part = Window.partitionBy("era")
-    n = F.count("*").over(part)
-    g = g.withColumn("n", n).withColumn("r", F.row_number().over(part.orderBy("h", "name")))
+    g = rank_by_hash(g, ["era"], "h", ["name"]).withColumnsRenamed({"rank": "r", "total": "n"})
     want = lambda f: F.when(F.lit(f) > 0, F.greatest(F.lit(1), F.rint(F.col("n") * f).cast("int"))).otherwise(0)
     n_test, n_val = _shrink(F.col("n"), want(test), want(val))
     split = (

@@ -1 +1 @@
-"""Streaming."""
+"""Structured Streaming forms of the incremental jobs."""
