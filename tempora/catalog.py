@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tempora.queries import dates, records, relational, vision  # noqa: F401  they register themselves
+from tempora.queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

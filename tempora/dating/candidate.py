@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tempora.functions.interval import MIN_YEAR
+from tempora.functions.strings import let
 
 CANDIDATE = (
     "struct<lo:double,hi:double,source:string,precision:string,"
@@ -31,27 +32,59 @@ def candidate(
 ) -> Column:
     """The candidate struct; null where the interval is."""
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.when(
-        i.isNotNull(),
-        F.struct(
-            i["lo"].alias("lo"),
-            i["hi"].alias("hi"),
-            lit(source).alias("source"),
-            lit(precision).alias("precision"),
-            lit(confidence).cast("double").alias("confidence"),
-            evidence.alias("evidence"),
-            flags.alias("flags"),
+    return let(
+        i,
+        lambda x: F.when(
+            x.isNotNull(),
+            F.struct(
+                x["lo"].alias("lo"),
+                x["hi"].alias("hi"),
+                lit(source).alias("source"),
+                lit(precision).alias("precision"),
+                lit(confidence).cast("double").alias("confidence"),
+                evidence.alias("evidence"),
+                flags.alias("flags"),
+            ),
         ),
     )
 
 
+def reading(i: Column, precision: Column | str, confidence: Column | float, flags: Column) -> Column:
+    """What a rule reads out of a text: struct(i, precision, confidence, flags); null with i."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return let(
+        i,
+        lambda x: F.when(
+            x.isNotNull(),
+            F.struct(
+                x.alias("i"), lit(precision).alias("precision"),
+                lit(confidence).cast("double").alias("confidence"), flags.alias("flags"),
+            ),
+        ),
+    )
+
+
+def first_reading(source: str, evidence: Column, *readings: Column) -> Column:
+    """The candidate of the first rule that reads anything."""
+    return let(
+        F.coalesce(*readings),
+        lambda r: candidate(r["i"], source, r["precision"], r["confidence"], evidence, r["flags"]),
+    )
+
+
 def group(text: Column, pattern: str, n: int = 1) -> Column:
     """Group n of the first match; null where nothing matches."""
-    return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
+    return let(F.regexp_extract(text, pattern, n), lambda g: F.when(g != "", g))
 
 
 def number(text: Column, pattern: str, n: int = 1) -> Column:
-    return F.try_to_number(group(text, pattern, n), F.lit("9999")).cast("int")
+    """Group n as an integer; null where nothing matches."""
+    return integer(F.regexp_extract(text, pattern, n))
+
+
+def integer(digits: Column) -> Column:
+    """An integer; null for an empty string, without a failed cast."""
+    return let(digits, lambda g: F.when(g != "", g.try_cast("int")))
 
 
 def plausible(year: Column, max_year: int) -> Column:

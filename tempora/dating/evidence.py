@@ -8,7 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tempora.dating.candidate import (
-    LOW, MEDIUM, VERY_HIGH, VERY_LOW, candidate, flag, group, number, strings,
+    LOW,
+    MEDIUM,
+    VERY_HIGH,
+    VERY_LOW,
+    candidate,
+    first_reading,
+    flag,
+    number,
+    reading,
+    strings,
 )
 from tempora.dating.qs import CIRCA_YEARS
 from tempora.dating.text import MONTH_NAME, month_number
@@ -123,7 +132,10 @@ def parse_exif(exif: Column) -> Column:
 
     def decide(x: Column) -> Column:
         raw = F.trim(x["raw"])
-        year, month, day = (number(raw, EXIF_DATE, n) for n in (1, 2, 3))
+        date = F.struct(*[number(raw, EXIF_DATE, n).alias(k) for n, k in ((1, "y"), (2, "m"), (3, "d"))])
+        return let(date, lambda t: judge(x, t["y"], t["m"], t["d"]))
+
+    def judge(x: Column, year: Column, month: Column, day: Column) -> Column:
         first = (month == 1) & (day == 1)
         early, scanner = year < FIRST_DIGITAL_YEAR, x["device"].rlike(REPRODUCTION)
         flags = F.concat(
@@ -151,42 +163,58 @@ def content_categories(categories: Column) -> Column:
 
 
 def _category_interval(kind: str, name: Column, p: str, max_year: int) -> Column:
-    a = number(name, p, 1)
+    part = lambda n: number(name, p, n)
     if kind == "ymd":
-        return from_day(a, number(name, p, 2), number(name, p, 3))
+        return from_day(part(1), part(2), part(3))
     if kind == "month":
-        return from_month(number(name, p, 2), month_number(F.lower(group(name, p, 1))))
-    return {
-        "year": lambda: from_years(a, a),
-        "decade": lambda: from_years(a, a + 9),
-        "century": lambda: from_years(100 * (a - 1) + 1, 100 * a),
-        "before": lambda: interval(F.lit(MIN_YEAR), a),
-        "after": lambda: interval(a, F.lit(max_year + 1)),
-        "span": lambda: from_years(a, number(name, p, 2)),
-    }[kind]()
-
-
-def parse_category(category: Column, source: str = "category", scale: float = 1.0, max_year: int = THIS_YEAR) -> Column:
+        return from_month(part(2), let(F.lower(F.regexp_extract(name, p, 1)), month_number))
+    if kind == "span":
+        return from_years(part(1), part(2))
+    shape = {
+        "year": lambda a: from_years(a, a),
+        "decade": lambda a: from_years(a, a + 9),
+        "century": lambda a: from_years(100 * (a - 1) + 1, 100 * a),
+        "before": lambda a: interval(F.lit(MIN_YEAR), a),
+        "after": lambda a: interval(a, F.lit(max_year + 1)),
+    }[kind]
+    return let(part(1), shape)
+
+
+def parse_category(
+    category: Column, source: Column | str = "category", scale: Column | float = 1.0, max_year: int = THIS_YEAR
+) -> Column:
     """The candidate of one category; the first rule that matches decides, even against it."""
 
     def rules(name: Column) -> Column:
         found = F.lit(None)
         for pattern, kind, precision, sure, flags in reversed(CATEGORY_RULES):
             p = "(?iU)" + pattern
-            i = _category_interval(kind, name, p, max_year)
-            sane = F.when((i["lo"] >= MIN_YEAR) & (i["hi"] <= max_year + 1), i)
-            made = candidate(sane, source, precision, round(sure * scale, 3), category, strings(*flags))
+            made = reading(_category_interval(kind, name, p, max_year), precision, sure, strings(*flags))
             found = F.when(name.rlike(p), made).otherwise(found)
-        return found
+        return let(found, sane)
+
+    def sane(r: Column) -> Column:
+        inside = (r["i"]["lo"] >= MIN_YEAR) & (r["i"]["hi"] <= max_year + 1)
+        return candidate(
+            F.when(inside, r["i"]), source, r["precision"], F.round(r["confidence"] * scale, 3), category, r["flags"]
+        )
 
     spaced = F.trim(F.replace(category, F.lit("_"), F.lit(" ")))
-    cleaned = F.trim(F.regexp_replace(spaced, YEAR_IN_PARENTHESES, " "))
-    return F.when(~spaced.rlike(EXCLUDED), let(cleaned, rules))
+    clean = lambda s: F.when(~s.rlike(EXCLUDED), F.trim(F.regexp_replace(s, YEAR_IN_PARENTHESES, " ")))
+    return let(let(spaced, clean), lambda n: F.when(n.rlike("\\d"), rules(n)))
 
 
-def parse_categories(categories: Column, source: str = "category", scale: float = 1.0, max_year: int = THIS_YEAR) -> Column:
+def parse_categories(named: Column, max_year: int = THIS_YEAR) -> Column:
+    """Candidates of an array of struct(name, source, scale), in order."""
     return F.filter(
-        F.transform(categories, lambda c: parse_category(c, source, scale, max_year)), lambda x: x.isNotNull()
+        F.transform(named, lambda c: parse_category(c["name"], c["source"], c["scale"], max_year)),
+        lambda x: x.isNotNull(),
+    )
+
+
+def named_categories(categories: Column, source: str = "category", scale: float = 1.0) -> Column:
+    return F.transform(
+        categories, lambda c: F.struct(c.alias("name"), F.lit(source).alias("source"), F.lit(scale).alias("scale"))
     )
 
 
@@ -194,26 +222,26 @@ def parse_title(title: Column, max_year: int = THIS_YEAR) -> Column:
     """The candidate of a file title; null where nothing is clear."""
 
     def rules(stem: Column) -> Column:
-        y = number(stem, TITLE_DAY, 1)
-        day = F.when(y <= max_year, from_day(y, number(stem, TITLE_DAY, 2), number(stem, TITLE_DAY, 3)))
-        about = number(stem, TITLE_CIRCA)
-        around = F.when(
-            about.between(FIRST_PHOTO_YEAR, max_year), from_years(about - CIRCA_YEARS, about + CIRCA_YEARS)
+        part = lambda n: number(stem, TITLE_DAY, n)
+        about = lambda y: F.when(
+            y.between(FIRST_PHOTO_YEAR, max_year), from_years(y - CIRCA_YEARS, y + CIRCA_YEARS)
         )
         years = F.array_distinct(
             F.filter(
                 F.transform(
                     F.regexp_extract_all(F.regexp_replace(stem, TITLE_NOISE, " "), F.lit(TITLE_YEAR)),
-                    lambda v: v.cast("int"),
+                    lambda v: v.try_cast("int"),
                 ),
                 lambda v: v.between(FIRST_PHOTO_YEAR, max_year),
             )
         )
-        only = F.when(F.size(years) == 1, from_years(F.get(years, F.lit(0)), F.get(years, F.lit(0))))
-        return F.coalesce(
-            candidate(day, "title", "day", LOW, title, strings()),
-            candidate(around, "title", "year", LOW, title, strings("circa")),
-            candidate(only, "title", "year", VERY_LOW, title, strings()),
+        only = let(years, lambda v: F.when(F.size(v) == 1, from_years(F.get(v, F.lit(0)), F.get(v, F.lit(0)))))
+        return first_reading(
+            "title",
+            title,
+            reading(F.when(part(1) <= max_year, from_day(part(1), part(2), part(3))), "day", LOW, strings()),
+            reading(let(number(stem, TITLE_CIRCA), about), "year", LOW, strings("circa")),
+            reading(only, "year", VERY_LOW, strings()),
         )
 
     return let(F.replace(F.regexp_replace(title, EXTENSION, ""), F.lit("_"), F.lit(" ")), rules)

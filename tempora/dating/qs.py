@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tempora.dating.candidate import HIGH, LOW, MEDIUM, candidate, group, strings
+from tempora.dating.candidate import HIGH, LOW, MEDIUM, first_reading, number, reading, strings
 from tempora.functions.interval import MIN_YEAR, THIS_YEAR, from_day, from_month, from_years, interval
 from tempora.functions.strings import let
 
@@ -21,27 +21,35 @@ UNCERTAIN = ("Q18122778", "Q56644435", "Q30230067")
 
 def parse_time(value: Column, max_year: int = THIS_YEAR) -> Column:
     """struct(i interval, precision) of a time value; null where unusable."""
-    v = F.trim(value)
-    part = lambda n: group(v, TIME, n).cast("int")
-    year, month, day, code = part(2), part(3), part(4), part(5)
-    dated = (code >= 11) & (month > 0) & (day > 0)
-    monthly = ~dated & (code >= 10) & (month > 0)
-    by_day, by_month, by_year = from_day(year, month, day), from_month(year, month), from_years(year, year)
-    decade, century = F.floor(year / 10) * 10, F.ceil(year / 100)
-    found = lambda i, p: F.struct(i.alias("i"), F.lit(p).alias("precision"))
-    return F.when(
-        (group(v, TIME, 1) == "+") & year.between(MIN_YEAR, max_year),
-        F.when(dated & by_day.isNotNull(), found(by_day, "day"))
-        .when(monthly & by_month.isNotNull(), found(by_month, "month"))
-        .when(code >= 9, found(by_year, "year"))
-        .when(code == 8, found(from_years(decade, decade + 9), "decade"))
-        .when(code == 7, found(from_years(100 * (century - 1) + 1, 100 * century), "century")),
-    )
+    def read(v: Column) -> Column:
+        part = lambda n: number(v, TIME, n)
+        return F.struct(
+            F.regexp_extract(v, TIME, 1).alias("sign"), part(2).alias("y"), part(3).alias("m"),
+            part(4).alias("d"), part(5).alias("code"),
+        )
+
+    def rules(x: Column) -> Column:
+        y, m, d, code = (x[k] for k in ("y", "m", "d", "code"))
+        dated = (code >= 11) & (m > 0) & (d > 0)
+        decade, century = F.floor(y / 10) * 10, F.ceil(y / 100)
+        found = lambda i, p: let(i, lambda v: F.when(v.isNotNull(), F.struct(v.alias("i"), F.lit(p).alias("precision"))))
+        return F.when(
+            (x["sign"] == "+") & y.between(MIN_YEAR, max_year),
+            F.coalesce(
+                F.when(dated, found(from_day(y, m, d), "day")),
+                F.when(~dated & (code >= 10) & (m > 0), found(from_month(y, m), "month")),
+                F.when(code >= 9, found(from_years(y, y), "year")),
+                F.when(code == 8, found(from_years(decade, decade + 9), "decade")),
+                F.when(code == 7, found(from_years(100 * (century - 1) + 1, 100 * century), "century")),
+            ),
+        )
+
+    return let(let(F.trim(value), read), rules)
 
 
 def parse_qs(qs: Column, max_year: int = THIS_YEAR) -> Column:
     """The candidate of a whole string; null where there is none."""
-    tokens = F.filter(F.transform(F.split(qs, ","), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(qs, ","), lambda t: F.trim(t)), lambda t: t != "")
 
     def from_tokens(t: Column) -> Column:
         count = F.floor(F.size(t) / 2).cast("int")
@@ -73,17 +81,18 @@ def parse_qs(qs: Column, max_year: int = THIS_YEAR) -> Column:
         early, late, main, flags = x["early"]["i"], x["late"]["i"], x["main"]["i"], x["flags"]
         sure = F.when(F.array_contains(flags, "uncertain"), MEDIUM).otherwise(HIGH)
         spread = F.when(F.array_contains(flags, "circa"), CIRCA_YEARS).otherwise(0)
-        make = lambda i, precision, confidence, extra: candidate(
-            i, "qs", precision, confidence, qs, F.concat(flags, strings(*extra))
-        )
-        return (
-            F.when(
-                early.isNotNull() & late.isNotNull(),
-                make(interval(early["lo"], F.greatest(late["hi"], early["lo"] + 1)), "range", sure, ()),
-            )
-            .when(late.isNotNull(), make(interval(F.lit(MIN_YEAR), late["hi"]), "bound", LOW, ("open_start",)))
-            .when(early.isNotNull(), make(interval(early["lo"], F.lit(max_year + 1)), "bound", LOW, ("open_end",)))
-            .otherwise(make(interval(main["lo"] - spread, main["hi"] + spread), x["main"]["precision"], sure, ()))
+        with_flags = lambda *extra: F.concat(flags, strings(*extra))
+        none = early.isNull() & late.isNull()
+        return first_reading(
+            "qs",
+            qs,
+            reading(
+                F.when(late.isNotNull(), interval(early["lo"], F.greatest(late["hi"], early["lo"] + 1))),
+                "range", sure, flags,
+            ),
+            reading(F.when(early.isNull(), interval(F.lit(MIN_YEAR), late["hi"])), "bound", LOW, with_flags("open_start")),
+            reading(F.when(late.isNull(), interval(early["lo"], F.lit(max_year + 1))), "bound", LOW, with_flags("open_end")),
+            reading(F.when(none, interval(main["lo"] - spread, main["hi"] + spread)), x["main"]["precision"], sure, flags),
         )
 
     return F.when(qs.isNotNull() & (qs != ""), let(tokens, from_tokens))

@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 
 from tempora.dating.candidate import CANDIDATE, LOW, MEDIUM, VERY_HIGH, strings
 from tempora.dating.evidence import (
-    FIRST_PHOTO_YEAR, PHOTOGRAPHIC, classify_medium, parse_categories, parse_exif, parse_title,
+    FIRST_PHOTO_YEAR,
+    PHOTOGRAPHIC,
+    classify_medium,
+    named_categories,
+    parse_categories,
+    parse_exif,
+    parse_title,
 )
 from tempora.dating.qs import parse_qs
 from tempora.dating.text import parse_date_text
+from tempora.functions.strings import let
 from tempora.functions.interval import INTERVAL, THIS_YEAR, agree, decimal_year, interval, label, mid, overlaps, width
 
 # Fixed values.
@@ -213,18 +220,21 @@ def resolve(
 def gather_candidates(max_year: int = THIS_YEAR) -> Column:
     """The evidence of an image_metadata row, in source order."""
     c = F.col
-    page_qs = parse_qs(c("date_qs"), max_year)
-    visible = F.when(
-        page_qs.isNull() & (c("date_source") == "commons-desc-page"), parse_date_text(c("date_text"), max_year=max_year)
-    )
     spaced = lambda x: F.replace(x, F.lit("_"), F.lit(" "))
     direct = F.transform(c("categories"), spaced)
-    extra = F.filter(F.coalesce(c("subcats"), strings()), lambda s: ~F.array_contains(direct, spaced(s)))
+    extra = let(
+        direct,
+        lambda have: F.filter(F.coalesce(c("subcats"), strings()), lambda s: ~F.array_contains(have, spaced(s))),
+    )
+    named = F.concat(
+        named_categories(c("categories")), named_categories(extra, "subcategory", SUBCATEGORY_SCALE)
+    )
+    visible = F.when(c("date_source") == "commons-desc-page", parse_date_text(c("date_text"), max_year=max_year))
+    page = let(parse_qs(c("date_qs"), max_year), lambda q: F.coalesce(q, visible))
     return F.array_compact(
         F.concat(
-            F.array(page_qs, visible, parse_exif(c("exif"))),
-            parse_categories(c("categories"), max_year=max_year),
-            parse_categories(extra, "subcategory", SUBCATEGORY_SCALE, max_year),
+            F.array(page, parse_exif(c("exif"))),
+            parse_categories(named, max_year),
             F.array(parse_title(c("title"), max_year)),
         )
     )

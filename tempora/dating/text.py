@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tempora.dating.candidate import HIGH, LOW, candidate, flag, group, number, plausible, strings
+from tempora.dating.candidate import HIGH, LOW, first_reading, flag, number, plausible, reading, strings
 from tempora.dating.qs import CIRCA_YEARS
 from tempora.functions.interval import MIN_YEAR, THIS_YEAR, from_day, from_month, from_years, interval
 from tempora.functions.strings import let
@@ -59,67 +59,81 @@ def parse_date_text(
 ) -> Column:
     """The candidate of a visible date; null where nothing is usable."""
 
-    def rules(low: Column) -> Column:
+    groups = {
+        "first": (RANGE, 1), "last": (RANGE, 2), "before": (BEFORE, 1), "after": (AFTER, 1),
+        "iso_y": (ISO_DAY, 1), "iso_m": (ISO_DAY, 2), "iso_d": (ISO_DAY, 3),
+        "dmy_d": (DAY_FIRST, 1), "dmy_y": (DAY_FIRST, 3), "mdy_d": (MONTH_FIRST, 2), "mdy_y": (MONTH_FIRST, 3),
+        "my_y": (MONTH_YEAR, 2), "ym_y": (ISO_MONTH, 1), "ym_m": (ISO_MONTH, 2),
+        "circa": (CIRCA, 1), "decade": (DECADE, 1), "century": (CENTURY, 1),
+    }
+    months = {"dmy_m": (DAY_FIRST, 2), "mdy_m": (MONTH_FIRST, 1), "my_m": (MONTH_YEAR, 1)}
+
+    def read(low: Column) -> Column:
+        """Every group once, then the rules over them."""
+        years = F.array_distinct(
+            F.filter(
+                F.transform(F.regexp_extract_all(low, F.lit(YEAR)), lambda y: y.try_cast("int")),
+                lambda y: plausible(y, max_year),
+            )
+        )
         flags = F.concat(
             flag(low.contains("upload"), "upload_date"),
             flag(low.contains("circa") | low.rlike(CIRCA_SHORT), "circa"),
         )
-        make = lambda i, precision, sure, extra: candidate(i, source, precision, sure, text, extra)
-        ok = lambda y: plausible(y, max_year)
+        found = F.struct(
+            *[number(low, p, n).alias(k) for k, (p, n) in groups.items()],
+            *[let(F.regexp_extract(low, p, n), month_number).alias(k) for k, (p, n) in months.items()],
+            F.array_sort(years).alias("years"),
+            flags.alias("flags"),
+        )
+        return let(found, rules)
 
-        first, last = number(low, RANGE, 1), number(low, RANGE, 2)
-        before, after = number(low, BEFORE), number(low, AFTER)
-        day = lambda y, m, d: F.when(ok(y), from_day(y, m, d))
-        month = lambda y, m: F.when(ok(y) & m.between(1, 12), from_month(y, m))
-        circa, decade, century = number(low, CIRCA), number(low, DECADE), number(low, CENTURY)
-        years = F.array_distinct(
-            F.filter(F.transform(F.regexp_extract_all(low, F.lit(YEAR)), lambda y: y.cast("int")), ok)
+    def rules(x: Column) -> Column:
+        ok = lambda *names: reduce(lambda a, b: a & b, [plausible(x[n], max_year) for n in names])
+        flags, years = x["flags"], x["years"]
+        day = lambda k: F.when(ok(f"{k}_y"), from_day(x[f"{k}_y"], x[f"{k}_m"], x[f"{k}_d"]))
+        month = lambda k: F.when(
+            ok(f"{k}_y") & x[f"{k}_m"].between(1, 12), from_month(x[f"{k}_y"], x[f"{k}_m"])
         )
-        span = from_years(F.array_min(years), F.array_max(years))
         one = F.size(years) == 1
-        return F.coalesce(
-            make(F.when(ok(first) & ok(last) & (first <= last), from_years(first, last)), "range", confidence, flags),
-            make(
-                F.when(ok(before), interval(F.lit(MIN_YEAR), before + 1)),
+        return first_reading(
+            source,
+            text,
+            reading(
+                F.when(ok("first", "last") & (x["first"] <= x["last"]), from_years(x["first"], x["last"])),
+                "range", confidence, flags,
+            ),
+            reading(
+                F.when(ok("before"), interval(F.lit(MIN_YEAR), x["before"] + 1)),
                 "bound", LOW, F.concat(flags, strings("open_start")),
             ),
-            make(
-                F.when(ok(after), interval(after, F.lit(max_year + 1))),
+            reading(
+                F.when(ok("after"), interval(x["after"], F.lit(max_year + 1))),
                 "bound", LOW, F.concat(flags, strings("open_end")),
             ),
-            make(
-                F.coalesce(
-                    day(number(low, ISO_DAY, 1), number(low, ISO_DAY, 2), number(low, ISO_DAY, 3)),
-                    day(number(low, DAY_FIRST, 3), month_number(group(low, DAY_FIRST, 2)), number(low, DAY_FIRST, 1)),
-                    day(number(low, MONTH_FIRST, 3), month_number(group(low, MONTH_FIRST, 1)), number(low, MONTH_FIRST, 2)),
-                ),
-                "day", confidence, flags,
-            ),
-            make(
-                F.coalesce(
-                    month(number(low, MONTH_YEAR, 2), month_number(group(low, MONTH_YEAR, 1))),
-                    month(number(low, ISO_MONTH, 1), number(low, ISO_MONTH, 2)),
-                ),
-                "month", confidence, flags,
-            ),
-            make(
-                F.when(ok(circa), from_years(circa - CIRCA_YEARS, circa + CIRCA_YEARS)),
+            reading(F.coalesce(day("iso"), day("dmy"), day("mdy")), "day", confidence, flags),
+            reading(F.coalesce(month("my"), month("ym")), "month", confidence, flags),
+            reading(
+                F.when(ok("circa"), from_years(x["circa"] - CIRCA_YEARS, x["circa"] + CIRCA_YEARS)),
                 "year", confidence, F.array_union(flags, strings("circa")),
             ),
-            make(F.when(ok(decade), from_years(decade, decade + 9)), "decade", confidence, flags),
-            make(
-                F.when(ok(100 * century), from_years(100 * (century - 1) + 1, 100 * century)),
+            reading(F.when(ok("decade"), from_years(x["decade"], x["decade"] + 9)), "decade", confidence, flags),
+            reading(
+                F.when(
+                    plausible(100 * x["century"], max_year),
+                    from_years(100 * (x["century"] - 1) + 1, 100 * x["century"]),
+                ),
                 "century", confidence, flags,
             ),
-            make(
-                F.when(F.size(years) > 0, span),
+            reading(
+                F.when(F.size(years) > 0, from_years(F.get(years, F.lit(0)), F.element_at(years, -1))),
                 F.when(one, "year").otherwise("range"),
                 F.when(one, confidence).otherwise(min(confidence, LOW)),
                 F.when(one, flags).otherwise(F.concat(flags, strings("multiple_years"))),
             ),
-        )
+        )
 
     def dated(low: Column) -> Column:
-        return F.when(low.rlike(YEAR) | low.rlike(CENTURY), rules(low))
+        return F.when(low.rlike(YEAR) | low.rlike(CENTURY), read(low))
 
     return let(F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), "(?U)\\s+", " ")), " +", " "), dated)

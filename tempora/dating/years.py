@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.dating.candidate import group
+from tempora.dating.candidate import group, number
 from tempora.functions.strings import let
 
 MIN_YEAR, MAX_YEAR = 1500, 2100
@@ -68,35 +68,41 @@ def parse_text(text: Column, source: str) -> Column:
     """The first pattern found decides, even if its years are out of range."""
 
     def rules(t: Column) -> Column:
-        year = lambda p, n=1: group(t, p, n).cast("int")
-        one = lambda p, wording: make(year(p), year(p), wording, source)
-        part = group(t, DECADE, 1)
-        d = year(DECADE, 2)
-        decade = (
-            F.when(part == "early", make(d, d + 3, "decade", source))
-            .when(part == "mid", make(d + 3, d + 6, "decade", source))
-            .when(part == "late", make(d + 6, d + 9, "decade", source))
-            .otherwise(make(d, d + 9, "decade", source))
+        year = lambda p, n=1: number(t, p, n)
+        one = lambda p, wording: let(year(p), lambda y: make(y, y, wording, source))
+        span = lambda p: let(
+            F.struct(year(p, 1).alias("a"), year(p, 2).alias("b")),
+            lambda s: F.when(s["a"] <= s["b"], F.struct(make(s["a"], s["b"], "range", source).alias("e"))),
         )
-        span, base = group(t, CENTURY, 1), (year(CENTURY, 2) - 1) * 100
-        century = (
-            F.when(span == "early", make(base, base + 33, "century", source))
-            .when(span == "mid", make(base + 33, base + 66, "century", source))
-            .when(span == "late", make(base + 66, base + 99, "century", source))
-            .otherwise(make(base, base + 99, "century", source))
+        part = lambda p, parts, wording: let(  # noqa: E731  a decade or century, or a named part of it
+            F.struct(F.regexp_extract(t, p, 1).alias("q"), year(p, 2).alias("y")),
+            lambda s: make(*parts(s["q"], s["y"]), wording, source),
         )
+        pick = lambda q, early, mid, late, whole: (
+            F.when(q == "early", early).when(q == "mid", mid).when(q == "late", late).otherwise(whole)
+        )
+        decade = lambda q, d: (d + pick(q, 0, 3, 6, 0), d + pick(q, 3, 6, 9, 9))
+        century = lambda q, c: (
+            (c - 1) * 100 + pick(q, 0, 33, 66, 0), (c - 1) * 100 + pick(q, 33, 66, 99, 99)
+        )
+
+        def later(ranges: Column) -> Column:
+            """A range in order decides; a reversed one is passed over."""
+            return (
+                F.when(ranges.isNotNull(), ranges["e"])
+                .when(t.rlike(CIRCA), let(year(CIRCA), lambda y: make(y - 5, y + 5, "circa", source)))
+                .when(t.rlike(DECADE), part(DECADE, decade, "decade"))
+                .when(t.rlike(CENTURY), part(CENTURY, century, "century"))
+                .when(t.rlike(LABELED), one(LABELED, "year_labeled"))
+                .when(t.rlike(Y), one(Y, "bare_year"))
+            )
+
         return (
             F.when(t.rlike(ISO), one(ISO, "full_date"))
             .when(t.rlike(DAY_FIRST), one(DAY_FIRST, "full_date"))
             .when(t.rlike(MONTH_FIRST), one(MONTH_FIRST, "full_date"))
             .when(t.rlike(MONTH_YEAR), one(MONTH_YEAR, "month_year"))
-            .when(year(BETWEEN, 1) <= year(BETWEEN, 2), make(year(BETWEEN, 1), year(BETWEEN, 2), "range", source))
-            .when(year(DASH, 1) <= year(DASH, 2), make(year(DASH, 1), year(DASH, 2), "range", source))
-            .when(t.rlike(CIRCA), make(year(CIRCA) - 5, year(CIRCA) + 5, "circa", source))
-            .when(t.rlike(DECADE), decade)
-            .when(t.rlike(CENTURY), century)
-            .when(t.rlike(LABELED), one(LABELED, "year_labeled"))
-            .when(t.rlike(Y), one(Y, "bare_year"))
+            .otherwise(let(F.coalesce(span(BETWEEN), span(DASH)), later))
         )
 
     visible = F.get(F.split(text, "(?i)\\s*date\\s+QS:", 2), F.lit(0))
@@ -108,7 +114,7 @@ def parse_field(text: Column) -> Column:
 
     def rules(t: Column) -> Column:
         alone = t.rlike(f"^(?:{Y})$")
-        year = t.try_cast("int")
+        year = F.when(alone, t.try_cast("int"))
 
         def adjusted(e: Column) -> Column:
             cue = F.when(t.rlike(NOT_CAPTURE_CUE), NOT_CAPTURE).otherwise(1.0)

@@ -10,6 +10,8 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tempora.functions.strings import let
+
 MIN_YEAR = 1000
 #: The last year that evidence may name; a parameter wherever results depend on it.
 THIS_YEAR = datetime.date.today().year
@@ -19,14 +21,15 @@ INTERVAL = "struct<lo:double,hi:double>"
 
 def decimal_year(day: Column) -> Column:
     """Year plus the part of it that has passed before the day."""
-    length = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31)))
-    return F.year(day) + (F.dayofyear(day) - 1) / length
+    y = F.year(day)
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    return y + (F.dayofyear(day) - 1) / F.when(leap, 366).otherwise(365)
 
 
 def interval(lo: Column, hi: Column) -> Column:
     """[lo, hi); null unless lo < hi."""
-    lo, hi = lo.cast("double"), hi.cast("double")
-    return F.when(lo < hi, F.struct(lo.alias("lo"), hi.alias("hi")))
+    ends = F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    return let(ends, lambda e: F.when(e["lo"] < e["hi"], e))
 
 
 def from_years(first: Column, last: Column) -> Column:
@@ -35,19 +38,28 @@ def from_years(first: Column, last: Column) -> Column:
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    """The date, or null; nothing is thrown and caught, which would cost far more."""
+    return F.when(
+        year.between(1, 9999) & month.between(1, 12) & (day >= 1),
+        let(
+            F.make_date(year, month, F.lit(1)),
+            lambda first: F.when(day <= F.dayofmonth(F.last_day(first)), F.date_add(first, day - 1)),
+        ),
+    )
 
 
 def from_day(year: Column, month: Column, day: Column) -> Column:
     """One day; null where there is no such date."""
-    start = _date(year, month, day)
-    return interval(decimal_year(start), decimal_year(F.date_add(start, 1)))
+    return let(
+        _date(year, month, day), lambda d: interval(decimal_year(d), let(F.date_add(d, 1), decimal_year))
+    )
 
 
 def from_month(year: Column, month: Column) -> Column:
     """One month; null where there is no such month."""
-    start = _date(year, month, F.lit(1))
-    return interval(decimal_year(start), decimal_year(F.add_months(start, 1).cast("date")))
+    return let(
+        _date(year, month, F.lit(1)), lambda d: interval(decimal_year(d), let(F.add_months(d, 1), decimal_year))
+    )
 
 
 def mid(i: Column) -> Column:
@@ -77,8 +89,9 @@ def clip(i: Column, lo: Column, hi: Column) -> Column:
 
 
 def label(i: Column) -> Column:
-    """'1900', or '1920-1929' for more than a year."""
-    first, last = F.floor(i["lo"]).cast("int"), F.floor(i["hi"] - 1e-9).cast("int")
-    return F.when(first == last, first.cast("string")).otherwise(
-        F.concat_ws("-", first.cast("string"), last.cast("string"))
+    """'1900', or '1920-1929' for more than a year; null for no interval."""
+    years = F.struct(F.floor(i["lo"]).alias("a"), F.floor(i["hi"] - 1e-9).alias("b"))
+    return let(
+        years,
+        lambda y: F.when(y["a"] == y["b"], y["a"].cast("string")).otherwise(F.concat(y["a"], F.lit("-"), y["b"])),
     )

@@ -48,8 +48,9 @@ def eligible_anchors(views: DataFrame, cfg: Sampling = Sampling(), by: str = "sc
     Neighbours in time are counted by range frames over one sort of each scene,
     one frame per tolerance.
     """
-    time = Window.partitionBy(by).orderBy("date")
-    near = lambda tol: F.count("*").over(time.rangeBetween(-tol, tol))
+    near = lambda tol: F.expr(  # noqa: E731  frames over doubles are written in SQL
+        f"count(*) over (partition by {by} order by date range between {float(tol)}D preceding and {float(tol)}D following)"
+    )
     counted = views.withColumn("total", F.count("*").over(Window.partitionBy(by))).withColumn(
         "same",
         F.when(F.col("date") >= cfg.boundary, near(cfg.modern_tolerance)).otherwise(near(cfg.old_tolerance)),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tempora.plans.materialize import materialize
 
-_BEFORE = Window.rowsBetween(Window.unboundedPreceding, -1)
+
+def _before():
+    return Window.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def rank_by_hash(df: DataFrame, part: list[str], h: str, ties: list[str], bits: int = 48, buckets: int = 4096) -> DataFrame:
@@ -22,7 +24,7 @@ def rank_by_hash(df: DataFrame, part: list[str], h: str, ties: list[str], bits:
     firsts = sizes.select(
         *part,
         "__b",
-        F.coalesce(F.sum("__n").over(_BEFORE.partitionBy(*part).orderBy("__b")), F.lit(0)).alias("__first"),
+        F.coalesce(F.sum("__n").over(_before().partitionBy(*part).orderBy("__b")), F.lit(0)).alias("__first"),
         F.sum("__n").over(inside).alias("total"),
     )
     nth = F.row_number().over(Window.partitionBy(*part, "__b").orderBy(h, *ties))
@@ -40,7 +42,7 @@ def row_numbers(df: DataFrame, order: str, name: str = "row") -> DataFrame:
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     # One row per partition.
     firsts = counts.select(
-        "__p", F.coalesce(F.sum("__n").over(_BEFORE.orderBy("__p")), F.lit(0)).alias("__first")
+        "__p", F.coalesce(F.sum("__n").over(_before().orderBy("__p")), F.lit(0)).alias("__first")
     )
     nth = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
     return (
