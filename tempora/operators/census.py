@@ -145,7 +145,10 @@ def passes_gate(summary: DataFrame, n_old: int = 10, n_modern: int = 10) -> Data
 def first_occurrence(files: DataFrame, key: str = "file_key", order: str = "scene_id") -> DataFrame:
     """One row per key, the first by order; pre-aggregated, so that a hot key costs a row a task."""
     rest = [c for c in files.columns if c != key]
-    return files.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order and _orderable(files, c)])).alias("r")).select(
+    return files.groupBy(key).agg(
+        F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order and _orderable(files, c)])).alias("r")
+    ).select(
+        
         key, *[F.col("r")[c].alias(c) for c in rest]
     )
 

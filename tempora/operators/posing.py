@@ -185,7 +185,7 @@ def register(
     aligned = (
         posed.join(known, ["scene_id", "image"], "left")
         .groupBy("scene_id", "batch")
-        .applyInPandas(align_batch, "scene_id long, batch int, image long, c2w array<double>, focal double, n_inliers int")
+        .applyInPandas(lambda pdf: align_batch(pdf), "scene_id long, batch int, image long, c2w array<double>, focal double, n_inliers int")
     )
     merged = aligned.groupBy("scene_id", "image").applyInPandas(
         merge_query,

@@ -1 +1,214 @@
-"""records."""
+"""Text records: HTML, keys, JSON, aliases, harvest and caches."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tempora.functions import strings as st
+from tempora.queries.registry import query
+from tempora.session import table
+from tempora.sources import index, metadata
+
+
+@query(
+    "strip_html",
+    r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(
+   regexp_replace(html, '&(copy|middot|quot|lt|gt|nbsp|apos|#[0-9]+);', '', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS text
+FROM pages
+""",
+)
+def strip_html(spark, d):
+    # Entities other than &amp; go first, so that the SQL needs no entity table.
+    html = F.regexp_replace("html", "&(copy|middot|quot|lt|gt|nbsp|apos|#[0-9]+);", "")
+    return table(spark, d, "pages").select("page_id", st.strip_html(html, hidden=False).alias("text"))
+
+
+@query(
+    "file_keys",
+    """
+SELECT page_id, replace(nfc_normalize(regexp_replace(regexp_extract('File:' || url || ' é', '[^/]*$'), '^File:', '')), ' ', '_') AS file_key,
+  printf('%03d/%03d', page_id // 1000, page_id % 1000) AS prefix,
+  'images/' || printf('%03d/%03d', page_id // 1000, page_id % 1000) || '/' || replace(url, ' ', '_') AS image_key,
+  (CASE WHEN page_id % 2 = 0 THEN 'reconstruct_aux/' ELSE 'reconstruct/' END) || printf('%03d/%03d', page_id // 1000, page_id % 1000)
+    || '/colmap/' || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/images.minibin' ELSE '/images.bin' END AS model_key,
+  'File:' || replace(regexp_extract(url, '[^/]*$'), '_', ' ') AS title
+FROM pages
+""",
+)
+def file_keys(spark, d):
+    prefix = st.scene_prefix(F.col("page_id"))
+    name = F.when(F.col("page_id") % 2 == 0, "images.minibin").otherwise("images.bin")
+    return table(spark, d, "pages").select(
+        "page_id",
+        st.file_key(F.concat(F.lit("File:"), F.col("url"), F.lit(" é"))).alias("file_key"),
+        prefix.alias("prefix"),
+        index.image_key(prefix, F.col("url")).alias("image_key"),
+        index.reconstruction_key(prefix, F.col("page_id") % 3, name).alias("model_key"),
+        st.title_of(F.col("url")).alias("title"),
+    )
+
+
+@query(
+    "json_props",
+    "SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS INTEGER) AS value FROM events",
+)
+def json_props(spark, d):
+    return table(spark, d, "events").select(
+        "event_id", F.explode(F.from_json("props", "map<string,int>")).alias("key", "value")
+    )
+
+
+@query(
+    "recon_rows",
+    """
+WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS model,
+  CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)
+SELECT o_custkey AS scene_id, 'c' || o_custkey AS scene, CAST(model AS INTEGER) AS model, n AS n_images, o_orderkey AS n_points FROM o
+""",
+)
+def recon_rows(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("n"))
+    models = F.transform(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "n"))),
+        lambda x: F.array(x["n"].cast("string"), x["o_orderkey"].cast("string")),
+    )
+    raw = o.groupBy("o_custkey").agg(models.alias("m")).select(
+        F.col("o_custkey").cast("string").alias("key"),
+        F.concat(
+            F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.size("m").cast("string")), F.flatten("m")
+        ).alias("value"),
+    )
+    return index.recon_rows(raw)
+
+
+@query(
+    "flatten_pages",
+    """
+SELECT c_custkey AS pageid, 'A' || c_custkey || '.jpg' AS title, 'x ' || c_mktsegment AS date_text,
+  CASE WHEN c_custkey % 2 = 0 THEN '+1900/9' END AS date_qs, CASE WHEN c_custkey % 3 = 0 THEN 'Canon' END AS make,
+  CASE WHEN c_custkey % 5 = 0 THEN 1850 END AS born, c_mktsegment || ',B' AS categories
+FROM customer WHERE c_custkey % 7 <> 0
+""",
+)
+def flatten_pages(spark, d):
+    """Pages written as JSON from customers, some without image info, read back."""
+    c = table(spark, d, "customer")
+    value = lambda v: F.struct(v.alias("value"), F.lit("commons-desc-page").alias("source"))
+    date = F.concat(
+        F.lit("<b>x</b>  "), F.col("c_mktsegment"),
+        F.when(F.col("c_custkey") % 2 == 0, '<div style="display: none;">date QS:+1900/9</div>').otherwise(""),
+    )
+    artist = F.when(F.col("c_custkey") % 5 == 0, '<a title="A (1850 - 1900)">A</a>').otherwise("A")
+    ext = F.map_from_arrays(
+        F.array(*[F.lit(k) for k in ("DateTimeOriginal", "Artist", "Categories")]),
+        F.array(value(date), value(artist), value(F.concat(F.col("c_mktsegment"), F.lit("|B")))),
+    )
+    common = F.when(
+        F.col("c_custkey") % 3 == 0, F.array(F.struct(F.lit("Make").alias("name"), F.lit("Canon").alias("value")))
+    ).otherwise(F.array())
+    info = F.struct(
+        F.lit("2010-01-01T00:00:00Z").alias("timestamp"), F.lit(8).alias("width"), F.lit(6).alias("height"),
+        F.lit("u").alias("url"), ext.alias("extmetadata"), common.alias("commonmetadata"),
+    )
+    page = F.struct(
+        F.col("c_custkey").alias("pageid"), F.concat(F.lit("File:A"), F.col("c_custkey"), F.lit(".jpg")).alias("title"),
+        F.when(F.col("c_custkey") % 7 != 0, F.array(info)).otherwise(F.array()).alias("imageinfo"),
+    )
+    text = c.select(F.to_json(F.struct(F.array(F.create_map(F.col("c_custkey").cast("string"), page)).alias("elements"))).alias("value"))
+    out = metadata.parse_pages(metadata.pages(text))
+    return out.select(
+        "pageid", "title", "date_text", "date_qs", F.element_at("exif", "Make").alias("make"),
+        F.col("artist_born").alias("born"), F.array_join("categories", ",").alias("categories"),
+    )
+
+
+@query(
+    "harvest_first_wins",
+    """
+WITH r AS (SELECT o_custkey, l_partkey, l_returnflag AS subcat, l_orderkey * 10 + l_linenumber AS pos, l_quantity AS q
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT o_custkey AS scene_id, l_partkey AS file_key, arg_min(q, (subcat, pos, q)) AS q, array_to_string(list_sort(list(DISTINCT subcat)), ',') AS subcats
+FROM r GROUP BY 1, 2
+""",
+)
+def harvest_first_wins(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("scene_id"), F.col("l_partkey").alias("file_key"), F.col("l_returnflag").alias("subcat"),
+        F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity")).alias("pos"),
+        F.col("l_quantity").alias("q"),
+    )
+    return metadata.harvest(rows).withColumn("subcats", F.array_join("subcats", ","))
+
+
+@query(
+    "exif_round_trip",
+    "SELECT c_custkey, c_name AS make, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS model, 1 + (1 - c_custkey % 2) AS n FROM customer",
+)
+def exif_round_trip(spark, d):
+    entries = F.array_compact(F.array(
+        F.struct(F.lit("Make").alias("k"), F.col("c_name").alias("v")),
+        F.when(F.col("c_custkey") % 2 == 0, F.struct(F.lit("Model").alias("k"), F.col("c_mktsegment").alias("v"))),
+    ))
+    rows = table(spark, d, "customer").select("c_custkey", F.map_from_entries(entries).alias("exif"))
+    back = metadata.gather_exif(metadata.flatten_exif(rows))
+    return back.select(
+        "c_custkey", F.element_at("exif", "Make").alias("make"), F.element_at("exif", "Model").alias("model"),
+        F.size("exif").cast("long").alias("n"),
+    )
+
+
+@query(
+    "alias_chain",
+    """
+WITH RECURSIVE edges AS (SELECT 's' || s_suppkey AS src, CASE WHEN s_suppkey % 4 = 0 THEN 'n' || s_nationkey ELSE 's' || (s_suppkey // 4 * 4) END AS dst
+   FROM supplier WHERE s_suppkey >= 4),
+r AS (SELECT 's' || s_suppkey AS title, 's' || s_suppkey AS cur, 0 AS hop FROM supplier
+      UNION ALL SELECT title, dst, hop + 1 FROM r JOIN edges ON cur = src WHERE hop < 8 AND dst <> cur)
+SELECT title, cur AS final, cur IN (SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) AS found
+FROM r QUALIFY row_number() OVER (PARTITION BY title ORDER BY hop DESC) = 1
+""",
+)
+def alias_chain(spark, d):
+    s = table(spark, d, "supplier")
+    name = F.concat(F.lit("s"), F.col("s_suppkey"))
+    k = F.col("s_suppkey")
+    dst = F.when(k % 4 == 0, F.concat(F.lit("n"), F.col("s_nationkey"))).otherwise(
+        F.concat(F.lit("s"), (F.floor(k / 4) * 4).cast("string"))
+    )
+    edges = s.where("s_suppkey >= 4").select(name.alias("src"), dst.alias("dst"))
+    pages = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("title"))
+    return metadata.resolve_aliases(s.select(name.alias("title")), edges, pages)
+
+
+@query(
+    "latest_cache",
+    "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1",
+)
+def latest_cache(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return index.latest(rows, "o_custkey", "o_orderkey")
+
+
+@query(
+    "missing_files",
+    "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
+)
+def missing_files(spark, d):
+    have = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return index.missing(table(spark, d, "part").select("p_partkey"), have, ["p_partkey"])
+
+
+@query("safe_filenames")
+def safe_filenames(spark, d):
+    return table(spark, d, "pages").select("page_id", st.safe_filename(F.col("url")).alias("name"))
+
+
+@query(
+    "union_by_name",
+    "SELECT c_custkey AS k, c_name AS name, NULL AS part FROM customer UNION ALL SELECT p_partkey, NULL, p_name FROM part",
+)
+def union_by_name(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("part"))
+    return a.unionByName(b, allowMissingColumns=True)

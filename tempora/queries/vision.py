@@ -1 +1,251 @@
-"""vision."""
+"""Cameras, embeddings, retrieval, sampling, registration and image metrics."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tempora.functions import geometry as geo
+from tempora.functions import images
+from tempora.operators import neardup, posing, retrieval
+from tempora.operators.nearest import knn_cosine
+from tempora.queries.registry import query
+from tempora.session import table
+
+E = "embedding[{}]"
+QN = "sqrt(pow(embedding[1], 2) + pow(embedding[2], 2) + pow(embedding[3], 2) + pow(embedding[4], 2))"
+QUAT = "(SELECT vec_id, " + ", ".join(
+    f"CAST(embedding[{i}] AS DOUBLE) AS {n}" for i, n in ((1, "rw"), (2, "rx"), (3, "ry"), (4, "rz"), (5, "tx"), (6, "ty"), (7, "tz"))
+) + " FROM embeddings)"
+UNIT = f"(SELECT vec_id, tx, ty, tz, rw / n AS w, rx / n AS x, ry / n AS y, rz / n AS z FROM (SELECT *, sqrt(rw * rw + rx * rx + ry * ry + rz * rz) AS n FROM {QUAT}))"
+ROT = f"""(SELECT vec_id, tx, ty, tz, w, x, y, z, 1 - 2 * (y * y + z * z) AS r00, 2 * (x * y - w * z) AS r01, 2 * (x * z + w * y) AS r02,
+  2 * (x * y + w * z) AS r10, 1 - 2 * (x * x + z * z) AS r11, 2 * (y * z - w * x) AS r12,
+  2 * (x * z - w * y) AS r20, 2 * (y * z + w * x) AS r21, 1 - 2 * (x * x + y * y) AS r22 FROM {UNIT})"""
+CAMS = f"""cams AS (SELECT vec_id, vec_id % 4 AS scene_id, -(r00 * tx + r10 * ty + r20 * tz) AS cx, -(r01 * tx + r11 * ty + r21 * tz) AS cy,
+  -(r02 * tx + r12 * ty + r22 * tz) AS cz, r20 AS dx, r21 AS dy, r22 AS dz, 1900 + vec_id % 97 + 0.25 AS date FROM {ROT})"""
+SCALE = """mid AS (SELECT scene_id, median(cx) AS mx, median(cy) AS my, median(cz) AS mz FROM cams GROUP BY 1),
+sc AS (SELECT scene_id, median(sqrt(pow(cx - mx, 2) + pow(cy - my, 2) + pow(cz - mz, 2))) AS scale FROM cams JOIN mid USING (scene_id) GROUP BY 1)"""
+
+
+def _cameras(spark, d) -> DataFrame:
+    names = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    e = table(spark, d, "embeddings").select(
+        "vec_id", "label", "embedding", (F.col("vec_id") % 4).alias("scene_id"),
+        *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
+        (1900 + F.col("vec_id") % 97 + 0.25).alias("date"),
+    )
+    return geo.camera_features(e)
+
+
+@query(
+    "quat_geometry",
+    f"""
+SELECT vec_id, list_transform([r00, r01, r02, r10, r11, r12, r20, r21, r22], lambda v: round(v, 6) + 0.0) AS r,
+  round(-(r00 * tx + r10 * ty + r20 * tz), 6) + 0.0 AS cx, round(-(r01 * tx + r11 * ty + r21 * tz), 6) + 0.0 AS cy,
+  round(-(r02 * tx + r12 * ty + r22 * tz), 6) + 0.0 AS cz, round(abs(w), 6) AS qw
+FROM {ROT}
+""",
+)
+def quat_geometry(spark, d):
+    cams = _cameras(spark, d)
+    r = geo.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    six = lambda c: F.round(c, 6) + 0.0
+    return cams.withColumn("r", r).select(
+        "vec_id", F.transform("r", six).alias("r"), *[six(F.col(c)).alias(c) for c in ("cx", "cy", "cz")],
+        F.round(geo.quaternion(F.col("r"))[0], 6).alias("qw"),
+    )
+
+
+@query("scene_scale", f"WITH {CAMS}, {SCALE} SELECT scene_id, round(scale, 6) AS scale FROM sc")
+def scene_scale(spark, d):
+    return geo.scene_scale(_cameras(spark, d), ["scene_id"]).withColumn("scale", F.round("scale", 6))
+
+
+@query(
+    "pose_distance",
+    f"""
+WITH {CAMS}, {SCALE}
+SELECT a.vec_id, round(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2)) / scale
+  + acos(greatest(-1, least(1, a.dx * b.dx + a.dy * b.dy + a.dz * b.dz))) / pi(), 6) AS dist
+FROM cams a JOIN cams b ON b.vec_id = a.vec_id + 4 JOIN sc ON sc.scene_id = a.scene_id
+""",
+)
+def pose_distance(spark, d):
+    cams = _cameras(spark, d)
+    other = cams.select((F.col("vec_id") - 4).alias("vec_id"), *[F.col(c).alias(f"o_{c}") for c in retrieval.POSE])
+    both = cams.join(other, "vec_id").join(geo.scene_scale(cams, ["scene_id"]), "scene_id")
+    a, b = ({c: F.col(p + c) for c in retrieval.POSE} for p in ("", "o_"))
+    return both.select("vec_id", F.round(geo.pose_distance(a, b, F.col("scale")), 6).alias("dist"))
+
+
+@query(
+    "rotation_error",
+    f"""
+WITH r AS {ROT}
+SELECT a.vec_id, round(degrees(acos(greatest(-1, least(1, (a.r00 * b.r00 + a.r01 * b.r01 + a.r02 * b.r02 + a.r10 * b.r10 + a.r11 * b.r11
+  + a.r12 * b.r12 + a.r20 * b.r20 + a.r21 * b.r21 + a.r22 * b.r22 - 1) / 2)))), 4) AS deg
+FROM r a JOIN r b ON b.vec_id = a.vec_id + 1
+""",
+)
+def rotation_error(spark, d):
+    r = geo.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    rows = _cameras(spark, d).select("vec_id", r.alias("r"))
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("r").alias("o"))
+    return rows.join(other, "vec_id").select("vec_id", F.round(geo.rotation_error_deg(F.col("r"), F.col("o")), 4).alias("deg"))
+
+
+PAIRS = f"""
+WITH {CAMS}, {SCALE},
+p AS (SELECT t.vec_id AS target, c.vec_id AS cand, abs(c.date - t.date) AS gap,
+  round(sqrt(pow(t.cx - c.cx, 2) + pow(t.cy - c.cy, 2) + pow(t.cz - c.cz, 2)) / scale
+  + acos(greatest(-1, least(1, t.dx * c.dx + t.dy * c.dy + t.dz * c.dz))) / pi(), 9) AS pose
+  FROM cams t JOIN cams c ON t.scene_id = c.scene_id AND c.vec_id % 20 <> 0 JOIN sc ON sc.scene_id = t.scene_id WHERE t.vec_id % 20 = 0)
+"""
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Every twentieth view against the other views of its scene."""
+    cams = _cameras(spark, d)
+    side = lambda df, role: df.select("scene_id", F.col("vec_id").alias(role), F.col("date").alias(f"{role}_date"), *[F.col(c).alias(f"{role}_{c}") for c in retrieval.POSE])
+    t, c = side(cams.where("vec_id % 20 = 0"), "target"), side(cams.where("vec_id % 20 <> 0"), "cand")
+    both = t.join(c, "scene_id").join(geo.scene_scale(cams, ["scene_id"]), "scene_id")
+    a, b = ({c: F.col(f"{p}_{c}") for c in retrieval.POSE} for p in ("target", "cand"))
+    return both.select(
+        "target", "cand", F.abs(F.col("cand_date") - F.col("target_date")).alias("gap"),
+        F.round(geo.pose_distance(a, b, F.col("scale")), 9).alias("pose"),
+    )
+
+
+def _retrieved(spark, d, strategy):
+    return retrieval.retrieve(_pairs(spark, d), strategy, ["target"], 5).select("target", "cand")
+
+
+@query("retrieval_date", PAIRS + "SELECT target, cand FROM p QUALIFY row_number() OVER (PARTITION BY target ORDER BY gap, pose, cand) = 1")
+def retrieval_date(spark, d):
+    return _retrieved(spark, d, "date")
+
+
+@query("retrieval_pose", PAIRS + "SELECT target, cand FROM p QUALIFY row_number() OVER (PARTITION BY target ORDER BY pose, gap, cand) = 1")
+def retrieval_pose(spark, d):
+    return _retrieved(spark, d, "pose")
+
+
+@query(
+    "retrieval_date_then_pose",
+    PAIRS + """, s AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY gap, cand) AS nth FROM p QUALIFY nth <= 5)
+SELECT target, cand FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY pose, nth) = 1""",
+)
+def retrieval_date_then_pose(spark, d):
+    return _retrieved(spark, d, "date_then_pose")
+
+
+@query(
+    "embedding_topk",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)
+SELECT q.vec_id AS query, r.vec_id AS id, round(list_dot_product(q.e, r.e), 6) AS score,
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, r.e), 6) DESC, r.vec_id) AS INTEGER) AS rank
+FROM n q JOIN n r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id
+QUALIFY rank <= 10
+""",
+)
+def embedding_topk(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return knn_cosine(rows, rows.where("id % 20 = 0"), 10)
+
+
+@query(
+    "psnr",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT a.vec_id, round(10 * log10(1 / greatest(list_sum(list_transform(list_zip(a.e, b.e), lambda p: pow((p[1] - p[2]) / 2, 2))) / len(a.e), 1e-10)), 4) AS psnr
+FROM v a JOIN v b ON b.vec_id = a.vec_id + a.vec_id % 3
+""",
+)
+def psnr(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    pairs = e.withColumn("k", F.col("vec_id") + F.col("vec_id") % 3).join(
+        e.select(F.col("vec_id").alias("k"), F.col("a").alias("b")), "k"
+    )
+    return pairs.select("vec_id", F.round(images.psnr(F.col("a"), F.col("b")), 4).alias("psnr"))
+
+
+@query("image_metrics")
+def image_metrics(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    run = images.metrics(channels=1)
+    return pairs.select("vec_id", run(F.col("embedding"), F.col("b")).alias("m")).select("vec_id", "m.*")
+
+
+def _views(spark, d) -> DataFrame:
+    cams = _cameras(spark, d)
+    return cams.withColumn("row_id", F.col("vec_id")).withColumn("file_key", F.col("vec_id").cast("string"))
+
+
+@query("near_duplicate_views")
+def near_duplicate_views(spark, d):
+    views = _views(spark, d)
+    return neardup.near_duplicate_groups(views.join(geo.scene_scale(views, ["scene_id"]), "scene_id"), 0.1, 0.5)
+
+
+@query("sampled_views")
+def sampled_views(spark, d):
+    return retrieval.draw_samples(_views(spark, d), 8)
+
+
+@query("retrieval_baselines")
+def retrieval_baselines(spark, d):
+    views = _views(spark, d).withColumn("group_id", F.col("row_id"))
+    scales = geo.scene_scale(views, ["scene_id"])
+    return retrieval.run_baselines(retrieval.draw_samples(views, 8), views, scales)
+
+
+def _shifted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A stand-in predictor: the true cameras in another frame."""
+    turn = np.array([[0.0, -1, 0, 1], [1, 0, 0, 2], [0, 0, 1, 3], [0, 0, 0, 1]])
+    out = []
+    for image in pdf["image"]:
+        rng = np.random.default_rng(int(image))
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        q *= np.sign(np.linalg.det(q))
+        m = np.eye(4)
+        m[:3, :3], m[:3, 3] = q, rng.normal(size=3)
+        moved = turn @ m
+        moved[:3, 3] = turn[:3, :3] @ (0.5 * m[:3, 3]) + turn[:3, 3]
+        out.append(moved.ravel().tolist())
+    return pdf.assign(pred=out, focal=500.0)
+
+
+def _true_pose(image: pd.Series) -> pd.Series:
+    out = []
+    for i in image:
+        rng = np.random.default_rng(int(i))
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        q *= np.sign(np.linalg.det(q))
+        m = np.eye(4)
+        m[:3, :3], m[:3, 3] = q, rng.normal(size=3)
+        out.append(m.ravel().tolist())
+    return pd.Series(out)
+
+
+@query("register_images")
+def register_images(spark, d):
+    """Every tenth view posed against the others, from predictions in another frame."""
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    pose = F.pandas_udf(_true_pose, ArrayType(DoubleType()))
+    rows = table(spark, d, "embeddings").select(
+        (F.col("vec_id") % 4).alias("scene_id"), F.col("vec_id").alias("image"), (F.col("vec_id") % 10 != 0).alias("anchor"),
+        pose("vec_id").alias("m"),
+    )
+    at = lambda i: F.col("m")[i]
+    full = rows.select(
+        "*", *[at(i).alias(c) for i, c in ((3, "cx"), (7, "cy"), (11, "cz"), (2, "dx"), (6, "dy"), (10, "dz"))]
+    )
+    scales = geo.scene_scale(full.where("anchor"), ["scene_id"])
+    known = full.where("anchor").select("scene_id", "image", F.col("m").alias("known"))
+    return posing.register(full.drop("m"), known, _shifted, scales, repeats=2)
