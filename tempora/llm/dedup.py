@@ -183,15 +183,23 @@ def drop_exact(docs: DataFrame, keep: str = "largest") -> DataFrame:
         F.max("kept").alias("kept"), F.count("*").alias("same")
     )
     copies = broadcast_if_small(
-        materialize(copies.select(F.col("text_sha256").alias("__sha"), F.col("doc_id").alias("__id"), "kept", "same"), "exact-copies")
+        materialize(
+            copies.select(
+                F.col("text_sha256").alias("__sha"),
+                F.col("doc_id").alias("__id"),
+                F.col("kept").alias("__kept"),
+                F.col("same").alias("__same"),
+            ),
+            "exact-copies",
+        )
     )
     columns = docs.columns
     marked = docs.withColumn("__text_sha", F.sha2(normalized(F.col("text")).cast("binary"), 256))
     marked = marked.join(
         copies, (F.col("__text_sha") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left"
     )
-    stays = marked.where("kept is null or (kept and same = 1)").select(*columns)
-    repeated = marked.where("kept and same > 1").groupBy("__text_sha", "__id").agg(
+    stays = marked.where("__kept is null or (__kept and __same = 1)").select(*columns)
+    repeated = marked.where("__kept and __same > 1").groupBy("__text_sha", "__id").agg(
         *[F.first(c).alias(c) for c in columns]
     )
     return stays.unionByName(repeated.select(*columns))

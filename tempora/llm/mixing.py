@@ -60,8 +60,9 @@ PIPELINE = MixTargets(weights=PRODUCTION.weights, budget_num=9, budget_den=10, m
 
 def domain_of(source: Column) -> Column:
     """The domain of a source without one of its own: its trailing number modulo 4."""
-    number = F.try_to_number(F.regexp_extract(source, "([0-9]{1,9})$", 1), F.lit("999999999"))
-    return F.concat(F.lit("d"), F.coalesce(F.pmod(number.cast("long"), F.lit(4)), F.lit(0)).cast("string"))
+    number = F.regexp_extract(source, "([0-9]{1,9})$", 1)
+    part = F.when(number != "", F.pmod(number.cast("long"), F.lit(4))).otherwise(0)
+    return F.concat(F.lit("d"), part.cast("string"))
 
 
 def leaf_columns(docs: DataFrame) -> dict[str, Column]:
