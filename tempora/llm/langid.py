@@ -38,6 +38,7 @@ DIM = 16
 #: Bound of the training and calibration samples, in texts of each language.
 PER_LANGUAGE = 400
 CALIBRATION = 200
+SALTS = 8
 EPOCHS = 6
 RATE = 40.0
 REJECT = 0.001
@@ -156,11 +157,19 @@ def learn(docs: DataFrame) -> LanguageModel:
     labelled = docs.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold() != 0)
     ).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # The first of each language, by way of the first of each of SALTS parts of it:
+    # a common language is ranked in many tasks, and the last rank sees few rows.
+    salted = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn(
+        "salt", F.pmod("h", F.lit(SALTS))
+    )
+    most = PER_LANGUAGE + CALIBRATION
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
     chosen = (
-        labelled.select("doc_id", "lang")
-        .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= PER_LANGUAGE + CALIBRATION)
+        salted.withColumn("nth", nth("lang", "salt"))
+        .where(F.col("nth") <= most)
+        .withColumn("nth", nth("lang"))
+        .where(F.col("nth") <= most)
+        .select("doc_id", "lang", "nth")
     )
     chosen = broadcast_if_small(materialize(chosen, "langid-sample"))
 
