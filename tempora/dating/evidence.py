@@ -256,23 +256,27 @@ def classify_medium(categories: Column, title: Column, object_name: Column, exif
     whole = F.array_join(F.concat(categories, F.array(title, licence, credit)), " | ", "")
     camera = (_tag(exif, "Make") != "") | (_tag(exif, "Model") != "")
 
-    def decide(t: Column) -> Column:
-        medium = reduce(
-            lambda other, rule: F.when(t.rlike("(?iU)" + rule[1]), rule[0]).otherwise(other),
-            reversed(MEDIA),
-            F.when(camera, "photo").otherwise("unknown"),
-        )
-        evidence = reduce(
-            lambda other, rule: F.when(
-                t.rlike("(?iU)" + rule[1]), F.regexp_extract(t, "(?iU)" + rule[1], 0)
-            ).otherwise(other),
+    kind = lambda medium, evidence: F.struct(F.lit(medium).alias("medium"), evidence.alias("evidence"))
+
+    def found(t: Column) -> Column:
+        """The first vocabulary that matches, and what it matched."""
+        other = F.when(camera, kind("photo", F.lit("exif camera"))).otherwise(kind("unknown", F.lit("")))
+        return reduce(
+            lambda rest, rule: F.when(
+                t.rlike("(?iU)" + rule[1]), kind(rule[0], F.regexp_extract(t, "(?iU)" + rule[1], 0))
+            ).otherwise(rest),
             reversed(MEDIA),
-            F.when(camera, "exif camera").otherwise(""),
+            other,
         )
+
+    def decide(t: Column) -> Column:
         colour = F.when(t.rlike(BLACK_AND_WHITE), "bw").when(t.rlike(COLOUR), "color").otherwise("unknown")
-        return F.struct(
-            medium.alias("medium"), evidence.alias("evidence"), colour.alias("color"),
-            whole.rlike(HISTORICAL).alias("historical_hint"),
+        return let(
+            found(t),
+            lambda k: F.struct(
+                k["medium"].alias("medium"), k["evidence"].alias("evidence"), colour.alias("color"),
+                whole.rlike(HISTORICAL).alias("historical_hint"),
+            ),
         )
 
     return let(text, decide)
