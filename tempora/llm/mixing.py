@@ -11,8 +11,8 @@ A leaf of T tokens with budget b gives b div T whole epochs and a prefix of the
 next: each epoch orders the leaf's documents by md5(seed:epoch:doc_id), and the
 prefix is the documents that begin before the rest of the budget is used up.
 The prefix becomes one cut-off key per leaf, found without sorting a leaf: token
-sums by the first three hex digits of the key, then by key inside the one bucket
-where the budget ends. Applying it is a filter on the document itself.
+sums by the first two hex digits of the key, by the first four inside the bucket
+where the budget ends, and by key inside that one. Applying it is a filter on the document itself.
 
 DataFrame functions only. A leaf may hold any share of the rows.
 
@@ -33,6 +33,8 @@ from tempora.functions.strings import word_count
 from tempora.plans.materialize import broadcast_if_small, materialize
 
 LEVELS = ("domain", "lang", "source")
+#: Hex digits of the key that narrow down where a budget ends; 256 sums a leaf each time.
+PREFIXES = (2, 4)
 NONE = "(none)"
 
 
@@ -149,17 +151,27 @@ def plan_leaves(units: DataFrame, targets: MixTargets) -> DataFrame:
     keyed = units.join(broadcast_if_small(ends), list(LEVELS)).select(
         *LEVELS, "rest", "n_tokens", epoch_key(targets.seed, F.col("full_epochs")).alias("key")
     )
-    keyed = materialize(keyed, "mix-keys").withColumn("bucket", F.substring("key", 1, 3))
-    sums = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
+    keyed = materialize(keyed, "mix-keys")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn(
-        "begin", F.coalesce(F.sum("n").over(before.partitionBy(*LEVELS).orderBy("bucket")), F.lit(0))
-    )
-    last = materialize(
-        sums.where("begin < rest and begin + n >= rest").select(*LEVELS, "bucket", "begin"), "mix-buckets"
-    )
+    where = ends.select(*LEVELS, "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("begin"))
+    for digits in PREFIXES:
+        # Token sums by a longer prefix of the key, inside the one where the budget ends.
+        known = broadcast_if_small(where.select(*LEVELS, "prefix", "begin"))
+        sums = (
+            keyed.withColumn("prefix", F.substring("key", 1, digits - PREFIXES[0]))
+            .join(known, [*LEVELS, "prefix"])
+            .groupBy(*LEVELS, F.substring("key", 1, digits).alias("next"))
+            .agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.first("begin").alias("begin"))
+        )
+        order = before.partitionBy(*LEVELS).orderBy("next")
+        sums = sums.withColumn("begin", F.col("begin") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+        where = materialize(
+            sums.where("begin < rest and begin + n >= rest").select(*LEVELS, "rest", F.col("next").alias("prefix"), "begin"),
+            "mix-buckets",
+        )
     inside = (
-        keyed.join(broadcast_if_small(last), [*LEVELS, "bucket"])
+        keyed.withColumn("prefix", F.substring("key", 1, PREFIXES[-1]))
+        .join(broadcast_if_small(where.select(*LEVELS, "prefix", "begin")), [*LEVELS, "prefix"])
         .groupBy(*LEVELS, "key")
         .agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.first("begin").alias("begin"))
     )
