@@ -29,3 +29,12 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of rows that go to Python at once, on top of the limit on their number.
+BATCH_BYTES = 8 << 20
+
+
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by size, so that long texts do not add up to large ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
