@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.plans.materialize import broadcast_if_small, materialize
+from tempora.session import bound_arrow_batches
 
 FOLDS = 5
 BUCKETS = 1 << 15
 DIM = 16
 #: Bound of the training and calibration samples, in texts of each language.
-PER_LANGUAGE = 400
-CALIBRATION = 200
+PER_LANGUAGE = 300
+CALIBRATION = 150
 SALTS = 8
 EPOCHS = 6
 RATE = 40.0
@@ -154,6 +155,7 @@ def _fold() -> F.Column:
 
 def learn(docs: DataFrame) -> LanguageModel:
     """Fit on the bounded sample of labelled rows that may be learned from."""
+    bound_arrow_batches(docs.sparkSession)
     labelled = docs.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold() != 0)
     ).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
@@ -193,10 +195,11 @@ def learn(docs: DataFrame) -> LanguageModel:
     langs = sorted(rows["lang"].unique())
     y = rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
     samples = [
-        (np.asarray(b, np.int64), np.asarray(f, np.float32))
+        (np.asarray(b, np.int32), np.asarray(f, np.float32))
         for b, f in zip(rows["bucket"], rows["freq"], strict=True)
     ]
     fit = rows["nth"].to_numpy() <= PER_LANGUAGE
+    del rows
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     model = train([s for s, f in zip(samples, fit, strict=True) if f], y[fit], langs)
@@ -205,6 +208,7 @@ def learn(docs: DataFrame) -> LanguageModel:
 
 def predictor(spark: SparkSession, model: LanguageModel):
     """A column function: text -> struct(lang_pred, score, rejected)."""
+    bound_arrow_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tempora.session import bound_arrow_batches
+
 CAPACITY = 4096
 END_ID = 2
 #: A tail of this many tokens or fewer is not cut again.
@@ -208,4 +210,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
         packer.finish()
         yield packer.take()
 
+    bound_arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.session import bound_arrow_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -235,4 +237,5 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
                 [c.split()[0] for c in SCHEMA.split(", ")],
             )
 
+    bound_arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

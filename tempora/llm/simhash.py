@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators.components import connected_components
 from tempora.plans.materialize import broadcast_if_small, materialize
+from tempora.session import bound_arrow_batches
 
 SHINGLE = 4
 RADIUS = 4
@@ -80,6 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"]
             )
 
+    bound_arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, fp long"
     )

@@ -32,6 +32,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.session import bound_arrow_batches
+
 MARK = "▁"
 KEEP_CHARS = 48
 REMEMBERED = 500_000
@@ -128,4 +130,5 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 [c.split()[0] for c in SCHEMA.split(", ")],
             )
 
+    bound_arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

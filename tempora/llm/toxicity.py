@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.plans.materialize import broadcast_if_small, materialize
+from tempora.session import bound_arrow_batches
 
 #: Bound of the training sample, in labelled documents.
 MAX_TRAIN = 12_000
@@ -215,6 +216,7 @@ def fit_chain(words: list[bytes], x: Rows, labels: np.ndarray, fold: np.ndarray)
 
 def learn(docs: DataFrame, labels: DataFrame, categories=CHAIN) -> Chain:
     """Fit the chain on the bounded sample of labelled documents."""
+    bound_arrow_batches(docs.sparkSession)
     names = [c for c, _ in categories]
     wanted = labels.where("doc_id is not null").select(
         F.col("doc_id").cast("long"),
@@ -282,6 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CHAIN) -> Chain:
 def predict(docs: DataFrame, chain: Chain, categories=CHAIN) -> DataFrame:
     """doc_id, p_<category> and <category> (at the threshold) of every document."""
     names = [c for c, _ in categories]
+    bound_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     schema = "doc_id long, " + ", ".join(f"p_{c} double, {c} boolean" for c in names)
     columns = [c.split()[0] for c in schema.split(", ")]
