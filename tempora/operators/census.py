@@ -215,16 +215,16 @@ def compare_size(iw: Column, ih: Column, cw: Column, ch: Column, tol: float = 0.
 def old_vs_modern(cameras: DataFrame, old_before=1950, modern_from=2000) -> DataFrame:
     """Where old cameras stand against the 5th to 95th percentile shell of the modern ones."""
     modern, old = cameras.where(F.col("year") >= modern_from), cameras.where(F.col("year") < old_before)
-    middle = modern.agg(*[F.median(c).alias(f"m{c}") for c in "xyz"])
-    radius = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"))
-    one = lambda df, row: df.withColumn("one", F.lit(1)).join(  # noqa: E731  a single row
-        F.broadcast(row.withColumn("one", F.lit(1))), "one"
-    ).drop("one")
-    shell = one(modern, middle).agg(F.percentile(radius, F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
-    placed = one(one(old, middle), shell).withColumn("r", radius)
+    # Five numbers come back: the median centre of the modern cameras and their shell.
+    middle = modern.agg(*[F.median(c).alias(c) for c in "xyz"]).first()
+    apart = lambda c: F.col(c) - F.lit(middle[c]).cast("double")
+    radius = F.sqrt(sum(apart(c) * apart(c) for c in "xyz"))
+    shell = modern.agg(F.percentile(radius, F.array(F.lit(0.05), F.lit(0.95))).alias("p")).first().p or [None, None]
+    low, high = (F.lit(v).cast("double") for v in shell)
+    placed = old.withColumn("r", radius)
     return placed.agg(
         F.count("*").alias("n_old"),
-        F.count_if(F.col("r").between(F.col("p")[0], F.col("p")[1])).alias("inside"),
-        F.count_if(F.col("r") > F.col("p")[1]).alias("too_far"),
-        F.count_if(F.col("r") < F.col("p")[0]).alias("too_close"),
+        F.count_if(F.col("r").between(low, high)).alias("inside"),
+        F.count_if(F.col("r") > high).alias("too_far"),
+        F.count_if(F.col("r") < low).alias("too_close"),
     )
