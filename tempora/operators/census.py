@@ -176,7 +176,7 @@ def views_table(poses: DataFrame, dates: DataFrame, meta: DataFrame, model: int,
         )
         .withColumn("era", assign_era(F.col("date_mid"), F.col("date_width")))
         .withColumnsRenamed({"width": "camera_width", "height": "camera_height"})
-        .withColumn("pose_source", F.lit("megascenes_colmap"))
+        .withColumn("pose_source", F.lit("colmap"))
     )
 
 
