@@ -28,59 +28,74 @@ def mean_rotation(rs: np.ndarray) -> np.ndarray:
     return u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
 
 
-def similarity(src: np.ndarray, dst: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Least-squares scale, rotation and translation from src to dst (Umeyama 1991)."""
-    ms, md = src.mean(axis=0), dst.mean(axis=0)
+def similarity(src: np.ndarray, dst: np.ndarray):
+    """Least-squares scale, rotation and translation (Umeyama 1991); leading axes are a batch."""
+    ms, md = src.mean(axis=-2, keepdims=True), dst.mean(axis=-2, keepdims=True)
     s, d = src - ms, dst - md
-    u, values, vt = np.linalg.svd(d.T @ s / len(src))
-    signs = np.array([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt)) or 1.0])
-    r = (u * signs) @ vt
-    spread = (s * s).sum() / len(src)
-    scale = float((values * signs).sum() / spread) if spread > 0 else 1.0
-    return scale, r, md - scale * r @ ms
+    u, values, vt = np.linalg.svd(np.swapaxes(d, -1, -2) @ s)
+    signs = np.ones_like(values)
+    signs[..., 2] = np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)
+    r = (u * signs[..., None, :]) @ vt
+    spread = (s * s).sum(axis=(-1, -2))
+    scale = np.where(spread > 0, (values * signs).sum(axis=-1) / np.where(spread > 0, spread, 1.0), 1.0)
+    t = md[..., 0, :] - scale[..., None] * (r @ ms[..., 0, :, None])[..., 0]
+    return scale, r, t
 
 
-def _size(points: np.ndarray) -> float:
-    return float(np.median(np.linalg.norm(points - points.mean(axis=0), axis=1))) or 1.0
+def _limit(points: np.ndarray, share: float) -> float:
+    """A distance as a share of the median distance to the centroid."""
+    return share * (float(np.median(np.linalg.norm(points - points.mean(axis=0), axis=1))) or 1.0)
+
+
+def _draw(ids: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
+    """rounds x k members of ids, distinct in each row."""
+    return ids[np.argsort(rng.random((rounds, len(ids))), axis=1)[:, :k]]
 
 
 def robust_similarity(src, dst, rng, rounds: int = 500, threshold: float = 0.05):
-    """similarity() over the largest set of anchors within threshold scene sizes."""
+    """similarity() over the largest set of anchors that one triple agrees with.
+
+    All triples are fitted, and all anchors measured against them, in one batch.
+    """
     if len(src) < 3:
         raise ValueError("at least three anchors are needed")
-    limit, best = threshold * _size(dst), np.zeros(len(src), bool)
-    for _ in range(rounds):
-        pick = rng.choice(len(src), 3, replace=False)
-        scale, r, t = similarity(src[pick], dst[pick])
-        inside = np.linalg.norm(scale * src @ r.T + t - dst, axis=1) < limit
-        if inside.sum() > best.sum():
-            best = inside
-    chosen = best if best.sum() >= 3 else np.ones(len(src), bool)
+    triples = _draw(np.arange(len(src)), 3, rounds, rng)
+    scale, r, t = similarity(src[triples], dst[triples])
+    moved = scale[:, None, None] * (src @ np.swapaxes(r, -1, -2)) + t[:, None]
+    inside = np.linalg.norm(moved - dst, axis=-1) < _limit(dst, threshold)
+    best = inside[inside.sum(axis=1).argmax()]
+    chosen = best if best.sum() >= 3 else slice(None)
     return similarity(src[chosen], dst[chosen]), best
 
 
 def rotation_first(pred: np.ndarray, target: np.ndarray, rng, degrees=10.0, threshold=0.15, rounds=300):
-    """Rotation by the largest agreeing set, then scale and translation from pairs."""
-    implied = target[:, :3, :3] @ pred[:, :3, :3].transpose(0, 2, 1)
-    agree = rotation_angle(implied[:, None], implied[None]) < degrees
-    turned = agree[agree.sum(axis=1).argmax()]
+    """Rotation by the largest set of anchors that agree on it, then scale and translation.
+
+    Orientations are predicted better than positions. With the rotation fixed,
+    any two anchors give a scale and a translation; the pair that most of the
+    agreeing anchors are close to is kept and refitted on them.
+    """
+    implied = np.einsum("nij,nkj->nik", target[:, :3, :3], pred[:, :3, :3])
+    near = rotation_angle(implied[:, None], implied[None]) < degrees
+    turned = near[near.sum(axis=1).argmax()]
     r = mean_rotation(implied[turned])
-    src, dst = pred[:, :3, 3] @ r.T, target[:, :3, 3]
-    limit, ids, best = threshold * _size(dst), np.flatnonzero(turned), np.zeros(len(src), bool)
-
-    def fit(i):
-        s, d = src[i] - src[i].mean(axis=0), dst[i] - dst[i].mean(axis=0)
-        scale = float((s * d).sum() / max((s * s).sum(), 1e-12))
-        return scale, dst[i].mean(axis=0) - scale * src[i].mean(axis=0)
-
-    for _ in range(rounds if len(ids) >= 2 else 0):
-        scale, t = fit(rng.choice(ids, 2, replace=False))
-        inside = turned & (np.linalg.norm(scale * src + t - dst, axis=1) < limit)
-        if scale > 0 and inside.sum() > best.sum():
-            best = inside
-    chosen = np.flatnonzero(best) if best.sum() >= 2 else ids
-    scale, t = fit(chosen) if len(chosen) >= 2 else (1.0, np.zeros(3))
-    return (max(scale, 1e-12), r, t), best
+    src, dst, ids = pred[:, :3, 3] @ r.T, target[:, :3, 3], np.flatnonzero(turned)
+    best = np.zeros(len(src), bool)
+    if len(ids) >= 2:
+        pair = _draw(ids, 2, rounds, rng)
+        ds, dd = src[pair[:, 1]] - src[pair[:, 0]], dst[pair[:, 1]] - dst[pair[:, 0]]
+        scale = (ds * dd).sum(axis=1) / np.maximum((ds * ds).sum(axis=1), 1e-12)
+        t = dst[pair].mean(axis=1) - scale[:, None] * src[pair].mean(axis=1)
+        off = np.linalg.norm(scale[:, None, None] * src + t[:, None] - dst, axis=-1)
+        inside = turned & (off < _limit(dst, threshold)) & (scale > 0)[:, None]
+        best = inside[inside.sum(axis=1).argmax()]
+    kept = np.flatnonzero(best) if best.sum() >= 2 else ids
+    if len(kept) < 2:
+        return (1.0, r, np.zeros(3)), best
+    ms, md = src[kept].mean(axis=0), dst[kept].mean(axis=0)
+    s, d = src[kept] - ms, dst[kept] - md
+    scale = max(float((s * d).sum() / max((s * s).sum(), 1e-12)), 1e-12)
+    return (scale, r, md - scale * ms), best
 
 
 def spread_sample(features: np.ndarray, k: int, rng) -> np.ndarray:
