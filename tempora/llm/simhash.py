@@ -1,12 +1,12 @@
 """Near-duplicates by SimHash and tiled exact comparison.
 
 Each text becomes a 64-bit fingerprint of its 4-word shingles. The distinct
-fingerprints are dealt by hash into blocks of bounded size, and every pair of
-blocks becomes one group of work. A group sorts its fingerprints by the
-population counts of their four quarters, cuts them into tiles and compares
-tiles by exclusive-or and bit count, skipping tile pairs whose population
-counts differ, over the quarters together, by more than the radius: such
-fingerprints cannot be within it. A group returns the edges of a spanning
+fingerprints are dealt into blocks of bounded size by population count, and each
+pair of blocks whose counts differ by no more than the radius becomes one group
+of work. A group sorts its fingerprints by the population counts of their four
+quarters, cuts them into tiles and compares tiles by exclusive-or and bit count,
+skipping tile pairs whose population counts differ, over the quarters together,
+by more than the radius: such fingerprints cannot be within it. A group returns the edges of a spanning
 forest of its links, not the pairs, so thousands of copies within the radius
 cost thousands of rows. Components join the forests.
 
@@ -41,7 +41,6 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints in a block at most, on average; a group holds two blocks.
 BLOCK = 65_536
-MIN_BLOCKS = 6
 TILE = 256
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -156,16 +155,37 @@ def link_group(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"u": signed[u], "v": signed[v]})
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints that join all within the radius."""
-    blocks = max(MIN_BLOCKS, math.ceil(n / block))
-    own = F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")
-    dealt = distinct.select("fp", own.alias("own")).select(
-        "fp", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+def class_blocks(distinct: DataFrame, block: int) -> list[int]:
+    """First block number of each population count 0 to 64, and the number of blocks.
+
+    A class of more than `block` fingerprints has several blocks. 65 counts at
+    most come to the driver.
+    """
+    counts = {r["p"]: r["n"] for r in distinct.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}
+    first = [0]
+    for p in range(65):
+        first.append(first[-1] + max(1, math.ceil(counts.get(p, 0) / block)))
+    return first
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints that join all within the radius.
+
+    Blocks are numbered by population count, so a fingerprint goes only to the
+    run of blocks whose counts differ from its own by no more than the radius.
+    """
+    first = class_blocks(distinct, block)
+    at = F.array(*[F.lit(v) for v in first])
+    own = F.get(at, F.col("p")) + F.pmod(
+        F.xxhash64("fp"), F.get(at, F.col("p") + 1) - F.get(at, F.col("p"))
+    ).cast("int")
+    low, high = F.greatest(F.lit(0), F.col("p") - radius), F.least(F.lit(64), F.col("p") + radius)
+    dealt = distinct.select("fp", F.bit_count("fp").alias("p")).select(
+        "fp", own.alias("own"), F.explode(F.sequence(F.get(at, low), F.get(at, high + 1) - 1)).alias("other")
     )
     dealt = dealt.select(
         "fp",
-        (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"),
+        (F.least("own", "other").cast("long") * first[-1] + F.greatest("own", "other")).alias("pair"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
         (F.col("own") == F.col("other")).alias("self"),
     )
@@ -176,7 +196,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = materialize(fingerprints(docs), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    edges = materialize(links(distinct, distinct.count(), radius, block), "simhash-links")
+    edges = materialize(links(distinct, radius, block), "simhash-links")
     label = connected_components(edges).select(F.col("node").alias("fp"), "component")
     rooted = distinct.join(label, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
