@@ -66,7 +66,12 @@ def _cases(n: int, *cases: tuple) -> str:
     )
     cols = ("lo", "hi", "precision", "confidence", "flags")
     return ", ".join(
-        (f"round(CASE o_orderkey % {n} {pick(i)} END, 6)" if i < 2 else f"CASE o_orderkey % {n} {pick(i)} END") + f" AS {c}"
+        (
+            f"round(CAST(CASE o_orderkey % {n} {pick(i)} END AS DOUBLE), 6)"
+            if i in (0, 1, 3)
+            else f"CASE o_orderkey % {n} {pick(i)} END"
+        )
+        + f" AS {c}"
         for i, c in enumerate(cols)
     )
 
@@ -257,8 +262,8 @@ def _meta(spark, d) -> DataFrame:
 SELECT o_orderkey AS file_key,
   round(CASE o_orderkey % 5 WHEN 0 THEN {Y} - 80 WHEN 1 THEN {Y} - 61 WHEN 2 THEN {Y} - 70 WHEN 3 THEN {DAY_LO} END, 6) AS lo,
   round(CASE o_orderkey % 5 WHEN 0 THEN {Y} - 79 WHEN 1 THEN {Y} - 60 WHEN 2 THEN {Y} - 69 WHEN 3 THEN {DAY_HI} END, 6) AS hi,
-  CASE o_orderkey % 5 WHEN 0 THEN 0.85 WHEN 1 THEN 0.825 WHEN 2 THEN 0.75
-    WHEN 3 THEN CASE WHEN month({DAY}) = 1 AND day({DAY}) = 1 THEN 0.85 ELSE 0.95 END ELSE 0.0 END AS confidence,
+  CAST(CASE o_orderkey % 5 WHEN 0 THEN 0.85 WHEN 1 THEN 0.825 WHEN 2 THEN 0.75
+    WHEN 3 THEN CASE WHEN month({DAY}) = 1 AND day({DAY}) = 1 THEN 0.85 ELSE 0.95 END ELSE 0.0 END AS DOUBLE) AS confidence,
   CASE o_orderkey % 5 WHEN 0 THEN 'qs' WHEN 1 THEN 'date_text' WHEN 2 THEN 'category'
     WHEN 3 THEN CASE WHEN month({DAY}) = 1 AND day({DAY}) = 1 THEN 'date_text' ELSE 'exif' END END AS source,
   CASE o_orderkey % 5 WHEN 1 THEN 'narrowed_by:category'
@@ -338,7 +343,7 @@ def _legacy(spark, d) -> DataFrame:
     )
 
 
-@query("legacy_year_parse", LEGACY + "SELECT o_orderkey, s AS date_start, t AS date_end, c AS date_conf FROM e")
+@query("legacy_year_parse", LEGACY + "SELECT o_orderkey, s AS date_start, t AS date_end, CAST(c AS DOUBLE) AS date_conf FROM e")
 def legacy_year_parse(spark, d):
     return _legacy(spark, d).drop("title")
 
@@ -391,7 +396,7 @@ def legacy_best_estimate(spark, d):
 @query(
     "interval_algebra",
     f"""
-WITH t AS (SELECT o_orderkey, CAST({Y} AS DOUBLE) AS a_lo, {Y} + 3.0 AS a_hi, 1990 + o_orderkey % 11 + 0.5 AS b_lo, 1992 + o_orderkey % 11 + 0.0 AS b_hi FROM orders)
+WITH t AS (SELECT o_orderkey, CAST({Y} AS DOUBLE) AS a_lo, CAST({Y} + 3 AS DOUBLE) AS a_hi, CAST(1990.5 + o_orderkey % 11 AS DOUBLE) AS b_lo, CAST(1992 + o_orderkey % 11 AS DOUBLE) AS b_hi FROM orders)
 SELECT o_orderkey, a_lo < b_hi AND b_lo < a_hi AS overlaps,
   CASE WHEN greatest(a_lo, b_lo) < least(a_hi, b_hi) THEN greatest(a_lo, b_lo) END AS lo,
   CASE WHEN greatest(a_lo, b_lo) < least(a_hi, b_hi) THEN least(a_hi, b_hi) END AS hi,
