@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.functions.strings import lower_ascii
+from tempora.plans.bitmap import split
 from tempora.plans.materialize import broadcast_if_small, materialize, new_path
 
 #: Level-0 runs that a compaction waits for.
@@ -142,9 +143,10 @@ def _unequal(docs: DataFrame, hits: DataFrame, key_chars: int) -> DataFrame | No
     texts = docs.select(norm.alias("norm")).withColumn(
         "digest", _key(F.sha2(F.col("norm").cast("binary"), 256), key_chars)
     )
-    wanted = broadcast_if_small(hits.select("digest"))
+    wanted = hits.select("digest")
+    texts, _ = split(texts, "digest", wanted)
     spread = (
-        texts.join(wanted, "digest", "left_semi")
+        texts.join(broadcast_if_small(wanted), "digest", "left_semi")
         .groupBy("digest")
         .agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
         .where("low != high")
@@ -175,31 +177,32 @@ def drop_exact(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents that stay, with all their columns.
 
     Dropped rows are named by (doc_id, digest) in a table of the copies alone, so
-    that most texts are filtered where they lie. Rows repeated with the same
+    that most texts are filtered where they lie: by a broadcast of that table, or
+    beyond its bound by a bitmap of the digests that spares all others the shuffle. Rows repeated with the same
     doc_id and text are told apart afterwards, one of them stays.
     """
     groups = materialize(exact_groups(docs, keep), "exact-groups")
     copies = groups.where("group_size > 1").groupBy("text_sha256", "doc_id").agg(
         F.max("kept").alias("kept"), F.count("*").alias("same")
     )
-    copies = broadcast_if_small(
-        materialize(
-            copies.select(
-                F.col("text_sha256").alias("__sha"),
-                F.col("doc_id").alias("__id"),
-                F.col("kept").alias("__kept"),
-                F.col("same").alias("__same"),
-            ),
-            "exact-copies",
-        )
+    copies = materialize(
+        copies.select(
+            F.col("text_sha256").alias("__sha"),
+            F.col("doc_id").alias("__id"),
+            F.col("kept").alias("__kept"),
+            F.col("same").alias("__same"),
+        ),
+        "exact-copies",
     )
     columns = docs.columns
     marked = docs.withColumn("__text_sha", F.sha2(normalized(F.col("text")).cast("binary"), 256))
+    marked, single = split(marked, "__text_sha", copies.select(F.col("__sha").alias("__text_sha")))
     marked = marked.join(
-        copies, (F.col("__text_sha") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left"
+        broadcast_if_small(copies), (F.col("__text_sha") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left"
     )
     stays = marked.where("__kept is null or (__kept and __same = 1)").select(*columns)
     repeated = marked.where("__kept and __same > 1").groupBy("__text_sha", "__id").agg(
         *[F.first(c).alias(c) for c in columns]
     )
-    return stays.unionByName(repeated.select(*columns))
+    out = stays.unionByName(repeated.select(*columns))
+    return out if single is None else out.unionByName(single.select(*columns))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.operators.components import connected_components
+from tempora.plans.bitmap import split
 from tempora.plans.materialize import broadcast_if_small, materialize
 from tempora.session import bound_arrow_batches
 
@@ -208,6 +209,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
 
 def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents that stay: the smallest doc_id of each component, all columns."""
-    gone = near_groups(docs, radius).where("doc_id != component_id").select("doc_id").distinct()
-    gone = broadcast_if_small(materialize(gone, "simhash-dropped"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = near_groups(docs, radius).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
+    gone = materialize(gone, "simhash-dropped")
+    some, kept = split(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", gone)
+    out = some.join(broadcast_if_small(gone), "__id", "left_anti").select(*docs.columns)
+    return out if kept is None else out.unionByName(kept.select(*docs.columns))

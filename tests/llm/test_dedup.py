@@ -71,3 +71,12 @@ def test_index_over_batches(spark, odd):
     assert index.maybe_compact()
     level = {r.n: r.who.doc_id for r in index.compact().collect()}
     assert level[4] == 1
+
+
+def test_bitmap_path_gives_the_same(odd, monkeypatch):
+    import functools
+
+    want = sorted(map(repr, dedup.drop_exact(odd).collect()))
+    monkeypatch.setattr(dedup, "split", functools.partial(dedup.split, bound=0))
+    assert sorted(map(repr, dedup.drop_exact(odd).collect())) == want
+    check(odd, "largest", key_chars=1)

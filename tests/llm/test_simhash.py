@@ -92,3 +92,11 @@ def test_stage(odd):
     ids = [r.doc_id for r in out.collect()]
     assert out.columns == odd.columns
     assert 1 in ids and 2 not in ids and 3 in ids and 4 not in ids and ids.count(None) == 2
+
+
+def test_bitmap_path_gives_the_same(odd, monkeypatch):
+    import functools
+
+    want = sorted(map(repr, simhash.drop_near(odd).collect()))
+    monkeypatch.setattr(simhash, "split", functools.partial(simhash.split, bound=0))
+    assert sorted(map(repr, simhash.drop_near(odd).collect())) == want
