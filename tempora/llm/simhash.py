@@ -42,6 +42,8 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints in a block at most, on average; a group holds two blocks.
 BLOCK = 65_536
+#: Blocks are at most this part of all fingerprints, so that few of them still make many groups.
+PARTS = 16
 TILE = 256
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -159,10 +161,11 @@ def link_group(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
 def class_blocks(distinct: DataFrame, block: int) -> list[int]:
     """First block number of each population count 0 to 64, and the number of blocks.
 
-    A class of more than `block` fingerprints has several blocks. 65 counts at
-    most come to the driver.
+    A class of more than `block` fingerprints, or more than one in PARTS of all,
+    has several blocks. 65 counts at most come to the driver.
     """
     counts = {r["p"]: r["n"] for r in distinct.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}
+    block = min(block, max(1, math.ceil(sum(counts.values()) / PARTS)))
     first = [0]
     for p in range(65):
         first.append(first[-1] + max(1, math.ceil(counts.get(p, 0) / block)))
