@@ -20,6 +20,10 @@ from tempora.llm.queries import tokenizer_file
 from tempora.plans.materialize import materialize
 
 
+#: Workers that have run other stages before have less memory to spare for words.
+PACKING_WORDS = 200_000
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.drop_rejected(docs)
 
@@ -37,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), remembered=PACKING_WORDS)
 
 
 STAGES = [

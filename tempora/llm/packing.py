@@ -81,7 +81,8 @@ _WORDS = re.compile(
 class WordTokens:
     """ids(texts) by a tokenizer file, remembering the ids of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -104,7 +105,7 @@ class WordTokens:
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if _NOT_SIMPLE.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         known = self.known
         if new := list(set().union(*filter(None, split)).difference(known)):
@@ -128,9 +129,9 @@ class WordTokens:
 
 
 @functools.lru_cache(maxsize=2)
-def worker_tokens(path: str) -> WordTokens:
+def worker_tokens(path: str, remembered: int) -> WordTokens:
     """One store for all tasks of a Python worker."""
-    return WordTokens(path)
+    return WordTokens(path, remembered)
 
 
 def cuts(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[tuple[int, int]]:
@@ -195,11 +196,16 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: where it lies in its document and in its sequence."""
+def pack(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED
+) -> DataFrame:
+    """One row per piece: where it lies in its document and in its sequence.
+
+    remembered bounds a worker's store of words; a smaller one costs time, no result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = worker_tokens(tokenizer_path)
+        tokens = worker_tokens(tokenizer_path, remembered)
         packer = Packer(TaskContext.get().partitionId() << 36, capacity)
         end = np.array([END_ID], "<u4")
         for batch in batches:
