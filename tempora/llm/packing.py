@@ -50,19 +50,22 @@ SCHEMA = (
     "sequence_id long, offset long"
 )
 
+_SPANS = (
+    range(0x21, 0x7F),
+    range(0xA1, 0x130),
+    range(0x131, 0x250),
+    range(0x2010, 0x2028),
+    range(0x2030, 0x205F),
+    range(0x20AC, 0x20AD),
+)
 #: Characters whose words need no more of the tokenizer than lower-casing: no
-#: composition, one lower case each, and only tab, line feed, return and space as blanks.
+#: composition, one lower case each that is of these characters too, and only tab,
+#: line feed, return and space as blanks.
 _SIMPLE = [
     chr(c)
-    for span in (
-        range(0x21, 0x7F),
-        range(0xA1, 0x130),
-        range(0x131, 0x250),
-        range(0x2010, 0x2028),
-        range(0x2030, 0x205F),
-        (0x20AC,),
-    )
+    for span in _SPANS
     for c in span
+    if len(chr(c).lower()) == 1 and any(ord(chr(c).lower()) in s for s in _SPANS)
 ]
 
 

@@ -83,3 +83,14 @@ def test_store_is_bounded(monkeypatch):
     for i in range(5):
         list(words.ids([f"alpha{i} beta{i} gamma{i} delta{i}"]))
     assert len(words.known) <= 16
+
+
+def test_every_simple_character_beside_others():
+    """Capitals whose lower case lies in another block, such as the schwa, are tokenized whole."""
+    tokenizer = Tokenizer.from_file(PATH)
+    words = packing.WordTokens(PATH)
+    around = [chr(c) for span in packing._SPANS for c in span]
+    texts = [f"{c}a {a}{c} {c}1{c}.{c} x{c}" for c in around for a in ("z", "<", "'", "É")]
+    texts += ["Əliyev Ɔkɔ Ɛfa ȺȾ", "a\u0301 b\x85c\xa0d\x1ce", "<|endoftext|> it's"]
+    for text, ids in zip(texts, words.ids(texts), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
