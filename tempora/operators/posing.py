@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.plans.materialize import materialize
+
 
 def rotation_angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Degrees between rotations."""
@@ -134,32 +136,35 @@ def plan_batches(pdf: pd.DataFrame, queries=8, anchors=24, repeats=3, seed=0) ->
 
 
 def align_batch(pdf: pd.DataFrame, min_inliers=6, method="rotation_first", threshold=0.15, seed=0) -> pd.DataFrame:
-    """The queries of one batch in the anchors' frame; no rows if too few anchors agree.
+    """The queries of one batch in the anchors' frame, each with the batch's diagnostics.
 
+    If too few anchors agree, `used` is false and the poses are null.
     pdf: scene_id, batch, image, anchor, pred (16), focal, known (16, of anchors).
     """
-    columns = ["scene_id", "batch", "image", "c2w", "focal", "n_inliers"]
     pdf = pdf.sort_values(["anchor", "image"])
     pred = np.array(pdf["pred"].tolist(), float).reshape(-1, 4, 4)
     a = pdf["anchor"].to_numpy(bool)
-    if a.sum() < 3:
-        return pd.DataFrame([], columns=columns)
     known = np.array(pdf.loc[a, "known"].tolist(), float).reshape(-1, 4, 4)
     rng = np.random.default_rng((seed, int(pdf["batch"].iloc[0])))
-    if method == "rotation_first":
-        (scale, r, t), inside = rotation_first(pred[a], known, rng, threshold=threshold)
-    else:
-        (scale, r, t), inside = robust_similarity(pred[a][:, :3, 3], known[:, :3, 3], rng, threshold=threshold)
-    if inside.sum() < min_inliers:
-        return pd.DataFrame([], columns=columns)
-    moved = pred[~a].copy()
-    moved[:, :3, :3] = r @ pred[~a][:, :3, :3]
-    moved[:, :3, 3] = scale * pred[~a][:, :3, 3] @ r.T + t
+    inside, moved, off = np.zeros(len(known), bool), None, None
+    if a.sum() >= (1 if method == "rotation_first" else 3):
+        if method == "rotation_first":
+            (scale, r, t), inside = rotation_first(pred[a], known, rng, threshold=threshold)
+        else:
+            (scale, r, t), inside = robust_similarity(pred[a][:, :3, 3], known[:, :3, 3], rng, threshold=threshold)
+        moved = pred[~a].copy()
+        moved[:, :3, :3] = r @ pred[~a][:, :3, :3]
+        moved[:, :3, 3] = scale * pred[~a][:, :3, 3] @ r.T + t
+        if inside.any():
+            off = float(np.median(rotation_angle(r @ pred[a][inside, :3, :3], known[inside, :3, :3])))
+    used = moved is not None and bool(inside.sum() >= min_inliers)
     q = pdf[~a]
     return pd.DataFrame(
         {
             "scene_id": q["scene_id"], "batch": q["batch"], "image": q["image"],
-            "c2w": [m.ravel().tolist() for m in moved], "focal": q["focal"], "n_inliers": int(inside.sum()),
+            "c2w": [m.ravel().tolist() for m in moved] if used else None, "focal": q["focal"] if used else None,
+            "n_queries": len(q), "n_anchors": int(a.sum()), "n_inliers": int(inside.sum()),
+            "anchor_rot_err_median": off, "used": used,
         }
     )
 
@@ -182,10 +187,17 @@ def merge_query(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+#: Columns of the batch log beside scene_id and batch.
+LOG = ["n_queries", "n_anchors", "n_inliers", "anchor_rot_err_median", "used"]
+
+
 def register(
     images: DataFrame, known: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], scales: DataFrame, **plan
-) -> DataFrame:
-    """Poses of the images that are no anchors.
+) -> tuple[DataFrame, DataFrame]:
+    """Poses of the images that are no anchors, and the log of the batches.
+
+    Every such image has one row; one that no batch placed has null poses and
+    n_batches 0. The log has one row per batch; a scene without anchors has none.
 
     images: scene_id, image, anchor, cx..dz; known: scene_id, image, known (16);
     predict: rows of one batch -> the same rows with pred (16) and focal;
@@ -200,14 +212,28 @@ def register(
     aligned = (
         posed.join(known, ["scene_id", "image"], "left")
         .groupBy("scene_id", "batch")
-        .applyInPandas(lambda pdf: align_batch(pdf), "scene_id long, batch int, image long, c2w array<double>, focal double, n_inliers int")
+        .applyInPandas(
+            lambda pdf: align_batch(pdf),
+            "scene_id long, batch int, image long, c2w array<double>, focal double, n_queries int, n_anchors int, "
+            "n_inliers int, anchor_rot_err_median double, used boolean",
+        )
     )
-    merged = aligned.groupBy("scene_id", "image").applyInPandas(
+    # Written once: both results read it, and predictions are dear.
+    aligned = materialize(aligned, "aligned")
+    merged = aligned.where("used").groupBy("scene_id", "image").applyInPandas(
         merge_query,
         "scene_id long, image long, c2w array<double>, focal double, n_batches int, "
         "rot_spread_deg double, center_spread double",
     )
-    return merged.join(scales, "scene_id").withColumn("center_spread", F.col("center_spread") / F.col("scale")).drop("scale")
+    asked = images.where(~F.col("anchor")).select(F.col("scene_id").cast("long"), F.col("image").cast("long"))
+    placed = (
+        asked.join(merged, ["scene_id", "image"], "left")
+        .join(scales, "scene_id", "left")
+        .withColumn("center_spread", F.col("center_spread") / F.col("scale"))
+        .withColumn("n_batches", F.coalesce("n_batches", F.lit(0)))
+        .drop("scale")
+    )
+    return placed, aligned.select("scene_id", "batch", *LOG).distinct()
 
 
 def summarize_errors(evaluated: DataFrame) -> DataFrame:

@@ -248,4 +248,4 @@ def register_images(spark, d):
     )
     scales = geo.scene_scale(full.where("anchor"), ["scene_id"])
     known = full.where("anchor").select("scene_id", "image", F.col("m").alias("known"))
-    return posing.register(full.drop("m"), known, _shifted, scales, repeats=2)
+    return posing.register(full.drop("m"), known, _shifted, scales, repeats=2)[0]

@@ -272,6 +272,33 @@ def test_registered_queries_are_where_they_should_be(spark, small):
         assert np.allclose(r.c2w, m, atol=1e-6) and r.n_batches == 2 and r.rot_spread_deg < 1e-3
 
 
+def test_queries_that_no_batch_places_stay(spark):
+    """Scene 0 has anchors that agree, scene 1 has scattered ones, scene 2 too few, scene 3 none."""
+    rng = np.random.default_rng(5)
+    rows, known, seen = [], [], {}
+    for scene, n in enumerate((12, 12, 2, 0)):
+        scattered = cameras(n + 3, rng)
+        for i, m in enumerate(cameras(n + 3, rng)):
+            anchor = i >= 3
+            seen[100 * scene + i] = (scattered[i] if scene == 1 else m).ravel().tolist()
+            rows.append((scene, 100 * scene + i, anchor, *m[:3, 3].tolist(), *m[:3, 2].tolist()))
+            if anchor:
+                known.append((scene, 100 * scene + i, m.ravel().tolist()))
+    images = spark.createDataFrame(rows, "scene_id long, image long, anchor boolean, " + ", ".join(f"{c} double" for c in ("cx", "cy", "cz", "dx", "dy", "dz")))
+    predict = lambda pdf: pdf.assign(pred=[seen[k] for k in pdf["image"]], focal=500.0)
+    scales = spark.createDataFrame([(s, 1.0) for s in range(3)], "scene_id long, scale double")
+    placed, log = posing.register(images, spark.createDataFrame(known, "scene_id long, image long, known array<double>"), predict, scales, queries=2)
+    got = {(r.scene_id, r.image): r for r in placed.collect()}
+    assert set(got) == {(s, 100 * s + i) for s in range(4) for i in range(3)}
+    for (scene, _), r in got.items():
+        assert r.n_batches == (3 if scene == 0 else 0)
+        assert (r.c2w is None, r.focal is None, r.center_spread is None) == (scene > 0,) * 3
+    log = log.collect()
+    assert {(r.scene_id, r.n_anchors, r.used) for r in log} == {(0, 12, True), (1, 12, False), (2, 2, False)}
+    assert len(log) == 18 and sum(r.n_queries for r in log) == 27
+    assert all(r.n_inliers == 12 and r.anchor_rot_err_median < 1e-3 for r in log if r.used)
+
+
 def test_error_summary(spark):
     df = spark.createDataFrame([(1.0, 0.1), (7.0, 0.2), (None, None)], "rot_err_deg double, center_err double")
     r = posing.summarize_errors(df).first()
