@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora.dating.candidate import group
 from tempora.functions.strings import file_key, strip_html, unescape
+from tempora.plans.materialize import materialize
 
 PAGE = (
     "struct<pageid:bigint,title:string,imageinfo:array<struct<timestamp:string,width:int,height:int,url:string,"
@@ -124,22 +125,63 @@ def gather_exif(df: DataFrame) -> DataFrame:
     return df.withColumn("exif", exif).drop(*[f"exif_{f}" for f in EXIF_FIELDS])
 
 
-def resolve_aliases(requested: DataFrame, edges: DataFrame, pages: DataFrame, max_hops: int = 8) -> DataFrame:
-    """title, final, found: follow renamings (src -> dst) to a page; cycles end where they began.
+def _doubled(rows: DataFrame, name: str) -> DataFrame:
+    """node, at, more: every pointer moved as far again; more is false where it had reached an end."""
+    ahead = rows.select(F.col("node").alias("at"), F.col("at").alias("ahead"))
+    moved = rows.select("node", "at").join(ahead, "at", "left")
+    return materialize(
+        moved.select("node", F.coalesce("ahead", "at").alias("at"), F.col("ahead").isNotNull().alias("more")), name
+    )
+
+
+def _ends(step: DataFrame) -> tuple[DataFrame, int]:
+    """(node, at, more; number of rows with more): where the steps from each node end.
 
-    Each hop is one equi-join; a chain longer than max_hops ends where it is.
+    Rounds grow with the logarithm of the longest chain. While a chain is
+    unfinished each round finishes some node of it; once a round finishes none,
+    the rows left with `more` lead into cycles.
     """
-    out = requested.select("title", F.col("title").alias("final"), F.array("title").alias("seen"))
-    step = edges.groupBy("src").agg(F.max("dst").alias("dst"))
-    for _ in range(max_hops):
-        out = out.join(step, out["final"] == step["src"], "left")
-        go = F.col("dst").isNotNull() & ~F.array_contains("seen", F.col("dst"))
-        out = out.select(
-            "title",
-            F.when(go, F.col("dst")).otherwise(F.col("final")).alias("final"),
-            F.when(go, F.array_append("seen", F.col("dst"))).otherwise(F.col("seen")).alias("seen"),
-        )
+    rows, before = step, None
+    while True:
+        rows = _doubled(rows, "aliases")
+        left = rows.where("more").count()
+        if left in (0, before):
+            return rows, left
+        before = left
+
+
+def _cycle_ends(step: DataFrame, rows: DataFrame, ends: str) -> DataFrame:
+    """node, at for the nodes that lead into cycles (rows)."""
+    # What 2^k steps reach shrinks to the nodes on cycles and then no more.
+    n, before = rows.select("at").distinct().count(), None
+    while n != before:
+        rows, before = _doubled(rows, "alias-cycles"), n
+        n = rows.select("at").distinct().count()
+    ring = materialize(rows.select(F.col("at").alias("node")).distinct(), "alias-ring")
+    steps = step.join(rows.select("node"), "node", "left_semi")
+    tails, _ = _ends(steps.join(ring, "node", "left_anti"))
+    entry = tails.select("node", "at").unionByName(ring.select("node", F.col("node").alias("at")))
+    if ends == "first":
+        return entry
+    last = steps.join(ring, "node", "left_semi").select(F.col("node").alias("last"), "at")
+    return entry.join(last, "at").select("node", F.col("last").alias("at"))
+
+
+def resolve_aliases(requested: DataFrame, edges: DataFrame, pages: DataFrame, ends: str = "last") -> DataFrame:
+    """title, final, found: follow renamings (src -> dst), however many, to a page.
+
+    A cycle ends at the last title before one is repeated, or, with ends="first",
+    at the repeated title itself. Each round is an equi-join written to the shared folder.
+    """
+    if ends not in ("last", "first"):
+        raise ValueError(f"ends must be last or first, not {ends}")
+    step = edges.where("src is not null and dst is not null").groupBy("src").agg(F.max("dst").alias("at"))
+    step = materialize(step.withColumnRenamed("src", "node"), "alias-steps")
+    rows, left = _ends(step)
+    out = rows.select("node", "at")
+    if left:
+        out = rows.where("not more").select("node", "at").unionByName(_cycle_ends(step, rows.where("more"), ends))
+    out = requested.select("title").join(out.withColumnRenamed("node", "title"), "title", "left")
+    out = out.select("title", F.coalesce("at", "title").alias("final"))
     have = pages.select(F.col("title").alias("final")).distinct().withColumn("found", F.lit(True))
-    return out.drop("seen").join(have, "final", "left").select(
-        "title", "final", F.coalesce("found", F.lit(False)).alias("found")
-    )
+    return out.join(have, "final", "left").select("title", "final", F.coalesce("found", F.lit(False)).alias("found"))

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 import struct
 
 import pytest
@@ -108,6 +109,30 @@ def test_aliases_with_a_cycle(spark):
     assert got == {"a": ("c", True), "x": ("y", True), "lost": ("lost", False)}
 
 
+def test_aliases_of_any_length(spark):
+    """A chain of 21 hops, tails into cycles, a title that is its own alias, and random graphs by brute force."""
+    rng = random.Random(4)
+    alias = {f"c{i}": f"c{i + 1}" for i in range(21)} | {"t0": "t1", "t1": "t2", "t2": "r0", "self": "self"}
+    alias |= {f"r{i}": f"r{(i + 1) % 5}" for i in range(5)}
+    alias |= {f"g{i}": f"g{rng.randrange(60)}" for i in range(60) if i % 7}
+    titles = sorted({*alias, *alias.values(), "lost"})
+
+    def walk(title):
+        seen, last = [], title
+        while title in alias and title not in seen:
+            seen.append(title)
+            last, title = title, alias[title]
+        return (last if title in seen else title), title
+
+    asked = spark.createDataFrame([(t,) for t in titles], "title string")
+    edges = spark.createDataFrame(list(alias.items()), "src string, dst string")
+    pages = spark.createDataFrame([("c21",), ("r0",)], "title string")
+    for i, ends in enumerate(("last", "first")):
+        got = {r.title: (r.final, r.found) for r in metadata.resolve_aliases(asked, edges, pages, ends).collect()}
+        assert got == {t: (walk(t)[i], walk(t)[i] in ("c21", "r0")) for t in titles}
+        assert got["c0"] == ("c21", True)
+
+
 def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     out = str(tmp_path / "t")
     index.write_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "scene_id int, v string"), out)
