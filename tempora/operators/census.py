@@ -228,3 +228,30 @@ def old_vs_modern(cameras: DataFrame, old_before=1950, modern_from=2000) -> Data
         F.count_if(F.col("r") > high).alias("too_far"),
         F.count_if(F.col("r") < low).alias("too_close"),
     )
+
+
+def largest_groups(rows: DataFrame, by: list[str], n: int = 15) -> DataFrame:
+    """by.., n_rows of the n largest groups; ties go by the key."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), *by).limit(n)
+
+
+def camera_summary(cameras: DataFrame, images: DataFrame, by: list[str]) -> DataFrame:
+    """by.., cameras by model, their widths, and whether images share one.
+
+    cameras: by.., model_name, width; images: by...
+    """
+    counts = cameras.groupBy(*by, "model_name").agg(
+        F.count("*").alias("n"), F.min("width").alias("low"), F.max("width").alias("high")
+    )
+    models = counts.groupBy(*by).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("model_name", "n")))).alias("models"),
+        F.sum("n").alias("n_cameras"), F.min("low").alias("min_width"), F.max("high").alias("max_width"),
+    )
+    out = models.join(images.groupBy(*by).agg(F.count("*").alias("n_images")), by, "left").fillna(0, ["n_images"])
+    return out.withColumn("shared", F.col("n_images") > F.col("n_cameras"))
+
+
+def aspect_mismatch(views: DataFrame) -> DataFrame:
+    """The largest difference in aspect between an image and its camera."""
+    ratio = lambda side: F.col(f"{side}_width") / F.col(f"{side}_height")
+    return views.agg(F.max(F.abs(ratio("image") - ratio("camera"))).alias("max_aspect_mismatch"))

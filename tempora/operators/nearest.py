@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.functions.geometry import scene_scale
+from tempora.plans.materialize import broadcast_if_small, materialize
+
 
 def knn_cosine(rows: DataFrame, queries: DataFrame, k: int, rows_block: int = 20_000, queries_block: int = 2_000) -> DataFrame:
     """query, id, score, rank of the k most similar other rows of each query.
@@ -52,3 +55,25 @@ def knn_cosine(rows: DataFrame, queries: DataFrame, k: int, rows_block: int = 20
     )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_modern_views(views: DataFrame, queries: DataFrame, k: int = 8, since: float = 2000) -> DataFrame:
+    """scene_id, query, row_id, dist, rank: the k modern views nearest to each query, itself the first.
+
+    views: scene_id, row_id, date, cx..cz, dx..dz; queries: scene_id, row_id, a few
+    modern views. The distance is the norm over position in units of the modern
+    views' scale, and direction.
+    """
+    modern = views.where(F.col("date") >= since)
+    own = ("cx", "cy", "cz", "dx", "dy", "dz")
+    modern = modern.join(scene_scale(modern, ["scene_id"]), "scene_id").select(
+        "scene_id", "row_id", *[(F.col(c) / F.col("scale") if c[0] == "c" else F.col(c)).alias(c) for c in own]
+    )
+    asked = modern.join(queries.select("scene_id", "row_id"), ["scene_id", "row_id"], "left_semi").select(
+        "scene_id", F.col("row_id").alias("query"), *[F.col(c).alias(f"q{c}") for c in own]
+    )
+    far = F.sqrt(sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in own))
+    pairs = modern.join(broadcast_if_small(materialize(asked, "nearest-queries")), "scene_id").withColumn("dist", far)
+    order = Window.partitionBy("scene_id", "query").orderBy("dist", F.col("row_id") != F.col("query"), "row_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("scene_id", "query", "row_id", "dist", "rank")

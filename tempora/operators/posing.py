@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.functions.geometry import rotation_error_deg
 from tempora.plans.materialize import materialize
 
 
@@ -135,6 +136,35 @@ def plan_batches(pdf: pd.DataFrame, queries=8, anchors=24, repeats=3, seed=0) ->
     return pd.DataFrame(rows, columns=["scene_id", "batch", "image", "anchor"])
 
 
+def plan_similar_batches(pdf: pd.DataFrame, queries=8, anchors=24, repeats=3, seed=0) -> pd.DataFrame:
+    """Batches of one scene: similar queries with the anchors most like any of them.
+
+    Groups grow greedily around random seeds. The first round takes the top
+    anchors of a group, later ones a random part of the top 2 * anchors.
+    pdf: scene_id, image, anchor (bool), vec. Similarities are computed a seed or
+    group at a time, so memory is linear in the scene; the work is quadratic.
+    """
+    rng = np.random.default_rng(seed)
+    pdf = pdf.sort_values("image")
+    asked, known = pdf[~pdf["anchor"]], pdf[pdf["anchor"]]
+    rows, batch = [], 0
+    if len(asked) and len(known):
+        scene, a, k = pdf["scene_id"].iloc[0], asked["image"].to_numpy(), known["image"].to_numpy()
+        q, v = np.array(asked["vec"].tolist(), float), np.array(known["vec"].tolist(), float)
+    for turn in range(repeats if len(asked) and len(known) else 0):
+        left = rng.permutation(len(a))
+        while len(left):
+            first, left = left[0], left[1:]
+            near = np.argsort(-(q[left] @ q[first]), kind="stable")[: queries - 1]
+            group = np.array([first, *left[near]])
+            left = np.delete(left, near)
+            top = np.argsort(-(q[group] @ v.T).max(axis=0), kind="stable")[: 2 * anchors]
+            drawn = top[:anchors] if turn == 0 or len(top) <= anchors else rng.choice(top, anchors, replace=False)
+            rows += [(scene, batch, a[i], False) for i in group] + [(scene, batch, k[i], True) for i in drawn]
+            batch += 1
+    return pd.DataFrame(rows, columns=["scene_id", "batch", "image", "anchor"])
+
+
 def align_batch(pdf: pd.DataFrame, min_inliers=6, method="rotation_first", threshold=0.15, seed=0) -> pd.DataFrame:
     """The queries of one batch in the anchors' frame, each with the batch's diagnostics.
 
@@ -192,19 +222,22 @@ LOG = ["n_queries", "n_anchors", "n_inliers", "anchor_rot_err_median", "used"]
 
 
 def register(
-    images: DataFrame, known: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], scales: DataFrame, **plan
+    images: DataFrame, known: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], scales: DataFrame,
+    similar: bool = False, **plan
 ) -> tuple[DataFrame, DataFrame]:
     """Poses of the images that are no anchors, and the log of the batches.
 
     Every such image has one row; one that no batch placed has null poses and
     n_batches 0. The log has one row per batch; a scene without anchors has none.
 
-    images: scene_id, image, anchor, cx..dz; known: scene_id, image, known (16);
+    images: scene_id, image, anchor, cx..dz, or, with similar=True, vec, the
+    descriptors by which batches are planned; known: scene_id, image, known (16);
     predict: rows of one batch -> the same rows with pred (16) and focal;
     scales: scene_id, scale, the unit of center_spread.
     """
+    planner = plan_similar_batches if similar else plan_batches
     batches = images.groupBy("scene_id").applyInPandas(
-        lambda pdf: plan_batches(pdf, **plan), "scene_id long, batch int, image long, anchor boolean"
+        lambda pdf: planner(pdf, **plan), "scene_id long, batch int, image long, anchor boolean"
     )
     posed = batches.groupBy("scene_id", "batch").applyInPandas(
         predict, "scene_id long, batch int, image long, anchor boolean, pred array<double>, focal double"
@@ -236,6 +269,30 @@ def register(
     return placed, aligned.select("scene_id", "batch", *LOG).distinct()
 
 
+def evaluate(queries: DataFrame, truth: DataFrame, scales: DataFrame) -> DataFrame:
+    """queries with rot_err_deg and center_err (in units of the scene's scale), null where not placed.
+
+    truth: scene_id, image, true (16); scales: scene_id, scale.
+    """
+    m, t = F.col("c2w"), F.col("true")
+    turn = lambda x: F.array(*[x[i] for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)])
+    apart = F.sqrt(sum((m[i] - t[i]) * (m[i] - t[i]) for i in (3, 7, 11)))
+    return (
+        queries.join(truth, ["scene_id", "image"], "left")
+        .join(scales, "scene_id", "left")
+        .withColumn("rot_err_deg", F.when(m.isNotNull() & t.isNotNull(), rotation_error_deg(turn(m), turn(t))))
+        .withColumn("center_err", apart / F.col("scale"))
+        .drop("true", "scale")
+    )
+
+
+def summarize_log(log: DataFrame) -> DataFrame:
+    """Batches, those used, and the median of agreeing anchors."""
+    return log.agg(
+        F.count("*").alias("n_batches"), F.count_if("used").alias("n_used"), F.median("n_inliers").alias("n_inliers_median")
+    )
+
+
 def summarize_errors(evaluated: DataFrame) -> DataFrame:
     """Medians and shares over all queries; those not placed count as failures."""
     share = lambda limit: (F.count_if(F.col("rot_err_deg") < limit) / F.count("*"))

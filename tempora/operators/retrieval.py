@@ -170,6 +170,14 @@ def summarize(table: DataFrame) -> DataFrame:
     ).agg(F.round(F.avg("psnr"), 3).alias("psnr"), F.count("*").alias("n"))
 
 
+def target_summary(table: DataFrame) -> DataFrame:
+    """Targets of each baseline, and the share that has a near copy among the sample's inputs."""
+    return table.groupBy("baseline").agg(
+        F.count("*").alias("n_targets"),
+        F.round(F.avg(F.col("input_has_duplicate").cast("int")), 3).alias("targets_with_duplicate_input"),
+    )
+
+
 def compare(table: DataFrame, other: DataFrame) -> DataFrame:
     """Per baseline against another method's scores of the same targets."""
     matched = table.join(

@@ -303,3 +303,78 @@ def test_error_summary(spark):
     df = spark.createDataFrame([(1.0, 0.1), (7.0, 0.2), (None, None)], "rot_err_deg double, center_err double")
     r = posing.summarize_errors(df).first()
     assert (r.n_queries, round(r.placed, 3), r.rot_err_median_deg, round(r.within_5deg, 3), round(r.within_10deg, 3)) == (3, 0.667, 4.0, 0.333, 0.667)
+
+
+def test_errors_of_registered_queries(spark):
+    rng = np.random.default_rng(2)
+    true, c, h = cameras(2, rng), np.cos(np.radians(6)), np.sin(np.radians(6))
+    turned = true[0].copy()
+    turned[:3, :3] = true[0][:3, :3] @ np.array([[c, -h, 0], [h, c, 0], [0, 0, 1]])
+    turned[:3, 3] += [0, 3, 4]
+    flat = lambda m: m.ravel().tolist()
+    placed = spark.createDataFrame([(0, 1, flat(turned)), (0, 2, None)], "scene_id long, image long, c2w array<double>")
+    truth = spark.createDataFrame([(0, i + 1, flat(m)) for i, m in enumerate(true)], "scene_id long, image long, true array<double>")
+    scales = spark.createDataFrame([(0, 10.0)], "scene_id long, scale double")
+    got = posing.evaluate(placed, truth, scales)
+    r = {x.image: x for x in got.collect()}
+    assert r[1].rot_err_deg == pytest.approx(6, abs=1e-4) and r[1].center_err == pytest.approx(0.5)
+    assert (r[2].rot_err_deg, r[2].center_err) == (None, None)
+    s = posing.summarize_errors(got).first()
+    assert (s.n_queries, s.placed, s.within_5deg, s.within_10deg) == (2, 0.5, 0.0, 0.5)
+    log = spark.createDataFrame([(8, True), (6, True), (1, False)], "n_inliers int, used boolean")
+    assert posing.summarize_log(log).first() == (3, 2, 6.0)
+
+
+def test_similar_batches():
+    """Each round asks every query once; the first takes the top anchors, others part of the top twice as many."""
+    rng = np.random.default_rng(7)
+    vec = rng.normal(size=(60, 8))
+    pdf = pd.DataFrame({"scene_id": 5, "image": np.arange(60), "anchor": np.arange(60) >= 20, "vec": vec.tolist()})
+    plan = posing.plan_similar_batches(pdf, queries=4, anchors=6, repeats=3)
+    asked = plan[~plan["anchor"]]
+    assert (asked.groupby("image").size() == 3).all() and len(asked) == 60 and plan["batch"].nunique() == 15
+    order, b = list(np.random.default_rng(0).permutation(20)), 0
+    while order:
+        seed = order.pop(0)
+        near = sorted(order, key=lambda j: -(vec[seed] @ vec[j]))[:3]
+        order = [j for j in order if j not in near]
+        got = plan[plan["batch"] == b]
+        assert got.loc[~got["anchor"], "image"].tolist() == [seed, *near]
+        b += 1
+    for b, got in plan.groupby("batch"):
+        score = (vec[got.loc[~got["anchor"], "image"]] @ vec[20:].T).max(axis=0)
+        top = (20 + np.argsort(-score)).tolist()
+        drawn = got.loc[got["anchor"], "image"].tolist()
+        assert drawn == top[:6] if b < 5 else len(set(drawn)) == 6 and set(drawn) <= set(top[:12])
+    assert posing.plan_similar_batches(pdf[~pdf["anchor"]]).empty
+
+
+def test_nearest_modern_views(spark):
+    from tempora.operators.nearest import nearest_modern_views
+
+    rng = np.random.default_rng(3)
+    rows = [(s, 100 * s + i, 1990.0 + i, *rng.normal(size=6).tolist()) for s in (1, 2) for i in range(40)]
+    names = ("cx", "cy", "cz", "dx", "dy", "dz")
+    views = spark.createDataFrame(rows, "scene_id long, row_id long, date double, " + ", ".join(f"{c} double" for c in names))
+    asked = spark.createDataFrame([(1, 115), (2, 239)], "scene_id long, row_id long")
+    got = nearest_modern_views(views, asked, 5).orderBy("query", "rank").collect()
+    for scene, query in ((1, 115), (2, 239)):
+        ids = np.array([r[1] for r in rows if r[0] == scene and r[2] >= 2000])
+        f = np.array([r[3:] for r in rows if r[0] == scene and r[2] >= 2000])
+        f[:, :3] /= np.median(np.linalg.norm(f[:, :3] - np.median(f[:, :3], axis=0), axis=1))
+        order = np.argsort(np.linalg.norm(f - f[ids == query], axis=1))[:5]
+        assert [r.row_id for r in got if r.query == query] == ids[order].tolist()
+
+
+def test_small_summaries(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "cat string")
+    assert [tuple(r) for r in census.largest_groups(rows, ["cat"], 2).collect()] == [("b", 2), ("a", 1)]
+    cams = spark.createDataFrame([(1, "PINHOLE", 800), (1, "PINHOLE", 640), (1, "RADIAL", 900), (2, "RADIAL", 5)], "scene_id int, model_name string, width int")
+    pics = spark.createDataFrame([(1,)] * 4 + [(2,)], "scene_id int")
+    got = {r.scene_id: r for r in census.camera_summary(cams, pics, ["scene_id"]).collect()}
+    assert got[1].models == {"PINHOLE": 2, "RADIAL": 1} and (got[1].min_width, got[1].max_width, got[1].shared) == (640, 900, True)
+    assert not got[2].shared
+    views = spark.createDataFrame([(200, 100, 150, 100), (100, 100, 100, 100)], "image_width int, image_height int, camera_width int, camera_height int")
+    assert census.aspect_mismatch(views).first()[0] == 0.5
+    t = spark.createDataFrame([("x", True), ("x", False), ("x", False), ("x", None)], "baseline string, input_has_duplicate boolean")
+    assert tuple(retrieval.target_summary(t).first()) == ("x", 4, 0.333)
