@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.geometry import pose_distance
+from tempora.plans.materialize import materialize
 from tempora.plans.ranking import first_per_group
 
 # The baselines (strategy, candidates) and the gap buckets.
@@ -119,29 +121,42 @@ def retrieve(pairs: DataFrame, strategy: str, by: list[str], k_date: int = 20) -
     return first_per_group(pairs, by, order, ["cand", "gap", "pose"])
 
 
+def join_in_blocks(
+    targets: DataFrame, cands: DataFrame, by: list[str], target: str, cand: str,
+    targets_block: int = 2_000, cands_block: int = 20_000,
+) -> DataFrame:
+    """targets x cands of equal `by`, dealt into blocks by the ids, so that a large group is many tasks' work."""
+    n_targets = max(1, math.ceil(targets.count() / targets_block))
+    n_cands = max(1, math.ceil(cands.count() / cands_block))
+    deal = lambda df, key, n, own, other, m: df.withColumn(
+        own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = deal(targets, target, n_targets, "__t", "__c", n_cands)
+    right = deal(cands, cand, n_cands, "__c", "__t", n_targets)
+    return left.join(right, [*by, "__t", "__c"]).drop("__t", "__c")
+
+
 def baseline_pairs(samples: DataFrame, views: DataFrame, scales: DataFrame, source: str) -> DataFrame:
     """(scene_id, sample, view, target, cand, gap, pose) of all allowed candidates.
 
     views: scene_id, row_id, date, POSE, group_id. Targets of the sample are never
     candidates; from the pool, neither is any view that shares a group with one.
     """
-    targets = samples.where("role = 'target'").select("scene_id", "sample", "view", F.col("row_id").alias("target"))
+    named = lambda role: views.select(
+        "scene_id", F.col("row_id").alias(role), F.col("date").alias(f"{role}_date"),
+        F.col("group_id").alias(f"{role}_group"), *[F.col(c).alias(f"{role}_{c}") for c in POSE],
+    )
+    drawn = samples.where("role = 'target'").select("scene_id", "sample", "view", F.col("row_id").alias("target"))
+    targets = drawn.join(named("target"), ["scene_id", "target"]).join(scales, "scene_id")
     if source == "inputs":
         cands = samples.where("role = 'input'").select("scene_id", "sample", F.col("row_id").alias("cand"))
-        pairs = targets.join(cands, ["scene_id", "sample"])
+        full = targets.join(cands.join(named("cand"), ["scene_id", "cand"]), ["scene_id", "sample"])
     else:
         # The drawn targets are a stated query set against the views of their scene.
-        pairs = targets.join(views.select("scene_id", F.col("row_id").alias("cand"), "group_id"), "scene_id")
-        banned = targets.join(
-            views.select("scene_id", F.col("row_id").alias("target"), "group_id"), ["scene_id", "target"]
-        ).select("scene_id", "sample", "group_id").distinct()
-        pairs = pairs.join(banned, ["scene_id", "sample", "group_id"], "left_anti").drop("group_id")
-    named = lambda role: views.select(
-        "scene_id", F.col("row_id").alias(role), F.col("date").alias(f"{role}_date"),
-        *[F.col(c).alias(f"{role}_{c}") for c in POSE],
-    )
-    full = pairs.join(named("target"), ["scene_id", "target"]).join(named("cand"), ["scene_id", "cand"])
-    full = full.join(scales, "scene_id")
+        banned = targets.groupBy("scene_id", "sample").agg(F.collect_set("target_group").alias("banned"))
+        targets = materialize(targets.join(banned, ["scene_id", "sample"]), "baseline-targets")
+        full = join_in_blocks(targets, named("cand"), ["scene_id"], "target", "cand")
+        full = full.where(~F.coalesce(F.array_contains("banned", F.col("cand_group")), F.lit(False)))
     side = lambda role: {c: F.col(f"{role}_{c}") for c in POSE}
     return full.select(
         "scene_id", "sample", "view", "target", "cand",

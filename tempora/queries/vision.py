@@ -110,7 +110,8 @@ def _pairs(spark, d) -> DataFrame:
     cams = _cameras(spark, d)
     side = lambda df, role: df.select("scene_id", F.col("vec_id").alias(role), F.col("date").alias(f"{role}_date"), *[F.col(c).alias(f"{role}_{c}") for c in retrieval.POSE])
     t, c = side(cams.where("vec_id % 20 = 0"), "target"), side(cams.where("vec_id % 20 <> 0"), "cand")
-    both = t.join(c, "scene_id").join(geo.scene_scale(cams, ["scene_id"]), "scene_id")
+    t = t.join(geo.scene_scale(cams, ["scene_id"]), "scene_id")
+    both = retrieval.join_in_blocks(t, c, ["scene_id"], "target", "cand")
     a, b = ({c: F.col(f"{p}_{c}") for c in retrieval.POSE} for p in ("target", "cand"))
     return both.select(
         "target", "cand", F.abs(F.col("cand_date") - F.col("target_date")).alias("gap"),

@@ -378,3 +378,19 @@ def test_small_summaries(spark):
     assert census.aspect_mismatch(views).first()[0] == 0.5
     t = spark.createDataFrame([("x", True), ("x", False), ("x", False), ("x", None)], "baseline string, input_has_duplicate boolean")
     assert tuple(retrieval.target_summary(t).first()) == ("x", 4, 0.333)
+
+
+def test_pairs_of_a_large_scene_are_many_tasks_work(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        ids = lambda n, name: spark.range(n).select(F.lit(1).alias("scene_id"), F.col("id").alias(name))
+        pairs = retrieval.join_in_blocks(ids(40, "target"), ids(300, "cand"), ["scene_id"], "target", "cand", 10, 50)
+        assert pairs.distinct().count() == pairs.count() == 40 * 300
+        largest = pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest < 6000
+    finally:
+        for k in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
+            spark.conf.unset(f"spark.sql.{k}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
