@@ -4,7 +4,8 @@ Large-star hangs every larger neighbour of a node on the node's smallest
 neighbour; small-star does so with the smaller neighbours. Both need only the
 minimum of a neighbourhood, which is pre-aggregated in each task, so a hub never
 gathers its neighbours in one place. Every round is written to the shared
-folder; rounds grow with the logarithm of the longest path.
+folder, and removed once the next one is; rounds grow with the logarithm of the
+longest path.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.plans.materialize import materialize
+from tempora.plans.materialize import remove, write_table
 
 
 def _minimum(neighbours: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     an empty edge table gives an empty result.
     """
     pairs = edges.where("u is not null and v is not null and u != v")
-    stars = materialize(
+    stars, at = write_table(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"
     )
     before = _state(stars)
@@ -44,7 +45,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = (
             both.join(_minimum(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        large = materialize(large.where("u != v").distinct(), "cc-large")
+        large, large_at = write_table(large.where("u != v").distinct(), "cc-large")
         low = _minimum(large)
         small = (
             large.join(low, "u")
@@ -52,7 +53,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                                       F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
         )
-        stars = materialize(small.where("u != v").distinct(), "cc")
+        stars, next_at = write_table(small.where("u != v").distinct(), "cc")
+        remove(edges.sparkSession, at, large_at)
+        at = next_at
         after = _state(stars)
         if after == before:
             break

@@ -2,45 +2,103 @@
 
 A table written here survives lost executors, is split again by size when it
 is reread, and brings file statistics, so Catalyst's size-checked broadcast
-decides later joins on it.
+decides later joins on it. Tables written inside `intermediates` are removed
+when it is left.
 """
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths written in each open `intermediates`, innermost last.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir; one of our own only where it is unset and all runs on this machine.
+
+    On a cluster a folder of this machine would split a table over the executors'
+    disks, so an unset spark.checkpoint.dir is an error there.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = f"file://{tempfile.gettempdir()}/tempora-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back."""
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more; absent ones are ignored."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+
+
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df once as Parquet in the shared folder; (the table read back, its path)."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back."""
+    return write_table(df, name)[0]
+
+
+class Scope:
+    """What is open inside `intermediates`."""
+
+    def __init__(self, spark: SparkSession, paths: list[str]):
+        self.spark, self.paths = spark, paths
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Materialise df, and leave it to whatever encloses this scope."""
+        table, path = write_table(df, name)
+        self.paths.remove(path)
+        if len(_open) > 1:
+            _open[-2].append(path)
+        return table
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[Scope]:
+    """Remove on leaving all tables that were written inside, but those kept.
+
+    A DataFrame built inside reads them, so write its result before leaving.
+    """
+    _open.append([])
+    try:
+        yield Scope(spark, _open[-1])
+    finally:
+        remove(spark, *_open.pop())
 
 
 #: Rows up to which a checked table is broadcast; at about 100 bytes a row 20 MB.
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if df (materialised, of narrow rows) has few rows.
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a materialised table has few rows; each task counts its own from the footers."""
+    return df.count() <= rows
 
-    The check reads at most rows + 1 rows; beyond the bound the join shuffles.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only if df (materialised, of narrow rows) has few rows; beyond, the join shuffles."""
+    return F.broadcast(df) if is_small(df, rows) else df

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from tempora.plans.materialize import materialize
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _before():
     return Window.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -18,38 +30,36 @@ def rank_by_hash(df: DataFrame, part: list[str], h: str, ties: list[str], bits:
     Rows are ranked inside a bucket of the hash; the buckets' sizes, a few
     thousand rows per part, give what comes before.
     """
-    keyed = df.withColumn("__b", F.shiftright(F.col(h), bits - buckets.bit_length() + 1))
-    sizes = keyed.groupBy(*part, "__b").agg(F.count("*").alias("__n"))
+    b, n, nth, first = fresh(df, "b", "n", "nth", "first")
+    keyed = df.withColumn(b, F.shiftright(F.col(h), bits - buckets.bit_length() + 1))
+    sizes = keyed.groupBy(*part, b).agg(F.count("*").alias(n))
     inside = Window.partitionBy(*part)
     firsts = sizes.select(
         *part,
-        "__b",
-        F.coalesce(F.sum("__n").over(_before().partitionBy(*part).orderBy("__b")), F.lit(0)).alias("__first"),
-        F.sum("__n").over(inside).alias("total"),
+        b,
+        F.coalesce(F.sum(n).over(_before().partitionBy(*part).orderBy(b)), F.lit(0)).alias(first),
+        F.sum(n).over(inside).alias("total"),
     )
-    nth = F.row_number().over(Window.partitionBy(*part, "__b").orderBy(h, *ties))
     return (
-        keyed.withColumn("__nth", nth)
-        .join(firsts, [*part, "__b"])
-        .withColumn("rank", F.col("__nth") + F.col("__first"))
-        .drop("__b", "__nth", "__first")
+        keyed.withColumn(nth, F.row_number().over(Window.partitionBy(*part, b).orderBy(h, *ties)))
+        .join(firsts, [*part, b])
+        .withColumn("rank", F.col(nth) + F.col(first))
+        .drop(b, nth, first)
     )
 
 
 def row_numbers(df: DataFrame, order: str, name: str = "row") -> DataFrame:
     """Add 0, 1, 2, .. in the order of a column, by range partitions and their counts."""
-    ranged = materialize(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
+    part, n, nth, first = fresh(df, "part", "n", "nth", "first")
+    ranged = materialize(df.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(part).agg(F.count("*").alias(n))
     # One row per partition.
-    firsts = counts.select(
-        "__p", F.coalesce(F.sum("__n").over(_before().orderBy("__p")), F.lit(0)).alias("__first")
-    )
-    nth = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
+    firsts = counts.select(part, F.coalesce(F.sum(n).over(_before().orderBy(part)), F.lit(0)).alias(first))
     return (
-        ranged.withColumn("__nth", nth)
-        .join(F.broadcast(firsts), "__p")
-        .withColumn(name, F.col("__nth") + F.col("__first"))
-        .drop("__p", "__nth", "__first")
+        ranged.withColumn(nth, F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1)
+        .join(F.broadcast(firsts), part)
+        .withColumn(name, F.col(nth) + F.col(first))
+        .drop(part, nth, first)
     )
 
 

@@ -35,8 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Bytes of rows that go to Python at once, on top of the limit on their number.
 BATCH_BYTES = 8 << 20
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_arrow_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by size, so that long texts do not add up to large ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Limit Arrow batches by size, so that long texts do not add up to large ones.
+
+    A limit that the session's owner has set is left as it is.
+    """
+    if _BYTES_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
