@@ -15,9 +15,18 @@ tiles and blocks bound the memory of a task, not the work.
 
 Defined cases: a null or blank text has fingerprint 0 and links like any other;
 fewer than four words are one shingle; rows with a null doc_id take part, with
-the smallest non-null doc_id of their component (null if there is none), and
-are never dropped; repeated rows share fingerprint and component; an empty
-table gives an empty result; extra columns are ignored.
+the smallest non-null doc_id of their component (null if there is none);
+repeated rows share fingerprint and component; an empty table gives an empty
+result; extra columns are ignored, and the stage returns them as they are. The
+stage keeps exactly one row of each component: the one with the smallest
+doc_id, null last, and of several with that doc_id the one with the smallest
+digest of its text; a doc_id on unrelated texts names unrelated rows.
+
+Work: a fingerprint meets the blocks whose population counts are within the
+radius, 0.57 of all at radius 4 on random bits. So each of N distinct ones is
+copied about max(14, 0.57 N / BLOCK) times: 14 up to 1.6 million of them, 87 at
+10 million, 8,700 (a quarter of a megabyte shuffled for each) at a billion,
+where a coarser key must come first.
 """
 
 from __future__ import annotations
@@ -29,12 +38,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.rows import drop_named
 from tempora.operators.components import connected_components
-from tempora.plans.bitmap import split
-from tempora.plans.materialize import broadcast_if_small, materialize
+from tempora.plans.materialize import materialize
 from tempora.session import bound_arrow_batches
 
 SHINGLE = 4
@@ -73,20 +82,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(chosen.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every document."""
+def fingerprints(docs: DataFrame, *keys: Column) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every document, and key, if one is given."""
+    schema = "doc_id long, fp long" + ", key string" * len(keys)
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"]
-            )
+            columns = [batch.column("doc_id"), pa.array(fp.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "key"][: len(columns)])
 
     bound_arrow_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, fp long"
+    read = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[k.alias("key") for k in keys]
     )
+    return read.mapInArrow(run, schema)
 
 
 class Forest:
@@ -196,24 +206,39 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return dealt.groupBy("pair").applyInPandas(lambda pdf: link_group(pdf, radius), "u long, v long")
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    prints = materialize(fingerprints(docs), "simhash")
+def components(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """fp, root (one fp of its component), component_id (its smallest doc_id) of every distinct fingerprint."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     edges = materialize(links(distinct, radius, block), "simhash-links")
     label = connected_components(edges).select(F.col("node").alias("fp"), "component")
     rooted = distinct.join(label, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(by_fp, "fp").select(
+    return materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"), "simhash-components")
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    prints = materialize(fingerprints(docs), "simhash")
+    return prints.join(components(prints, radius, block), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that stay: the smallest doc_id of each component, all columns."""
-    gone = near_groups(docs, radius).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    gone = materialize(gone, "simhash-dropped")
-    some, kept = split(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", gone)
-    out = some.join(broadcast_if_small(gone), "__id", "left_anti").select(*docs.columns)
-    return out if kept is None else out.unionByName(kept.select(*docs.columns))
+    """The documents that stay, one of each component, with all their columns.
+
+    Rows are named by the digest of their text and doc_id. Rows that share both
+    are counted as one name first, so a text copied a million times is one row
+    of the tables that are joined here.
+    """
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    prints = materialize(fingerprints(docs, key), "simhash")
+    names = prints.groupBy("fp", "key", "doc_id").agg(F.count("*").alias("same"))
+    member = names.join(components(prints, radius).select("fp", "root"), "fp")
+    member = materialize(member.select("root", "key", "doc_id", "same"), "simhash-members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = member.groupBy("root").agg(F.min(order).alias("best"), F.sum("same").alias("size"))
+    marks = member.join(best.where("size > 1"), "root").select(
+        "key", "doc_id", (order == F.col("best")).alias("kept"), "same"
+    )
+    return drop_named(docs, key, materialize(marks, "simhash-marks"))

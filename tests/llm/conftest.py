@@ -27,3 +27,30 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.limit(0)
+
+
+#: Names that helper columns have, or once had: a document's own columns may be called so.
+HELPERS = (
+    "__id __p __n __e __sha __kept __same __text_sha __cut __full __domain __lang __source __digest __bucket __bit __bits "
+    "__possible row key same kept_1 digest bucket bit bits maybe fp root first rank total p epochs domain_ cutoff shard task"
+).split()
+
+
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The odd rows with a column of every helper name, each holding its own name."""
+    from pyspark.sql import functions as F
+
+    return odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(n).alias(n) for n in HELPERS])
+
+
+@pytest.fixture(scope="session")
+def unchanged():
+    def check(out, docs):
+        """out has docs' columns, with each helper column as it was."""
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all(r[n] == n for r in rows for n in HELPERS if n in docs.columns)
+        return rows
+
+    return check
