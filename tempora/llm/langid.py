@@ -2,32 +2,43 @@
 
 A text is lower-cased and cut into words; every run of 2 to 4 bytes inside a
 word, with a blank at each end, is hashed to a bucket. The average of the
-buckets' embeddings goes through a linear softmax. Both are trained together by
-stochastic gradient descent in numpy on a bounded sample: PER_LANGUAGE texts of
-each language, those with the smallest hash of doc_id, and CALIBRATION more of
-each to fit one temperature and the score under which a prediction is rejected
-(at most REJECT of the calibration texts that were predicted right fall under
-it). Since everything is linear after the average, a model is one row of class
-scores per bucket, and predicting is a look-up and a mean.
+buckets' embeddings goes through a linear softmax over the languages and one
+class more, text of no language, learned from letters of the sample in random
+order. Embeddings and weights are trained together by stochastic gradient
+descent in numpy. Since everything is linear after the average, a model is one
+row of class scores per bucket, and predicting is a look-up and a mean, done for
+a batch of texts at once.
+
+The sample is bounded: at most PER_LANGUAGE texts, those with the smallest hash
+of doc_id, of each of the MAX_LANGUAGES most frequent languages. Of each
+language's texts one in CALIBRATE, by that order and so at every size, does not
+train but calibrates: a temperature of least log loss, and the score under
+which a prediction is rejected. That score is set where about REJECT of the
+texts predicted right are expected below it: their log-odds fall off below the
+TAIL quantile as an exponential whose scale is the mean distance to it, which
+also holds for a sample too small to have a text that far down.
 
 Learning sees text and lang of the rows whose crc32(doc_id as text) mod FOLDS is
 not 0. Predicting sees the whole text and nothing else.
 
 Defined cases: null text, or one without a letter, is `und` with score 0 and is
 rejected; a null doc_id is never learned from and counts as held out; null lang
-is not learned; without any labelled text every prediction is `und`; repeated
-rows get the same prediction; extra columns are ignored.
+is not learned; without any labelled text every prediction is `und`; with too
+few to calibrate (fewer than 3 of every language) nothing but `und` is
+rejected; repeated rows get the same prediction; extra columns are ignored, and
+the stage returns them as they are.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.plans.materialize import broadcast_if_small, materialize
@@ -36,14 +47,22 @@ from tempora.session import bound_arrow_batches
 FOLDS = 5
 BUCKETS = 1 << 15
 DIM = 16
-#: Bound of the training and calibration samples, in texts of each language.
-PER_LANGUAGE = 300
-CALIBRATION = 150
+#: Bounds of the sample: texts of each language, and languages, the most frequent ones.
+PER_LANGUAGE = 450
+MAX_LANGUAGES = 100
+#: One in so many texts of each language calibrates.
+CALIBRATE = 3
+#: Letters of a text in random order, at most, that teach what is no language: of every calibrating text and of the next.
+NOISE_LETTERS = 1_500
 SALTS = 8
 EPOCHS = 6
 RATE = 40.0
+#: Part of the right predictions that the rejecting score may cost, and of the calibration texts that show how they fall off.
 REJECT = 0.001
+TAIL = 0.1
 UND = "und"
+#: Bytes of text that are looked up at once.
+GROUP_BYTES = 1 << 20
 
 _LETTER = regex.compile(r"\p{L}")
 _BLANK = bytes(
@@ -56,30 +75,66 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def buckets(text: str) -> np.ndarray:
-    """Bucket of every subword of 2 to 4 bytes; no subword crosses a blank."""
+def pieces(text: str) -> list[bytes]:
+    """The words between single blanks; a long text in several pieces, cut at blanks."""
     packed = b" " + b" ".join(text.lower().encode().translate(_BLANK).split()) + b" "
-    b = np.frombuffer(packed, np.uint8).astype(np.uint32)
+    out, at = [], 0
+    while len(packed) - at > GROUP_BYTES:
+        cut = packed.rfind(b" ", at + 1, at + GROUP_BYTES)
+        if cut < 0:
+            cut = packed.find(b" ", at + 1)
+        out.append(packed[at : cut + 1])
+        at = cut
+    return [*out, packed[at:]]
+
+
+def subwords(packed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of 2, 3 and 4 bytes: their buckets in all pieces, and where each piece's begin.
+
+    No subword crosses a blank, and every piece begins and ends with one, so none crosses pieces.
+    """
+    starts = np.cumsum([0] + [len(p) for p in packed])
+    b = np.frombuffer(b"".join(packed), np.uint8).astype(np.uint32)
     inner = b != 32
-    out, code = [], b[:-1] * np.uint32(257) + b[1:]
-    keep = inner[:-1] | inner[1:]
+    code = b[:-1] * np.uint32(257) + b[1:]
+    whole = inner[:-1] | inner[1:]
     for n in (2, 3, 4):
         if n > 2:
-            if len(b) < n:
-                break
             code = code[:-1] * np.uint32(257) + b[n - 1 :]
             whole = inner[1 : len(b) - n + 2]
             for k in range(2, n - 1):
                 whole = whole & inner[k : len(b) - n + 1 + k]
-            keep = whole
-        mixed = (code + np.uint32(n)) * _MIX
-        out.append(((mixed >> np.uint32(17)) & np.uint32(BUCKETS - 1))[keep])
-    return np.concatenate(out)
+        at = np.flatnonzero(whole)
+        mixed = (code[at] + np.uint32(n)) * _MIX
+        yield (mixed >> np.uint32(17)) & np.uint32(BUCKETS - 1), np.searchsorted(at, starts)
+
+
+def buckets(text: str) -> np.ndarray:
+    """Bucket of every subword of a text."""
+    return np.concatenate([found for p in pieces(text) if len(p) > 2 for found, _ in subwords([p])] or [np.zeros(0, np.uint32)])
+
+
+def grouped(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Pieces of the texts, and whose they are, in groups of about GROUP_BYTES."""
+    owners: list[int] = []
+    packed: list[bytes] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for piece in pieces(text):
+            if len(piece) > 2:
+                owners.append(i)
+                packed.append(piece)
+                size += len(piece)
+                if size >= GROUP_BYTES:
+                    yield owners, packed
+                    owners, packed, size = [], [], 0
+    if packed:
+        yield owners, packed
 
 
 @dataclass
 class LanguageModel:
-    """Class scores per bucket, bias, temperature and the rejecting score."""
+    """Class scores per bucket (the last class is no language), bias, temperature and the rejecting score."""
 
     langs: list[str]
     table: np.ndarray
@@ -87,29 +142,51 @@ class LanguageModel:
     temperature: float = 1.0
     reject_below: float = 0.0
 
-    def scores(self, text: str) -> np.ndarray:
-        found = buckets(text)
-        mean = self.table[found].mean(axis=0) if len(found) else np.zeros(len(self.langs), np.float32)
+    def softmax(self, mean: np.ndarray) -> np.ndarray:
+        """Calibrated class probabilities of averages, a row each."""
         z = (mean + self.bias) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.langs or not has_letter(text):
-            return UND, 0.0, True
-        p = self.scores(text)
-        best = int(p.argmax())
-        return self.langs[best], float(p[best]), bool(p[best] < self.reject_below)
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Probabilities of every class, a row for each text; a text alone or in a batch gets the same."""
+        sums, counts = np.zeros((len(texts), len(self.bias))), np.zeros(len(texts))
+        for owners, packed in grouped(texts):
+            for found, bounds in subwords(packed):
+                n = np.diff(bounds)
+                some = np.flatnonzero(n)
+                at, who = bounds[:-1][some], np.array(owners)[some]
+                np.add.at(counts, who, n[some])
+                for k, column in enumerate(self.table.T):
+                    if len(some):
+                        np.add.at(sums[:, k], who, np.add.reduceat(column[found], at, dtype=np.float64))
+        return self.softmax(sums / np.maximum(counts, 1)[:, None])
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and which are rejected."""
+        some = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
+        langs, score, rejected = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        if some:
+            p = self.scores([texts[i] for i in some])[:, : len(self.langs)]
+            best = p.argmax(axis=1)
+            score[some] = p.max(axis=1)
+            rejected[some] = score[some] < self.reject_below
+            for i, k in zip(some, best, strict=True):
+                langs[i] = self.langs[k]
+        return langs, score, rejected
 
 
 def train(
     samples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], seed: int = 7
 ) -> LanguageModel:
-    """SGD over (bucket, frequency) samples; one text a step, the rate falling to zero."""
+    """SGD over (bucket, frequency) samples; one text a step, the rate falling to zero.
+
+    y counts through langs; the number after them is no language.
+    """
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1.0 / DIM, 1.0 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    w = np.zeros((DIM, len(langs)), np.float32)
-    bias = np.zeros(len(langs), np.float32)
+    w = np.zeros((DIM, len(langs) + 1), np.float32)
+    bias = np.zeros(len(langs) + 1, np.float32)
     steps, done = EPOCHS * len(samples), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(samples)):
@@ -129,27 +206,39 @@ def train(
 
 
 def calibrate(model: LanguageModel, samples, y: np.ndarray, reject: float = REJECT) -> LanguageModel:
-    """Temperature of least log loss, then the rejecting score."""
+    """Temperature of least log loss over all samples, then the rejecting score from those of a language."""
     if not len(samples):
         return model
-    z = np.array([freq @ model.table[bucket] + model.bias for bucket, freq in samples], np.float64)
-
-    def probabilities(t: float) -> np.ndarray:
-        e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
-        return e / e.sum(axis=1, keepdims=True)
-
+    mean = np.array([freq @ model.table[bucket] for bucket, freq in samples], np.float64)
+    # Targets a little below one, after Platt, so that a small sample without an error does not ask for certainty.
+    classes, unsure = mean.shape[1], 1 / (len(y) + 2)
+    target = np.full((len(y), classes), unsure / (classes - 1))
+    target[np.arange(len(y)), y] = 1 - unsure
+    loss = []
     grid = np.geomspace(0.2, 20.0, 60)
-    loss = [-np.log(probabilities(t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
+    for model.temperature in grid:
+        loss.append(-(target * np.log(model.softmax(mean) + 1e-300)).sum(axis=1).mean())
     model.temperature = float(grid[int(np.argmin(loss))])
-    p = probabilities(model.temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == y]
-    if len(right):
-        # At a share of the calibration texts, and never above an even chance.
-        model.reject_below = float(min(0.5, np.quantile(right, reject)))
+    p = model.softmax(mean)[:, : len(model.langs)]
+    right = p.max(axis=1)[(p.argmax(axis=1) == y) & (y < len(model.langs))]
+    model.reject_below = tail_score(right, reject)
     return model
 
 
-def _fold() -> F.Column:
+def tail_score(right: np.ndarray, reject: float) -> float:
+    """The score that about `reject` of right predictions fall under, by an exponential tail of their log-odds."""
+    if not len(right):
+        return 0.0
+    s = np.sort(np.clip(right, 1e-9, 1 - 1e-9))
+    s = np.log(s / (1 - s))
+    k = max(1, int(np.ceil(TAIL * len(s))))
+    begin = s[min(k, len(s) - 1)]
+    scale = (begin - s[:k]).mean()
+    z = begin - scale * max(0.0, np.log(k / len(s) / reject))
+    return float(1 / (1 + np.exp(-z)))
+
+
+def _fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
@@ -159,18 +248,20 @@ def learn(docs: DataFrame) -> LanguageModel:
     labelled = docs.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold() != 0)
     ).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    known = broadcast_if_small(materialize(known.select("lang"), "langid-languages"))
     # The first of each language, by way of the first of each of SALTS parts of it:
     # a common language is ranked in many tasks, and the last rank sees few rows.
     salted = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn(
         "salt", F.pmod("h", F.lit(SALTS))
     )
-    most = PER_LANGUAGE + CALIBRATION
     nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
     chosen = (
-        salted.withColumn("nth", nth("lang", "salt"))
-        .where(F.col("nth") <= most)
+        salted.join(known, "lang")
+        .withColumn("nth", nth("lang", "salt"))
+        .where(F.col("nth") <= PER_LANGUAGE)
         .withColumn("nth", nth("lang"))
-        .where(F.col("nth") <= most)
+        .where(F.col("nth") <= PER_LANGUAGE)
         .select("doc_id", "lang", "nth")
     )
     chosen = broadcast_if_small(materialize(chosen, "langid-sample"))
@@ -178,32 +269,48 @@ def learn(docs: DataFrame) -> LanguageModel:
     def features(batches):
         for pdf in batches:
             pairs = [np.unique(buckets(t), return_counts=True) for t in pdf["text"]]
-            pdf["bucket"] = [b.astype(np.int32) for b, _ in pairs]
-            pdf["freq"] = [(c / max(1, c.sum())).astype(np.float32) for _, c in pairs]
-            yield pdf[["doc_id", "lang", "nth", "bucket", "freq"]]
-
-    # At most PER_LANGUAGE + CALIBRATION rows of a language, each of at most BUCKETS numbers.
+            noise = [
+                np.unique(buckets(disordered(t, i)), return_counts=True) if n % CALIBRATE < 2 else ([], [])
+                for t, i, n in zip(pdf["text"], pdf["doc_id"], pdf["nth"], strict=True)
+            ]
+            for kind, found in (("", pairs), ("noise_", noise)):
+                pdf[kind + "bucket"] = [np.asarray(b, np.int32) for b, _ in found]
+                pdf[kind + "freq"] = [np.asarray(c, np.float32) / max(1, np.sum(c)) for _, c in found]
+            yield pdf[["doc_id", "lang", "nth", "bucket", "freq", "noise_bucket", "noise_freq"]]
+
+    # At most PER_LANGUAGE rows of each of MAX_LANGUAGES, each of at most 2 * BUCKETS numbers a kind.
     rows = (
         labelled.join(chosen, ["doc_id", "lang"])
         .where(F.col("text").rlike("\\p{L}"))
         .select("doc_id", "lang", "nth", "text")
-        .mapInPandas(features, "doc_id long, lang string, nth int, bucket array<int>, freq array<float>")
+        .mapInPandas(
+            features,
+            "doc_id long, lang string, nth int, bucket array<int>, freq array<float>, noise_bucket array<int>, noise_freq array<float>",
+        )
         .toPandas()
         .sort_values(["nth", "lang", "doc_id"])
         .drop_duplicates(["nth", "lang"])
     )
     langs = sorted(rows["lang"].unique())
-    y = rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-    samples = [
-        (np.asarray(b, np.int32), np.asarray(f, np.float32))
-        for b, f in zip(rows["bucket"], rows["freq"], strict=True)
-    ]
-    fit = rows["nth"].to_numpy() <= PER_LANGUAGE
-    del rows
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    model = train([s for s, f in zip(samples, fit, strict=True) if f], y[fit], langs)
-    return calibrate(model, [s for s, f in zip(samples, fit, strict=True) if not f], y[~fit])
+    samples, y, fits = [], [], []
+    for row in rows.itertuples():
+        for b, f, label in ((row.bucket, row.freq, langs.index(row.lang)), (row.noise_bucket, row.noise_freq, len(langs))):
+            if len(b):
+                samples.append((np.asarray(b, np.int32), np.asarray(f, np.float32)))
+                y.append(label)
+                fits.append(row.nth % CALIBRATE != 0)
+    del rows
+    y, fits = np.array(y), np.array(fits)
+    model = train([s for s, f in zip(samples, fits, strict=True) if f], y[fits], langs)
+    return calibrate(model, [s for s, f in zip(samples, fits, strict=True) if not f], y[~fits])
+
+
+def disordered(text: str, seed: int) -> str:
+    """Letters of the text, from all over it, in random order with its share of blanks: no language."""
+    rng = np.random.default_rng(abs(int(seed)))
+    return "".join(text[i] for i in rng.integers(0, len(text), min(len(text), NOISE_LETTERS)).tolist())
 
 
 def predictor(spark: SparkSession, model: LanguageModel):
@@ -213,9 +320,8 @@ def predictor(spark: SparkSession, model: LanguageModel):
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
-            [shared.value.predict(t) for t in text], columns=["lang_pred", "score", "rejected"]
-        )
+        langs, score, rejected = shared.value.predict(text.tolist())
+        return pd.DataFrame({"lang_pred": langs, "score": score, "rejected": rejected})
 
     return predict
 
@@ -224,7 +330,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
     predict = predictor(docs.sparkSession, learn(docs))
     return docs.select(
-        F.col("doc_id").cast("long"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         (_fold() == 0).alias("held_out"),
         predict(F.col("text").cast("string")).alias("p"),
     ).select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
@@ -233,5 +339,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The documents with an accepted language, all columns."""
     predict = predictor(docs.sparkSession, learn(docs))
-    marked = docs.withColumn("__p", predict(F.col("text").cast("string")))
-    return marked.where(~F.col("__p.rejected")).select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("row"), predict(F.col("text").cast("string")).alias("p"))
+    return marked.where(~F.col("p.rejected")).select("row.*")

@@ -54,11 +54,86 @@ def test_stage(spark, odd, small):
     assert out.columns == docs.columns and out.count() >= 0.99 * docs.count()
 
 
-def test_calibration_never_raises_the_bar_above_an_even_chance():
+def test_calibration_on_labels_that_cannot_be_learned():
+    """Labels without any relation to the texts: scores near an even chance, and a bar among them, not above."""
     rng = np.random.default_rng(0)
     samples = [(np.array([i % 5]), np.array([1.0], np.float32)) for i in range(40)]
     y = np.array([i % 2 for i in range(40)])
     table_ = np.zeros((langid.BUCKETS, 2), np.float32)
     table_[:5] = rng.normal(size=(5, 2))
     model = langid.calibrate(langid.LanguageModel(["a", "b"], table_, np.zeros(2)), samples, y)
-    assert 0 <= model.reject_below <= 0.5
+    p = model.softmax(table_[:5].astype(float)).max(axis=1)
+    assert model.temperature > 10 and 0 <= model.reject_below <= p.min() + 1e-9
+
+
+def plain_scores(model, text):
+    """One text at a time, subword by subword, in plain Python."""
+    letters = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    found = []
+    for word in bytes(b if b >= 128 or b in letters else 32 for b in text.lower().encode()).split():
+        word = b" " + word + b" "
+        for n in (2, 3, 4):
+            for i in range(len(word) - n + 1):
+                gram = word[i : i + n]
+                if b" " in gram[1:-1]:
+                    continue
+                code = 0
+                for byte in gram:
+                    code = (code * 257 + byte) % 2**32
+                found.append(((code + n) * 2654435761 % 2**32 >> 17) % langid.BUCKETS)
+    mean = sum(model.table[k].astype(float) for k in found) / max(1, len(found))
+    z = (mean + model.bias) / model.temperature
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_scores_equal_the_plain_form_alone_and_in_batches(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = langid.LanguageModel(["a", "b"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 1.7)
+    texts = ["One two three", "é ñandú", "x", "a b c", "12 34", "", " ".join(f"wörd{i}and" for i in range(900)), "y" * 4000]
+    want = np.array([plain_scores(model, t) for t in texts])
+    assert np.allclose(model.scores(texts), want, atol=1e-5)
+    alone = np.vstack([model.scores([t]) for t in texts])
+    assert (alone == model.scores(texts)).all()
+    monkeypatch.setattr(langid, "GROUP_BYTES", 64)
+    assert np.allclose(model.scores(texts), want, atol=1e-5)
+
+
+def test_calibrated_at_every_size_and_rejects_what_is_no_language(spark):
+    """Small and large tables alike: a fitted temperature, and noise and other languages are rejected."""
+    foreign = [
+        "привет мир как дела сегодня", "これは日本語の文章です", "zzkx qwpt vrrk xkcd lmnp", "To jest zdanie po polsku i nic wicej",
+        "Tämä on suomenkielinen lause eikä mitään muuta", "Ez egy magyar mondat, semmi egyéb",
+    ]
+    for sf in ("0.001", "0.01"):
+        docs = table(spark, f"/root/testdata/sf{sf}", "documents")
+        model = langid.learn(docs)
+        assert 0.2 < model.temperature < 20 and model.temperature != 1.0
+        assert 0.5 < model.reject_below < 0.9
+        assert model.predict(foreign)[2].all()
+        texts = [r.text for r in docs.limit(200).collect() if langid.has_letter(r.text)]
+        rng = np.random.default_rng(9)
+        shuffled = ["".join(np.array(list(t[:2000]))[rng.permutation(len(t[:2000]))]) for t in texts]
+        shuffled = [t for t in shuffled if len(t) > 200]
+        assert model.predict(shuffled)[2].mean() > 0.95
+        assert model.predict(texts)[2].mean() <= 0.01
+
+
+def test_rejecting_score_follows_the_tail():
+    rng = np.random.default_rng(3)
+    score = 1 / (1 + np.exp(-(6 - rng.exponential(1.0, 200_000))))
+    got = langid.tail_score(score[:2000], 0.001)
+    assert 0.0002 < (score < got).mean() < 0.004
+    assert langid.tail_score(np.zeros(0), 0.001) == 0.0
+    assert 0 < langid.tail_score(np.array([0.9]), 0.001) <= 0.9
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(i, f"words of language {i % 5} number {i}", f"l{i % 5}") for i in range(60)] + [(99 + i, "more", "l3") for i in range(9)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 2 and "l3" in model.langs
+
+
+def test_stage_keeps_columns_of_any_name(clashing, unchanged):
+    unchanged(langid.drop_rejected(clashing), clashing)
