@@ -14,12 +14,15 @@ The prefix becomes one cut-off key per leaf, found without sorting a leaf: token
 sums by the first two hex digits of the key, by the first four inside the bucket
 where the budget ends, and by key inside that one. Applying it is a filter on the document itself.
 
-DataFrame functions only. A leaf may hold any share of the rows.
+DataFrame functions only. A leaf may hold any share of the rows. The children of
+one node, a row each, are shared out in one task; a corpus whose documents bring
+a domain of their own may have millions of these under the root, not billions.
 
 Defined cases: a null text has 0 tokens; a null language or source is a leaf of
 its own, "(none)"; a null doc_id hashes as the empty string; rows that share a
 doc_id stand or fall together; weights absent from the targets are 1; a weight
-of 0 or less gives nothing; an empty table gives an empty result.
+of 0 or less gives nothing; an empty table gives an empty result; other columns
+are ignored, and mix_documents returns them as they are.
 """
 
 from __future__ import annotations
@@ -224,15 +227,9 @@ def mix_documents(docs: DataFrame, targets: MixTargets = PIPELINE) -> DataFrame:
     """The documents taken, with their own columns, repeated by epoch."""
     units = measure(docs)
     plan = plan_leaves(units, targets)
-    plan = plan.select(
-        *[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("full_epochs").alias("__full"), F.col("cutoff").alias("__cut")
-    )
     leaf = leaf_columns(docs)
-    on = [leaf[c] == F.col(f"__{c}") for c in LEVELS]
-    taken = F.col("__full") + F.when(
-        epoch_key(targets.seed, F.col("__full")) <= F.col("__cut"), 1
-    ).otherwise(0)
-    out = docs.join(broadcast_if_small(plan), on).withColumn("__n", taken.cast("int")).where("__n > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), *[leaf[c].alias(c) for c in LEVELS])
+    out = _epochs(rows, plan, targets.seed).where("epochs > 0")
     if targets.max_epochs > 1:
-        out = out.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return out.select(*docs.columns)
+        out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
+    return out.select("row.*")

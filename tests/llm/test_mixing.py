@@ -102,3 +102,9 @@ def test_siblings_take_a_shortage_before_other_domains(spark):
 def test_stage_returns_documents(odd):
     out = mixing.mix_documents(odd)
     assert out.columns == odd.columns and out.count() <= odd.count()
+
+
+def test_stage_keeps_columns_of_any_name(clashing, unchanged):
+    targets = mixing.MixTargets(budget_num=2, budget_den=1, max_epochs=2)
+    rows = unchanged(mixing.mix_documents(clashing, targets), clashing)
+    assert len(rows) > clashing.count()
