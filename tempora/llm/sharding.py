@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.plans.materialize import broadcast_if_small, materialize
+from tempora.plans.ranking import fresh
 
 #: Multiplier of the 64-bit linear congruential generator in the published algorithm.
 LCG = np.uint64(2862933555777941757)
@@ -100,8 +101,15 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, files_per_shard: int = 16) -> None:
-    """Write the documents as one folder per shard, several files each."""
-    placed = docs.withColumn("shard", shard_of(F.col("doc_id"), shards))
-    salt = F.pmod(F.xxhash64(*[c for c in docs.columns if c in ("doc_id", "text")]), F.lit(files_per_shard))
-    placed.repartition(shards * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 8, files_per_shard: int = 16) -> str:
+    """Write the documents as one folder per shard, several files each; returns the folders' column.
+
+    That is "shard", with underscores added if the documents have a column of that name.
+    """
+    folder, salt = fresh(docs, "shard", "salt")
+    placed = docs.withColumn(folder, shard_of(F.col("doc_id"), shards)).withColumn(
+        salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(files_per_shard))
+    )
+    spread = placed.repartition(shards * files_per_shard, folder, salt).drop(salt)
+    spread.write.partitionBy(folder).parquet(path)
+    return folder

@@ -17,7 +17,8 @@ def jump(key, n):
 
 
 def test_jump_matches_the_scalar_form():
-    keys = np.concatenate([np.arange(500), np.array([2**63 - 1, 2**64 - 1, 12345678901234], np.uint64)]).astype(np.uint64)
+    keys = np.concatenate([np.arange(500, dtype=np.uint64), np.array([2**63 - 1, 2**63, 2**64 - 1, 2**64 - 2, 12345678901234], np.uint64)])
+    assert keys.dtype == np.uint64 and int(keys[-3]) == 2**64 - 1
     for n in (1, 2, 8, 9, 1000):
         assert sharding.jump_hash(keys, n).tolist() == [jump(int(k), n) for k in keys]
 
@@ -59,3 +60,11 @@ def test_written_shards(spark, odd, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count()
     assert all(r.shard == jump(r.doc_id or 0, 4) for r in back.collect())
+
+
+def test_written_shards_keep_columns_of_any_name(spark, clashing, unchanged, tmp_path):
+    folder = sharding.write_shards(clashing, str(tmp_path / "out"), 4, 2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert folder == "shard_" and set(back.columns) == {*clashing.columns, folder}
+    assert all(r[folder] == jump(r.doc_id or 0, 4) for r in back.collect())
+    unchanged(back.select(*clashing.columns), clashing)
