@@ -72,3 +72,49 @@ def test_queries_hold_in_every_match():
 
 def test_empty(none):
     assert secrets.scan_secrets(none).count() == 0
+
+
+#: For each rule, what makes it begin, or go on, again and again without ending.
+WORST = {
+    "assign": ["password", "password ", "token:", 'api_key"', "secret = ", "token= ' ", "passwd:\x20\x20", "apikey=a "],
+    "access": ["AKIA", "AKI", "AKIAAKIA ", "A"],
+    "hex": ["0123456789abcde ", "a", "f0g"],
+    "private_key": ["-----BEGIN ", "-----BEGIN PRIVATE KEY", "PRIVATE KEY", "-", "-----BEGIN A"],
+    "github": ["ghp_", "ghp_a", "gh", "ghp_" + "a" * 35 + " "],
+    "slack": ["xoxb-", "xox", "xoxb-a ", "xoxb"],
+    "google": ["AIza", "AIza" + "x" * 34 + " ", "AI"],
+    "stripe": ["sk_live_", "sk_live_aaa ", "sk_"],
+    "jwt": ["eyJ", " .eyJ", "eyJaaaaaaaa.", "eyJaaaaaaaa.eyJ", "eyJaaaaaaaa.eyJaaaaaaaa. ", "-eyJ", ".eyJ"],
+}
+
+
+def test_every_rule_takes_linear_time():
+    import time
+
+    scanner = secrets.Scanner()
+    assert set(WORST) == {r.kind for r in secrets.RULES}
+    for rule, pattern, _ in scanner.rules:
+        for unit in WORST[rule.kind]:
+            for text in (unit * (1_000_000 // len(unit)), "eyJ" + unit * (1_000_000 // len(unit)), "-----BEGIN " + unit * (1_000_000 // len(unit))):
+                began = time.perf_counter()
+                sum(1 for _ in pattern.finditer(text))
+                assert time.perf_counter() - began < 1.0, (rule.kind, unit)
+
+
+def test_one_megabyte_of_the_worst_is_scanned_whole(spark):
+    texts = ["eyJ" * 333_333 + " .eyJ", "eyJaaaaaaaa." * 80_000, "x" * 1_000_000 + " eyJabcdefgh.eyJabcdefgh.abcdefgh"]
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in rows}[2] == "jwt:1000001:1000033"
+
+
+def test_the_parse_tree_has_the_parts_that_are_used():
+    """re's parse tree is not public: if a Python release changes it, this fails first."""
+    from re import _constants, _parser
+
+    names = "LITERAL RANGE IN SUBPATTERN BRANCH MAX_REPEAT MIN_REPEAT AT ASSERT_NOT".split()
+    assert all(hasattr(_constants, n) for n in names)
+    tree = list(_parser.parse("a[b-d](e|fg){1,2}"))
+    assert [str(op) for op, _ in tree] == ["LITERAL", "IN", "MAX_REPEAT"]
+    assert tree[0][1] == ord("a") and tree[1][1][0][1] == (ord("b"), ord("d"))
+    low, high, body = tree[2][1]
+    assert (low, high) == (1, 2) and str(body[0][0]) == "SUBPATTERN" and len(body[0][1]) == 4
