@@ -128,3 +128,22 @@ ORACLES: dict[str, str] = {
     "op6_quality": QUALITY,
     "op7_exact_dedup": EXACT_DEDUP,
 }
+
+
+def _ablations() -> str:
+    cases = [
+        f"('{version}', '{rule}', {quality.mask(rules)}, {quality.mask([rule])})"
+        for version, rules in quality.POLICIES.items()
+        for rule in rules
+    ]
+    return f"""
+WITH q AS ({QUALITY})
+SELECT policy, rule,
+       CAST(count(*) FILTER (rule_bits & mask <> 0) AS BIGINT) AS rejected,
+       CAST(count(*) FILTER (rule_bits & mask = bit) AS BIGINT) AS only_by_rule
+FROM q, (VALUES {", ".join(cases)}) AS c(policy, rule, mask, bit)
+GROUP BY policy, rule
+"""
+
+
+REPORT_ORACLES = {"quality_ablations": _ablations()}

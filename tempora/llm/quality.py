@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.strings import BLANKS, let, words
+from tempora.plans.materialize import materialize
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -126,19 +127,31 @@ def apply_policy(led: DataFrame, version: str) -> DataFrame:
 
 
 def ablations(led: DataFrame) -> DataFrame:
-    """For each policy and rule of it: documents rejected, and rejected by that rule alone."""
+    """For each policy and rule of it: documents rejected, and rejected by that rule alone.
+
+    led is a stored ledger: texts are not read again. An empty one has no rows here.
+    """
     counts = led.groupBy("rule_bits").agg(F.count("*").alias("n"))
-    rows = [(v, r, mask(rules), mask([r])) for v, rules in POLICIES.items() for r in rules]
-    spark = led.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(rows, "policy string, rule string, mask long, bit long"))
-    failed = F.col("rule_bits").bitwiseAND(F.col("mask"))
-    # The policies are a stated list of a few rows against at most 2^rules counts.
+    cases = [(v, r, mask(rules), mask([r])) for v, rules in POLICIES.items() for r in rules]
+    each = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(v).alias("policy"), F.lit(r).alias("rule"), F.lit(m).alias("mask"), F.lit(b).alias("bit"))
+                for v, r, m, b in cases
+            ]
+        )
+    )
+    failed = F.col("rule_bits").bitwiseAND(F.col("c.mask").cast("long"))
     return (
-        counts.withColumn("one", F.lit(1))
-        .join(wanted.withColumn("one", F.lit(1)), "one")
-        .groupBy("policy", "rule")
+        counts.select("rule_bits", "n", each.alias("c"))
+        .groupBy("c.policy", "c.rule")
         .agg(
             F.sum(F.when(failed != 0, F.col("n")).otherwise(0)).alias("rejected"),
-            F.sum(F.when(failed == F.col("bit"), F.col("n")).otherwise(0)).alias("only_by_rule"),
+            F.sum(F.when(failed == F.col("c.bit"), F.col("n")).otherwise(0)).alias("only_by_rule"),
         )
     )
+
+
+def ablation_report(docs: DataFrame) -> DataFrame:
+    """Store the ledger of the documents, then the effect of every rule of every policy."""
+    return ablations(materialize(ledger(docs).select("rule_bits"), "quality-ledger"))

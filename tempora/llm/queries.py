@@ -66,6 +66,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of op6: what each rule of each policy rejects, and rejects alone."""
+    return quality.ablation_report(table(spark, sf_dir, "documents"))
+
+
+#: Reports of the ten operators: not operators of their own.
+REPORTS = {"quality_ablations": quality_ablations}
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,

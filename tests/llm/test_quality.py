@@ -57,3 +57,22 @@ def test_ablations_equal_a_second_pass(odd):
         rules, bit = quality.mask(quality.POLICIES[r.policy]), quality.mask([r.rule])
         assert r.rejected == sum(1 for x in rows if x.rule_bits & rules)
         assert r.only_by_rule == sum(1 for x in rows if x.rule_bits & rules == bit)
+
+
+def test_ablation_query_equals_sql(spark, small):
+    import duckdb
+
+    from tempora.llm.oracles import REPORT_ORACLES
+    from tempora.llm.queries import REPORTS
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    columns = ["policy", "rule", "rejected", "only_by_rule"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({REPORT_ORACLES['quality_ablations']})").fetchall()
+    got = REPORTS["quality_ablations"](spark, small).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 11
+    assert any(r[2] > r[3] > 0 for r in want)
+
+
+def test_no_ablations_of_nothing(none):
+    assert quality.ablation_report(none).count() == 0
