@@ -4,14 +4,16 @@ A pre-token is a word with the vocabulary's word-begin mark before it. Under a
 unigram model the segmentation of least cost is found by a forward pass over
 its characters, and the pass over a prefix is the same for every word that
 begins with it. So the distinct new words of a group of texts are walked in
-sorted order, which is a depth-first walk of their trie: the path holds the
-forward scores of the current prefix, a word starts where it leaves the one
-before it, and the count at its last node is stored. Only the path is kept, so
+sorted order, which is a depth-first walk of their trie: the path holds, for
+each character of the current prefix, its forward score and the pieces that are
+still unfinished there, a word starts where it leaves the one before it, and the
+count at its last node is stored. The vocabulary is a trie too, so a piece is
+followed only as long as the vocabulary goes on. Only the path is kept, so
 memory is bounded by the longest word; counts of words up to KEEP_CHARS
 characters are remembered by each worker, in a store of bounded size.
 
 The public vocabulary has an order and no probabilities, so a piece's cost is
-that of Zipf's law at its rank, ln(1 + rank); characters outside it fall back to
+that of Zipf's law at its rank, ln(2 + rank); characters outside it fall back to
 bytes, as costly as the last rank each. Equal costs take fewer tokens.
 
 No shuffle. Defined cases: a null or blank text has no pre-tokens and no tokens;
@@ -46,7 +48,13 @@ class Unigram:
     def __init__(self, pieces: list[str]):
         self.cost = {p: math.log(2 + rank) for rank, p in reversed(list(enumerate(pieces)))}
         self.byte = math.log(2 + len(pieces))
-        self.longest = max(map(len, pieces), default=1)
+        #: A node is what follows it by character, and its piece's cost (None: no piece ends here).
+        self.trie: list = [{}, None]
+        for piece, cost in self.cost.items():
+            node = self.trie
+            for c in piece:
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = cost
         self.known: dict[str, int] = {}
 
     @classmethod
@@ -63,26 +71,33 @@ class Unigram:
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, int]]:
         """(word, tokens) of sorted distinct words, each prefix scored once."""
-        cost, longest, byte = self.cost, self.longest, self.byte
-        best: list[tuple[float, int]] = [(0.0, 0)]
+        root, byte = self.trie[0], self.byte
+        # For each prefix: cost, tokens, and the pieces that go on, as (what follows, cost, tokens at their start).
+        path: list[tuple[float, int, list]] = [(0.0, 0, [])]
         before = ""
         for word in words:
             marked = MARK + word
             shared = len(commonprefix((before, marked)))
-            del best[shared + 1 :]
-            for end in range(shared + 1, len(marked) + 1):
-                n = len(marked[end - 1].encode())
-                low = (best[end - 1][0] + n * byte, best[end - 1][1] + n)
-                for start in range(max(0, end - longest), end):
-                    piece = cost.get(marked[start:end])
-                    if piece is not None:
-                        so_far = best[start]
-                        option = (so_far[0] + piece, so_far[1] + 1)
-                        if option < low:
-                            low = option
-                best.append(low)
+            del path[shared + 1 :]
+            cost, tokens, going = path[-1]
+            for c in marked[shared:]:
+                n = 1 if c < "\x80" else len(c.encode())
+                low, fewest = cost + n * byte, tokens + n
+                on = []
+                for follows, so_far, used in (*going, (root, cost, tokens)):
+                    node = follows.get(c)
+                    if node is None:
+                        continue
+                    if node[1] is not None:
+                        option = so_far + node[1]
+                        if option < low or (option == low and used + 1 < fewest):
+                            low, fewest = option, used + 1
+                    if node[0]:
+                        on.append((node[0], so_far, used))
+                cost, tokens, going = low, fewest, on
+                path.append((cost, tokens, going))
             before = marked
-            yield word, best[-1][1]
+            yield word, tokens
 
     def count(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(pre-tokens, distinct pre-tokens, tokens) of each text."""
