@@ -9,8 +9,8 @@ that did not see it, as they will for new rows.
 The models are fitted in numpy on a bounded sample, the MAX_TRAIN labelled
 documents with the smallest hash of doc_id, over the VOCABULARY most frequent
 words of the sample that are in at least MIN_DF and at most MAX_SHARE of its
-documents. Near copies in the sample, told by the SIGNATURE smallest hashes of
-their words, teach once. Each model takes only words whose frequencies in the
+documents. Near copies in the sample with the same labels, told by the SIGNATURE
+smallest hashes of their words, teach once. Each model takes only words whose frequencies in the
 two classes of its training rows differ by MIN_Z standard errors, so that it
 does not learn wrong labels by heart. A word counts once per text, so a long
 text is judged by what it contains, not diluted by its length. A category's threshold is THRESHOLD, or the
@@ -19,7 +19,9 @@ PRECISION. Prediction covers every word of every text.
 
 Defined cases: a null or blank text has no words and gets the chain's base
 rates; rows without labels are predicted only; a labelled doc_id without a
-document, or repeated, teaches once at most; without labels every probability
+document teaches nothing, one with several rows of labels teaches the least of
+them in the chain's order, and of several documents of one doc_id one teaches;
+without labels every probability
 is 0; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -46,7 +48,8 @@ FOLDS = 5
 STEPS = 120
 L2 = 0.2
 MIN_Z = 5.0
-SIGNATURE = 3
+#: Texts with as many words in common as agree in so many smallest hashes differ in a few words at most.
+SIGNATURE = 16
 #: Precision that a threshold below THRESHOLD must keep on out-of-fold scores.
 PRECISION = 0.98
 THRESHOLD = 0.5
@@ -219,15 +222,15 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CHAIN) -> Chain:
     bound_arrow_batches(docs.sparkSession)
     names = [c for c, _ in categories]
     wanted = labels.where("doc_id is not null").select(
-        F.col("doc_id").cast("long"),
-        F.xxhash64(F.col("doc_id").cast("long")).alias("h"),
-        *[F.coalesce(F.expr(sql), F.lit(False)).cast("int").alias(c) for c, sql in categories],
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct(*[F.coalesce(F.expr(sql), F.lit(False)).cast("int").alias(c) for c, sql in categories]).alias("y"),
     )
+    wanted = wanted.groupBy("doc_id").agg(F.min("y").alias("y")).select("doc_id", F.xxhash64("doc_id").alias("h"), "y.*")
     # The hash alone leaves few more rows than wanted; then the exact first by hash.
     share = 1.3 * MAX_TRAIN / max(1, wanted.count())
     if share < 1:
         wanted = wanted.where(F.col("h") < int(-(2**63) + share * 2**64))
-    sample = wanted.orderBy("h", "doc_id", *names).limit(MAX_TRAIN).dropDuplicates(["doc_id"])
+    sample = wanted.orderBy("h", "doc_id").limit(MAX_TRAIN)
     sample = broadcast_if_small(materialize(sample, "toxicity-sample"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +252,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CHAIN) -> Chain:
     read = read.select("doc_id", "h", *names, "text").mapInArrow(
         words, schema + ", words array<binary>, dense array<double>, signature string"
     )
-    # Of the bounded sample's near copies, and of a repeated doc_id, the first by hash.
-    nth = F.row_number().over(Window.partitionBy("signature").orderBy("h", "doc_id"))
+    # Of the bounded sample's near copies the first by hash.
+    nth = F.row_number().over(Window.partitionBy("signature", *names).orderBy("h", "doc_id"))
     read = materialize(read.withColumn("nth", nth).where("nth = 1").drop("nth"), "toxicity-words")
     n = read.count()
     if not n:
@@ -269,14 +272,14 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CHAIN) -> Chain:
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [[ids[w] for w in row if w in ids] for row in batch.column("words").to_pylist()]
-            kept = [batch.column(c) for c in ["doc_id", "h", *names, "dense"]]
+            kept = ["doc_id", "h", *names, "dense", "signature"]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "h", *names, "dense", "ids"]
+                [*map(batch.column, kept), pa.array(lists, pa.list_(pa.int32()))], [*kept, "ids"]
             )
 
     # At most MAX_TRAIN rows of at most VOCABULARY numbers.
-    rows = read.mapInArrow(indexed, schema + ", dense array<double>, ids array<int>").toPandas()
-    rows = rows.sort_values(["h", "doc_id"]).drop_duplicates("doc_id")
+    rows = read.mapInArrow(indexed, schema + ", dense array<double>, signature string, ids array<int>").toPandas()
+    rows = rows.sort_values(["h", "doc_id", "signature"]).drop_duplicates("doc_id")
     dense = np.array([np.asarray(d, float) for d in rows["dense"]]).reshape(len(rows), _DENSE)
     x = Rows.build([np.asarray(i, np.int64) for i in rows["ids"]], dense, len(vocabulary))
     y = rows[names].to_numpy(float)
