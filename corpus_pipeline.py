@@ -2,7 +2,7 @@
 
 language ID      documents whose language is rejected go
 exact dedup      of equal texts the row with the largest doc_id stays
-near dedup       of each group of near copies the smallest doc_id stays
+near dedup       of each group of near copies the row with the smallest doc_id stays
 mixing           sources are taken to the target weights
 packing          what is left is packed into sequences
 
@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tempora.llm import dedup, langid, mixing, packing, simhash
 from tempora.llm.queries import tokenizer_file
-from tempora.plans.materialize import materialize
-
+from tempora.plans.materialize import intermediates, remove
 
 #: Workers that have run other stages before have less memory to spare for words.
 PACKING_WORDS = 200_000
@@ -57,8 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each but the last is written and read again."""
+    """All stages over the documents; each but the last is written and read again.
+
+    What a stage wrote on its way, and the table it read, go once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    read = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with intermediates(spark) as scope:
+            docs = scope.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if read:
+            remove(spark, read)
+        read = scope.kept
     return STAGES[-1][1](spark, docs, sf_dir)
