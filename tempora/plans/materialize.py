@@ -67,11 +67,14 @@ class Scope:
 
     def __init__(self, spark: SparkSession, paths: list[str]):
         self.spark, self.paths = spark, paths
+        #: Where the last table kept lies.
+        self.kept: str | None = None
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Materialise df, and leave it to whatever encloses this scope."""
         table, path = write_table(df, name)
         self.paths.remove(path)
+        self.kept = path
         if len(_open) > 1:
             _open[-2].append(path)
         return table
