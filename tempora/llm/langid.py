@@ -274,8 +274,8 @@ def learn(docs: DataFrame) -> LanguageModel:
                 for t, i, n in zip(pdf["text"], pdf["doc_id"], pdf["nth"], strict=True)
             ]
             for kind, found in (("", pairs), ("noise_", noise)):
-                pdf[kind + "bucket"] = [np.asarray(b, np.int32) for b, _ in found]
-                pdf[kind + "freq"] = [np.asarray(c, np.float32) / max(1, np.sum(c)) for _, c in found]
+                pdf[kind + "bucket"] = [np.asarray(b, np.int32).tobytes() for b, _ in found]
+                pdf[kind + "freq"] = [(np.asarray(c, np.float32) / max(1, np.sum(c))).tobytes() for _, c in found]
             yield pdf[["doc_id", "lang", "nth", "bucket", "freq", "noise_bucket", "noise_freq"]]
 
     # At most PER_LANGUAGE rows of each of MAX_LANGUAGES, each of at most 2 * BUCKETS numbers a kind.
@@ -285,7 +285,7 @@ def learn(docs: DataFrame) -> LanguageModel:
         .select("doc_id", "lang", "nth", "text")
         .mapInPandas(
             features,
-            "doc_id long, lang string, nth int, bucket array<int>, freq array<float>, noise_bucket array<int>, noise_freq array<float>",
+            "doc_id long, lang string, nth int, bucket binary, freq binary, noise_bucket binary, noise_freq binary",
         )
         .toPandas()
         .sort_values(["nth", "lang", "doc_id"])
@@ -298,7 +298,7 @@ def learn(docs: DataFrame) -> LanguageModel:
     for row in rows.itertuples():
         for b, f, label in ((row.bucket, row.freq, langs.index(row.lang)), (row.noise_bucket, row.noise_freq, len(langs))):
             if len(b):
-                samples.append((np.asarray(b, np.int32), np.asarray(f, np.float32)))
+                samples.append((np.frombuffer(b, np.int32), np.frombuffer(f, np.float32)))
                 y.append(label)
                 fits.append(row.nth % CALIBRATE != 0)
     del rows
