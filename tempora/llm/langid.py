@@ -275,7 +275,7 @@ def learn(docs: DataFrame) -> LanguageModel:
             ]
             for kind, found in (("", pairs), ("noise_", noise)):
                 pdf[kind + "bucket"] = [np.asarray(b, np.int32).tobytes() for b, _ in found]
-                pdf[kind + "freq"] = [(np.asarray(c, np.float32) / max(1, np.sum(c))).tobytes() for _, c in found]
+                pdf[kind + "freq"] = [(np.asarray(c, np.float64) / max(1, np.sum(c))).astype(np.float32).tobytes() for _, c in found]
             yield pdf[["doc_id", "lang", "nth", "bucket", "freq", "noise_bucket", "noise_freq"]]
 
     # At most PER_LANGUAGE rows of each of MAX_LANGUAGES, each of at most 2 * BUCKETS numbers a kind.
