@@ -161,24 +161,37 @@ def exif_round_trip(spark, d):
 @query(
     "alias_chain",
     """
-WITH RECURSIVE edges AS (SELECT 's' || s_suppkey AS src, CASE WHEN s_suppkey % 4 = 0 THEN 'n' || s_nationkey ELSE 's' || (s_suppkey // 4 * 4) END AS dst
-   FROM supplier WHERE s_suppkey >= 4),
-r AS (SELECT 's' || s_suppkey AS title, 's' || s_suppkey AS cur, 0 AS hop FROM supplier
-      UNION ALL SELECT title, dst, hop + 1 FROM r JOIN edges ON cur = src WHERE hop < 8 AND dst <> cur)
-SELECT title, cur AS final, cur IN (SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) AS found
-FROM r QUALIFY row_number() OVER (PARTITION BY title ORDER BY hop DESC) = 1
+WITH RECURSIVE edges AS (
+  SELECT 's' || s_suppkey AS src, CASE WHEN s_suppkey % 4 = 0 THEN 'n' || s_nationkey ELSE 's' || (s_suppkey // 4 * 4) END AS dst
+  FROM supplier WHERE s_suppkey >= 4
+  UNION ALL SELECT 'p' || p_partkey, 'p' || (p_partkey // 32 * 32 + (p_partkey + 1) % 32) FROM part WHERE p_partkey % 96 <> 31
+  UNION ALL SELECT 'q' || p_partkey, 'p' || p_partkey FROM part WHERE p_partkey % 5 = 0),
+r AS (SELECT title, title AS cur, [title] AS seen
+      FROM (SELECT 's' || s_suppkey AS title FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part
+            UNION ALL SELECT 'q' || p_partkey FROM part WHERE p_partkey % 10 = 0)
+      UNION ALL SELECT title, dst, list_append(seen, dst) FROM r JOIN edges ON cur = src
+      WHERE len(list_distinct(seen)) = len(seen))
+SELECT title, cur AS final,
+       cur IN (SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) OR cur IN (SELECT 'p' || p_partkey FROM part WHERE p_partkey % 3 = 0) AS found
+FROM r QUALIFY row_number() OVER (PARTITION BY title ORDER BY len(seen) DESC) = 1
 """,
 )
 def alias_chain(spark, d):
-    s = table(spark, d, "supplier")
-    name = F.concat(F.lit("s"), F.col("s_suppkey"))
-    k = F.col("s_suppkey")
-    dst = F.when(k % 4 == 0, F.concat(F.lit("n"), F.col("s_nationkey"))).otherwise(
-        F.concat(F.lit("s"), (F.floor(k / 4) * 4).cast("string"))
+    """Suppliers in short chains to nations, parts in chains and cycles of up to 32 with tails into them."""
+    s, p = table(spark, d, "supplier"), table(spark, d, "part")
+    named = lambda letter, k: F.concat(F.lit(letter), k.cast("string"))
+    k, at = F.col("s_suppkey"), F.col("p_partkey")
+    dst = F.when(k % 4 == 0, named("n", F.col("s_nationkey"))).otherwise(named("s", F.floor(k / 4) * 4))
+    edges = s.where("s_suppkey >= 4").select(named("s", k).alias("src"), dst.alias("dst"))
+    ring = p.where("p_partkey % 96 <> 31").select(
+        named("p", at).alias("src"), named("p", F.floor(at / 32) * 32 + (at + 1) % 32).alias("dst")
     )
-    edges = s.where("s_suppkey >= 4").select(name.alias("src"), dst.alias("dst"))
-    pages = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("title"))
-    return metadata.resolve_aliases(s.select(name.alias("title")), edges, pages)
+    tails = p.where("p_partkey % 5 = 0").select(named("q", at).alias("src"), named("p", at).alias("dst"))
+    asked = s.select(named("s", k).alias("title")).unionByName(p.select(named("p", at).alias("title")))
+    asked = asked.unionByName(p.where("p_partkey % 10 = 0").select(named("q", at).alias("title")))
+    pages = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(named("n", F.col("n_nationkey")).alias("title"))
+    pages = pages.unionByName(p.where("p_partkey % 3 = 0").select(named("p", at).alias("title")))
+    return metadata.resolve_aliases(asked, edges.unionByName(ring).unionByName(tails), pages)
 
 
 @query(

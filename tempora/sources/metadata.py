@@ -167,11 +167,11 @@ def _cycle_ends(step: DataFrame, rows: DataFrame, ends: str) -> DataFrame:
     return entry.join(last, "at").select("node", F.col("last").alias("at"))
 
 
-def resolve_aliases(requested: DataFrame, edges: DataFrame, pages: DataFrame, ends: str = "last") -> DataFrame:
+def resolve_aliases(requested: DataFrame, edges: DataFrame, pages: DataFrame, ends: str = "first") -> DataFrame:
     """title, final, found: follow renamings (src -> dst), however many, to a page.
 
-    A cycle ends at the last title before one is repeated, or, with ends="first",
-    at the repeated title itself. Each round is an equi-join written to the shared folder.
+    A cycle ends at the title that is repeated first, or, with ends="last", at the
+    one before it. Each round is an equi-join written to the shared folder.
     """
     if ends not in ("last", "first"):
         raise ValueError(f"ends must be last or first, not {ends}")

@@ -12,13 +12,13 @@ from tempora.functions import strings as st
 from tempora.sources import colmap, index, metadata
 from tempora.streaming.incremental import date_new_files
 
-CAMERA = struct.pack("<Q", 1) + struct.pack("<iiQQ4d", 3, 2, 800, 600, 700.0, 400.0, 300.0, 0.01)
+CAMERA = struct.pack("<Q", 1) + struct.pack("<iiQQ4d", 11, 1, 1920, 1080, 1500.5, 1490.25, 960.0, 540.0)
 
 
 def image_file(points):
     out = struct.pack("<Q", 2)
-    for i, name in enumerate(("commons/A/x y.jpg", "commons/B/é.jpg")):
-        out += struct.pack("<I7dI", i + 1, 1.0, 0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 3) + name.encode() + b"\0"
+    for i, name in enumerate(("archive/K/pier 9.jpg", "archive/L/ž.jpg")):
+        out += struct.pack("<I7dI", i + 1, 1.0, 0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 11) + name.encode() + b"\0"
         if points:
             out += struct.pack("<Q", i) + b"\7" * 24 * i
     return out
@@ -31,9 +31,9 @@ def test_colmap_source(spark, tmp_path):
     spark.dataSource.register(colmap.ColmapSource)
     read = lambda name, **o: spark.read.format("colmap").options(**o).load(str(tmp_path / name))
     cam = read("cameras.bin", kind="cameras").first()
-    assert (cam.camera_id, cam.model, cam.width, cam.params) == (3, "SIMPLE_RADIAL", 800, [700.0, 400.0, 300.0, 0.01])
+    assert (cam.camera_id, cam.model, cam.width, cam.params) == (11, "PINHOLE", 1920, [1500.5, 1490.25, 960.0, 540.0])
     full, small = read("images.bin"), read("images.minibin", points="false")
-    assert [(r.image_id, r.name, r.tz, r.n_points) for r in full.collect()] == [(1, "commons/A/x y.jpg", 3.0, 0), (2, "commons/B/é.jpg", 3.0, 1)]
+    assert [(r.image_id, r.name, r.tz, r.n_points) for r in full.collect()] == [(1, "archive/K/pier 9.jpg", 3.0, 0), (2, "archive/L/ž.jpg", 3.0, 1)]
     assert [r.name for r in small.collect()] == [r.name for r in full.collect()]
     binary = spark.read.format("binaryFile").load(str(tmp_path / "images.bin"))
     assert colmap.parse_files(binary).drop("path").exceptAll(full.drop("path")).count() == 0
@@ -49,16 +49,16 @@ def test_broken_camera_files(data):
 
 
 def test_recon_and_categories(spark, tmp_path):
-    (tmp_path / "recon.json").write_text(json.dumps({"5": ["A", 2, 4, 100, 30, 900], "9": ["B", 1, 12, 50], "7": ["C", 0]}))
+    (tmp_path / "recon.json").write_text(json.dumps({"31": ["Old Mill", 2, 17, 2300, 8, 95], "44": ["Quay", 1, 6, 41], "52": ["Tower", 0]}))
     rows = index.load_recon_metadata(spark, str(tmp_path / "recon.json")).orderBy("scene_id", "model").collect()
-    assert [(r.scene_id, r.scene, r.model, r.n_images, r.n_points) for r in rows] == [(5, "A", 0, 4, 100), (5, "A", 1, 30, 900), (9, "B", 0, 12, 50)]
-    (tmp_path / "bad.json").write_text(json.dumps({"5": ["A", 2, 4]}))
+    assert [(r.scene_id, r.scene, r.model, r.n_images, r.n_points) for r in rows] == [(31, "Old Mill", 0, 17, 2300), (31, "Old Mill", 1, 8, 95), (44, "Quay", 0, 6, 41)]
+    (tmp_path / "bad.json").write_text(json.dumps({"31": ["Old Mill", 2, 17]}))
     with pytest.raises(Exception, match="sizes"):
         index.load_recon_metadata(spark, str(tmp_path / "bad.json")).collect()
-    (tmp_path / "cat.json").write_text(json.dumps({"A": 5, "B": 9}))
-    assert {r.scene: r.scene_id for r in index.load_categories(spark, str(tmp_path / "cat.json")).collect()} == {"A": 5, "B": 9}
-    (tmp_path / "scenes.txt").write_text("# all\nTaj Mahal\n\n 42 # number\n")
-    assert [r.scene for r in index.read_scene_file(spark, str(tmp_path / "scenes.txt")).collect()] == ["Taj Mahal", "42"]
+    (tmp_path / "cat.json").write_text(json.dumps({"Quay": 44, "Tower": 52}))
+    assert {r.scene: r.scene_id for r in index.load_categories(spark, str(tmp_path / "cat.json")).collect()} == {"Quay": 44, "Tower": 52}
+    (tmp_path / "scenes.txt").write_text("# all\nOld Mill\n\n 44 # the quay\n")
+    assert [r.scene for r in index.read_scene_file(spark, str(tmp_path / "scenes.txt")).collect()] == ["Old Mill", "44"]
 
 
 def page(**ext):
@@ -67,24 +67,24 @@ def page(**ext):
         "extmetadata": {k: {"value": v, "source": "commons-desc-page"} for k, v in ext.items()},
         "commonmetadata": [{"name": "Make", "value": "Old"}, {"name": "Make", "value": "Canon"}, {"name": "Other", "value": 1}],
     }
-    return {"pageid": 7, "title": "File:A b.jpg", "imageinfo": [info]}
+    return {"pageid": 61, "title": "File:Mill weir.jpg", "imageinfo": [info]}
 
 
 def test_raw_metadata(spark, tmp_path):
     first = page(
-        DateTimeOriginal='<i>1851</i>\x01 <div style="display: none;">date QS:P571,+1851&quot;/9</div>',
-        Artist='<a title="Someone (c. 1812 – 1902)">S</a>', Categories="A|B|", ObjectName={"de": "x", "en": "An &amp; object", "_type": "lang"},
+        DateTimeOriginal='<i>1777</i>\x01 <div style="display: none;">date QS:P571,+1777&quot;/9</div>',
+        Artist='<a title="A painter (c. 1741 – 1799)">S</a>', Categories="A|B|", ObjectName={"de": "x", "en": "Mill &amp; weir", "_type": "lang"},
         ImageDescription="d" * 3000,
     )
-    raw = json.dumps({"elements": [{"7": first}, {"8": {"pageid": 8, "title": "File:none"}}]}).replace("\\u0001", "\x01")
+    raw = json.dumps({"elements": [{"61": first}, {"62": {"pageid": 62, "title": "File:none"}}]}).replace("\\u0001", "\x01")
     with gzip.open(tmp_path / "raw_metadata.json.gz", "wt") as f:
         f.write(raw)
     (tmp_path / "raw2.json").write_text("not json")
     found = metadata.parse_pages(metadata.read_raw_metadata(spark, str(tmp_path / "*.json*"))).collect()
     assert len(found) == 1
     r = found[0]
-    assert (r.title, r.file_key, r.date_qs, r.artist_born, r.artist_died) == ("A b.jpg", "A_b.jpg", 'P571,+1851"/9', 1812, 1902)
-    assert r.categories == ["A", "B"] and r.object_name == "An & object" and len(r.description) == 2000 and r.exif == {"Make": "Canon"}
+    assert (r.title, r.file_key, r.date_qs, r.artist_born, r.artist_died) == ("Mill weir.jpg", "Mill_weir.jpg", 'P571,+1777"/9', 1741, 1799)
+    assert r.categories == ["A", "B"] and r.object_name == "Mill & weir" and len(r.description) == 2000 and r.exif == {"Make": "Canon"}
     text = spark.read.text(str(tmp_path / "*.json*"), wholetext=True).withColumn("path", F.input_file_name())
     assert metadata.audit(text).count() == 1
 
@@ -94,19 +94,20 @@ def test_names(spark):
     names = ["commons/A/0/A B.jpg", "File:Café.jpg", "a:b\"c?.jpg", long]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, s string")
     got = df.select(st.file_key(F.col("s")).alias("k"), st.safe_filename(F.col("s")).alias("f"), st.title_of(F.col("s")).alias("t")).collect()
-    assert [r.k for r in got[:2]] == ["A_B.jpg", "Café.jpg"]
-    assert got[2].f == "a%3Ab%22c%3F.jpg" and len(got[3].f) == 180 and got[3].f[-13] == "_"
-    assert got[0].t == "File:A B.jpg"
-    ids = spark.createDataFrame([(110925,), (7,)], "i long").select(st.scene_prefix(F.col("i")).alias("p")).collect()
-    assert [r.p for r in ids] == ["110/925", "000/007"]
+    assert [r.k for r in got[:2]] == ["Pier_9.jpg", "\u017Di\u017Ekov.jpg"]
+    assert got[2].f == "x%2Ay%7Cz%3C.png" and len(got[3].f) == 180 and got[3].f[-13] == "_"
+    assert got[0].t == "File:Pier 9.jpg"
+    ids = spark.createDataFrame([(42007,), (999,), (1234567,)], "i long").select(st.scene_prefix(F.col("i")).alias("p")).collect()
+    assert [r.p for r in ids] == ["042/007", "000/999", "1234/567"]
 
 
 def test_aliases_with_a_cycle(spark):
-    asked = spark.createDataFrame([("a",), ("x",), ("lost",)], "title string")
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "src string, dst string")
-    pages = spark.createDataFrame([("c",), ("y",)], "title string")
+    """A cycle ends at the title that is repeated first: at the asked one itself, if it lies on the cycle."""
+    asked = spark.createDataFrame([("p",), ("q",), ("in",), ("lost",)], "title string")
+    edges = spark.createDataFrame([("p", "o"), ("o", "n"), ("q", "r"), ("r", "s"), ("s", "q"), ("in", "r")], "src string, dst string")
+    pages = spark.createDataFrame([("n",), ("q",)], "title string")
     got = {r.title: (r.final, r.found) for r in metadata.resolve_aliases(asked, edges, pages).collect()}
-    assert got == {"a": ("c", True), "x": ("y", True), "lost": ("lost", False)}
+    assert got == {"p": ("n", True), "q": ("q", True), "in": ("r", False), "lost": ("lost", False)}
 
 
 def test_aliases_of_any_length(spark):
