@@ -167,7 +167,7 @@ def _category_interval(kind: str, name: Column, p: str, max_year: int) -> Column
     if kind == "ymd":
         return from_day(part(1), part(2), part(3))
     if kind == "month":
-        return from_month(part(2), let(F.lower(F.regexp_extract(name, p, 1)), month_number))
+        return from_month(part(2), month_number(F.lower(F.regexp_extract(name, p, 1))))
     if kind == "span":
         return from_years(part(1), part(2))
     shape = {

@@ -47,11 +47,8 @@ CIRCA_SHORT = "(?U)\\b(?:ca|c)\\."
 
 def month_number(name: Column) -> Column:
     """1 to 12 of a lower-case month name; null for any other word."""
-    return reduce(
-        lambda otherwise, item: F.when(name.isin(*item[1].split()), item[0]).otherwise(otherwise),
-        MONTHS.items(),
-        F.lit(None).cast("int"),
-    )
+    pairs = ", ".join(f"'{word}', {n}" for n, names in MONTHS.items() for word in names.split())
+    return F.element_at(F.expr(f"map({pairs})"), name)
 
 
 def parse_date_text(
@@ -82,7 +79,7 @@ def parse_date_text(
         )
         found = F.struct(
             *[number(low, p, n).alias(k) for k, (p, n) in groups.items()],
-            *[let(F.regexp_extract(low, p, n), month_number).alias(k) for k, (p, n) in months.items()],
+            *[month_number(F.regexp_extract(low, p, n)).alias(k) for k, (p, n) in months.items()],
             F.array_sort(years).alias("years"),
             flags.alias("flags"),
         )

@@ -22,8 +22,7 @@ INTERVAL = "struct<lo:double,hi:double>"
 def decimal_year(day: Column) -> Column:
     """Year plus the part of it that has passed before the day."""
     y = F.year(day)
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    return y + (F.dayofyear(day) - 1) / F.when(leap, 366).otherwise(365)
+    return y + (F.dayofyear(day) - 1) / F.dayofyear(F.make_date(y, F.lit(12), F.lit(31)))
 
 
 def interval(lo: Column, hi: Column) -> Column:
