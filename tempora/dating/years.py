@@ -160,38 +160,62 @@ def estimate_image_year(filename: Column, categories: Column, description: Colum
     return F.coalesce(parse_field(field), best(said), parse_exif_time(exif))
 
 
-def audit(rows: DataFrame, min_conf: float = 0.5, min_year: int = 1826) -> DataFrame:
-    """One row of counts over (title, date_start, date_end, date_conf, date_source)."""
+def _judged(rows: DataFrame, min_conf: float, min_year: int) -> DataFrame:
+    """Add mid, sure (dated, and confident enough) and usable (and photographs existed)."""
     middle = F.when(F.col("date_start").isNotNull(), (F.col("date_start") + F.col("date_end") + 1) / 2)
     r = rows.withColumn("mid", middle)
-    dated = F.col("mid").isNotNull()
-    sure = dated & (F.col("date_conf") >= min_conf)
-    usable = sure & (F.col("mid") >= min_year)
-    n = lambda cond, name: F.count_if(cond).alias(name)
-    return r.agg(
+    sure = F.col("mid").isNotNull() & F.coalesce(F.col("date_conf") >= min_conf, F.lit(False))
+    return r.withColumn("sure", sure).withColumn("usable", sure & (F.col("mid") >= min_year))
+
+
+def usable(rows: DataFrame, min_conf: float = 0.5, min_year: int = 1826) -> DataFrame:
+    """The rows that the audit finds usable, with their mid year."""
+    return _judged(rows, min_conf, min_year).where("usable").select(*rows.columns, "mid")
+
+
+def _count(cond: Column, name: str) -> Column:
+    return F.count_if(cond).alias(name)
+
+
+def audit(rows: DataFrame, min_conf: float = 0.5, min_year: int = 1826) -> DataFrame:
+    """One row of counts over (title, date_start, date_end, date_conf, date_source)."""
+    kept, mid = F.col("usable"), F.col("mid")
+    return _judged(rows, min_conf, min_year).agg(
         F.count("*").alias("total"),
         F.count_distinct("title").alias("titles"),
-        n(dated, "dated"),
-        n(sure, "confident"),
-        n(usable, "usable"),
-        n(usable & (F.col("mid") < 1900), "pre_1900"),
-        n(usable & (F.col("mid") < 1950), "pre_1950"),
-        n(usable & (F.col("mid") < 1970), "pre_1970"),
-        n(usable & (F.col("mid") >= 2000), "post_2000"),
+        _count(mid.isNotNull(), "dated"),
+        _count(F.col("sure"), "confident"),
+        _count(kept, "usable"),
+        _count(kept & (mid < 1900), "pre_1900"),
+        _count(kept & (mid < 1950), "pre_1950"),
+        _count(kept & (mid < 1970), "pre_1970"),
+        _count(kept & (mid >= 2000), "post_2000"),
     )
 
 
-def decade_histogram(rows: DataFrame) -> DataFrame:
-    middle = (F.col("date_start") + F.col("date_end") + 1) / 2
-    return (
-        rows.where("date_start is not null")
-        .groupBy((F.floor(middle / 10) * 10).cast("long").alias("decade"))
-        .agg(F.count("*").alias("n"))
+def audit_drops(rows: DataFrame, min_conf: float = 0.5, min_year: int = 1826) -> DataFrame:
+    """One row: what each stage of the audit drops, and rows that repeat a title."""
+    dated, sure = F.col("mid").isNotNull(), F.col("sure")
+    return _judged(rows, min_conf, min_year).agg(
+        _count(~dated, "undated"),
+        _count(dated & ~sure, "low_conf_dropped"),
+        _count(sure & ~F.col("usable"), "pre_photo_dropped"),
+        (F.count("*") - F.count_distinct("title")).alias("duplicate_rows"),
     )
 
 
-def oldest(rows: DataFrame, n: int = 15) -> DataFrame:
-    """The n oldest rows by mid year: a top-k report."""
-    return rows.where("date_start is not null").withColumn(
-        "mid", (F.col("date_start") + F.col("date_end") + 1) / 2
-    ).orderBy("mid", "title").limit(n)
+def audit_sources(rows: DataFrame, min_conf: float = 0.5, min_year: int = 1826) -> DataFrame:
+    """date_source, n, usable: the dated rows of each source."""
+    judged = _judged(rows, min_conf, min_year).where("mid is not null")
+    return judged.groupBy("date_source").agg(F.count("*").alias("n"), _count(F.col("usable"), "usable"))
+
+
+def decade_histogram(rows: DataFrame, min_conf: float = 0.5, min_year: int = 1826) -> DataFrame:
+    """decade, n of the usable rows."""
+    decade = (F.floor(F.col("mid") / 10) * 10).cast("long").alias("decade")
+    return usable(rows, min_conf, min_year).groupBy(decade).agg(F.count("*").alias("n"))
+
+
+def oldest(rows: DataFrame, n: int = 15, min_conf: float = 0.5, min_year: int = 1826) -> DataFrame:
+    """The n oldest usable rows by mid year: a top-k report."""
+    return usable(rows, min_conf, min_year).orderBy("mid", "title").limit(n)

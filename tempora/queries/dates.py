@@ -321,7 +321,7 @@ e AS (SELECT o_orderkey, o_custkey,
 """
 
 
-def _legacy(spark, d) -> DataFrame:
+def legacy_rows(spark, d) -> DataFrame:
     o = _orders(spark, d)
     decade = (F.floor(F.col("y") / 10) * 10).cast("string")
     text = _form(
@@ -340,12 +340,13 @@ def _legacy(spark, d) -> DataFrame:
     return o.withColumn("e", e).select(
         "o_orderkey", F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("title"),
         F.col("e.start").alias("date_start"), F.col("e.end").alias("date_end"), F.col("e.confidence").alias("date_conf"),
+        F.col("e.source").alias("date_source"),
     )
 
 
 @query("legacy_year_parse", LEGACY + "SELECT o_orderkey, s AS date_start, t AS date_end, CAST(c AS DOUBLE) AS date_conf FROM e")
 def legacy_year_parse(spark, d):
-    return _legacy(spark, d).drop("title")
+    return legacy_rows(spark, d).drop("title", "date_source")
 
 
 @query(
@@ -357,20 +358,20 @@ SELECT count(*) AS total, count(DISTINCT o_custkey) AS titles, count(mid) AS dat
   (SELECT count(*) FROM u WHERE mid >= 2000) AS post_2000 FROM m""",
 )
 def legacy_audit(spark, d):
-    return years.audit(_legacy(spark, d))
+    return years.audit(legacy_rows(spark, d))
 
 
-@query("decade_histogram", LEGACY + "SELECT CAST(floor((s + t + 1) / 2 / 10) * 10 AS BIGINT) AS decade, count(*) AS n FROM e WHERE s IS NOT NULL GROUP BY 1")
+@query("decade_histogram", LEGACY + "SELECT CAST(floor((s + t + 1) / 2 / 10) * 10 AS BIGINT) AS decade, count(*) AS n FROM e WHERE c >= 0.5 AND (s + t + 1) / 2 >= 1826 GROUP BY 1")
 def decade_histogram(spark, d):
-    return years.decade_histogram(_legacy(spark, d))
+    return years.decade_histogram(legacy_rows(spark, d))
 
 
 @query(
     "oldest_n",
-    LEGACY + "SELECT (s + t + 1) / 2 AS mid, 't' || o_custkey AS title FROM e WHERE s IS NOT NULL ORDER BY 1, 2 LIMIT 15",
+    LEGACY + "SELECT (s + t + 1) / 2 AS mid, 't' || o_custkey AS title FROM e WHERE c >= 0.5 AND (s + t + 1) / 2 >= 1826 ORDER BY 1, 2 LIMIT 15",
 )
 def oldest_n(spark, d):
-    return years.oldest(_legacy(spark, d)).select("mid", "title")
+    return years.oldest(legacy_rows(spark, d)).select("mid", "title")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tempora.functions import geometry as geo
 from tempora.operators import retrieval, views
 from tempora.queries.registry import query
-from tempora.queries.vision import _cameras, _views
+from tempora.queries.vision import cameras, _views
 from tempora.session import table
 
 
@@ -190,7 +190,7 @@ def plucker_rays(spark, d):
 
 @query("camera_plane")
 def camera_plane(spark, d):
-    return views.plane(_cameras(spark, d).select("vec_id", "scene_id", "cx", "cy", "cz")).select("vec_id", "u", "v")
+    return views.plane(cameras(spark, d).select("vec_id", "scene_id", "cx", "cy", "cz")).select("vec_id", "u", "v")
 
 
 @query("transform_frames")

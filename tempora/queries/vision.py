@@ -29,7 +29,7 @@ SCALE = """mid AS (SELECT scene_id, median(cx) AS mx, median(cy) AS my, median(c
 sc AS (SELECT scene_id, median(sqrt(pow(cx - mx, 2) + pow(cy - my, 2) + pow(cz - mz, 2))) AS scale FROM cams JOIN mid USING (scene_id) GROUP BY 1)"""
 
 
-def _cameras(spark, d) -> DataFrame:
+def cameras(spark, d) -> DataFrame:
     names = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
     e = table(spark, d, "embeddings").select(
         "vec_id", "label", "embedding", (F.col("vec_id") % 4).alias("scene_id"),
@@ -49,7 +49,7 @@ FROM {ROT}
 """,
 )
 def quat_geometry(spark, d):
-    cams = _cameras(spark, d)
+    cams = cameras(spark, d)
     r = geo.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
     six = lambda c: F.round(c, 6) + 0.0
     return cams.withColumn("r", r).select(
@@ -60,7 +60,7 @@ def quat_geometry(spark, d):
 
 @query("scene_scale", f"WITH {CAMS}, {SCALE} SELECT scene_id, round(scale, 6) AS scale FROM sc")
 def scene_scale(spark, d):
-    return geo.scene_scale(_cameras(spark, d), ["scene_id"]).withColumn("scale", F.round("scale", 6))
+    return geo.scene_scale(cameras(spark, d), ["scene_id"]).withColumn("scale", F.round("scale", 6))
 
 
 @query(
@@ -73,7 +73,7 @@ FROM cams a JOIN cams b ON b.vec_id = a.vec_id + 4 JOIN sc ON sc.scene_id = a.sc
 """,
 )
 def pose_distance(spark, d):
-    cams = _cameras(spark, d)
+    cams = cameras(spark, d)
     other = cams.select((F.col("vec_id") - 4).alias("vec_id"), *[F.col(c).alias(f"o_{c}") for c in retrieval.POSE])
     both = cams.join(other, "vec_id").join(geo.scene_scale(cams, ["scene_id"]), "scene_id")
     a, b = ({c: F.col(p + c) for c in retrieval.POSE} for p in ("", "o_"))
@@ -91,7 +91,7 @@ FROM r a JOIN r b ON b.vec_id = a.vec_id + 1
 )
 def rotation_error(spark, d):
     r = geo.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
-    rows = _cameras(spark, d).select("vec_id", r.alias("r"))
+    rows = cameras(spark, d).select("vec_id", r.alias("r"))
     other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("r").alias("o"))
     return rows.join(other, "vec_id").select("vec_id", F.round(geo.rotation_error_deg(F.col("r"), F.col("o")), 4).alias("deg"))
 
@@ -107,7 +107,7 @@ p AS (SELECT t.vec_id AS target, c.vec_id AS cand, abs(c.date - t.date) AS gap,
 
 def _pairs(spark, d) -> DataFrame:
     """Every twentieth view against the other views of its scene."""
-    cams = _cameras(spark, d)
+    cams = cameras(spark, d)
     side = lambda df, role: df.select("scene_id", F.col("vec_id").alias(role), F.col("date").alias(f"{role}_date"), *[F.col(c).alias(f"{role}_{c}") for c in retrieval.POSE])
     t, c = side(cams.where("vec_id % 20 = 0"), "target"), side(cams.where("vec_id % 20 <> 0"), "cand")
     t = t.join(geo.scene_scale(cams, ["scene_id"]), "scene_id")
@@ -183,7 +183,7 @@ def image_metrics(spark, d):
 
 
 def _views(spark, d) -> DataFrame:
-    cams = _cameras(spark, d)
+    cams = cameras(spark, d)
     return cams.withColumn("row_id", F.col("vec_id")).withColumn("file_key", F.col("vec_id").cast("string"))
 
 
