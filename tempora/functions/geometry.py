@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.strings import let
+from tempora.plans.materialize import materialize
+from tempora.plans.ranking import medians
 
 
 def rotation(w: Column, x: Column, y: Column, z: Column, normalise: bool = True) -> Column:
@@ -105,14 +107,12 @@ def camera_features(views: DataFrame) -> DataFrame:
 
 def scene_scale(cameras: DataFrame, by: list[str]) -> DataFrame:
     """by.., scale: median distance to the component-wise median centre, 1 where that is 0."""
-    middle = cameras.groupBy(*by).agg(*[F.median(c).alias(f"m{c}") for c in ("cx", "cy", "cz")])
-    far = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in ("cx", "cy", "cz")))
-    return (
-        cameras.join(middle, by)
-        .groupBy(*by)
-        .agg(F.median(far).alias("scale"))
-        .withColumn("scale", F.coalesce(F.nullif(F.col("scale"), F.lit(0.0)), F.lit(1.0)))
-    )
+    own = ("cx", "cy", "cz")
+    centres = materialize(cameras.select(*by, *own), "centres")
+    middle = medians(centres, by, list(own)).withColumnsRenamed({c: f"m{c}" for c in own})
+    far = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in own))
+    apart = materialize(centres.join(middle, by).select(*by, far.alias("scale")), "distances")
+    return medians(apart, by, ["scale"]).withColumn("scale", F.coalesce(F.nullif(F.col("scale"), F.lit(0.0)), F.lit(1.0)))
 
 
 def focal_and_center(model: Column, params: Column) -> Column:

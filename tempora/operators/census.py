@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.plans.ranking import medians, quantiles
+
 # Era names, their first years, and the limits.
 ERAS = ("pre-1900", "1900-1944", "1945-1969", "1970-1999", "2000+")
 ERA_STARTS = (1900, 1945, 1970, 2000)
@@ -216,11 +218,12 @@ def old_vs_modern(cameras: DataFrame, old_before=1950, modern_from=2000) -> Data
     """Where old cameras stand against the 5th to 95th percentile shell of the modern ones."""
     modern, old = cameras.where(F.col("year") >= modern_from), cameras.where(F.col("year") < old_before)
     # Five numbers come back: the median centre of the modern cameras and their shell.
-    middle = modern.agg(*[F.median(c).alias(c) for c in "xyz"]).first()
+    whole = lambda df: df.withColumn("whole", F.lit(1))
+    middle = medians(whole(modern.select(*"xyz")), ["whole"], list("xyz")).first() or dict.fromkeys("xyz")
     apart = lambda c: F.col(c) - F.lit(middle[c]).cast("double")
     radius = F.sqrt(sum(apart(c) * apart(c) for c in "xyz"))
-    shell = modern.agg(F.percentile(radius, F.array(F.lit(0.05), F.lit(0.95))).alias("p")).first().p or [None, None]
-    low, high = (F.lit(v).cast("double") for v in shell)
+    shell = quantiles(whole(modern.select(radius.alias("r"))), ["whole"], {"low": ("r", 0.05), "high": ("r", 0.95)}).first()
+    low, high = (F.lit(shell[k] if shell else None).cast("double") for k in ("low", "high"))
     placed = old.withColumn("r", radius)
     return placed.agg(
         F.count("*").alias("n_old"),

@@ -34,6 +34,36 @@ def band_join(df: DataFrame, key: str, bands: dict[str, float], equal: tuple[str
     return joined.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"))
 
 
+def band_groups(df: DataFrame, key: str, bands: dict[str, float], equal: tuple[str, ...] = ()) -> DataFrame:
+    """key, group_id: components of band_join's pairs, the smallest key each, without making the pairs.
+
+    Rows of one cell are within every tolerance (up to the rounding of a
+    quotient), so a cell is one node, however full it is. Two neighbouring cells
+    are linked if any row of one has a partner in the other: a semi-join, which
+    stops at the first and leaves at most one row for a row and a cell. Rows
+    without a value in a band, or in an equal column, are groups of their own.
+    """
+    cells = {f"c_{c}": F.floor(F.col(c) / tol).cast("long") for c, tol in bands.items()}
+    at = [*equal, *cells]
+    rows = df.select(key, *equal, *bands, *[v.alias(c) for c, v in cells.items()])
+    nodes = materialize(rows.dropna(subset=at).groupBy(*at).agg(F.min(key).alias("node_key")), "cells")
+    # Equal values are one row; each visits the cells that come after its own.
+    points = materialize(rows.dropna(subset=at).select(*at, *bands).distinct(), "cell-points")
+    away = points.withColumns({f"o_{c}": F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])) for c in cells})
+    away = away.where(F.struct(*[f"o_{c}" for c in cells]) > F.struct(*cells))
+    other = points.select(*[F.col(c).alias(f"r_{c}") for c in points.columns])
+    on = [F.col(c) == F.col(f"r_{c}") for c in equal] + [F.col(f"o_{c}") == F.col(f"r_{c}") for c in cells]
+    on += [F.abs(F.col(c) - F.col(f"r_{c}")) <= tol for c, tol in bands.items()]
+    met = away.join(other, on, "left_semi").select(*at, *[f"o_{c}" for c in cells]).distinct()
+    far = nodes.select(*equal, *[F.col(c).alias(f"o_{c}") for c in cells], F.col("node_key").alias("v"))
+    links = met.join(nodes.withColumnRenamed("node_key", "u"), at).join(far, [*equal, *[f"o_{c}" for c in cells]]).select("u", "v")
+    label = connected_components(links)
+    named = nodes.join(label, F.col("node_key") == F.col("node"), "left").select(
+        *at, F.coalesce("component", "node_key").alias("group_id")
+    )
+    return rows.join(named, at, "left").select(key, F.coalesce("group_id", key).alias("group_id"))
+
+
 def groups_from_pairs(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """key, group_id: the smallest key of the component; a lone row is its own group."""
     label = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -43,19 +73,21 @@ def groups_from_pairs(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(views: DataFrame, date_tol: float = 0.1, pose_tol: float = 0.05) -> DataFrame:
-    """file_key, group_id of views (row_id, file_key, date, cx..cz, dx..dz, scale).
+    """file_key, group_id of views (row_id, file_key, date, cx..cz, dx..dz, scale; scene_id if there are several).
 
-    Both tolerances are inclusive. Undated views are groups of their own. Views
+    Both tolerances are inclusive. Undated views are groups of their own, and
+    views of different scenes, whose positions have nothing in common, too. Views
     with the same date and camera are one before the join, so that copies are
     linear; the position joins by cells of pose_tol scene widths, since a pose
     distance is never less than the distance of the centres.
     """
-    pose = ["date", "cx", "cy", "cz", "dx", "dy", "dz", "scale"]
+    scene = ["scene_id"] if "scene_id" in views.columns else []
+    pose = [*scene, "date", "cx", "cy", "cz", "dx", "dy", "dz", "scale"]
     dated = views.where("date is not null and not isnan(date)")
     same = materialize(dated.groupBy(*pose).agg(F.min("row_id").alias("row_id")), "neardup-poses")
-    unit = same.select("row_id", "date", *[(F.col(c) / F.col("scale")).alias(f"u{c}") for c in ("cx", "cy", "cz")],
+    unit = same.select("row_id", *scene, "date", *[(F.col(c) / F.col("scale")).alias(f"u{c}") for c in ("cx", "cy", "cz")],
                        "dx", "dy", "dz")
-    pairs = band_join(unit, "row_id", {"date": date_tol, "ucx": pose_tol, "ucy": pose_tol, "ucz": pose_tol})
+    pairs = band_join(unit, "row_id", {"date": date_tol, "ucx": pose_tol, "ucy": pose_tol, "ucz": pose_tol}, tuple(scene))
     sides = pairs
     for side in "ab":
         cols = [F.col(c).alias(f"{side}_{c}") for c in ("ucx", "ucy", "ucz", "dx", "dy", "dz")]

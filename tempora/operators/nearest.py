@@ -35,20 +35,19 @@ def knn_cosine(rows: DataFrame, queries: DataFrame, k: int, rows_block: int = 20
         columns = ["query", "id", "score"]
         if r.empty or q.empty:
             return pd.DataFrame([], columns=columns)
-        r = r.sort_values("id")
         unit = lambda v: (m := np.array(v.tolist(), float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        score = np.round(unit(q["vec"]) @ unit(r["vec"]).T, 6)
         ids, asked = r["id"].to_numpy(), q["id"].to_numpy()
-        score[asked[:, None] == ids[None]] = -np.inf
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame(
-            {
-                "query": np.repeat(asked, top.shape[1]),
-                "id": ids[top].ravel(),
-                "score": np.take_along_axis(score, top, axis=1).ravel(),
-            }
-        )
-        return out[out["score"] > -np.inf]
+        units, wanted, parts = unit(r["vec"]), unit(q["vec"]), []
+        for i in range(0, len(q), 256):
+            score = np.round(wanted[i : i + 256] @ units.T, 6)
+            score[asked[i : i + 256, None] == ids[None]] = -np.inf
+            # All that reach the k-th best, ties included, are put in order.
+            last = max(0, score.shape[1] - k)
+            at, col = np.nonzero(score >= np.partition(score, last, axis=1)[:, last, None])
+            found = pd.DataFrame({"query": asked[i : i + 256][at], "id": ids[col], "score": score[at, col]})
+            found = found[found["score"] > -np.inf].sort_values(["query", "score", "id"], ascending=[True, False, True])
+            parts.append(found.groupby("query").head(k))
+        return pd.concat(parts)
 
     found = (
         left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(best, "query long, id long, score double")

@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.geometry import pose_distance
+from tempora.functions.strings import stable_hash
 from tempora.plans.materialize import materialize
-from tempora.plans.ranking import first_per_group
+from tempora.plans.ranking import first_per_group, fresh, rank_by_hash
 
 # The baselines (strategy, candidates) and the gap buckets.
 BASELINES = {
@@ -44,60 +43,133 @@ def gap_bucket(years: Column) -> Column:
     return out
 
 
+def dated(views: DataFrame) -> DataFrame:
+    return views.where("date is not null and not isnan(date)")
+
+
+def near_dates(dates: DataFrame, cfg: Sampling, by: str) -> DataFrame:
+    """by, date, n, same, below of the distinct dates (by, date, n) of each scene.
+
+    same: views within the date's tolerance, its own included; below: those of
+    them with an earlier date. Dates meet in cells twice as wide as the tolerance,
+    and visit the next cell if they lie near its edge, so that a scene with many
+    dates is the work of many tasks.
+    """
+    cell, own = fresh(dates, "cell", "own")
+    out = None
+    for tol, mine in (
+        (cfg.modern_tolerance, F.col("date") >= cfg.boundary),
+        (cfg.old_tolerance, F.col("date") < cfg.boundary),
+    ):
+        width, reach = 2 * tol or 1.0, 1.001 * tol
+        at = lambda d, w=width: F.floor(d / w)
+        halo = dates.withColumn(own, at(F.col("date"))).withColumn(
+            cell, F.explode(F.sequence(at(F.col("date") - reach), at(F.col("date") + reach)))
+        )
+        # Frames over doubles are written in SQL.
+        total = lambda upto, t=tol: F.expr(
+            f"sum(n) over (partition by `{by}`, {cell} order by date range between {float(t)}D preceding and {upto})"
+        )
+        counted = halo.withColumns(
+            {"same": total(f"{float(tol)}D following"), "below": total("current row") - F.col("n")}
+        ).where(mine & (F.col(cell) == F.col(own))).select(by, "date", "n", "same", "below")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+def _eligible(views: DataFrame, cfg: Sampling, by: str) -> DataFrame:
+    """near_dates of dated views with `total`, the views of the scene, and whether the date gives anchors."""
+    dates = materialize(views.groupBy(by, "date").agg(F.count("*").alias("n")), "sampling-dates")
+    totals = dates.groupBy(by).agg(F.sum("n").alias("total"))
+    return near_dates(dates, cfg, by).join(totals, by).withColumn(
+        "eligible", (F.col("same") >= cfg.n_targets) & (F.col("total") - cfg.n_targets >= cfg.n_inputs)
+    )
+
+
 def eligible_anchors(views: DataFrame, cfg: Sampling = Sampling(), by: str = "scene_id") -> DataFrame:
-    """Views whose date group can give all targets and leave enough inputs.
+    """Views whose date group can give all targets and leave enough inputs, with `same`, the group's size.
+
+    Undated views are neither anchors nor counted.
+    """
+    views = dated(views)
+    good = _eligible(views, cfg, by).where("eligible").select(by, "date", "same")
+    return views.join(good, [by, "date"]).select(*views.columns, "same")
 
-    Neighbours in time are counted by range frames over one sort of each scene,
-    one frame per tolerance.
+
+def _places(near: DataFrame, cfg: Sampling) -> tuple[DataFrame, DataFrame]:
+    """Where each date's views lie in their scene's order of dates, and each scene's sums.
+
+    first, efirst: views, and possible anchors, of earlier dates. Dates are summed
+    inside years, and a scene's years, bounded by the calendar, give what is before.
     """
-    near = lambda tol: F.expr(  # noqa: E731  frames over doubles are written in SQL
-        f"count(*) over (partition by {by} order by date range between {float(tol)}D preceding and {float(tol)}D following)"
+    anchors = F.when(F.col("eligible"), F.col("n")).otherwise(0)
+    near = near.withColumns(
+        {"e": anchors, "o": F.when(F.col("date") < cfg.old_before, anchors).otherwise(0), "year": F.floor("date")}
     )
-    counted = views.withColumn("total", F.count("*").over(Window.partitionBy(by))).withColumn(
-        "same",
-        F.when(F.col("date") >= cfg.boundary, near(cfg.modern_tolerance)).otherwise(near(cfg.old_tolerance)),
+    years = near.groupBy("scene_id", "year").agg(*[F.sum(c).alias(c) for c in "neo"])
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_year = Window.partitionBy("scene_id").orderBy("year")
+    by_date = Window.partitionBy("scene_id", "year").orderBy("date")
+    starts = years.select("scene_id", "year", before("n", by_year).alias("n0"), before("e", by_year).alias("e0"))
+    placed = near.join(starts, ["scene_id", "year"]).select(
+        "scene_id", "date", "eligible", "same", "below",
+        (F.col("n0") + before("n", by_date)).alias("first"), (F.col("e0") + before("e", by_date)).alias("efirst"),
     )
-    return counted.where(
-        (F.col("same") >= cfg.n_targets) & (F.col("total") - cfg.n_targets >= cfg.n_inputs)
-    ).drop("total")
-
-
-def sample_scene(pdf: pd.DataFrame, n_samples: int, cfg: Sampling, seed: int, epoch: int) -> pd.DataFrame:
-    """The samples of one scene; number i depends on (seed, epoch, i) alone."""
-    pdf = pdf.sort_values("row_id").reset_index(drop=True)
-    dates = pdf["date"].to_numpy(float)
-    order = np.sort(dates)
-    tol = np.where(dates >= cfg.boundary, cfg.modern_tolerance, cfg.old_tolerance)
-    same = np.searchsorted(order, dates + tol, "right") - np.searchsorted(order, dates - tol, "left")
-    anchors = np.flatnonzero(same >= cfg.n_targets) if len(dates) >= cfg.n_targets + cfg.n_inputs else []
-    rows = []
-    for i in range(n_samples if len(anchors) else 0):
-        rng = np.random.default_rng((seed, epoch, i))
-        pool = anchors
-        if cfg.old_target_fraction is not None and rng.random() < cfg.old_target_fraction:
-            old = anchors[dates[anchors] < cfg.old_before]
-            pool = old if len(old) else anchors
-        anchor = rng.choice(pool)
-        near = np.flatnonzero(np.abs(dates - dates[anchor]) <= tol[anchor])
-        rest = rng.choice(near[near != anchor], cfg.n_targets - 1, replace=False)
-        targets = np.concatenate([[anchor], rest])
-        inputs = rng.choice(np.setdiff1d(np.arange(len(dates)), targets), cfg.n_inputs, replace=False)
-        for view, r in enumerate([*inputs, *targets]):
-            role = "input" if view < cfg.n_inputs else "target"
-            rows.append((pdf["scene_id"].iloc[0], i, view, role, pdf["row_id"].iloc[r]))
-    return pd.DataFrame(rows, columns=["scene_id", "sample", "view", "role", "row_id"])
+    sums = years.groupBy("scene_id").agg(*[F.sum(c).alias(k) for c, k in zip("neo", ("total", "anchors", "old"), strict=True)])
+    return placed, sums
+
+
+def _skip(x: Column, taken: Column) -> Column:
+    """The x-th place, from 0, that is not among those taken."""
+    return F.aggregate(F.array_sort(taken), x, lambda at, p: at + (at >= p).cast("long"))
 
 
 def draw_samples(views: DataFrame, n_samples: int, cfg: Sampling = Sampling(), seed: int = 0, epoch: int = 0) -> DataFrame:
-    """scene_id, sample, view, role, row_id. A scene's dates, two numbers a view, are one group."""
-    return (
-        views.where("date is not null")
-        .select("scene_id", "row_id", "date")
-        .groupBy("scene_id")
-        .applyInPandas(
-            lambda pdf: sample_scene(pdf, n_samples, cfg, seed, epoch),
-            "scene_id long, sample int, view int, role string, row_id long",
-        )
+    """scene_id, sample, view, role, row_id: inputs first, then targets, whose first is the anchor.
+
+    Every view has a place in its scene's order of date, hash of row_id, row_id.
+    A sample draws places, by hashes of (seed, epoch, sample, draw) alone and
+    without replacement, and the few places drawn are joined to their views: no
+    scene is gathered. The anchor is drawn from all possible anchors (from old
+    ones with probability old_target_fraction, if there are any), the other
+    targets from its date group, the inputs from the rest of the scene.
+    Undated views are left out; a scene without anchors has no samples.
+    """
+    views = dated(views).select("scene_id", "row_id", "date")
+    places, sums = _places(materialize(_eligible(views, cfg, "scene_id"), "sampling-near"), cfg)
+    hashed = views.withColumn("h", stable_hash(F.col("row_id").cast("string")))
+    nth = F.col("rank") - 1
+    ranked = materialize(
+        rank_by_hash(hashed, ["scene_id", "date"], "h", ["row_id"]).drop("total").join(places, ["scene_id", "date"]).select(
+            "scene_id", "row_id", (F.col("first") + nth).alias("place"), (F.col("first") - F.col("below")).alias("low"),
+            "same", F.when(F.col("eligible"), F.col("efirst") + nth).alias("anchor"),
+        ),
+        "sampling-places",
+    )
+
+    def draw(j: int, below: Column) -> Column:
+        text = F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col("sample"), F.lit(j))
+        return F.pmod(stable_hash(text), below)
+
+    chosen = F.col("anchors")
+    if cfg.old_target_fraction is not None:
+        wants_old = draw(-1, F.lit(1 << 48)) < F.lit(cfg.old_target_fraction * (1 << 48))
+        chosen = F.when(wants_old & (F.col("old") > 0), F.col("old")).otherwise(chosen)
+    samples = sums.where("anchors > 0").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    got = samples.withColumn("anchor", draw(0, chosen)).join(ranked.where("anchor is not null"), ["scene_id", "anchor"])
+    got = got.withColumn("targets", F.array("place")).withColumn("inputs", F.expr("cast(array() as array<bigint>)"))
+    for j in range(1, cfg.n_targets):
+        place = _skip(F.col("low") + draw(j, F.col("same") - j), F.col("targets"))
+        got = got.withColumn("targets", F.array_append("targets", place))
+    for j in range(cfg.n_inputs):
+        place = _skip(draw(cfg.n_targets + j, F.col("total") - cfg.n_targets - j), F.concat("targets", "inputs"))
+        got = got.withColumn("inputs", F.array_append("inputs", place))
+    picks = materialize(
+        got.select("scene_id", "sample", F.posexplode(F.concat("inputs", "targets")).alias("view", "place")), "sampling-picks"
+    )
+    role = F.when(F.col("view") < cfg.n_inputs, "input").otherwise("target")
+    return picks.join(ranked.select("scene_id", "place", "row_id"), ["scene_id", "place"]).select(
+        "scene_id", "sample", "view", role.alias("role"), "row_id"
     )
 
 

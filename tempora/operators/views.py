@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tempora.functions.geometry import focal_and_center
 from tempora.functions.strings import file_key, stable_hash
 from tempora.operators.census import assign_era
-from tempora.plans.ranking import rank_by_hash, row_numbers
+from tempora.plans.ranking import medians, rank_by_hash, row_numbers
 
 MODERN_FROM = 2000
 #: Fixed value: the constant of spherical harmonics of degree 0.
@@ -149,7 +149,7 @@ def plane(cameras: DataFrame, by: str = "scene_id") -> DataFrame:
 
     The scatter matrix is six sums; only its eigenvectors, per scene, are Python.
     """
-    mid = cameras.groupBy(by).agg(*[F.median(c).alias(f"m{c}") for c in ("cx", "cy", "cz")])
+    mid = medians(cameras, [by], ["cx", "cy", "cz"]).withColumnsRenamed({c: f"m{c}" for c in ("cx", "cy", "cz")})
     c = cameras.join(mid, by).select(
         *cameras.columns, *[(F.col(k) - F.col(f"m{k}")).alias(f"d{k[1]}_") for k in ("cx", "cy", "cz")]
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tempora.functions.interval import decimal_year
 from tempora.functions.strings import stable_hash
 from tempora.operators import census, neardup, retrieval
-from tempora.plans.materialize import materialize
 from tempora.queries.registry import query
 from tempora.session import TABLES, table
 
@@ -362,9 +361,7 @@ SELECT k AS event_id, min(g) AS group_id FROM r GROUP BY k
 """,
 )
 def band_join_components(spark, d):
-    events = _events(spark, d)
-    pairs = materialize(band_join_pairs(spark, d), "band-pairs")
-    return neardup.groups_from_pairs(events, "event_id", pairs)
+    return neardup.band_groups(_events(spark, d), "event_id", {"day": DATE_TOL, "value": VALUE_TOL}, ("user_id",))
 
 
 SPLIT_SQL = """

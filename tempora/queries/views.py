@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tempora.functions import geometry as geo
 from tempora.operators import retrieval, views
 from tempora.queries.registry import query
-from tempora.queries.vision import cameras, _views
+from tempora.queries.vision import CAMS, ROT, cameras, samples_sql, _views
 from tempora.session import table
 
 
@@ -176,16 +176,53 @@ def _posed_samples(spark, d):
     return drawn.join(posed, ["scene_id", "row_id"]).select("scene_id", "sample", "view", "c2w", k.alias("k"))
 
 
-@query("normalised_cameras")
+POSED = f"""WITH {CAMS}, {samples_sql(4)},
+posed AS (SELECT d.scene_id, sample, view, r.r00, r.r01, r.r02, r.r10, r.r11, r.r12, r.r20, r.r21, r.r22, cx, cy, cz
+  FROM drawn d JOIN cams c ON c.vec_id = d.row_id JOIN {ROT} r ON r.vec_id = d.row_id)"""
+
+
+def _six(c):
+    return F.transform(c, lambda x: F.round(x, 6) + 0.0)
+
+
+@query(
+    "normalised_cameras",
+    POSED + """,
+m AS (SELECT *, median(cx) OVER w AS mx, median(cy) OVER w AS my, median(cz) OVER w AS mz FROM posed WINDOW w AS (PARTITION BY scene_id, sample)),
+f AS (SELECT *, sqrt(pow(cx - mx, 2) + pow(cy - my, 2) + pow(cz - mz, 2)) AS far FROM m),
+q AS (SELECT *, far <= least(10 * quantile_cont(far, 0.97) OVER (PARTITION BY scene_id, sample), 1e6) AS inside FROM f),
+z AS (SELECT * REPLACE (cx - avg(CASE WHEN inside THEN cx END) OVER w AS cx, cy - avg(CASE WHEN inside THEN cy END) OVER w AS cy,
+  cz - avg(CASE WHEN inside THEN cz END) OVER w AS cz) FROM q WINDOW w AS (PARTITION BY scene_id, sample)),
+n AS (SELECT *, max(CASE WHEN view = 0 THEN sqrt(cx * cx + cy * cy + cz * cz) END) OVER (PARTITION BY scene_id, sample) AS near FROM z),
+g AS (SELECT *, CASE WHEN near > 1e-5 THEN 2.0 / near ELSE 2.0 END AS g FROM n)
+SELECT scene_id, sample, view, list_transform([r00, r10, r20, cx * g, r01, r11, r21, cy * g, r02, r12, r22, cz * g, 0, 0, 0, 1], lambda x: round(x, 6) + 0.0) AS c2w,
+  CAST([1.2, 0, 0.5, 0, 1.2, 0.5, 0, 0, 1] AS DOUBLE[]) AS k FROM g
+""",
+)
 def normalised_cameras(spark, d):
     s = _posed_samples(spark, d)
-    return views.per_sample(s, views.normalise_cameras, s.schema)
+    return views.per_sample(s, views.normalise_cameras, s.schema).withColumn("c2w", _six("c2w"))
 
 
-@query("plucker_rays")
+@query(
+    "plucker_rays",
+    POSED + """,
+rel AS (SELECT v.*, list_transform([[o.r00, o.r01, o.r02], [o.r10, o.r11, o.r12], [o.r20, o.r21, o.r22]], lambda a: [
+    a[1] * v.r00 + a[2] * v.r01 + a[3] * v.r02, a[1] * v.r10 + a[2] * v.r11 + a[3] * v.r12, a[1] * v.r20 + a[2] * v.r21 + a[3] * v.r22,
+    a[1] * (v.cx - o.cx) + a[2] * (v.cy - o.cy) + a[3] * (v.cz - o.cz)]) AS a
+  FROM posed v JOIN posed o ON v.scene_id = o.scene_id AND v.sample = o.sample AND o.view = 0),
+px AS (SELECT *, ((n % 6 + 0.5) / 6 - 0.5) / 1.2 AS x, ((n // 6 + 0.5) / 4 - 0.5) / 1.2 AS y FROM rel, range(24) p(n)),
+raw AS (SELECT *, list_transform(a, lambda q: q[1] * x + q[2] * y + q[3]) AS d, list_transform(a, lambda q: q[4]) AS t FROM px),
+u AS (SELECT *, list_transform(d, lambda q: q / sqrt(list_dot_product(d, d))) AS e FROM raw),
+six AS (SELECT *, [e[1], e[2], e[3], t[2] * e[3] - t[3] * e[2], t[3] * e[1] - t[1] * e[3], t[1] * e[2] - t[2] * e[1]] AS r FROM u),
+flat AS (SELECT scene_id, sample, view, n, unnest(r) AS x, unnest(range(6)) AS part FROM six)
+SELECT scene_id, sample, view, list(round(x, 6) + 0.0 ORDER BY part, n) AS rays FROM flat GROUP BY scene_id, sample, view
+""",
+)
 def plucker_rays(spark, d):
     s = _posed_samples(spark, d)
-    return views.per_sample(s, lambda p: views.plucker_rays(p, 4, 6), "scene_id long, sample int, view int, rays array<double>")
+    rays = views.per_sample(s, lambda p: views.plucker_rays(p, 4, 6), "scene_id long, sample int, view int, rays array<double>")
+    return rays.withColumn("rays", _six("rays"))
 
 
 @query("camera_plane")
@@ -199,7 +236,23 @@ def transform_frames(spark, d):
     return views.frames_json(s.select(F.concat(F.col("scene_id"), F.lit("/"), F.col("view")).alias("path"), "c2w", *[F.lit(1.0).alias(c) for c in ("fx", "fy", "cx", "cy")], F.lit(8).alias("width"), F.lit(6).alias("height")))
 
 
-@query("color_stats")
+@query(
+    "color_stats",
+    """
+WITH e AS (SELECT vec_id, list_transform(embedding[1:63], lambda x: CAST(floor((x + 1) * 127) AS INTEGER) / 255) AS p FROM embeddings),
+x AS (SELECT vec_id, p[3 * i + 1] AS r, p[3 * i + 2] AS g, p[3 * i + 3] AS b FROM e, range(21) t(i)),
+l AS (SELECT vec_id, greatest(r, g, b) AS hi, least(r, g, b) AS lo,
+  list_transform([r, g, b], lambda c: CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END) AS v FROM x),
+xyz AS (SELECT *, [(0.4124564 * v[1] + 0.3575761 * v[2] + 0.1804375 * v[3]) / 0.95047, 0.2126729 * v[1] + 0.7151522 * v[2] + 0.0721750 * v[3],
+  (0.0193339 * v[1] + 0.1191920 * v[2] + 0.9503041 * v[3]) / 1.08883] AS t FROM l),
+f AS (SELECT *, list_transform(t, lambda c: CASE WHEN c > pow(6 / 29, 3) THEN cbrt(c) ELSE c / (3 * pow(6 / 29, 2)) + 4 / 29 END) AS f FROM xyz),
+s AS (SELECT vec_id, avg(CASE WHEN hi > 0 THEN (hi - lo) / hi ELSE 0 END) AS saturation, var_samp(500 * (f[1] - f[2])) AS aa,
+  var_samp(200 * (f[2] - f[3])) AS bb, covar_samp(500 * (f[1] - f[2]), 200 * (f[2] - f[3])) AS ab FROM f GROUP BY 1),
+m AS (SELECT vec_id, saturation, sqrt(greatest((aa + bb) / 2 - sqrt(pow((aa - bb) / 2, 2) + ab * ab), 0)) AS chroma_minor FROM s)
+SELECT vec_id, round(saturation, 6) AS saturation, round(chroma_minor, 4) AS chroma_minor, chroma_minor < 1.0 AS is_monochrome FROM m
+""",
+)
 def color_stats(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x + 1) * 127).cast("int")).alias("p"))
-    return e.select("vec_id", views.color_stats(F.slice("p", 1, 63)).alias("s")).select("vec_id", "s.*")
+    s = e.select("vec_id", views.color_stats(F.slice("p", 1, 63)).alias("s"))
+    return s.select("vec_id", F.round("s.saturation", 6).alias("saturation"), F.round("s.chroma_minor", 4).alias("chroma_minor"), "s.is_monochrome")

@@ -187,22 +187,78 @@ def _views(spark, d) -> DataFrame:
     return cams.withColumn("row_id", F.col("vec_id")).withColumn("file_key", F.col("vec_id").cast("string"))
 
 
-@query("near_duplicate_views")
+def samples_sql(n: int) -> str:
+    """SQL of the draws: `drawn` (scene_id, sample, view, role, row_id) from `cams`."""
+    draw = lambda j: f"CAST('0x' || substr(sha1('0:0:' || sample || ':{j}'), 1, 12) AS BIGINT)"
+    skip = lambda x, got: f"list_reduce(list_prepend(CAST({x} AS BIGINT), list_sort({got})), lambda x, p: x + CAST(x >= p AS BIGINT))"
+    steps, last = [], "t0"
+    for j in range(1, 5):
+        steps.append(f"t{j} AS (SELECT * REPLACE (list_append(t, {skip(f'low + {draw(j)} % (same - {j})', 't')}) AS t) FROM {last})")
+        last = f"t{j}"
+    for j in range(3):
+        steps.append(f"i{j} AS (SELECT * REPLACE (list_append(i, {skip(f'{draw(5 + j)} % (total - {5 + j})', 'list_concat(t, i)')}) AS i) FROM {last})")
+        last = f"i{j}"
+    span = lambda t: f"(PARTITION BY scene_id ORDER BY date RANGE BETWEEN {t} PRECEDING AND {t} FOLLOWING)"
+    by_era = lambda f: f"CASE WHEN date >= 1990 THEN {f} OVER {span(1)} ELSE {f} OVER {span(5)} END"
+    return f"""
+o AS (SELECT scene_id, vec_id AS row_id, date, row_number() OVER (PARTITION BY scene_id ORDER BY date,
+  CAST('0x' || substr(sha1(CAST(vec_id AS VARCHAR)), 1, 12) AS BIGINT), vec_id) - 1 AS place FROM cams),
+s AS (SELECT *, {by_era('count(*)')} AS same, {by_era('min(place)')} AS low, count(*) OVER (PARTITION BY scene_id) AS total FROM o),
+e AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY place) - 1 AS anchor, count(*) OVER (PARTITION BY scene_id) AS anchors
+  FROM s WHERE same >= 5 AND total - 5 >= 3),
+t0 AS (SELECT scene_id, sample, low, same, total, [place] AS t, CAST([] AS BIGINT[]) AS i FROM e, range({n}) r(sample) WHERE anchor = {draw(0)} % anchors),
+{", ".join(steps)},
+picks AS (SELECT scene_id, CAST(sample AS INTEGER) AS sample, unnest(list_concat(i, t)) AS place, unnest(range(8)) AS view FROM {last}),
+drawn AS (SELECT p.scene_id, sample, CAST(view AS INTEGER) AS view, CASE WHEN view < 3 THEN 'input' ELSE 'target' END AS role, row_id
+  FROM picks p JOIN o ON o.scene_id = p.scene_id AND o.place = p.place)"""
+
+
+APART = """sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2)) / scale
+  + acos(greatest(-1, least(1, a.dx * b.dx + a.dy * b.dy + a.dz * b.dz))) / pi()"""
+
+
+@query(
+    "near_duplicate_views",
+    f"""
+WITH RECURSIVE {CAMS}, {SCALE},
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM cams a JOIN cams b USING (scene_id) JOIN sc USING (scene_id)
+  WHERE a.vec_id <> b.vec_id AND abs(a.date - b.date) <= 0.1 AND {APART} <= 0.5),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM cams UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u)
+SELECT u AS row_id, CAST(u AS VARCHAR) AS file_key, min(v) AS group_id FROM reach GROUP BY u
+""",
+)
 def near_duplicate_views(spark, d):
     views = _views(spark, d)
     return neardup.near_duplicate_groups(views.join(geo.scene_scale(views, ["scene_id"]), "scene_id"), 0.1, 0.5)
 
 
-@query("sampled_views")
+@query("sampled_views", f"WITH {CAMS}, {samples_sql(8)} SELECT * FROM drawn")
 def sampled_views(spark, d):
     return retrieval.draw_samples(_views(spark, d), 8)
 
 
-@query("retrieval_baselines")
+@query(
+    "retrieval_baselines",
+    f"""
+WITH {CAMS}, {SCALE}, {samples_sql(8)},
+c AS (SELECT t.scene_id, t.sample, t.view, t.row_id AS target, 'inputs' AS pool, i.row_id AS cand FROM drawn t JOIN drawn i
+    ON t.scene_id = i.scene_id AND t.sample = i.sample AND t.role = 'target' AND i.role = 'input'
+  UNION ALL SELECT t.scene_id, t.sample, t.view, t.row_id, 'all', v.vec_id FROM drawn t JOIN cams v ON t.scene_id = v.scene_id AND t.role = 'target'
+    WHERE NOT EXISTS (SELECT 1 FROM drawn x WHERE x.scene_id = t.scene_id AND x.sample = t.sample AND x.role = 'target' AND x.row_id = v.vec_id)),
+p AS (SELECT c.*, abs(a.date - b.date) AS gap, {APART} AS pose FROM c JOIN cams a ON a.vec_id = target JOIN cams b ON b.vec_id = cand
+  JOIN sc ON sc.scene_id = c.scene_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, sample, view ORDER BY gap, cand) AS nth FROM p WHERE pool = 'all' QUALIFY nth <= 20),
+w AS (
+  SELECT 'input_date' AS baseline, * EXCLUDE (pool) FROM p WHERE pool = 'inputs' QUALIFY row_number() OVER (PARTITION BY scene_id, sample, view ORDER BY gap, pose, cand) = 1
+  UNION ALL SELECT 'input_pose', * EXCLUDE (pool) FROM p WHERE pool = 'inputs' QUALIFY row_number() OVER (PARTITION BY scene_id, sample, view ORDER BY pose, gap, cand) = 1
+  UNION ALL SELECT 'pool_date_pose', * EXCLUDE (pool, nth) FROM k QUALIFY row_number() OVER (PARTITION BY scene_id, sample, view ORDER BY pose, nth) = 1)
+SELECT scene_id, sample, view, target, cand, gap, round(pose, 6) AS pose, baseline FROM w
+""",
+)
 def retrieval_baselines(spark, d):
     views = _views(spark, d).withColumn("group_id", F.col("row_id"))
     scales = geo.scene_scale(views, ["scene_id"])
-    return retrieval.run_baselines(retrieval.draw_samples(views, 8), views, scales)
+    return retrieval.run_baselines(retrieval.draw_samples(views, 8), views, scales).withColumn("pose", F.round("pose", 6))
 
 
 def _shifted(pdf: pd.DataFrame) -> pd.DataFrame:

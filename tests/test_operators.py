@@ -1,5 +1,6 @@
 """Census, components, bands, splits, retrieval, ranks and registration."""
 
+import hashlib
 import math
 import random
 
@@ -13,6 +14,7 @@ from tempora.functions import images
 from tempora.operators import census, neardup, posing, retrieval
 from tempora.operators.components import connected_components
 from tempora.operators.nearest import knn_cosine
+from tempora.plans import ranking
 from tempora.plans.ranking import rank_by_hash, row_numbers
 
 
@@ -394,3 +396,87 @@ def test_pairs_of_a_large_scene_are_many_tasks_work(spark):
         for k in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
             spark.conf.unset(f"spark.sql.{k}")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("fraction", [None, 0.7])
+def test_samples_equal_the_draws_from_a_sorted_list(spark, fraction):
+    """Two scenes with repeated dates, one without anchors, undated views: against plain Python."""
+    r = random.Random(8)
+    cfg = retrieval.Sampling(old_target_fraction=fraction)
+    rows = [(s, 1000 * s + i, r.choice([1950.0, 1952.5, 1968.25, 1989.9, 1990.0, 1990.9, r.uniform(1940, 2020)])) for s in (1, 2) for i in range(90)]
+    rows += [(3, 3000 + i, 1900.0 + 20 * i) for i in range(9)] + [(1, 1999, None), (2, 2999, float("nan"))]
+    df = spark.createDataFrame(rows, "scene_id long, row_id long, date double")
+    number = lambda text: int(hashlib.sha1(text.encode()).hexdigest()[:12], 16)
+    want = set()
+    for scene in (1, 2):
+        order = sorted((d, number(str(i)), i) for s, i, d in rows if s == scene and d is not None and d == d)
+        dates = [d for d, _, _ in order]
+        tol = lambda d: 1.0 if d >= 1990 else 5.0
+        near = [[j for j, e in enumerate(dates) if abs(e - d) <= tol(d)] for d in dates]
+        anchors = [p for p in range(len(order)) if len(near[p]) >= 5]
+        for i in range(6):
+            draw = lambda j, n, i=i: number(f"4:2:{i}:{j}") % n
+            pool = anchors
+            if fraction is not None and draw(-1, 1 << 48) < fraction * (1 << 48):
+                pool = [p for p in anchors if dates[p] < 1970] or anchors
+            targets = [pool[draw(0, len(pool))]]
+            anchor = targets[0]
+            for j in range(1, 5):
+                left = [p for p in near[anchor] if p not in targets]
+                targets.append(left[draw(j, len(left))])
+            inputs = []
+            for j in range(3):
+                left = [p for p in range(len(order)) if p not in targets + inputs]
+                inputs.append(left[draw(5 + j, len(left))])
+            want |= {(scene, i, v, "input" if v < 3 else "target", order[p][2]) for v, p in enumerate(inputs + targets)}
+    got = [tuple(x) for x in retrieval.draw_samples(df, 6, cfg, seed=4, epoch=2).collect()]
+    assert len(got) == len(want) == 96 and set(got) == want
+    assert retrieval.draw_samples(df.where("scene_id = 3"), 2).count() == 0 and retrieval.draw_samples(df.limit(0), 2).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    """Skewed, tied, missing and single values; one group holds most rows; against numpy."""
+    rng = np.random.default_rng(11)
+    values = {0: rng.lognormal(0, 4, 40_000), 1: np.repeat([1.0, 2.0, 5.0], [9, 1, 10]), 2: np.array([7.5]), 3: np.arange(4.0), 4: np.array([])}
+    pdf = pd.DataFrame([(g, float(v), -float(v)) for g, vs in values.items() for v in vs] + [(4, None, None), (1, None, None)], columns=["g", "a", "b"])
+    df = spark.createDataFrame(pdf.astype({"a": object, "b": object}).where(pdf.notna(), None), "g long, a double, b double").repartition(7)
+    asked = {"low": ("a", 0.05), "mid": ("a", 0.5), "high": ("b", 0.95), "all": ("b", 1.0)}
+    got = {r.g: r for r in ranking.quantiles(df, ["g"], asked).collect()}
+    assert set(got) == set(values) and got[4].low is None and got[4].high is None
+    for g, vs in values.items():
+        for name, (c, p) in asked.items():
+            if len(vs):
+                assert got[g][name] == pytest.approx(np.quantile(vs if c == "a" else -vs, p), rel=1e-12)
+    assert ranking.medians(df.limit(0), ["g"], ["a", "b"]).count() == 0
+
+
+def test_band_groups_equal_the_components_of_the_pairs(spark):
+    """A full cell, a chain over cells, equal rows, other groups and missing values."""
+    r = random.Random(3)
+    rows = [(i, "x", r.uniform(0, 0.1), r.uniform(0, 0.5)) for i in range(300)]
+    rows += [(300 + i, "x", 5 + 0.09 * i, 3.0) for i in range(40)] + [(400 + i, "y", 0.05, 0.25) for i in range(50)]
+    rows += [(500 + i, r.choice("xyz"), r.uniform(-3, 3), r.uniform(-9, 9)) for i in range(400)]
+    rows += [(900, "x", None, 0.1), (901, None, 0.05, 0.1), (902, "x", 0.05, None)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double")
+    bands = {"x": 0.1, "y": 0.5}
+    want = neardup.groups_from_pairs(df, "id", neardup.band_join(df, "id", bands, ("g",)))
+    got = {r.id: r.group_id for r in neardup.band_groups(df, "id", bands, ("g",)).collect()}
+    assert got == {r.id: r.group_id for r in want.collect()} and len(got) == len(rows)
+    assert got[299] == 0 and got[339] == 300 and got[449] == 400 and got[900] == 900 and got[901] == 901
+
+
+def test_near_duplicates_stay_within_their_scene(spark):
+    rows = [(2015.0, 0.0, 10.0), (2015.0, 0.0, 10.0), (2015.05, 0.01, 10.0), (2015.0, 0.0, 10.0)]
+    df = views(spark, rows).drop("scene_id").withColumn("scene_id", F.col("row_id") % 2)
+    got = {r.row_id: r.group_id for r in neardup.near_duplicate_groups(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
+def test_nearest_keeps_the_smaller_ids_of_ties(spark):
+    vec = lambda i: [1.0, float(i % 3)]
+    df = spark.createDataFrame([(i, vec(i)) for i in range(60)], "id long, vec array<double>")
+    got = {(r.query, r["rank"]): r.id for r in knn_cosine(df, df.where("id % 20 = 0"), 5, 1000, 1000).collect()}
+    for q in (0, 20, 40):
+        same = [i for i in range(60) if i % 3 == q % 3 and i != q]
+        assert [got[q, k] for k in range(1, 6)] == same[:5]
+    assert knn_cosine(df.limit(3), df.limit(1), 5).count() == 2
