@@ -221,6 +221,31 @@ def merge_query(pdf: pd.DataFrame) -> pd.DataFrame:
 LOG = ["n_queries", "n_anchors", "n_inliers", "anchor_rot_err_median", "used"]
 
 
+def deal_scenes(images: DataFrame, block: int = 20_000) -> DataFrame:
+    """images with `part` and `parts`, so that (scene_id, part) has at most about `block` anchors and as many queries.
+
+    Anchors are dealt by a hash of the image; where a scene has more queries than
+    that, each part of them gets a copy of one of the anchors' blocks.
+    """
+    up = lambda n, m: F.greatest(F.lit(1), F.ceil(n / m)).cast("int")
+    sizes = images.groupBy("scene_id").agg(
+        up(F.count_if("anchor"), F.lit(block)).alias("blocks"), F.count_if(~F.col("anchor")).alias("asked")
+    ).select("scene_id", "blocks", up(F.col("asked"), F.col("blocks") * block).alias("copies"))
+    parts = F.col("blocks") * F.col("copies")
+    own = lambda n: F.pmod(F.xxhash64("image"), n).cast("int")
+    start = own(F.col("blocks")) * F.col("copies")
+    every = F.when(F.col("anchor"), F.sequence(start, start + F.col("copies") - 1)).otherwise(F.array(own(parts)))
+    dealt = images.join(sizes, "scene_id").withColumn("parts", parts).withColumn("part", F.explode(every))
+    return dealt.drop("blocks", "copies")
+
+
+def plan_part(pdf: pd.DataFrame, seed: int = 0, **plan) -> pd.DataFrame:
+    """plan_batches of one part of a scene, with batch numbers that no other part has."""
+    part, parts = int(pdf["part"].iloc[0]), int(pdf["parts"].iloc[0])
+    out = plan_batches(pdf, seed=seed + part, **plan)
+    return out.assign(batch=out["batch"] * parts + part)
+
+
 def register(
     images: DataFrame, known: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], scales: DataFrame,
     similar: bool = False, **plan
@@ -233,12 +258,15 @@ def register(
     images: scene_id, image, anchor, cx..dz, or, with similar=True, vec, the
     descriptors by which batches are planned; known: scene_id, image, known (16);
     predict: rows of one batch -> the same rows with pred (16) and focal;
-    scales: scene_id, scale, the unit of center_spread.
+    scales: scene_id, scale, the unit of center_spread. Spread batches are
+    planned in parts of a scene of bounded size, so a batch spreads its anchors
+    over those of its part; similar ones need a whole scene's descriptors.
     """
-    planner = plan_similar_batches if similar else plan_batches
-    batches = images.groupBy("scene_id").applyInPandas(
-        lambda pdf: planner(pdf, **plan), "scene_id long, batch int, image long, anchor boolean"
-    )
+    kind = "scene_id long, batch int, image long, anchor boolean"
+    if similar:
+        batches = images.groupBy("scene_id").applyInPandas(lambda pdf: plan_similar_batches(pdf, **plan), kind)
+    else:
+        batches = deal_scenes(images).groupBy("scene_id", "part").applyInPandas(lambda pdf: plan_part(pdf, **plan), kind)
     posed = batches.groupBy("scene_id", "batch").applyInPandas(
         predict, "scene_id long, batch int, image long, anchor boolean, pred array<double>, focal double"
     )

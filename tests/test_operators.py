@@ -480,3 +480,22 @@ def test_nearest_keeps_the_smaller_ids_of_ties(spark):
         same = [i for i in range(60) if i % 3 == q % 3 and i != q]
         assert [got[q, k] for k in range(1, 6)] == same[:5]
     assert knn_cosine(df.limit(3), df.limit(1), 5).count() == 2
+
+
+def test_scenes_are_planned_in_parts_of_bounded_size(spark):
+    """Many anchors, many queries for few anchors, no anchors, no queries."""
+    sizes = {1: (90, 20), 2: (3, 130), 3: (0, 7), 4: (6, 0)}
+    rows = [(s, 1000 * s + i, i < a, *([float(i % 7), float(i % 5), float(i), 0.0, 0.0, 1.0])) for s, (a, q) in sizes.items() for i in range(a + q)]
+    df = spark.createDataFrame(rows, "scene_id long, image long, anchor boolean, " + ", ".join(f"{c} double" for c in ("cx", "cy", "cz", "dx", "dy", "dz")))
+    dealt = posing.deal_scenes(df, 20)
+    assert dealt.groupBy("scene_id", "part", "anchor").count().agg(F.max("count")).first()[0] < 45
+    assert dealt.where("scene_id in (1, 2)").select("scene_id", "part").distinct().count() == 5 + 7
+    assert dealt.where("not anchor").count() == 157 and dealt.where("anchor and scene_id = 2").count() == 21
+    plan = dealt.groupBy("scene_id", "part").applyInPandas(
+        lambda pdf: posing.plan_part(pdf, queries=4, anchors=3, repeats=2), "scene_id long, batch int, image long, anchor boolean"
+    ).toPandas()
+    asked = plan[~plan["anchor"]]
+    assert (asked.groupby("image")["batch"].nunique() == 2).all() and asked["image"].nunique() == 150 and set(asked["scene_id"]) == {1, 2}
+    known = plan[plan["anchor"]].groupby(["scene_id", "batch"])["image"]
+    assert (known.nunique() == known.size()).all() and (known.size() <= 3).all()
+    assert (asked.groupby(["scene_id", "batch"]).size() <= 4).all()
