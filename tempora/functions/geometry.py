@@ -111,7 +111,7 @@ def scene_scale(cameras: DataFrame, by: list[str]) -> DataFrame:
     centres = materialize(cameras.select(*by, *own), "centres")
     middle = medians(centres, by, list(own)).withColumnsRenamed({c: f"m{c}" for c in own})
     far = F.sqrt(sum((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in own))
-    apart = materialize(centres.join(middle, by).select(*by, far.alias("scale")), "distances")
+    apart = centres.join(materialize(middle, "middles"), by).select(*by, far.alias("scale"))
     return medians(apart, by, ["scale"]).withColumn("scale", F.coalesce(F.nullif(F.col("scale"), F.lit(0.0)), F.lit(1.0)))
 
 

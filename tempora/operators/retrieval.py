@@ -63,7 +63,8 @@ def near_dates(dates: DataFrame, cfg: Sampling, by: str) -> DataFrame:
     ):
         width, reach = 2 * tol or 1.0, 1.001 * tol
         at = lambda d, w=width: F.floor(d / w)
-        halo = dates.withColumn(own, at(F.col("date"))).withColumn(
+        reached = F.col("date") >= cfg.boundary - reach if out is None else F.col("date") <= cfg.boundary + reach
+        halo = dates.where(reached).withColumn(own, at(F.col("date"))).withColumn(
             cell, F.explode(F.sequence(at(F.col("date") - reach), at(F.col("date") + reach)))
         )
         # Frames over doubles are written in SQL.
@@ -79,7 +80,7 @@ def near_dates(dates: DataFrame, cfg: Sampling, by: str) -> DataFrame:
 
 def _eligible(views: DataFrame, cfg: Sampling, by: str) -> DataFrame:
     """near_dates of dated views with `total`, the views of the scene, and whether the date gives anchors."""
-    dates = materialize(views.groupBy(by, "date").agg(F.count("*").alias("n")), "sampling-dates")
+    dates = views.groupBy(by, "date").agg(F.count("*").alias("n"))
     totals = dates.groupBy(by).agg(F.sum("n").alias("total"))
     return near_dates(dates, cfg, by).join(totals, by).withColumn(
         "eligible", (F.col("same") >= cfg.n_targets) & (F.col("total") - cfg.n_targets >= cfg.n_inputs)
