@@ -84,8 +84,8 @@ def number(text: Column, pattern: str, n: int = 1) -> Column:
 
 
 def integer(digits: Column) -> Column:
-    """An integer; null for an empty string."""
-    return digits.try_cast("int")
+    """An integer; null for an empty string, which no cast sees: each failed one costs an exception."""
+    return F.call_function("transform", F.array(digits), F.expr("d -> try_cast(nullif(d, '') AS INT)"))[0]
 
 
 def plausible(year: Column, max_year: int) -> Column:

@@ -9,6 +9,7 @@ when it is left.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,8 +17,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths written in each open `intermediates`, innermost last.
-_open: list[list[str]] = []
+#: Paths written in each open `intermediates` of this thread, innermost last.
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if _open.get():
+        _open.get()[-1].append(path)
     return path
 
 
@@ -75,8 +76,8 @@ class Scope:
         table, path = write_table(df, name)
         self.paths.remove(path)
         self.kept = path
-        if len(_open) > 1:
-            _open[-2].append(path)
+        if len(_open.get()) > 1:
+            _open.get()[-2].append(path)
         return table
 
 
@@ -86,11 +87,13 @@ def intermediates(spark: SparkSession) -> Iterator[Scope]:
 
     A DataFrame built inside reads them, so write its result before leaving.
     """
-    _open.append([])
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
     try:
-        yield Scope(spark, _open[-1])
+        yield Scope(spark, paths)
     finally:
-        remove(spark, *_open.pop())
+        _open.reset(token)
+        remove(spark, *paths)
 
 
 #: Rows up to which a checked table is broadcast; at about 100 bytes a row 20 MB.
