@@ -9,8 +9,10 @@ descent in numpy. Since everything is linear after the average, a model is one
 row of class scores per bucket, and predicting is a look-up and a mean, done for
 a batch of texts at once.
 
-The sample is bounded: at most PER_LANGUAGE texts, those with the smallest hash
-of doc_id, of each of the MAX_LANGUAGES most frequent languages. Of each
+The sample is bounded: MAX_ROWS texts, shared out evenly among the languages, at
+most PER_LANGUAGE of each: one text (that of the smallest hash) of each of the
+doc_ids with the smallest hashes, however many rows a doc_id has. Of a text the
+most frequent subwords teach, so many that all texts have MAX_FEATURES. Of each
 language's texts one in CALIBRATE, by that order and so at every size, does not
 train but calibrates: a temperature of least log loss, and the score under
 which a prediction is rejected. That score is set where about REJECT of the
@@ -47,14 +49,14 @@ from tempora.session import bound_arrow_batches
 FOLDS = 5
 BUCKETS = 1 << 15
 DIM = 16
-#: Bounds of the sample: texts of each language, and languages, the most frequent ones.
+#: Bounds of the sample: texts of each language, texts of all languages, and different subwords of all texts together.
 PER_LANGUAGE = 450
-MAX_LANGUAGES = 100
+MAX_ROWS = 45_000
+MAX_FEATURES = 1 << 24
 #: One in so many texts of each language calibrates.
 CALIBRATE = 3
 #: Letters of a text in random order, at most, that teach what is no language: of every calibrating text and of the next.
 NOISE_LETTERS = 1_500
-SALTS = 8
 EPOCHS = 6
 RATE = 40.0
 #: Part of the right predictions that the rejecting score may cost, and of the calibration texts that show how they fall off.
@@ -134,23 +136,28 @@ def grouped(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
 
 @dataclass
 class LanguageModel:
-    """Class scores per bucket (the last class is no language), bias, temperature and the rejecting score."""
+    """Class scores per bucket (the last class is no language), bias, temperature and the rejecting score.
+
+    With weights, table holds the embeddings of the buckets, from which the class
+    scores follow: narrower than the scores where there are many languages.
+    """
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    weights: np.ndarray | None = None
 
     def softmax(self, mean: np.ndarray) -> np.ndarray:
         """Calibrated class probabilities of averages, a row each."""
-        z = (mean + self.bias) / self.temperature
+        z = ((mean if self.weights is None else mean @ self.weights) + self.bias) / self.temperature
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probabilities of every class, a row for each text; a text alone or in a batch gets the same."""
-        sums, counts = np.zeros((len(texts), len(self.bias))), np.zeros(len(texts))
+        sums, counts = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
         for owners, packed in grouped(texts):
             for found, bounds in subwords(packed):
                 n = np.diff(bounds)
@@ -202,7 +209,7 @@ def train(
             bias -= np.float32(0.001) * rate * p
             e[bucket] -= rate * freq[:, None] * back[None, :]
             done += 1
-    return LanguageModel(langs, e @ w, bias)
+    return LanguageModel(langs, e @ w, bias) if len(bias) <= DIM else LanguageModel(langs, e, bias, weights=w)
 
 
 def calibrate(model: LanguageModel, samples, y: np.ndarray, reject: float = REJECT) -> LanguageModel:
@@ -211,13 +218,13 @@ def calibrate(model: LanguageModel, samples, y: np.ndarray, reject: float = REJE
         return model
     mean = np.array([freq @ model.table[bucket] for bucket, freq in samples], np.float64)
     # Targets a little below one, after Platt, so that a small sample without an error does not ask for certainty.
-    classes, unsure = mean.shape[1], 1 / (len(y) + 2)
-    target = np.full((len(y), classes), unsure / (classes - 1))
-    target[np.arange(len(y)), y] = 1 - unsure
+    classes, unsure = len(model.bias), 1 / (len(y) + 2)
+    rest = unsure / (classes - 1)
     loss = []
     grid = np.geomspace(0.2, 20.0, 60)
     for model.temperature in grid:
-        loss.append(-(target * np.log(model.softmax(mean) + 1e-300)).sum(axis=1).mean())
+        logs = np.log(model.softmax(mean) + 1e-300)
+        loss.append(-(rest * logs.sum(axis=1) + (1 - unsure - rest) * logs[np.arange(len(y)), y]).mean())
     model.temperature = float(grid[int(np.argmin(loss))])
     p = model.softmax(mean)[:, : len(model.langs)]
     right = p.max(axis=1)[(p.argmax(axis=1) == y) & (y < len(model.langs))]
@@ -248,29 +255,32 @@ def learn(docs: DataFrame) -> LanguageModel:
     labelled = docs.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold() != 0)
     ).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    known = broadcast_if_small(materialize(known.select("lang"), "langid-languages"))
-    # The first of each language, by way of the first of each of SALTS parts of it:
-    # a common language is ranked in many tasks, and the last rank sees few rows.
-    salted = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn(
-        "salt", F.pmod("h", F.lit(SALTS))
-    )
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
-    chosen = (
-        salted.join(known, "lang")
-        .withColumn("nth", nth("lang", "salt"))
-        .where(F.col("nth") <= PER_LANGUAGE)
-        .withColumn("nth", nth("lang"))
-        .where(F.col("nth") <= PER_LANGUAGE)
-        .select("doc_id", "lang", "nth")
+    # A sketch of each language's doc_ids, for a hash that leaves about twice as many as are wanted.
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
+    known = materialize(known.orderBy(F.desc("n"), "lang").limit(MAX_ROWS), "langid-languages")
+    per_language = max(1, min(PER_LANGUAGE, MAX_ROWS // max(1, known.count())))
+    most_features = max(16, MAX_FEATURES // (2 * per_language * max(1, known.count())))
+    share = F.least(F.lit(1.0), 2.0 * (per_language + 20) / F.col("ids"))
+    below = broadcast_if_small(known.select("lang", ((share - 0.5) * 2.0**64).alias("below")))
+    # One text of each doc_id, reduced in every task, however often the doc_id or its text repeats.
+    one = F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("one")
+    texts = (
+        labelled.where(F.col("text").rlike("\\p{L}"))
+        .withColumn("h", F.xxhash64("doc_id"))
+        .join(below, "lang")
+        .where(F.col("h") <= F.col("below"))
+        .groupBy("lang", "h", "doc_id")
+        .agg(one)
+        .select("lang", "h", "doc_id", "one.text")
     )
-    chosen = broadcast_if_small(materialize(chosen, "langid-sample"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = materialize(texts.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("h"), "langid-sample")
 
     def features(batches):
         for pdf in batches:
-            pairs = [np.unique(buckets(t), return_counts=True) for t in pdf["text"]]
+            pairs = [counted(buckets(t), most_features) for t in pdf["text"]]
             noise = [
-                np.unique(buckets(disordered(t, i)), return_counts=True) if n % CALIBRATE < 2 else ([], [])
+                counted(buckets(disordered(t, i)), most_features) if n % CALIBRATE < 2 else ([], [])
                 for t, i, n in zip(pdf["text"], pdf["doc_id"], pdf["nth"], strict=True)
             ]
             for kind, found in (("", pairs), ("noise_", noise)):
@@ -278,18 +288,14 @@ def learn(docs: DataFrame) -> LanguageModel:
                 pdf[kind + "freq"] = [(np.asarray(c, np.float64) / max(1, np.sum(c))).astype(np.float32).tobytes() for _, c in found]
             yield pdf[["doc_id", "lang", "nth", "bucket", "freq", "noise_bucket", "noise_freq"]]
 
-    # At most PER_LANGUAGE rows of each of MAX_LANGUAGES, each of at most 2 * BUCKETS numbers a kind.
+    # At most MAX_ROWS rows, of at most MAX_FEATURES numbers together.
     rows = (
-        labelled.join(chosen, ["doc_id", "lang"])
-        .where(F.col("text").rlike("\\p{L}"))
-        .select("doc_id", "lang", "nth", "text")
-        .mapInPandas(
+        chosen.mapInPandas(
             features,
             "doc_id long, lang string, nth int, bucket binary, freq binary, noise_bucket binary, noise_freq binary",
         )
         .toPandas()
-        .sort_values(["nth", "lang", "doc_id"])
-        .drop_duplicates(["nth", "lang"])
+        .sort_values(["nth", "lang"])
     )
     langs = sorted(rows["lang"].unique())
     if not langs:
@@ -307,6 +313,15 @@ def learn(docs: DataFrame) -> LanguageModel:
     return calibrate(model, [s for s, f in zip(samples, fits, strict=True) if not f], y[~fits])
 
 
+def counted(found: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets and their numbers; of more than so many the most frequent ones."""
+    bucket, n = np.unique(found, return_counts=True)
+    if len(bucket) > most:
+        kept = np.sort(np.argsort(-n, kind="stable")[:most])
+        bucket, n = bucket[kept], n[kept]
+    return bucket, n
+
+
 def disordered(text: str, seed: int) -> str:
     """Letters of the text, from all over it, in random order with its share of blanks: no language."""
     rng = np.random.default_rng(abs(int(seed)))

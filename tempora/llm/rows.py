@@ -26,7 +26,10 @@ def drop_named(docs: DataFrame, key: Column, marks: DataFrame) -> DataFrame:
     same_row = (F.col("a.key") == F.col("b.key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
     named = a.join(b, same_row, "left").select("a.row", "a.key", "a.doc_id", "b.kept", "b.same")
     stays = named.where("kept is null or (kept and same = 1)").select("row")
-    repeated = named.where("kept and same > 1").groupBy("key", "doc_id").agg(F.first("row").alias("row"))
+    repeated = named.where("kept and same > 1").groupBy("key", "doc_id").agg(
+        # Whatever task runs again, the same one of them stays.
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")
+    )
     out = stays.unionByName(repeated.select("row"))
     if others is not None:
         out = out.unionByName(others.select("row"))

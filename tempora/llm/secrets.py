@@ -37,12 +37,13 @@ from tempora.session import bound_arrow_batches
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: pattern, and the least length of a group of each match."""
+    """A kind of secret: pattern, the least length of a group of each match, and the group that is the secret's span."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    span: int = 0
 
 
 #: The base kinds.
@@ -65,8 +66,14 @@ MORE = (
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", "sk_live_[A-Za-z0-9]{16,}"),
-    # Starts only where a run of its characters starts, so that a run is not scanned from each eyJ in it.
-    Rule("jwt", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
+    # The first eyJ of a run leaves the most, so it alone decides; what is glued before it is passed over once, from
+    # where the run starts. Possessive, so that no run is looked at more than three times.
+    Rule(
+        "jwt",
+        "(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+"
+        "(eyJ[A-Za-z0-9_-]{8,}+\\.eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+)",
+        span=1,
+    ),
 )
 RULES = BASE + MORE
 
@@ -123,7 +130,7 @@ def _analyse(tree) -> tuple[set[str] | None, Query]:
             inner = _simplify(frozenset().union(*[q for _, q in found]))
             if all(e is not None for e, _ in found):
                 part = set().union(*[e for e, _ in found])
-        elif op is sre.MAX_REPEAT or op is sre.MIN_REPEAT:
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
             low, high, body = value
             part, inner = _analyse(body)
             if (low, high) == (0, 1) and part is not None:
@@ -206,7 +213,7 @@ class Scanner:
             for i in segment.candidates(query).tolist():
                 for m in pattern.finditer(texts[i]):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        found[i].append((m.start(), k, m.end()))
+                        found[i].append((m.start(rule.span), k, m.end(rule.span)))
         return [sorted(spans) for spans in found]
 
 

@@ -20,8 +20,8 @@ PRECISION. Prediction covers every word of every text.
 Defined cases: a null or blank text has no words and gets the chain's base
 rates; rows without labels are predicted only; a labelled doc_id without a
 document teaches nothing, one with several rows of labels teaches the least of
-them in the chain's order, and of several documents of one doc_id one teaches;
-without labels every probability
+them in the chain's order, and of several documents of one doc_id the one whose
+text has the smallest hash teaches; without labels every probability
 is 0; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -249,7 +249,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CHAIN) -> Chain:
 
     schema = "doc_id long, h long, " + ", ".join(f"{c} int" for c in names)
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id")
-    read = read.select("doc_id", "h", *names, "text").mapInArrow(
+    # One text of each doc_id, reduced in every task, so that no more than MAX_TRAIN go on however often a doc_id repeats.
+    one = F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("one")
+    read = read.groupBy("doc_id", "h", *names).agg(one).select("doc_id", "h", *names, "one.text").mapInArrow(
         words, schema + ", words array<binary>, dense array<double>, signature string"
     )
     # Of the bounded sample's near copies the first by hash.
@@ -277,9 +279,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CHAIN) -> Chain:
                 [*map(batch.column, kept), pa.array(lists, pa.list_(pa.int32()))], [*kept, "ids"]
             )
 
-    # At most MAX_TRAIN rows of at most VOCABULARY numbers.
+    # At most MAX_TRAIN rows, one of each doc_id, of at most VOCABULARY numbers.
     rows = read.mapInArrow(indexed, schema + ", dense array<double>, signature string, ids array<int>").toPandas()
-    rows = rows.sort_values(["h", "doc_id", "signature"]).drop_duplicates("doc_id")
+    rows = rows.sort_values(["h", "doc_id"])
     dense = np.array([np.asarray(d, float) for d in rows["dense"]]).reshape(len(rows), _DENSE)
     x = Rows.build([np.asarray(i, np.int64) for i in rows["ids"]], dense, len(vocabulary))
     y = rows[names].to_numpy(float)

@@ -128,11 +128,36 @@ def test_rejecting_score_follows_the_tail():
     assert 0 < langid.tail_score(np.array([0.9]), 0.001) <= 0.9
 
 
-def test_languages_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
-    rows = [(i, f"words of language {i % 5} number {i}", f"l{i % 5}") for i in range(60)] + [(99 + i, "more", "l3") for i in range(9)]
-    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert len(model.langs) == 2 and "l3" in model.langs
+def test_rows_are_bounded_and_every_language_has_some(spark, monkeypatch):
+    rows = [(i, f"words of language {i % 25} number {i}", f"l{i % 25:02}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_ROWS", 60)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda samples, y, langs, fit=langid.train: seen.append(len(samples)) or fit(samples, y, langs))
+    model = langid.learn(docs)
+    # More classes than DIM: the model keeps embeddings and weights.
+    assert len(model.langs) == 25 and model.weights is not None and model.table.shape == (langid.BUCKETS, langid.DIM)
+    assert seen[0] <= 2 * 60
+    got = model.predict(["words of language 3 number 8", None])
+    assert got[0][0] in model.langs and got[0][1] == "und"
+
+
+def test_a_repeated_doc_id_teaches_once(spark, monkeypatch):
+    """10,000 rows of one doc_id, of the same text or of different ones, send one row to the driver."""
+    from pyspark.sql import functions as F
+
+    few = [(2 * i + 1, f"a plain sentence number {i} in words", "en" if i % 2 else "de") for i in range(40)]
+    docs = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    hot = spark.range(10_000).select(F.lit(4).cast("long").alias("doc_id"), F.concat(F.lit("sentence "), F.col("id") % 2 * F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    got = []
+    monkeypatch.setattr(type(docs), "toPandas", lambda self, f=type(docs).toPandas: got.append(f(self)) or got[-1])
+    langid.learn(docs.unionByName(hot).repartition(8))
+    assert len(got) == 1 and len(got[0]) <= 41 and got[0]["doc_id"].is_unique and 4 in set(got[0]["doc_id"])
+
+
+def test_features_of_a_text_are_bounded():
+    bucket, n = langid.counted(np.array([5, 5, 5, 9, 9, 2, 1]), 2)
+    assert (bucket.tolist(), n.tolist()) == ([5, 9], [3, 2])
 
 
 def test_stage_keeps_columns_of_any_name(clashing, unchanged):

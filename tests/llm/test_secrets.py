@@ -111,10 +111,26 @@ def test_the_parse_tree_has_the_parts_that_are_used():
     """re's parse tree is not public: if a Python release changes it, this fails first."""
     from re import _constants, _parser
 
-    names = "LITERAL RANGE IN SUBPATTERN BRANCH MAX_REPEAT MIN_REPEAT AT ASSERT_NOT".split()
+    names = "LITERAL RANGE IN SUBPATTERN BRANCH MAX_REPEAT MIN_REPEAT POSSESSIVE_REPEAT AT ASSERT_NOT".split()
     assert all(hasattr(_constants, n) for n in names)
     tree = list(_parser.parse("a[b-d](e|fg){1,2}"))
     assert [str(op) for op, _ in tree] == ["LITERAL", "IN", "MAX_REPEAT"]
     assert tree[0][1] == ord("a") and tree[1][1][0][1] == (ord("b"), ord("d"))
     low, high, body = tree[2][1]
     assert (low, high) == (1, 2) and str(body[0][0]) == "SUBPATTERN" and len(body[0][1]) == 4
+
+
+def test_tokens_glued_to_other_characters(spark):
+    """The rule finds what the plain expression finds, in linear time."""
+    import random
+
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    token = "eyJabcdefgh.eyJabcdefgh.abcdefgh"
+    texts = [before + token + after for before in ("auth_", "jwt-", "Bearer", "x.", "eyJ", "eyJa.", "a.eyJabcdefgh.", "") for after in ("", ".x", "." + token, " " + token)]
+    rng = random.Random(3)
+    parts = ["eyJ", "abcdefgh", "a", ".", ".", "eyJabcdefgh", " ", "-", token]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000)]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        spans = [s for s in got[i].split(",") if s.startswith("jwt")]
+        assert spans == [f"jwt:{m.start()}:{m.end()}" for m in plain.finditer(text)], text

@@ -125,3 +125,16 @@ def test_labels_that_differ_teach_the_same_every_time(spark, small):
     least = labels.selectExpr("doc_id", "quality", "0 AS toxic")
     a, b = toxicity.learn(docs, twice.repartition(7)), toxicity.learn(docs, least)
     assert a.words == b.words and all(np.allclose(x.w, y.w) for x, y in zip(a.models, b.models))
+
+
+def test_a_repeated_doc_id_teaches_once(spark, monkeypatch):
+    """10,000 rows of one doc_id, of the same text or of different ones, send one row to the driver."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"some words of text number {i} here") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    hot = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("other words "), F.col("id") % 2 * F.col("id")).alias("text"))
+    got = []
+    monkeypatch.setattr(type(docs), "toPandas", lambda self, f=type(docs).toPandas: got.append(f(self)) or got[-1])
+    toxicity.learn(docs.unionByName(hot).repartition(8), labels)
+    assert len(got) == 1 and len(got[0]) <= 30 and got[0]["doc_id"].is_unique
