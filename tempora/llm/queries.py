@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 of this subpackage and their SQL."""
+"""The registered queries op1 to op13 of this subpackage and their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tempora.llm import (
     dedup,
+    divergence,
     langid,
     mixing,
     packing,
@@ -66,12 +67,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of op6: what each rule of each policy rejects, and rejects alone."""
     return quality.ablation_report(table(spark, sf_dir, "documents"))
 
 
-#: Reports of the ten operators: not operators of their own.
+#: Reports of the operators: not operators of their own.
 REPORTS = {"quality_ablations": quality_ablations}
 
 QUERIES = {
@@ -85,4 +90,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "op11_divergence": op11_divergence,
 }
