@@ -163,7 +163,36 @@ FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
 
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang HAVING sum(len(w)) > 0),
+f AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, w[i : i + k - 1] AS ws, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) AS r(k))
+  GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT * FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, ws, k, f AS a, unnest(range(1, k)) AS s FROM c),
+scored AS (
+  SELECT cut.*, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.ws = cut.ws[1:s] JOIN f y ON y.lang = cut.lang AND y.ws = cut.ws[s+1:k]
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY 2000000::HUGEINT * a // (x.f + y.f), s) = 1),
+kept AS (
+  SELECT * FROM scored WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = scored.lang AND c.k > scored.k AND 100 * c.f >= 80 * scored.a
+      AND contains(' ' || c.phrase || ' ', ' ' || scored.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+       phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_collocations": COLLOCATIONS,
     "op11_divergence": DIVERGENCE,
     "op2_mixing": _mixing(mixing.PRODUCTION),
     "op6_quality": QUALITY,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tempora.llm import (
+    collocations,
     dedup,
     divergence,
     langid,
@@ -16,6 +17,7 @@ from tempora.llm import (
     simhash,
     token_counts,
     toxicity,
+    url_filter,
 )
 from tempora.session import table
 
@@ -71,6 +73,14 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of op6: what each rule of each policy rejects, and rejects alone."""
     return quality.ablation_report(table(spark, sf_dir, "documents"))
@@ -91,4 +101,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
     "op11_divergence": op11_divergence,
+    "op12_url_filter": op12_url_filter,
+    "op13_collocations": op13_collocations,
 }
