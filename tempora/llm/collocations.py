@@ -170,7 +170,7 @@ def bucket_counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         con.register("bucket", pa.RecordBatchReader.from_batches(_SCHEMA, batches))
         found = con.execute(
             f"SELECT lang, phrase, CAST(sum(w) AS BIGINT) AS w FROM bucket GROUP BY lang, phrase HAVING sum(w) >= {int(least)}"
-        ).fetch_record_batch(SLICE)
+        ).to_arrow_reader(SLICE)
         for batch in found:
             yield batch.cast(_SCHEMA)
     finally:
