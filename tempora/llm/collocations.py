@@ -168,7 +168,7 @@ def bucket_counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
     con = duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": scratch, "preserve_insertion_order": False})
     try:
         con.register("bucket", pa.RecordBatchReader.from_batches(_SCHEMA, batches))
-        found = con.execute(
+        found = con.sql(
             f"SELECT lang, phrase, CAST(sum(w) AS BIGINT) AS w FROM bucket GROUP BY lang, phrase HAVING sum(w) >= {int(least)}"
         ).to_arrow_reader(SLICE)
         for batch in found:
