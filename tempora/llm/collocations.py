@@ -1,14 +1,15 @@
 """Phrase collocations: words that stand together far more often than apart.
 
 Texts are cut into pieces at punctuation and line ends, and identical pieces of
-a lang become one with a multiplicity. Phrases of 1, 2, .. LONGEST words are
-counted level by level over these pieces, weighted by their multiplicity: each
-task counts what its own pieces hold, the counts are dealt to hash buckets by
-phrase, and duckdb adds up a bucket, spilling to the task's scratch folder
-beyond MEMORY. Only what occurs LEAST times goes on, and a phrase is only looked
-at if both phrases of one word less in it did, which a bitmap over hashes of at
-most 2^28 bits tells: it may let rare phrases through, which their count then
-ends, and it never holds a frequent one back.
+a lang become one with a multiplicity. Phrases are counted over these pieces,
+weighted by their multiplicity: each task counts what its own pieces hold, the
+counts are dealt to hash buckets, and duckdb adds up a bucket, spilling to the
+task's scratch folder beyond MEMORY. Words are counted first; then phrases of 2,
+3, .. LONGEST words by their 64-bit hashes, which are shorter than the phrases,
+and only where both phrases of one word less may occur LEAST times, as a bitmap
+of at most 2^28 bits over the frequent hashes tells. Such a bitmap may let rare
+phrases through and never holds a frequent one back; what it lets through is
+counted by the words themselves in one last pass, which decides.
 
 A candidate's parts are looked up by requests: each of its cuts asks for the
 counts of what is before and after it, requests travel to where the part's count
@@ -58,7 +59,8 @@ SALTS = 8
 #: Fixed value: where a piece ends.
 PIECE_END = "[.,;:!?\\x0A-\\x0D]"
 COUNTS = "lang string, phrase string, w long"
-_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("w", pa.int64())])
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("w", pa.int64())])
+_HASHES = pa.schema([("h", pa.int64()), ("w", pa.int64())])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,16 +82,38 @@ def hashed(values: pa.Array) -> np.ndarray:
     return pd.util.hash_array(values.to_numpy(zero_copy_only=False), categorize=False) if len(values) else np.zeros(0, np.uint64)
 
 
-def joined_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """Of the hashes of a lang and of the words of a phrase, that of the phrase."""
-    h = lang
-    for w in words:
-        h = (h ^ (h >> np.uint64(29))) * _MIX + w
-    return (h ^ (h >> np.uint64(32))) * _MIX
+class Words:
+    """The words of many phrases of some langs, as numbers."""
+
+    def __init__(self, rows: dict[str, pa.Array], column: str):
+        words, self.owner = split_words(rows[column])
+        self.code, self.names = encoded(words)
+        self.lang, self.langs = encoded(rows["lang"])
+        self.w, self.tongue = hashed(self.names)[self.code], hashed(self.langs)[self.lang]
+
+    def starts(self, k: int) -> np.ndarray:
+        """Where k words in a row are of one phrase."""
+        n = len(self.owner) - k + 1
+        return np.flatnonzero(self.owner[:n] == self.owner[k - 1 :]) if n > 0 else np.zeros(0, np.int64)
+
+    def hashes(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the k words, and their lang, that begin at each place."""
+        h = self.tongue[self.owner[at]]
+        for j in range(k):
+            h = (h ^ (h >> np.uint64(29))) * _MIX + self.w[at + j]
+        return (h ^ (h >> np.uint64(32))) * _MIX
+
+    def likely(self, k: int, shorter: Frequent) -> np.ndarray:
+        """Starts of k words of which the first and the last k - 1 may both be frequent."""
+        at = self.starts(k - 1)
+        good = np.zeros(len(self.owner) + 1, bool)
+        good[at[shorter.has(self.hashes(at, k - 1))]] = True
+        at = self.starts(k)
+        return at[good[at] & good[at + 1]]
 
 
 class Frequent:
-    """A bitmap of the frequent phrases of one length."""
+    """A bitmap of the hashes of frequent phrases of one length."""
 
     def __init__(self, bitmap: np.ndarray, bits: int):
         self.bitmap, self.bits = bitmap, bits
@@ -99,80 +123,85 @@ class Frequent:
         return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def frequent(counts: DataFrame) -> Frequent:
-    """The bitmap of a materialised table of counts: what reaches the driver is bounded by its size, not by the table."""
-    bits = bits_for(counts.count())
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, "phrase"):
-            words, owner = split_words(rows["phrase"])
-            begin = np.searchsorted(owner, np.arange(len(rows["phrase"]) + 1))
-            code, names = encoded(words)
-            w = hashed(names)[code]
-            k = int(begin[1] - begin[0])
-            lang, langs = encoded(rows["lang"])
-            h = joined_hash(hashed(langs)[lang], [w[begin[:-1] + j] for j in range(k)])
-            at = (h >> np.uint64(64 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], ["bucket", "bit"])
-
-    placed = counts.select("lang", "phrase").mapInArrow(places, "bucket long, bit long")
+def frequent(hashes: DataFrame) -> Frequent:
+    """The bitmap of a materialised table (h): what reaches the driver is bounded by its size, not by the table."""
+    bits = bits_for(hashes.count())
+    at = F.shiftrightunsigned("h", 64 - bits)
+    placed = hashes.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(32767).cast("long")).alias("bit"))
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for row in placed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         bitmap[row["bucket"] << 12 : (row["bucket"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
     return Frequent(bitmap, bits)
 
 
-def count_phrases(pieces: DataFrame, k: int, shorter: Frequent | None, least: int = LEAST) -> DataFrame:
-    """lang, phrase, f of the phrases of k words that occur least times; shorter: those of k - 1 words."""
-    spark = pieces.sparkSession
-    shared = spark.sparkContext.broadcast(shorter)
+def word_hashes(counts: DataFrame) -> DataFrame:
+    """h of each word of a table of counts."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "phrase"):
+            words = Words(rows, "phrase")
+            yield pa.RecordBatch.from_arrays([pa.array(words.hashes(words.starts(1), 1).view(np.int64))], ["h"])
+
+    return materialize(counts.select("lang", "phrase").mapInArrow(run, "h long"), "word-hashes")
+
+
+def phrase_hashes(pieces: DataFrame, k: int, shorter: Frequent, least: int = LEAST) -> DataFrame:
+    """h of the phrases of k words that occur least times; of two with one hash both, if they do together."""
+    shared = pieces.sparkSession.sparkContext.broadcast(shorter)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, "piece"):
-            words, owner = split_words(rows["piece"])
-            code, names = encoded(words)
-            lang, langs = encoded(rows["lang"])
-            at = np.flatnonzero(owner[: len(owner) - k + 1] == owner[k - 1 :]) if len(owner) >= k else np.zeros(0, np.int64)
-            if known is not None:
-                w, tongue = hashed(names)[code], hashed(langs)[lang]
-                if k > 2:
-                    # Of every phrase of k - 1 words, once for both windows that hold it.
-                    n = len(owner) - k + 2
-                    good = known.has(joined_hash(tongue[owner[:n]], [w[j : j + n] for j in range(k - 1)])) if n > 0 else np.zeros(0, bool)
-                else:
-                    good = known.has(joined_hash(tongue[owner], [w]))
-                at = at[good[at] & good[at + 1]]
-            mine = owner[at]
-            columns = {"lang": lang[mine], **{f"w{j}": code[at + j] for j in range(k)}, "m": rows["m"].to_numpy()[mine]}
-            found = summed(columns, ["lang", *[f"w{j}" for j in range(k)]], m="sum")
-            for i in range(0, len(found["lang"]), SLICE):
+            words = Words(rows, "piece")
+            at = words.likely(k, shared.value)
+            columns = {"h": words.hashes(at, k).view(np.int64), "m": rows["m"].to_numpy()[words.owner[at]]}
+            found = summed(columns, ["h"], m="sum")
+            for i in range(0, len(found["h"]), SLICE):
                 some = slice(i, i + SLICE)
-                parts = [names.take(pa.array(found[f"w{j}"][some])) for j in range(k)]
-                phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(found["lang"][some])), phrase, pa.array(found["m_sum"][some])], schema=_SCHEMA
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(found["h"][some]), pa.array(found["m_sum"][some])], schema=_HASHES)
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from bucket_counts(batches, least)
+    counted = pieces.select("lang", "piece", "m").mapInArrow(local, "h long, w long").repartition("h")
+    return materialize(counted.mapInArrow(lambda batches: bucket_counts(batches, least, _HASHES), "h long, w long").select("h"), f"phrase-hashes-{k}")
 
-    local = pieces.select("lang", "piece", "m").mapInArrow(windows, COUNTS)
-    counted = local.repartition("lang", "phrase").mapInArrow(add_up, COUNTS)
-    return materialize(counted.withColumnRenamed("w", "f"), f"phrases-{k}")
 
+def count_phrases(pieces: DataFrame, levels: dict[int, Frequent | None], least: int = LEAST) -> DataFrame:
+    """lang, phrase, f, k of the phrases that occur least times, of each number of words; with a bitmap only what it has."""
+    shared = pieces.sparkSession.sparkContext.broadcast(levels)
 
-def bucket_counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sums of one bucket's rows, by duckdb, which spills beyond MEMORY to a scratch folder that goes with the task."""
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "piece"):
+            words, m = Words(rows, "piece"), rows["m"].to_numpy()
+            for k, known in shared.value.items():
+                at = words.starts(k)
+                if known is not None:
+                    at = at[known.has(words.hashes(at, k))]
+                mine, by = words.owner[at], ["lang", *[f"w{j}" for j in range(k)]]
+                columns = {"lang": words.lang[mine], **{f"w{j}": words.code[at + j] for j in range(k)}, "m": m[mine]}
+                found = summed(columns, by, m="sum")
+                for i in range(0, len(found["lang"]), SLICE):
+                    some = slice(i, i + SLICE)
+                    parts = [words.names.take(pa.array(found[f"w{j}"][some])) for j in range(k)]
+                    phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+                    lang = words.langs.take(pa.array(found["lang"][some]))
+                    yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(found["m_sum"][some])], schema=_COUNTS)
+
+    counted = pieces.select("lang", "piece", "m").mapInArrow(local, COUNTS).repartition("lang", "phrase")
+    counted = counted.mapInArrow(lambda batches: bucket_counts(batches, least, _COUNTS), COUNTS)
+    k = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1
+    return materialize(counted.select("lang", "phrase", F.col("w").alias("f"), k.alias("k")), "phrases")
+
+
+def bucket_counts(batches: Iterator[pa.RecordBatch], least: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sums of w over one bucket's rows, by duckdb, which spills beyond MEMORY to a scratch folder that goes with the task."""
     scratch = tempfile.mkdtemp(prefix="phrases-")
     con = duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": scratch, "preserve_insertion_order": False})
+    by = ", ".join(n for n in schema.names if n != "w")
     try:
-        con.register("bucket", pa.RecordBatchReader.from_batches(_SCHEMA, batches))
+        con.register("bucket", pa.RecordBatchReader.from_batches(schema, batches))
         found = con.sql(
-            f"SELECT lang, phrase, CAST(sum(w) AS BIGINT) AS w FROM bucket GROUP BY lang, phrase HAVING sum(w) >= {int(least)}"
+            f"SELECT {by}, CAST(sum(w) AS BIGINT) AS w FROM bucket GROUP BY {by} HAVING sum(w) >= {int(least)}"
         ).to_arrow_reader(SLICE)
         for batch in found:
-            yield batch.cast(_SCHEMA)
+            yield batch.cast(schema)
     finally:
         con.close()
         shutil.rmtree(scratch, ignore_errors=True)
@@ -225,14 +254,12 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     bound_arrow_batches(docs.sparkSession)
     pieces = materialize(distinct_pieces(docs), "phrase-pieces")
     words = pieces.groupBy("lang").agg(F.sum(F.col("m") * F.col("n_words")).alias("n"))
-    levels, known = [], None
-    for k in range(1, LONGEST + 1):
-        levels.append(count_phrases(pieces, k, known, least))
-        if k < LONGEST:
-            known = frequent(levels[-1])
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    counts = union(levels)
-    candidates = union([df.withColumn("k", F.lit(k)) for k, df in enumerate(levels, 1) if k > 1])
+    single = count_phrases(pieces, {1: None}, least)
+    known = {1: frequent(word_hashes(single))}
+    for k in range(2, LONGEST + 1):
+        known[k] = frequent(phrase_hashes(pieces, k, known[k - 1], least))
+    candidates = count_phrases(pieces, {k: known[k] for k in range(2, LONGEST + 1)}, least)
+    counts = single.unionByName(candidates)
     scored = with_parts(candidates, counts).join(covered(candidates), ["lang", "phrase"], "left")
     hundredfold = lambda c, by: F.col(c).cast("decimal(38,0)") * by
     kept = scored.where(F.col("longer").isNull() | (hundredfold("longer", 100) < hundredfold("a", COVERED)))

@@ -78,10 +78,10 @@ def test_a_bucket_is_counted_beyond_its_memory(monkeypatch):
 
     monkeypatch.setattr(collocations, "MEMORY", "40MB")
     words = [f"word number {i} of a bucket that is far larger than its memory" for i in range(400_000)]
-    one = pa.RecordBatch.from_arrays([pa.array(["l"] * len(words)), pa.array(words), pa.array(np.arange(len(words)), pa.int64())], schema=collocations._SCHEMA)
+    one = pa.RecordBatch.from_arrays([pa.array(["l"] * len(words)), pa.array(words), pa.array(np.arange(len(words)), pa.int64())], schema=collocations._COUNTS)
     before = set(glob.glob(f"{tempfile.gettempdir()}/phrases-*"))
     got = Counter()
-    for batch in collocations.bucket_counts(iter([one, one]), 100):
+    for batch in collocations.bucket_counts(iter([one, one]), 100, collocations._COUNTS):
         for r in batch.to_pylist():
             got[r["phrase"]] += r["w"]
     assert len(got) == len(words) - 50 and got[words[70]] == 140
@@ -89,8 +89,16 @@ def test_a_bucket_is_counted_beyond_its_memory(monkeypatch):
 
 
 def test_the_bitmap_holds_every_frequent_phrase(spark):
-    frame = spark.createDataFrame([("l", f"w{i} v{i % 7}", 30) for i in range(5000)], "lang string, phrase string, f long")
-    known = collocations.frequent(frame)
-    h = lambda v: collocations.hashed(pa.array(v))
-    keys = lambda n: collocations.joined_hash(h(["l"] * n), [h([f"w{i}" for i in range(n)]), h([f"v{i % 7}" for i in range(n)])])
-    assert known.has(keys(5000)).all() and known.has(keys(15000))[5000:].mean() < 0.1
+    rows = {"lang": pa.array(["l"] * 15_000), "piece": pa.array([f"w{i} v{i % 7}" for i in range(15_000)])}
+    words = collocations.Words(rows, "piece")
+    h = words.hashes(words.starts(2), 2)
+    assert len(set(h.tolist())) == 15_000
+    known = collocations.frequent(spark.createDataFrame([(int(x),) for x in h[:5000].view(np.int64)], "h long"))
+    assert known.has(h[:5000]).all() and known.has(h[5000:]).mean() < 0.1
+
+
+def test_phrases_with_one_hash_are_told_apart(spark, small, monkeypatch):
+    """Hashes of four values only: every bitmap lets all through, the counts by words stay right."""
+    docs = spark.createDataFrame([("x", "a b c. a b d, a b c"), ("y", "a b. c d")] * 4, "lang string, text string")
+    monkeypatch.setattr(collocations.Words, "hashes", lambda self, at, k: np.arange(len(at), dtype=np.uint64) % np.uint64(4) << np.uint64(62))
+    assert rows(collocations.mine(docs, 4)) == brute(docs.collect(), 4)
