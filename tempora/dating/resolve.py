@@ -1,8 +1,9 @@
 """Weigh the date evidence of an image, and date whole metadata tables.
 
 The candidates of a row are one array of structs; each step is an expression
-over that array, kept in a column of its own so that it is computed once. No
-shuffle: an image is dated from its own row.
+over that array, kept in a column of its own so that it is computed once. In a
+batch the distinct strings of all rows are parsed, once each, and read back from
+a dictionary; in a stream a row's are parsed where it is.
 """
 
 from __future__ import annotations
@@ -20,17 +21,18 @@ from tempora.dating.evidence import (
     parse_exif,
     parse_title,
 )
+from tempora.dating.dictionary import SUBCATEGORY_SCALE, Dictionary, evidence, with_candidates
 from tempora.dating.qs import parse_qs
 from tempora.dating.text import parse_date_text
 from tempora.functions.strings import let
 from tempora.functions.interval import INTERVAL, THIS_YEAR, agree, decimal_year, interval, label, mid, overlaps, width
+from tempora.plans.materialize import materialize
 
 # Fixed values.
 UPLOAD_SLACK = 2 / 365
 SCAN_GAP = 5
 NARROW_MIN, CONFLICT_MIN = 0.45, 0.5
 MODERN_YEAR = 1990
-SUBCATEGORY_SCALE = 0.8
 MIN_CREATOR_AGE = 10
 PHOTOGRAPHY_INVENTED = 1839.0
 PAGE = ("qs", "date_text")
@@ -240,18 +242,27 @@ def gather_candidates(max_year: int = THIS_YEAR) -> Column:
     )
 
 
-def date_images(meta: DataFrame, max_year: int = THIS_YEAR) -> DataFrame:
+def date_images(meta: DataFrame, max_year: int = THIS_YEAR, dictionary: str | None = None) -> DataFrame:
     """The dates table of a metadata table: one row per file.
 
     meta: scene_id, file_key, title, date_text, date_qs, date_source, exif map,
     categories, subcats, object_name, license, credit, upload_time, artist_born,
-    artist_died.
+    artist_died. dictionary: a folder that keeps what strings of earlier batches
+    say; without it a batch has its own.
     """
     c = F.col
-    rows = meta.withColumn(
-        "m",
-        classify_medium(c("categories"), c("title"), c("object_name"), c("exif"), c("license"), c("credit")),
-    ).withColumn("candidates", gather_candidates(max_year))
+    medium = classify_medium(c("categories"), c("title"), c("object_name"), c("exif"), c("license"), c("credit")).alias("m")
+    own = ("scene_id", "file_key", "upload_time", "artist_born", "artist_died")
+    if meta.isStreaming:
+        rows = meta.select(*own, medium, gather_candidates(max_year).alias("candidates"))
+    else:
+        # The few columns that dating needs, written once, so that a row keeps its number when a task runs again.
+        narrow = meta.select(
+            *own, medium, parse_exif(c("exif")).alias("exif"), evidence().alias("evidence"), F.monotonically_increasing_id().alias("row")
+        )
+        narrow = materialize(narrow, "dating-rows")
+        values = narrow.select(F.explode("evidence").alias("e")).select("e.kind", "e.value")
+        rows = with_candidates(narrow, Dictionary(meta.sparkSession, dictionary, max_year).extended(values))
     photo = c("m.medium").isin(*PHOTOGRAPHIC)
     alive = c("artist_born") + MIN_CREATOR_AGE
     rows = (

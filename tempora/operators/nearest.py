@@ -18,23 +18,35 @@ from tempora.functions.geometry import scene_scale
 from tempora.plans.materialize import broadcast_if_small, materialize
 
 
-def knn_cosine(rows: DataFrame, queries: DataFrame, k: int, rows_block: int = 20_000, queries_block: int = 2_000) -> DataFrame:
-    """query, id, score, rank of the k most similar other rows of each query.
+def knn_cosine(
+    rows: DataFrame, queries: DataFrame, k: int, rows_block: int = 20_000, queries_block: int = 2_000, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """by.., query, id, score, rank of the k most similar other rows (of the same `by`) of each query.
 
-    rows, queries: id long, vec array<float>. Ties go to the smaller id.
+    rows, queries: by.., id long, vec array<float>. Ties go to the smaller id.
     """
-    n_rows = max(1, math.ceil(rows.count() / rows_block))
-    n_queries = max(1, math.ceil(queries.count() / queries_block))
-    deal = lambda df, n, own, other, m: df.select(
-        "id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own)
-    ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = deal(rows, n_rows, "rb", "qb", n_queries)
-    right = deal(queries, n_queries, "qb", "rb", n_rows)
+    if not by:
+        one = lambda df: df.select(F.lit(1).alias("all"), "id", "vec")
+        return knn_cosine(one(rows), one(queries), k, rows_block, queries_block, ("all",)).drop("all")
+    up = lambda n, m: F.greatest(F.lit(1), F.ceil(n / m)).cast("int")
+    count = lambda df, m, name: df.groupBy(*by).agg(up(F.count("*"), F.lit(m)).alias(name))
+    # Blocks of each group on both sides: as many as its own size asks for.
+    sizes = count(rows, rows_block, "n_rows").join(count(queries, queries_block, "n_queries"), list(by))
+    sizes = broadcast_if_small(materialize(sizes, "knn-blocks"))
 
-    def best(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def deal(df, n, own, other, m):
+        own_block = F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(own)
+        # Columns of its own, should both sides come from one table.
+        kept = [F.col(c).alias(c) for c in (*by, "id", "vec")]
+        return df.join(sizes, list(by)).select(*kept, own_block, F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
+
+    left = deal(rows, "n_rows", "rb", "qb", "n_queries")
+    right = deal(queries, "n_queries", "qb", "rb", "n_rows")
+
+    def best(key: tuple, r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         columns = ["query", "id", "score"]
         if r.empty or q.empty:
-            return pd.DataFrame([], columns=columns)
+            return pd.DataFrame([], columns=[*by, *columns])
         unit = lambda v: (m := np.array(v.tolist(), float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         ids, asked = r["id"].to_numpy(), q["id"].to_numpy()
         units, wanted, parts = unit(r["vec"]), unit(q["vec"]), []
@@ -47,12 +59,12 @@ def knn_cosine(rows: DataFrame, queries: DataFrame, k: int, rows_block: int = 20
             found = pd.DataFrame({"query": asked[i : i + 256][at], "id": ids[col], "score": score[at, col]})
             found = found[found["score"] > -np.inf].sort_values(["query", "score", "id"], ascending=[True, False, True])
             parts.append(found.groupby("query").head(k))
-        return pd.concat(parts)
+        out = pd.concat(parts)
+        return out.assign(**dict(zip(by, key, strict=False)))[[*by, *columns]]
 
-    found = (
-        left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(best, "query long, id long, score double")
-    )
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    kind = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in by) + "query long, id long, score double"
+    found = left.groupBy(*by, "rb", "qb").cogroup(right.groupBy(*by, "rb", "qb")).applyInPandas(best, kind)
+    order = Window.partitionBy(*by, "query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -9,14 +9,17 @@ ever in one group.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.geometry import rotation_error_deg
+from tempora.operators.nearest import knn_cosine
 from tempora.plans.materialize import materialize
+from tempora.plans.ranking import quantiles
 
 
 def rotation_angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,33 +139,84 @@ def plan_batches(pdf: pd.DataFrame, queries=8, anchors=24, repeats=3, seed=0) ->
     return pd.DataFrame(rows, columns=["scene_id", "batch", "image", "anchor"])
 
 
-def plan_similar_batches(pdf: pd.DataFrame, queries=8, anchors=24, repeats=3, seed=0) -> pd.DataFrame:
-    """Batches of one scene: similar queries with the anchors most like any of them.
+def greedy_groups(pdf: pd.DataFrame, queries: int) -> pd.DataFrame:
+    """Groups of at most `queries` of the images, each round the first that is left with those most like it.
 
-    Groups grow greedily around random seeds. The first round takes the top
-    anchors of a group, later ones a random part of the top 2 * anchors.
-    pdf: scene_id, image, anchor (bool), vec. Similarities are computed a seed or
-    group at a time, so memory is linear in the scene; the work is quadratic.
+    pdf: scene_id, turn, image, vec, prio (the order of firsts). Quadratic, for a bounded number of images.
     """
-    rng = np.random.default_rng(seed)
-    pdf = pdf.sort_values("image")
-    asked, known = pdf[~pdf["anchor"]], pdf[pdf["anchor"]]
-    rows, batch = [], 0
-    if len(asked) and len(known):
-        scene, a, k = pdf["scene_id"].iloc[0], asked["image"].to_numpy(), known["image"].to_numpy()
-        q, v = np.array(asked["vec"].tolist(), float), np.array(known["vec"].tolist(), float)
-    for turn in range(repeats if len(asked) and len(known) else 0):
-        left = rng.permutation(len(a))
-        while len(left):
-            first, left = left[0], left[1:]
-            near = np.argsort(-(q[left] @ q[first]), kind="stable")[: queries - 1]
-            group = np.array([first, *left[near]])
-            left = np.delete(left, near)
-            top = np.argsort(-(q[group] @ v.T).max(axis=0), kind="stable")[: 2 * anchors]
-            drawn = top[:anchors] if turn == 0 or len(top) <= anchors else rng.choice(top, anchors, replace=False)
-            rows += [(scene, batch, a[i], False) for i in group] + [(scene, batch, k[i], True) for i in drawn]
-            batch += 1
-    return pd.DataFrame(rows, columns=["scene_id", "batch", "image", "anchor"])
+    pdf = pdf.sort_values(["prio", "image"])
+    image, v = pdf["image"].to_numpy(), np.array(pdf["vec"].tolist(), float)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    left, seed = np.arange(len(image)), np.zeros(len(image), np.int64)
+    while len(left):
+        first, left = left[0], left[1:]
+        near = np.argsort(-np.round(v[left] @ v[first], 6), kind="stable")[: queries - 1]
+        seed[[first, *left[near]]] = image[first]
+        left = np.delete(left, near)
+    return pdf[["scene_id", "turn", "image"]].assign(seed=seed)
+
+
+def similar_groups(asked: DataFrame, queries: int = 8, repeats: int = 3, seed: int = 0, small: int = 2_000) -> DataFrame:
+    """scene_id, turn, seed, image: in every turn each image is in one group, named by its seed, of at most `queries`.
+
+    asked: scene_id, image, vec. A turn puts the images in an order by hash. Those
+    that come before all that they are among the most like of, or that are most
+    like them, are seeds, all at once; each claims its most similar images, and an
+    image goes to the seed most like it. What is left goes on to the next round, so
+    that no scene is gathered; when at most `small` are left of a scene and turn,
+    one task ends it, seed by seed.
+    """
+    kind = "scene_id long, turn int, image long, seed long"
+    turns = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    left = asked.select(F.col("scene_id").cast("long"), F.col("image").cast("long"), "vec", turns.alias("turn"))
+    left = materialize(left.withColumn("prio", F.xxhash64(F.lit(seed), "turn", "image")), "similar-left")
+    by, done = ["scene_id", "turn"], []
+    while True:
+        many = left.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > small).select(*by)
+        many = materialize(many, "similar-many")
+        done.append(left.join(many, by, "left_anti").groupBy(*by).applyInPandas(lambda pdf: greedy_groups(pdf, queries), kind))
+        left = left.join(many, by, "left_semi")
+        if not many.count():
+            break
+        rows = left.select(*by, F.col("image").alias("id"), "vec")
+        near = materialize(knn_cosine(rows, rows, queries - 1, by=tuple(by)), "similar-near")
+        order = left.select(*by, "image", F.struct("prio", "image").alias("place"))
+        # Both directions: a seed is not among what another claims.
+        links = near.select(*by, F.col("query").alias("image"), F.col("id").alias("other"))
+        links = links.unionByName(links.select(*by, F.col("other").alias("image"), F.col("image").alias("other")))
+        before = links.join(order.withColumnRenamed("image", "other"), [*by, "other"]).groupBy(*by, "image").agg(F.min("place").alias("first"))
+        seeds = order.join(before, [*by, "image"], "left").where("first is null or place < first").select(*by, F.col("image").alias("seed"), "place")
+        seeds = materialize(seeds, "similar-seeds")
+        claims = near.withColumnRenamed("query", "seed").join(seeds, [*by, "seed"])
+        won = claims.groupBy(*by, F.col("id").alias("image")).agg(F.min_by("seed", F.struct(-F.col("score"), "place")).alias("seed"))
+        taken = materialize(won.unionByName(seeds.select(*by, F.col("seed").alias("image"), "seed")), "similar-taken")
+        done.append(taken.select(*by, "image", "seed"))
+        left = materialize(left.join(taken.select(*by, "image"), [*by, "image"], "left_anti"), "similar-left")
+    return reduce(DataFrame.unionByName, done)
+
+
+def plan_similar(images: DataFrame, queries: int = 8, anchors: int = 24, repeats: int = 3, seed: int = 0, small: int = 2_000) -> DataFrame:
+    """scene_id, batch, image, anchor: groups of similar images with the anchors most like any of them.
+
+    The first turn takes the top anchors of a group, later ones a part, drawn by
+    hash, of the top 2 * anchors. These are among the top 2 * anchors of the
+    group's images, which tiles of the scene give. images: scene_id, image (not
+    negative), anchor (bool), vec.
+    """
+    some = images.select(F.col("scene_id").cast("long"), F.col("image").cast("long"), "anchor", "vec")
+    known, asked = some.where("anchor"), some.where("not anchor")
+    asked = asked.join(known.select("scene_id").distinct(), "scene_id", "left_semi")
+    groups = materialize(similar_groups(asked, queries, repeats, seed, small), "similar-groups")
+    as_rows = lambda df: df.select("scene_id", F.col("image").alias("id"), "vec")
+    top = knn_cosine(as_rows(known), as_rows(asked), 2 * anchors, by=("scene_id",)).select("scene_id", F.col("query").alias("image"), "id", "score")
+    scored = groups.join(top, ["scene_id", "image"]).groupBy("scene_id", "turn", "seed", "id").agg(F.max("score").alias("score"))
+    batch = Window.partitionBy("scene_id", "turn", "seed")
+    ranked = scored.withColumn("nth", F.row_number().over(batch.orderBy(F.desc("score"), "id"))).where(F.col("nth") <= 2 * anchors)
+    draw = F.when(F.col("turn") == 0, F.col("nth")).otherwise(F.xxhash64(F.lit(seed), "turn", "seed", "id"))
+    drawn = ranked.withColumn("place", F.row_number().over(batch.orderBy(draw, "id"))).where(F.col("place") <= anchors)
+    number = (F.col("seed") * repeats + F.col("turn")).alias("batch")
+    members = groups.select("scene_id", number, "image", F.lit(False).alias("anchor"))
+    return members.unionByName(drawn.select("scene_id", number, F.col("id").alias("image"), F.lit(True).alias("anchor")))
 
 
 def align_batch(pdf: pd.DataFrame, min_inliers=6, method="rotation_first", threshold=0.15, seed=0) -> pd.DataFrame:
@@ -260,22 +314,22 @@ def register(
     predict: rows of one batch -> the same rows with pred (16) and focal;
     scales: scene_id, scale, the unit of center_spread. Spread batches are
     planned in parts of a scene of bounded size, so a batch spreads its anchors
-    over those of its part; similar ones need a whole scene's descriptors.
+    over those of its part; similar ones by rounds over tiles of a scene.
     """
-    kind = "scene_id long, batch int, image long, anchor boolean"
+    kind = "scene_id long, batch long, image long, anchor boolean"
     if similar:
-        batches = images.groupBy("scene_id").applyInPandas(lambda pdf: plan_similar_batches(pdf, **plan), kind)
+        batches = plan_similar(images, **plan)
     else:
         batches = deal_scenes(images).groupBy("scene_id", "part").applyInPandas(lambda pdf: plan_part(pdf, **plan), kind)
     posed = batches.groupBy("scene_id", "batch").applyInPandas(
-        predict, "scene_id long, batch int, image long, anchor boolean, pred array<double>, focal double"
+        predict, "scene_id long, batch long, image long, anchor boolean, pred array<double>, focal double"
     )
     aligned = (
         posed.join(known, ["scene_id", "image"], "left")
         .groupBy("scene_id", "batch")
         .applyInPandas(
             lambda pdf: align_batch(pdf),
-            "scene_id long, batch int, image long, c2w array<double>, focal double, n_queries int, n_anchors int, "
+            "scene_id long, batch long, image long, c2w array<double>, focal double, n_queries int, n_anchors int, "
             "n_inliers int, anchor_rot_err_median double, used boolean",
         )
     )
@@ -314,22 +368,33 @@ def evaluate(queries: DataFrame, truth: DataFrame, scales: DataFrame) -> DataFra
     )
 
 
+def _medians(df: DataFrame, *columns: str) -> DataFrame:
+    """One row (all, <column>_median..), none of an empty table; no column meets in one buffer."""
+    one = df.select(F.lit(1).alias("all"), *columns)
+    return quantiles(one, ["all"], {f"{c}_median": (c, 0.5) for c in columns})
+
+
+def _beside(row: DataFrame, medians: DataFrame) -> DataFrame:
+    return row.withColumn("all", F.lit(1)).join(medians, "all", "left").drop("all")
+
+
 def summarize_log(log: DataFrame) -> DataFrame:
     """Batches, those used, and the median of agreeing anchors."""
-    return log.agg(
-        F.count("*").alias("n_batches"), F.count_if("used").alias("n_used"), F.median("n_inliers").alias("n_inliers_median")
-    )
+    counts = log.agg(F.count("*").alias("n_batches"), F.count_if("used").alias("n_used"))
+    return _beside(counts, _medians(log, "n_inliers"))
 
 
 def summarize_errors(evaluated: DataFrame) -> DataFrame:
     """Medians and shares over all queries; those not placed count as failures."""
     share = lambda limit: (F.count_if(F.col("rot_err_deg") < limit) / F.count("*"))
-    return evaluated.agg(
+    counts = evaluated.agg(
         F.count("*").alias("n_queries"),
         F.avg(F.col("rot_err_deg").isNotNull().cast("int")).alias("placed"),
-        F.median("rot_err_deg").alias("rot_err_median_deg"),
         share(5).alias("within_5deg"),
         share(10).alias("within_10deg"),
         share(20).alias("within_20deg"),
-        F.median("center_err").alias("center_err_median"),
+    )
+    return _beside(counts, _medians(evaluated, "rot_err_deg", "center_err")).select(
+        "n_queries", "placed", F.col("rot_err_deg_median").alias("rot_err_median_deg"), "within_5deg", "within_10deg", "within_20deg",
+        "center_err_median",
     )

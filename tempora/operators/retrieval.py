@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions.geometry import pose_distance
 from tempora.functions.strings import stable_hash
+from tempora.operators.search import nearest
 from tempora.plans.materialize import materialize
 from tempora.plans.ranking import first_per_group, fresh, rank_by_hash
 
@@ -175,7 +175,7 @@ def draw_samples(views: DataFrame, n_samples: int, cfg: Sampling = Sampling(), s
 
 
 def retrieve(pairs: DataFrame, strategy: str, by: list[str], k_date: int = 20) -> DataFrame:
-    """The chosen candidate of each target: by.., cand, gap, pose.
+    """The chosen candidate of each target of a table of few pairs: by.., cand, gap, pose.
 
     pairs: by columns, cand, gap, pose. Ties go to the other measure, then to the
     smaller candidate.
@@ -194,42 +194,23 @@ def retrieve(pairs: DataFrame, strategy: str, by: list[str], k_date: int = 20) -
     return first_per_group(pairs, by, order, ["cand", "gap", "pose"])
 
 
-def join_in_blocks(
-    targets: DataFrame, cands: DataFrame, by: list[str], target: str, cand: str,
-    targets_block: int = 2_000, cands_block: int = 20_000,
-) -> DataFrame:
-    """targets x cands of equal `by`, dealt into blocks by the ids, so that a large group is many tasks' work."""
-    n_targets = max(1, math.ceil(targets.count() / targets_block))
-    n_cands = max(1, math.ceil(cands.count() / cands_block))
-    deal = lambda df, key, n, own, other, m: df.withColumn(
-        own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = deal(targets, target, n_targets, "__t", "__c", n_cands)
-    right = deal(cands, cand, n_cands, "__c", "__t", n_targets)
-    return left.join(right, [*by, "__t", "__c"]).drop("__t", "__c")
-
-
-def baseline_pairs(samples: DataFrame, views: DataFrame, scales: DataFrame, source: str) -> DataFrame:
-    """(scene_id, sample, view, target, cand, gap, pose) of all allowed candidates.
-
-    views: scene_id, row_id, date, POSE, group_id. Targets of the sample are never
-    candidates; from the pool, neither is any view that shares a group with one.
-    """
-    named = lambda role: views.select(
+def _named(views: DataFrame, role: str) -> DataFrame:
+    return views.select(
         "scene_id", F.col("row_id").alias(role), F.col("date").alias(f"{role}_date"),
         F.col("group_id").alias(f"{role}_group"), *[F.col(c).alias(f"{role}_{c}") for c in POSE],
     )
+
+
+def baseline_targets(samples: DataFrame, views: DataFrame, scales: DataFrame) -> DataFrame:
+    """scene_id, sample, view, target, its date, group and pose, and scale: the drawn targets."""
     drawn = samples.where("role = 'target'").select("scene_id", "sample", "view", F.col("row_id").alias("target"))
-    targets = drawn.join(named("target"), ["scene_id", "target"]).join(scales, "scene_id")
-    if source == "inputs":
-        cands = samples.where("role = 'input'").select("scene_id", "sample", F.col("row_id").alias("cand"))
-        full = targets.join(cands.join(named("cand"), ["scene_id", "cand"]), ["scene_id", "sample"])
-    else:
-        # The drawn targets are a stated query set against the views of their scene.
-        banned = targets.groupBy("scene_id", "sample").agg(F.collect_set("target_group").alias("banned"))
-        targets = materialize(targets.join(banned, ["scene_id", "sample"]), "baseline-targets")
-        full = join_in_blocks(targets, named("cand"), ["scene_id"], "target", "cand")
-        full = full.where(~F.coalesce(F.array_contains("banned", F.col("cand_group")), F.lit(False)))
+    return drawn.join(_named(views, "target"), ["scene_id", "target"]).join(scales, "scene_id")
+
+
+def input_pairs(targets: DataFrame, samples: DataFrame, views: DataFrame) -> DataFrame:
+    """(scene_id, sample, view, target, cand, gap, pose): each target with the few inputs of its sample."""
+    cands = samples.where("role = 'input'").select("scene_id", "sample", F.col("row_id").alias("cand"))
+    full = targets.join(cands.join(_named(views, "cand"), ["scene_id", "cand"]), ["scene_id", "sample"])
     side = lambda role: {c: F.col(f"{role}_{c}") for c in POSE}
     return full.select(
         "scene_id", "sample", "view", "target", "cand",
@@ -238,13 +219,29 @@ def baseline_pairs(samples: DataFrame, views: DataFrame, scales: DataFrame, sour
     )
 
 
+def from_pool(targets: DataFrame, views: DataFrame, strategy: str, k_date: int = 20) -> DataFrame:
+    """(scene_id, sample, view, target, cand, gap, pose): the view of the scene that a strategy chooses for each target.
+
+    Targets of the sample are never candidates, nor is any view that shares a group with one.
+    """
+    key = ["sample", "view", "target"]
+    banned = targets.groupBy("scene_id", "sample").agg(F.collect_set("target_group").alias("banned"))
+    asked = materialize(targets.join(banned, ["scene_id", "sample"]), "baseline-targets")
+    allowed = ~F.coalesce(F.array_contains("banned", F.col("cand_group")), F.lit(False))
+    return nearest(asked, _named(dated(views), "cand"), strategy, ["scene_id"], key, k_date, allowed)
+
+
 def run_baselines(samples: DataFrame, views: DataFrame, scales: DataFrame, k_date: int = 20) -> DataFrame:
     """One row per target and baseline, with the retrieved view."""
+    targets = baseline_targets(samples, views, scales)
+    columns = ["scene_id", "sample", "view", "target", "cand", "gap", "pose"]
     out = None
     for name, (strategy, source) in BASELINES.items():
-        pairs = baseline_pairs(samples, views, scales, source)
-        chosen = retrieve(pairs, strategy, ["scene_id", "sample", "view", "target"], k_date)
-        chosen = chosen.withColumn("baseline", F.lit(name))
+        if source == "inputs":
+            chosen = retrieve(input_pairs(targets, samples, views), strategy, columns[:4], k_date)
+        else:
+            chosen = from_pool(targets, views, strategy, k_date)
+        chosen = chosen.select(*columns, F.lit(name).alias("baseline"))
         out = chosen if out is None else out.unionByName(chosen)
     return out
 

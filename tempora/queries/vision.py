@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import geometry as geo
 from tempora.functions import images
-from tempora.operators import neardup, posing, retrieval
+from tempora.operators import neardup, posing, retrieval, search
 from tempora.operators.nearest import knn_cosine
 from tempora.queries.registry import query
 from tempora.session import table
@@ -105,22 +105,13 @@ p AS (SELECT t.vec_id AS target, c.vec_id AS cand, abs(c.date - t.date) AS gap,
 """
 
 
-def _pairs(spark, d) -> DataFrame:
-    """Every twentieth view against the other views of its scene."""
+def _retrieved(spark, d, strategy):
+    """For every twentieth view the one that is chosen of the other views of its scene."""
     cams = cameras(spark, d)
-    side = lambda df, role: df.select("scene_id", F.col("vec_id").alias(role), F.col("date").alias(f"{role}_date"), *[F.col(c).alias(f"{role}_{c}") for c in retrieval.POSE])
+    cams = cams.join(geo.scene_scale(cams, ["scene_id"]), "scene_id")
+    side = lambda df, role: df.select("scene_id", "scale", F.col("vec_id").alias(role), F.col("date").alias(f"{role}_date"), *[F.col(c).alias(f"{role}_{c}") for c in retrieval.POSE])
     t, c = side(cams.where("vec_id % 20 = 0"), "target"), side(cams.where("vec_id % 20 <> 0"), "cand")
-    t = t.join(geo.scene_scale(cams, ["scene_id"]), "scene_id")
-    both = retrieval.join_in_blocks(t, c, ["scene_id"], "target", "cand")
-    a, b = ({c: F.col(f"{p}_{c}") for c in retrieval.POSE} for p in ("target", "cand"))
-    return both.select(
-        "target", "cand", F.abs(F.col("cand_date") - F.col("target_date")).alias("gap"),
-        F.round(geo.pose_distance(a, b, F.col("scale")), 9).alias("pose"),
-    )
-
-
-def _retrieved(spark, d, strategy):
-    return retrieval.retrieve(_pairs(spark, d), strategy, ["target"], 5).select("target", "cand")
+    return search.nearest(t, c, strategy, ["scene_id"], ["target"], 5, digits=9).select("target", "cand")
 
 
 @query("retrieval_date", PAIRS + "SELECT target, cand FROM p QUALIFY row_number() OVER (PARTITION BY target ORDER BY gap, pose, cand) = 1")

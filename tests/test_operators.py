@@ -180,8 +180,9 @@ def test_samples_and_pool_exclusions(spark):
     df = spark.createDataFrame(rows, "scene_id long, row_id long, file_key string, date double, cx double, cy double, cz double, dx double, dy double, dz double, group_id long")
     s = retrieval.draw_samples(df, 3)
     assert s.count() == 24 and s.exceptAll(retrieval.draw_samples(df.orderBy(F.rand(2)), 3)).count() == 0
-    pool = retrieval.baseline_pairs(s, df, geo.scene_scale(df, ["scene_id"]), "pool").collect()
     targets = {(r["sample"], r.row_id // 2) for r in s.where("role = 'target'").collect()}
+    drawn = retrieval.baseline_targets(s, df, geo.scene_scale(df, ["scene_id"]))
+    pool = retrieval.from_pool(drawn, df, "date_then_pose", 3).collect()
     assert pool and not any((r["sample"], r.cand // 2) in targets for r in pool)
     out = retrieval.run_baselines(s, df, geo.scene_scale(df, ["scene_id"]))
     assert out.groupBy("baseline").count().where("count <> 15").count() == 0
@@ -327,28 +328,47 @@ def test_errors_of_registered_queries(spark):
     assert posing.summarize_log(log).first() == (3, 2, 6.0)
 
 
-def test_similar_batches():
-    """Each round asks every query once; the first takes the top anchors, others part of the top twice as many."""
-    rng = np.random.default_rng(7)
-    vec = rng.normal(size=(60, 8))
-    pdf = pd.DataFrame({"scene_id": 5, "image": np.arange(60), "anchor": np.arange(60) >= 20, "vec": vec.tolist()})
-    plan = posing.plan_similar_batches(pdf, queries=4, anchors=6, repeats=3)
-    asked = plan[~plan["anchor"]]
-    assert (asked.groupby("image").size() == 3).all() and len(asked) == 60 and plan["batch"].nunique() == 15
-    order, b = list(np.random.default_rng(0).permutation(20)), 0
-    while order:
-        seed = order.pop(0)
-        near = sorted(order, key=lambda j: -(vec[seed] @ vec[j]))[:3]
-        order = [j for j in order if j not in near]
-        got = plan[plan["batch"] == b]
-        assert got.loc[~got["anchor"], "image"].tolist() == [seed, *near]
-        b += 1
+def _check_similar(rows, vec, is_anchor, queries, anchors, repeats, seed=0):
+    """Each query in `repeats` batches, no group larger than a batch, the first turn with the top anchors, others part of the top twice as many."""
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    known, asked = np.flatnonzero(is_anchor), np.flatnonzero(~is_anchor)
+    plan = pd.DataFrame(rows, columns=["scene_id", "batch", "image", "anchor"])
+    members = plan[~plan["anchor"]]
+    assert (members.groupby("image").size() == repeats).all() and set(members["image"]) == set(asked) and not plan.duplicated(["batch", "image"]).any()
+    assert (members.assign(turn=members["batch"] % repeats).groupby(["turn", "image"]).size() == 1).all()
     for b, got in plan.groupby("batch"):
-        score = (vec[got.loc[~got["anchor"], "image"]] @ vec[20:].T).max(axis=0)
-        top = (20 + np.argsort(-score)).tolist()
-        drawn = got.loc[got["anchor"], "image"].tolist()
-        assert drawn == top[:6] if b < 5 else len(set(drawn)) == 6 and set(drawn) <= set(top[:12])
-    assert posing.plan_similar_batches(pdf[~pdf["anchor"]]).empty
+        group, drawn = got.loc[~got["anchor"], "image"].to_numpy(), got.loc[got["anchor"], "image"].tolist()
+        assert 1 <= len(group) <= queries and b // repeats in group
+        score = np.round(unit[group] @ unit[known].T, 6).max(axis=0)
+        top = known[np.lexsort((known, -score))].tolist()
+        assert set(drawn) == set(top[:anchors]) if b % repeats == 0 else len(set(drawn)) == min(anchors, len(known)) and set(drawn) <= set(top[: 2 * anchors])
+    return members
+
+
+def test_similar_batches(spark):
+    rng = np.random.default_rng(7)
+    vec = rng.normal(size=(260, 8)).astype(np.float32).astype(float)
+    anchor = np.arange(260) >= 140
+    images = spark.createDataFrame([(5, i, bool(anchor[i]), vec[i].tolist()) for i in range(260)], "scene_id long, image long, anchor boolean, vec array<float>")
+    for small in (2_000, 20):  # in one task, and by rounds
+        rows = posing.plan_similar(images, queries=4, anchors=6, repeats=3, small=small).collect()
+        members = _check_similar(rows, vec, anchor, 4, 6, 3)
+        assert members["batch"].nunique() <= 3 * 140 // 2
+    again = posing.plan_similar(images.repartition(7), queries=4, anchors=6, repeats=3, small=20)
+    assert set(map(tuple, again.collect())) == set(map(tuple, rows))
+    assert posing.plan_similar(images.where("not anchor")).count() == 0
+    few = posing.plan_similar(images.where("image < 3 or image > 255"), queries=4, anchors=6, repeats=2).collect()
+    assert len({r.batch for r in few}) == 2 and len(few) == 2 * (3 + 4)
+
+
+def test_similar_batches_do_not_mix_clusters(spark):
+    rng = np.random.default_rng(3)
+    side = np.arange(120) % 2
+    vec = np.eye(4)[side] * 10 + rng.normal(size=(120, 4))
+    images = spark.createDataFrame([(1, i, i >= 60, vec[i].tolist()) for i in range(120)], "scene_id long, image long, anchor boolean, vec array<float>")
+    for small in (2_000, 8):
+        plan = pd.DataFrame(posing.plan_similar(images, queries=6, anchors=5, repeats=2, small=small).collect(), columns=["scene_id", "batch", "image", "anchor"])
+        assert (plan.assign(side=plan["image"] % 2).groupby("batch")["side"].nunique() == 1).mean() > 0.9
 
 
 def test_nearest_modern_views(spark):
@@ -382,22 +402,6 @@ def test_small_summaries(spark):
     assert tuple(retrieval.target_summary(t).first()) == ("x", 4, 0.333)
 
 
-def test_pairs_of_a_large_scene_are_many_tasks_work(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        ids = lambda n, name: spark.range(n).select(F.lit(1).alias("scene_id"), F.col("id").alias(name))
-        pairs = retrieval.join_in_blocks(ids(40, "target"), ids(300, "cand"), ["scene_id"], "target", "cand", 10, 50)
-        assert pairs.distinct().count() == pairs.count() == 40 * 300
-        largest = pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
-        assert largest < 6000
-    finally:
-        for k in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
-            spark.conf.unset(f"spark.sql.{k}")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-
-
 @pytest.mark.parametrize("fraction", [None, 0.7])
 def test_samples_equal_the_draws_from_a_sorted_list(spark, fraction):
     """Two scenes with repeated dates, one without anchors, undated views: against plain Python."""
