@@ -24,6 +24,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -50,7 +51,7 @@ SCALE = 2_000_000
 TOP = 2_000
 UND = "und"
 #: What duckdb may hold of a bucket before it spills.
-MEMORY = "256MB"
+MEMORY = "128MB"
 #: Rows that leave a task at once.
 SLICE = 100_000
 #: Parts that the requests for a common part are spread over.
@@ -89,7 +90,14 @@ class Words:
         words, self.owner = split_words(rows[column])
         self.code, self.names = encoded(words)
         self.lang, self.langs = encoded(rows["lang"])
-        self.w, self.tongue = hashed(self.names)[self.code], hashed(self.langs)[self.lang]
+
+    @functools.cached_property
+    def w(self) -> np.ndarray:
+        return hashed(self.names)[self.code]
+
+    @functools.cached_property
+    def tongue(self) -> np.ndarray:
+        return hashed(self.langs)[self.lang]
 
     def starts(self, k: int) -> np.ndarray:
         """Where k words in a row are of one phrase."""
