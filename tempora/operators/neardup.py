@@ -11,27 +11,44 @@ from tempora.plans.materialize import broadcast_if_small, materialize
 from tempora.plans.ranking import rank_by_hash, row_numbers
 
 
-def band_join(df: DataFrame, key: str, bands: dict[str, float], equal: tuple[str, ...] = ()) -> DataFrame:
+def band_join(df: DataFrame, key: str, bands: dict[str, float], equal: tuple[str, ...] = (), block: int = 2_000) -> DataFrame:
     """Pairs (a, b), a < b by key, that differ by at most each band's tolerance.
 
-    Each band column falls into cells as wide as its tolerance; one side visits
-    the neighbouring cells, so the join is an equi-join on all cells (and the
-    equal columns), with the exact difference left as a residual.
+    Equal rows are one value until the end. Each band column falls into cells as
+    wide as its tolerance; one side visits the neighbouring cells, so the join is
+    an equi-join on all cells (and the equal columns), with the exact difference
+    left as a residual. All values of a cell are within tolerance of each other,
+    so what is joined is a few times what is found. A cell of more than `block`
+    values is dealt into blocks, each of which its visitors meet, so that one full
+    cell is many tasks' work. Rows without a value in a band, or in an equal
+    column, have no pairs.
     """
-    cells = {c: F.floor(F.col(c) / tol).cast("long") for c, tol in bands.items()}
-    left = df.select(key, *equal, *bands, *[v.alias(f"c_{c}") for c, v in cells.items()])
-    right = left.select(*[F.col(c).alias(f"r_{c}") for c in left.columns])
-    for c in bands:
-        right = right.withColumn(
-            f"r_c_{c}", F.explode(F.array(*[F.col(f"r_c_{c}") + d for d in (-1, 0, 1)]))
-        )
-    on = [F.col(c) == F.col(f"r_{c}") for c in equal] + [F.col(f"c_{c}") == F.col(f"r_c_{c}") for c in bands]
-    near = [F.abs(F.col(c) - F.col(f"r_{c}")) <= tol for c, tol in bands.items()]
-    keep = F.col(key) < F.col(f"r_{key}")
-    for n in near:
-        keep = keep & n
-    joined = left.join(right, on).where(keep)
-    return joined.select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"))
+    cells = {f"c_{c}": F.floor(F.col(c) / tol).cast("long") for c, tol in bands.items()}
+    on = [*equal, *cells]
+    full = df.dropna(subset=[*equal, *bands])
+    values = full.groupBy(*equal, *bands).agg(F.min(key).alias("v"), F.count("*").alias("n"))
+    values = materialize(values.withColumns(cells), "band-values")
+    blocks = values.groupBy(*on).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    left = values.join(blocks, on).withColumn("blk", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select(*on, "blk", "v", *bands)
+    away = values.select(*equal, F.col("v").alias("r_v"), *[F.col(c).alias(f"r_{c}") for c in bands], *cells)
+    for c in cells:
+        away = away.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+    # Visits to cells that are empty end here.
+    right = away.join(blocks, on).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    near = F.col("v") < F.col("r_v")
+    for c, tol in bands.items():
+        near = near & (F.abs(F.col(c) - F.col(f"r_{c}")) <= tol)
+    pairs = left.join(right, [*on, "blk"]).where(near).select("v", "r_v")
+    if not values.where("n > 1").limit(1).count():
+        return pairs.select(F.col("v").alias("a"), F.col("r_v").alias("b"))
+    # Every row of the one value with every row of the other, and the rows of one value with each other.
+    named = [full[c].eqNullSafe(values[c]) for c in (*equal, *bands)]
+    rows = materialize(full.join(values, named).select(full[key].alias("k"), values["v"], values["n"]), "band-rows")
+    of = lambda v, k: rows.select(F.col("v").alias(v), F.col("k").alias(k))
+    apart = pairs.join(of("v", "x"), "v").join(of("r_v", "y"), "r_v").select("x", "y")
+    many = rows.where("n > 1")
+    alike = many.select("v", F.col("k").alias("x")).join(many.select("v", F.col("k").alias("y")), "v").where("x < y").select("x", "y")
+    return apart.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def band_groups(df: DataFrame, key: str, bands: dict[str, float], equal: tuple[str, ...] = ()) -> DataFrame:

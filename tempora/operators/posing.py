@@ -302,7 +302,7 @@ def plan_part(pdf: pd.DataFrame, seed: int = 0, **plan) -> pd.DataFrame:
 
 def register(
     images: DataFrame, known: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], scales: DataFrame,
-    similar: bool = False, **plan
+    similar: bool = False, inputs: DataFrame | None = None, **plan
 ) -> tuple[DataFrame, DataFrame]:
     """Poses of the images that are no anchors, and the log of the batches.
 
@@ -311,7 +311,8 @@ def register(
 
     images: scene_id, image, anchor, cx..dz, or, with similar=True, vec, the
     descriptors by which batches are planned; known: scene_id, image, known (16);
-    predict: rows of one batch -> the same rows with pred (16) and focal;
+    predict: rows of one batch -> the same rows with pred (16) and focal; inputs:
+    scene_id, image and what predict sees beside them;
     scales: scene_id, scale, the unit of center_spread. Spread batches are
     planned in parts of a scene of bounded size, so a batch spreads its anchors
     over those of its part; similar ones by rounds over tiles of a scene.
@@ -321,6 +322,8 @@ def register(
         batches = plan_similar(images, **plan)
     else:
         batches = deal_scenes(images).groupBy("scene_id", "part").applyInPandas(lambda pdf: plan_part(pdf, **plan), kind)
+    if inputs is not None:
+        batches = batches.join(inputs, ["scene_id", "image"])
     posed = batches.groupBy("scene_id", "batch").applyInPandas(
         predict, "scene_id long, batch long, image long, anchor boolean, pred array<double>, focal double"
     )

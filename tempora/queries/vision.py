@@ -252,48 +252,51 @@ def retrieval_baselines(spark, d):
     return retrieval.run_baselines(retrieval.draw_samples(views, 8), views, scales).withColumn("pose", F.round("pose", 6))
 
 
+TURN, STRETCH = np.array([[0.0, -1, 0, 1], [1, 0, 0, 2], [0, 0, 1, 3], [0, 0, 0, 1]]), 0.5
+
+
 def _shifted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A stand-in predictor: the true cameras in another frame."""
-    turn = np.array([[0.0, -1, 0, 1], [1, 0, 0, 2], [0, 0, 1, 3], [0, 0, 0, 1]])
-    out = []
-    for image in pdf["image"]:
-        rng = np.random.default_rng(int(image))
-        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
-        q *= np.sign(np.linalg.det(q))
-        m = np.eye(4)
-        m[:3, :3], m[:3, 3] = q, rng.normal(size=3)
-        moved = turn @ m
-        moved[:3, 3] = turn[:3, :3] @ (0.5 * m[:3, 3]) + turn[:3, 3]
-        out.append(moved.ravel().tolist())
-    return pdf.assign(pred=out, focal=500.0)
-
-
-def _true_pose(image: pd.Series) -> pd.Series:
-    out = []
-    for i in image:
-        rng = np.random.default_rng(int(i))
-        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
-        q *= np.sign(np.linalg.det(q))
-        m = np.eye(4)
-        m[:3, :3], m[:3, 3] = q, rng.normal(size=3)
-        out.append(m.ravel().tolist())
-    return pd.Series(out)
-
-
-@query("register_images")
-def register_images(spark, d):
-    """Every tenth view posed against the others, from predictions in another frame."""
-    from pyspark.sql.types import ArrayType, DoubleType
+    """A stand-in predictor: the cameras it is given, turned and scaled into another frame."""
+    m = np.array(pdf["camera"].tolist(), float).reshape(-1, 4, 4)
+    moved = TURN @ m
+    moved[:, :3, 3] = STRETCH * m[:, :3, 3] @ TURN[:3, :3].T + TURN[:3, 3]
+    kept = pdf[["scene_id", "batch", "image", "anchor"]]
+    return kept.assign(pred=list(moved.reshape(-1, 16)), focal=500.0)
+
 
-    pose = F.pandas_udf(_true_pose, ArrayType(DoubleType()))
-    rows = table(spark, d, "embeddings").select(
-        (F.col("vec_id") % 4).alias("scene_id"), F.col("vec_id").alias("image"), (F.col("vec_id") % 10 != 0).alias("anchor"),
-        pose("vec_id").alias("m"),
+def _posed(spark, d) -> DataFrame:
+    """Cameras of the embeddings, nine in ten of them anchors, with their poses and descriptors."""
+    cams = cameras(spark, d)
+    r = geo.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    pose = geo.camera_to_world(r, F.col("tx"), F.col("ty"), F.col("tz"))
+    return cams.select(
+        "scene_id", F.col("vec_id").alias("image"), (F.col("vec_id") % 10 != 0).alias("anchor"), pose.alias("camera"),
+        *retrieval.POSE, F.col("embedding").alias("vec"),
     )
-    at = lambda i: F.col("m")[i]
-    full = rows.select(
-        "*", *[at(i).alias(c) for i, c in ((3, "cx"), (7, "cy"), (11, "cz"), (2, "dx"), (6, "dy"), (10, "dz"))]
+
+
+@query(
+    "register_images",
+    """
+SELECT vec_id % 4 AS scene_id, vec_id AS image, CAST(2 AS INTEGER) AS n_batches, true AS placed, true AS right_turn, true AS right_place, 500.0::DOUBLE AS focal
+FROM embeddings WHERE vec_id % 10 = 0
+""",
+)
+def register_images(spark, d):
+    """Every tenth view posed against the others, from predictions in another frame, and held against where it is."""
+    rows = _posed(spark, d)
+    scales = geo.scene_scale(rows.where("anchor"), ["scene_id"])
+    own = lambda name, df=rows: df.select("scene_id", "image", F.col("camera").alias(name))
+    images = rows.select("scene_id", "image", "anchor", *retrieval.POSE)
+    placed = posing.register(images, own("known", rows.where("anchor")), _shifted, scales, inputs=own("camera"), repeats=2)[0]
+    judged = posing.evaluate(placed, own("true"), scales)
+    return judged.select(
+        "scene_id", "image", F.col("n_batches").cast("int").alias("n_batches"), F.col("c2w").isNotNull().alias("placed"),
+        (F.col("rot_err_deg") < 0.01).alias("right_turn"), (F.col("center_err") < 0.001).alias("right_place"), "focal",
     )
-    scales = geo.scene_scale(full.where("anchor"), ["scene_id"])
-    known = full.where("anchor").select("scene_id", "image", F.col("m").alias("known"))
-    return posing.register(full.drop("m"), known, _shifted, scales, repeats=2)[0]
+
+
+@query("similar_batches")
+def similar_batches(spark, d):
+    """Batches of similar views and the anchors most like them, over whole scenes; SQL cannot follow the rounds."""
+    return posing.plan_similar(_posed(spark, d).select("scene_id", "image", "anchor", "vec"))

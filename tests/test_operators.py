@@ -361,6 +361,21 @@ def test_similar_batches(spark):
     assert len({r.batch for r in few}) == 2 and len(few) == 2 * (3 + 4)
 
 
+def test_similar_batches_query(spark, small):
+    """The registered query, scene by scene, against its invariants."""
+    from tempora.catalog import QUERIES
+
+    rows = [tuple(r) for r in QUERIES["similar_batches"](spark, small).select("scene_id", "batch", "image", "anchor").collect()]
+    vec = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").toPandas()
+    ids, v = vec["vec_id"].to_numpy(), np.array(vec["embedding"].tolist(), float)
+    assert len({r[:3] for r in rows}) == len(rows) and {r[0] for r in rows} == {0, 2}  # every tenth view is in these
+    for scene in (0, 2):
+        own = np.flatnonzero(ids % 4 == scene)
+        place = {int(ids[i]): n for n, i in enumerate(own)}
+        mine = [(s, 3 * place[b // 3] + b % 3, place[i], a) for s, b, i, a in rows if s == scene]
+        _check_similar(mine, v[own], ids[own] % 10 != 0, 8, 24, 3)
+
+
 def test_similar_batches_do_not_mix_clusters(spark):
     rng = np.random.default_rng(3)
     side = np.arange(120) % 2
@@ -503,3 +518,25 @@ def test_scenes_are_planned_in_parts_of_bounded_size(spark):
     known = plan[plan["anchor"]].groupby(["scene_id", "batch"])["image"]
     assert (known.nunique() == known.size()).all() and (known.size() <= 3).all()
     assert (asked.groupby(["scene_id", "batch"]).size() <= 4).all()
+
+
+def test_band_join_of_a_full_cell_spreads(spark):
+    """Distinct values in one cell, and many copies of one value: the right pairs, and many tasks' work."""
+    r = random.Random(2)
+    values = [(i, 10 + r.random() * 0.9, r.choice((1, 2, None))) for i in range(700)] + [(1000 + i, 50.0, 1) for i in range(40)] + [(2000, None, 1), (2001, float("nan"), 1), (2002, 50.5, 1)]
+    df = spark.createDataFrame(values, "k long, x double, e int")
+    for equal, same in (((), lambda a, b: True), (("e",), lambda a, b: a is not None and a == b)):
+        want = {(a[0], b[0]) for a in values for b in values if a[0] < b[0] and same(a[2], b[2]) and a[1] is not None and b[1] is not None and abs(a[1] - b[1]) <= 0.5}
+        got = [tuple(p) for p in neardup.band_join(df, "k", {"x": 0.5}, equal, block=50).collect()]
+        assert set(got) == want and len(got) == len(want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        hot = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") / 4000.0).alias("x"))
+        parts = neardup.band_join(hot, "k", {"x": 1.0}, block=50).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(p["count"] for p in parts) == 2000 * 1999 // 2 and max(p["count"] for p in parts) < 500_000
+    finally:
+        for k in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
+            spark.conf.unset(f"spark.sql.{k}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
