@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.dating.candidate import group, number
-from tempora.functions.strings import let
+from tempora.functions.strings import let, stable_hash
 
 MIN_YEAR, MAX_YEAR = 1500, 2100
 # Confidence by wording, weight by place.
@@ -64,6 +64,17 @@ def midpoint(e: Column) -> Column:
     return (e["start"] + e["end"] + 1) / 2
 
 
+def sample_year(e: Column, row: Column, draw: Column | int = 0, seed: int = 0) -> Column:
+    """A decimal year inside the estimate, evenly drawn: from its first day to the end of its last year.
+
+    The draw is a hash of (seed, row, draw) alone, so it is the same on any partitioning and can be had again; null
+    without an estimate or a row.
+    """
+    draw = draw if isinstance(draw, Column) else F.lit(draw)
+    share = stable_hash(F.concat_ws(":", F.lit(seed), row, draw)) / F.lit(float(1 << 48))
+    return F.when(row.isNotNull(), e["start"] + share * (e["end"] + 1 - e["start"]))
+
+
 def parse_text(text: Column, source: str) -> Column:
     """The first pattern found decides, even if its years are out of range."""
 

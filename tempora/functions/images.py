@@ -19,7 +19,7 @@ def psnr(pred: Column, target: Column) -> Column:
 
 
 def _shaped(flat, channels: int) -> np.ndarray:
-    a = np.asarray(flat, np.float32).reshape(channels, -1)
+    a = np.asarray(flat, np.float64).reshape(channels, -1)
     side = int(round(a.shape[1] ** 0.5))
     return a.reshape(channels, side, -1)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +13,7 @@ from tempora.functions.geometry import pose_distance
 from tempora.functions.strings import stable_hash
 from tempora.operators.search import nearest
 from tempora.plans.materialize import materialize
-from tempora.plans.ranking import first_per_group, fresh, rank_by_hash
+from tempora.plans.ranking import first_per_group, fresh, rank_by_hash, row_numbers
 
 # The baselines (strategy, candidates) and the gap buckets.
 BASELINES = {
@@ -125,9 +127,13 @@ def _skip(x: Column, taken: Column) -> Column:
     return F.aggregate(F.array_sort(taken), x, lambda at, p: at + (at >= p).cast("long"))
 
 
-def draw_samples(views: DataFrame, n_samples: int, cfg: Sampling = Sampling(), seed: int = 0, epoch: int = 0) -> DataFrame:
+def draw_samples(
+    views: DataFrame, n_samples: int, cfg: Sampling = Sampling(), seed: int = 0, epoch: int = 0, wanted: DataFrame | None = None
+) -> DataFrame:
     """scene_id, sample, view, role, row_id: inputs first, then targets, whose first is the anchor.
 
+    Every scene has samples 0 to n_samples - 1, or those that wanted (scene_id, sample) names.
+
     Every view has a place in its scene's order of date, hash of row_id, row_id.
     A sample draws places, by hashes of (seed, epoch, sample, draw) alone and
     without replacement, and the few places drawn are joined to their views: no
@@ -156,7 +162,11 @@ def draw_samples(views: DataFrame, n_samples: int, cfg: Sampling = Sampling(), s
     if cfg.old_target_fraction is not None:
         wants_old = draw(-1, F.lit(1 << 48)) < F.lit(cfg.old_target_fraction * (1 << 48))
         chosen = F.when(wants_old & (F.col("old") > 0), F.col("old")).otherwise(chosen)
-    samples = sums.where("anchors > 0").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    samples = sums.where("anchors > 0")
+    if wanted is None:
+        samples = samples.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    else:
+        samples = samples.join(wanted.select("scene_id", "sample"), "scene_id")
     got = samples.withColumn("anchor", draw(0, chosen)).join(ranked.where("anchor is not null"), ["scene_id", "anchor"])
     got = got.withColumn("targets", F.array("place")).withColumn("inputs", F.expr("cast(array() as array<bigint>)"))
     for j in range(1, cfg.n_targets):
@@ -174,6 +184,37 @@ def draw_samples(views: DataFrame, n_samples: int, cfg: Sampling = Sampling(), s
     )
 
 
+def affine(n: int, seed: int, epoch: int) -> tuple[int, int]:
+    """(a, b) of a permutation i -> (a * i + b) mod n of 0 .. n - 1, keyed by seed and epoch."""
+    key = int(hashlib.sha1(f"{seed}:{epoch}".encode()).hexdigest()[:16], 16)
+    a = key % n or 1
+    while math.gcd(a, n) > 1:
+        a += 1
+    return a % n or 1, (key >> 20) % n
+
+
+def epoch_samples(
+    views: DataFrame, n_samples: int, cfg: Sampling = Sampling(), seed: int = 0, epoch: int = 0, start: int = 0, shard: int = 0, shards: int = 1
+) -> DataFrame:
+    """index, scene_id, sample, view, role, row_id: one shard of an epoch of n_samples (below 2^31), from index `start` on.
+
+    What index i of an epoch holds depends on (seed, epoch, i) and the views alone: a keyed permutation sends it to a
+    scene that has anchors and a number of sample there, so that scenes take turns, and the sample is drawn by hashes.
+    Shards deal the indices out by their remainder; a run that ended at some index goes on from the next.
+    """
+    if not 0 < n_samples < 1 << 31 or not 0 <= shard < shards:
+        raise ValueError(f"no shard {shard} of {shards} of {n_samples} samples")
+    scenes = row_numbers(eligible_anchors(views, cfg).select("scene_id").distinct(), "scene_id", "turn")
+    n_scenes = max(1, scenes.count())
+    a, b = affine(n_samples, seed, epoch)
+    at = (F.lit(a) * F.col("index") + b) % n_samples
+    wanted = views.sparkSession.range(start, n_samples).withColumnRenamed("id", "index").where(F.col("index") % shards == shard)
+    wanted = wanted.select("index", (at % n_scenes).alias("turn"), F.floor(at / n_scenes).cast("int").alias("sample"))
+    wanted = materialize(wanted.join(scenes, "turn").select("index", "scene_id", "sample"), "epoch-indices")
+    drawn = draw_samples(views, n_samples, cfg, seed, epoch, wanted)
+    return wanted.join(drawn, ["scene_id", "sample"]).select("index", "scene_id", "sample", "view", "role", "row_id")
+
+
 def retrieve(pairs: DataFrame, strategy: str, by: list[str], k_date: int = 20) -> DataFrame:
     """The chosen candidate of each target of a table of few pairs: by.., cand, gap, pose.
 

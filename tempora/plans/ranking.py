@@ -66,7 +66,8 @@ def row_numbers(df: DataFrame, order: str, name: str = "row") -> DataFrame:
 def first_per_group(df: DataFrame, by: list[str], order: list[Column], keep: list[str]) -> DataFrame:
     """The first row of each group by an order that decides: pre-aggregated in each task."""
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    return df.groupBy(*by).agg(F.min_by(F.struct(*keep), key).alias("__r")).select(*by, "__r.*")
+    (row,) = fresh(df, "row")
+    return df.groupBy(*by).agg(F.min_by(F.struct(*keep), key).alias(row)).select(*by, f"{row}.*")
 
 
 def quantiles(df: DataFrame, by: list[str], asked: dict[str, tuple[str, float]]) -> DataFrame:

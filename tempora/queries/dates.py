@@ -344,6 +344,21 @@ def legacy_rows(spark, d) -> DataFrame:
     )
 
 
+@query(
+    "sampled_years",
+    LEGACY + """
+SELECT o_orderkey, CAST(draw AS INTEGER) AS draw, round(s + CAST('0x' || substr(sha1('3:' || o_orderkey || ':' || draw), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE * (t + 1 - s), 6) AS year
+FROM e, range(3) d(draw)
+""",
+)
+def sampled_years(spark, d):
+    """Three decimal years drawn from each estimate."""
+    rows = legacy_rows(spark, d).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    e = F.struct(F.col("date_start").alias("start"), F.col("date_end").alias("end"))
+    year = years.sample_year(e, F.col("o_orderkey").cast("string"), F.col("draw").cast("string"), 3)
+    return rows.select("o_orderkey", "draw", F.round(year, 6).alias("year"))
+
+
 @query("legacy_year_parse", LEGACY + "SELECT o_orderkey, s AS date_start, t AS date_end, CAST(c AS DOUBLE) AS date_conf FROM e")
 def legacy_year_parse(spark, d):
     return legacy_rows(spark, d).drop("title", "date_source")

@@ -212,7 +212,21 @@ def missing_files(spark, d):
     return index.missing(table(spark, d, "part").select("p_partkey"), have, ["p_partkey"])
 
 
-@query("safe_filenames")
+def _kept(encoded: str) -> str:
+    """Undo the escapes of the characters that stay as they are."""
+    for c in " ()_,.'-&!+=@~[]":
+        if not (c.isalnum() or c in "_.-~"):
+            encoded = f"replace({encoded}, '%{ord(c):02X}', '{c * 2 if c == chr(39) else c}')"
+    return encoded
+
+
+@query(
+    "safe_filenames",
+    f"""
+WITH q AS (SELECT page_id, url, {_kept("url_encode(url)")} AS name FROM pages)
+SELECT page_id, CASE WHEN length(name) <= 180 THEN name ELSE substr(name, 1, 167) || '_' || substr(sha1(url), 1, 12) END AS name FROM q
+""",
+)
 def safe_filenames(spark, d):
     return table(spark, d, "pages").select("page_id", st.safe_filename(F.col("url")).alias("name"))
 

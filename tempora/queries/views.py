@@ -225,13 +225,51 @@ def plucker_rays(spark, d):
     return rays.withColumn("rays", _six("rays"))
 
 
-@query("camera_plane")
+@query(
+    "camera_plane",
+    f"""
+WITH {CAMS},
+mid AS (SELECT scene_id, median(cx) AS mx, median(cy) AS my, median(cz) AS mz FROM cams GROUP BY 1),
+c AS (SELECT vec_id, scene_id, cx - mx AS x, cy - my AS y, cz - mz AS z FROM cams JOIN mid USING (scene_id)),
+s AS (SELECT scene_id, sum(x * x) AS xx, sum(y * y) AS yy, sum(z * z) AS zz, sum(x * y) AS xy, sum(x * z) AS xz, sum(y * z) AS yz, (sum(x * x) + sum(y * y) + sum(z * z)) / 3 AS q
+  FROM c GROUP BY 1),
+p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM s),
+r AS (SELECT *, acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3 AS a FROM p),
+l AS (SELECT *, unnest([q + 2 * p * cos(a), 3 * q - (q + 2 * p * cos(a)) - (q + 2 * p * cos(a + 2 * pi() / 3))]) AS l, unnest([1, 2]) AS axis FROM r),
+x AS (SELECT scene_id, axis, unnest([
+    [xy * yz - xz * (yy - l), xz * xy - (xx - l) * yz, (xx - l) * (yy - l) - xy * xy],
+    [xy * (zz - l) - xz * yz, xz * xz - (xx - l) * (zz - l), (xx - l) * yz - xy * xz],
+    [(yy - l) * (zz - l) - yz * yz, yz * xz - xy * (zz - l), xy * yz - (yy - l) * xz]]) AS w FROM l),
+best AS (SELECT scene_id, axis, arg_max(w, list_dot_product(w, w)) AS w FROM x GROUP BY 1, 2),
+unit AS (SELECT scene_id, axis, list_transform(w, lambda k: k / sqrt(list_dot_product(w, w)) * sign(CASE WHEN abs(w[1]) >= abs(w[2]) AND abs(w[1]) >= abs(w[3]) THEN w[1]
+  WHEN abs(w[2]) >= abs(w[3]) THEN w[2] ELSE w[3] END)) AS w FROM best)
+SELECT vec_id, round(u.w[1] * x + u.w[2] * y + u.w[3] * z, 5) + 0.0 AS u, round(v.w[1] * x + v.w[2] * y + v.w[3] * z, 5) + 0.0 AS v
+FROM c JOIN unit u ON u.scene_id = c.scene_id AND u.axis = 1 JOIN unit v ON v.scene_id = c.scene_id AND v.axis = 2
+""",
+)
 def camera_plane(spark, d):
-    return views.plane(cameras(spark, d).select("vec_id", "scene_id", "cx", "cy", "cz")).select("vec_id", "u", "v")
+    at = views.plane(cameras(spark, d).select("vec_id", "scene_id", "cx", "cy", "cz"))
+    return at.select("vec_id", *[(F.round(c, 5) + 0.0).alias(c) for c in "uv"])
+
+
+FRAME = "file_path string, fl_x double, fl_y double, cx double, cy double, w int, h int, transform_matrix array<array<double>>"
 
 
-@query("transform_frames")
+@query(
+    "transform_frames",
+    POSED + """
+SELECT scene_id || '/' || view AS file_path, 1.0::DOUBLE AS fl_x, 1.0::DOUBLE AS fl_y, 1.0::DOUBLE AS cx, 1.0::DOUBLE AS cy, CAST(8 AS INTEGER) AS w, CAST(6 AS INTEGER) AS h,
+  list_transform([r00, r10, r20, posed.cx, r01, r11, r21, posed.cy, r02, r12, r22, posed.cz, 0, 0, 0, 1], lambda x: round(x, 6) + 0.0) AS transform_matrix
+FROM posed
+""",
+)
 def transform_frames(spark, d):
+    """The frames as they are written, read again from their JSON."""
+    value = F.from_json("value", FRAME)
+    return _frames(spark, d).select(value.alias("f")).select("f.*").withColumn("transform_matrix", _six(F.flatten("transform_matrix")))
+
+
+def _frames(spark, d):
     s = _posed_samples(spark, d)
     return views.frames_json(s.select(F.concat(F.col("scene_id"), F.lit("/"), F.col("view")).alias("path"), "c2w", *[F.lit(1.0).alias(c) for c in ("fx", "fy", "cx", "cy")], F.lit(8).alias("width"), F.lit(6).alias("height")))
 

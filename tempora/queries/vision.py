@@ -11,8 +11,10 @@ from tempora.functions import geometry as geo
 from tempora.functions import images
 from tempora.operators import neardup, posing, retrieval, search
 from tempora.operators.nearest import knn_cosine
+from tempora.plans.materialize import new_path
 from tempora.queries.registry import query
 from tempora.session import table
+from tempora.sources.ply import PlySource
 
 E = "embedding[{}]"
 QN = "sqrt(pow(embedding[1], 2) + pow(embedding[2], 2) + pow(embedding[3], 2) + pow(embedding[4], 2))"
@@ -165,12 +167,30 @@ def psnr(spark, d):
     return pairs.select("vec_id", F.round(images.psnr(F.col("a"), F.col("b")), 4).alias("psnr"))
 
 
-@query("image_metrics")
+@query(
+    "image_metrics",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+px AS (SELECT a.vec_id, i // 8 AS y, i % 8 AS x, a.e[i + 1] AS p, b.e[i + 1] AS t FROM v a JOIN v b ON b.vec_id = a.vec_id + 1, range(64) r(i)),
+line AS (SELECT vec_id, covar_pop(p, t) / var_pop(p) AS slope, avg(t) - covar_pop(p, t) / var_pop(p) * avg(p) AS level FROM px GROUP BY 1),
+fit AS (SELECT px.*, greatest(-1, least(1, slope * p + level)) AS f FROM px JOIN line USING (vec_id)),
+two AS (SELECT vec_id, 'p' AS kind, y, x, (p + 1) / 2 AS a, (t + 1) / 2 AS b FROM fit UNION ALL SELECT vec_id, 'f', y, x, (f + 1) / 2, (t + 1) / 2 FROM fit),
+g AS (SELECT d, exp(-0.5 * pow(d / 1.5, 2)) AS g FROM range(-6, 7) r(d)),
+w AS (SELECT i, CASE WHEN i + d < 0 THEN -1 - i - d WHEN i + d > 7 THEN 15 - i - d ELSE i + d END AS j, sum(g) / (SELECT sum(g) FROM g) AS w FROM range(8) r(i), g GROUP BY 1, 2),
+h AS (SELECT vec_id, kind, y, i AS x, sum(w * a) AS a, sum(w * b) AS b, sum(w * a * a) AS aa, sum(w * b * b) AS bb, sum(w * a * b) AS ab FROM two JOIN w ON j = x GROUP BY 1, 2, 3, 4),
+s AS (SELECT vec_id, kind, i AS y, x, sum(w * a) AS a, sum(w * b) AS b, sum(w * aa) AS aa, sum(w * bb) AS bb, sum(w * ab) AS ab FROM h JOIN w ON j = y GROUP BY 1, 2, 3, 4),
+m AS (SELECT vec_id, kind, avg((2 * a * b + 1e-4) * (2 * (ab - a * b) + 9e-4) / ((a * a + b * b + 1e-4) * (aa - a * a + bb - b * b + 9e-4))) AS ssim FROM s GROUP BY 1, 2),
+n AS (SELECT vec_id, 10 * log10(1 / greatest(avg(pow((f - t) / 2, 2)), 1e-10)) AS cc_psnr FROM fit GROUP BY 1)
+SELECT vec_id, round(max(ssim) FILTER (kind = 'p'), 5) AS ssim, round(max(cc_psnr), 4) AS cc_psnr, round(max(ssim) FILTER (kind = 'f'), 5) AS cc_ssim
+FROM m JOIN n USING (vec_id) GROUP BY vec_id
+""",
+)
 def image_metrics(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
     run = images.metrics(channels=1)
-    return pairs.select("vec_id", run(F.col("embedding"), F.col("b")).alias("m")).select("vec_id", "m.*")
+    m = pairs.select("vec_id", run(F.col("embedding"), F.col("b")).alias("m"))
+    return m.select("vec_id", *[F.round(f"m.{c}", digits).alias(c) for c, digits in (("ssim", 5), ("cc_psnr", 4), ("cc_ssim", 5))])
 
 
 def _views(spark, d) -> DataFrame:
@@ -204,6 +224,7 @@ drawn AS (SELECT p.scene_id, sample, CAST(view AS INTEGER) AS view, CASE WHEN vi
   FROM picks p JOIN o ON o.scene_id = p.scene_id AND o.place = p.place)"""
 
 
+EPOCH = retrieval.affine(60, 0, 0)
 APART = """sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2)) / scale
   + acos(greatest(-1, least(1, a.dx * b.dx + a.dy * b.dy + a.dz * b.dz))) / pi()"""
 
@@ -228,6 +249,19 @@ def sampled_views(spark, d):
     return retrieval.draw_samples(_views(spark, d), 8)
 
 
+@query(
+    "epoch_views",
+    f"""
+WITH {CAMS}, {samples_sql(15)},
+i AS (SELECT index, ({EPOCH[0]} * index + {EPOCH[1]}) % 60 AS p FROM range(7, 60) r(index) WHERE index % 3 = 1)
+SELECT index, scene_id, sample, view, role, row_id FROM i JOIN drawn ON scene_id = p % 4 AND sample = p // 4
+""",
+)
+def epoch_views(spark, d):
+    """Shard 1 of 3 of an epoch of 60 samples, resumed at its seventh index."""
+    return retrieval.epoch_samples(_views(spark, d), 60, start=7, shard=1, shards=3)
+
+
 @query(
     "retrieval_baselines",
     f"""
@@ -300,3 +334,20 @@ def register_images(spark, d):
 def similar_batches(spark, d):
     """Batches of similar views and the anchors most like them, over whole scenes; SQL cannot follow the rounds."""
     return posing.plan_similar(_posed(spark, d).select("scene_id", "image", "anchor", "vec"))
+
+
+@query(
+    "cloud_points",
+    """
+SELECT CAST(vec_id AS INTEGER) AS id, embedding[1] AS x, embedding[2] AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(label AS SMALLINT) AS label FROM embeddings
+""",
+)
+def cloud_points(spark, d):
+    """Points of the embeddings, written as PLY files into the shared folder and read again in ranges of 200."""
+    spark.dataSource.register(PlySource)
+    e, at = F.col("embedding"), new_path(spark, "cloud")
+    points = table(spark, d, "embeddings").select(
+        F.col("vec_id").cast("int").alias("id"), e[0].alias("x"), e[1].alias("y"), e[2].cast("double").alias("z"), F.col("label").cast("short").alias("label")
+    )
+    points.write.format("ply").mode("append").save(at)
+    return spark.read.format("ply").option("rows", 200).load(at).drop("path", "row")

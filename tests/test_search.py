@@ -100,3 +100,36 @@ def test_rows_without_a_pose_and_empty_tables(spark):
     assert search.nearest(t.limit(0), c, "date", ["scene_id"], ["target"]).count() == 0
     with pytest.raises(ValueError):
         search.nearest(t, c, "other", ["scene_id"], ["target"])
+
+
+def test_an_epoch_is_covered_by_its_shards_and_resumed(spark):
+    from tempora.operators import retrieval
+
+    r = random.Random(3)
+    rows = [(i % 5, i, 1950.0 + r.random() * 3 if i % 5 else 2000.0 + i) for i in range(400)]
+    df = spark.createDataFrame(rows, "scene_id long, row_id long, date double")
+    whole = set(map(tuple, retrieval.epoch_samples(df, 30, epoch=2).collect()))
+    assert {x[0] for x in whole} == set(range(30)) and len(whole) == 30 * 8 and 0 not in {x[1] for x in whole}
+    shards = [set(map(tuple, retrieval.epoch_samples(df, 30, epoch=2, shard=s, shards=3).collect())) for s in range(3)]
+    assert set.union(*shards) == whole and sum(map(len, shards)) == len(whole)
+    later = set(map(tuple, retrieval.epoch_samples(df.repartition(5), 30, epoch=2, start=11).collect()))
+    assert later == {x for x in whole if x[0] >= 11}
+    assert set(map(tuple, retrieval.epoch_samples(df, 30, epoch=3).collect())) != whole
+    for n in (1, 2, 7, 60, 1000):
+        a, b = retrieval.affine(n, 4, 9)
+        assert {(a * i + b) % n for i in range(n)} == set(range(n))
+    with pytest.raises(ValueError):
+        retrieval.epoch_samples(df, 30, shard=3, shards=3)
+
+
+def test_sampled_years_stay_inside_and_do_not_depend_on_partitions(spark):
+    from tempora.dating import years
+
+    df = spark.range(2000).select("id", F.struct((1900 + F.col("id") % 5).alias("start"), F.lit(1909).alias("end")).alias("e"))
+    drawn = lambda d, k: {r.id: r.y for r in d.select("id", years.sample_year(F.col("e"), F.col("id").cast("string"), k, 7).alias("y")).collect()}
+    a, b = drawn(df, 0), drawn(df.repartition(9), 0)
+    assert a == b and drawn(df, 1) != a and all(1900 + i % 5 <= y <= 1910 for i, y in a.items())
+    share = [(y - 1900 - i % 5) / (10 - i % 5) for i, y in a.items()]
+    assert abs(sum(share) / 2000 - 0.5) < 0.03 and min(share) < 0.01 and max(share) > 0.99
+    none = df.select(years.sample_year(F.col("e"), F.lit(None).cast("string")).alias("y"))
+    assert none.where("y is not null").count() == 0
