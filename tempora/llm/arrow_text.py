@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 GROUP_BYTES = 4 << 20
 
 
-def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict[str, pa.Array]]:
-    """The batches' columns, joined until the named one has about GROUP_BYTES."""
+def grouped(batches: Iterator[pa.RecordBatch], column: str, least: int = GROUP_BYTES) -> Iterator[dict[str, pa.Array]]:
+    """The batches' columns, joined until the named one has about so many bytes."""
     waiting: list[pa.RecordBatch] = []
     size = 0
 
@@ -25,7 +25,7 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict[str
         if batch.num_rows:
             waiting.append(batch)
             size += batch.column(column).nbytes
-        if size >= GROUP_BYTES:
+        if size >= least:
             yield joined()
             waiting, size = [], 0
             pa.default_memory_pool().release_unused()

@@ -5,7 +5,7 @@ a lang become one with a multiplicity. Phrases are counted over these pieces,
 weighted by their multiplicity: each task counts what its own pieces hold, the
 counts are dealt to hash buckets, and duckdb adds up a bucket, spilling to the
 task's scratch folder beyond MEMORY. Words are counted first; then phrases of 2,
-3, .. LONGEST words by their 64-bit hashes, which are shorter than the phrases,
+3, .. LONGEST words by their 48-bit hashes, which are shorter than the phrases,
 and only where both phrases of one word less may occur LEAST times, as a bitmap
 of at most 2^28 bits over the frequent hashes tells. Such a bitmap may let rare
 phrases through and never holds a frequent one back; what it lets through is
@@ -52,6 +52,10 @@ TOP = 2_000
 UND = "und"
 #: What duckdb may hold of a bucket before it spills.
 MEMORY = "128MB"
+#: Bytes of pieces that are counted at once in a task.
+GROUP_BYTES = 6 << 20
+#: Bits of a phrase's hash: enough for far more phrases than there can be, and two bytes less to shuffle.
+HASH_BITS = 48
 #: Rows that leave a task at once.
 SLICE = 100_000
 #: Parts that the requests for a common part are spread over.
@@ -89,6 +93,7 @@ class Words:
     def __init__(self, rows: dict[str, pa.Array], column: str):
         words, self.owner = split_words(rows[column])
         self.code, self.names = encoded(words)
+        self.code, self.owner = self.code.astype(np.int32), self.owner.astype(np.int32)
         self.lang, self.langs = encoded(rows["lang"])
 
     @functools.cached_property
@@ -109,7 +114,7 @@ class Words:
         h = self.tongue[self.owner[at]]
         for j in range(k):
             h = (h ^ (h >> np.uint64(29))) * _MIX + self.w[at + j]
-        return (h ^ (h >> np.uint64(32))) * _MIX
+        return ((h ^ (h >> np.uint64(32))) * _MIX) >> np.uint64(64 - HASH_BITS)
 
     def likely(self, k: int, shorter: Frequent) -> np.ndarray:
         """Starts of k words of which the first and the last k - 1 may both be frequent."""
@@ -127,14 +132,14 @@ class Frequent:
         self.bitmap, self.bits = bitmap, bits
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = (h >> np.uint64(HASH_BITS - self.bits)).astype(np.int64)
         return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def frequent(hashes: DataFrame) -> Frequent:
     """The bitmap of a materialised table (h): what reaches the driver is bounded by its size, not by the table."""
     bits = bits_for(hashes.count())
-    at = F.shiftrightunsigned("h", 64 - bits)
+    at = F.shiftright("h", HASH_BITS - bits)
     placed = hashes.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(32767).cast("long")).alias("bit"))
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for row in placed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
@@ -158,7 +163,7 @@ def phrase_hashes(pieces: DataFrame, k: int, shorter: Frequent, least: int = LEA
     shared = pieces.sparkSession.sparkContext.broadcast(shorter)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, "piece"):
+        for rows in grouped(batches, "piece", GROUP_BYTES):
             words = Words(rows, "piece")
             at = words.likely(k, shared.value)
             columns = {"h": words.hashes(at, k).view(np.int64), "m": rows["m"].to_numpy()[words.owner[at]]}
@@ -176,7 +181,7 @@ def count_phrases(pieces: DataFrame, levels: dict[int, Frequent | None], least:
     shared = pieces.sparkSession.sparkContext.broadcast(levels)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, "piece"):
+        for rows in grouped(batches, "piece", GROUP_BYTES):
             words, m = Words(rows, "piece"), rows["m"].to_numpy()
             for k, known in shared.value.items():
                 at = words.starts(k)
