@@ -72,3 +72,32 @@ def test_bad_files(source, tmp_path):
             ply.parse_header(head)
     write(tmp_path / "empty.ply", [], "binary_big_endian")
     assert source(tmp_path / "empty.ply").count() == 0
+
+
+def test_a_large_camera_file_is_read_in_parts(spark, tmp_path):
+    """One file gives several parts and partitions with the rows of the whole; bad files raise."""
+    from tempora.sources import colmap
+
+    def record(i, points):
+        name = ("folder/" * (i % 40) + f"image {i}.jpg").encode() + b"\0"
+        keys = struct.pack("<Q", i % 90) + bytes(24 * (i % 90)) if points else b""
+        return struct.pack("<I7dI", i, 1.0, 0.1, 0.2, 0.3, i, -i, 0.5, i % 7) + name + keys
+
+    for points in (True, False):
+        data = struct.pack("<Q", 700) + b"".join(record(i, points) for i in range(700))
+        path = tmp_path / f"{points}.bin"
+        path.write_bytes(data)
+        (tmp_path / f"none-{points}.bin").write_bytes(struct.pack("<Q", 0))
+        want = sorted((str(path), *r) for r in colmap.images(data, points))
+        parts = list(colmap.image_parts(str(path), points, 10_000))
+        assert len(parts) > 5 and sum(n for *_, n in parts) == 700 and parts[0][0] == 8 and parts[-1][1] == len(data)
+        assert all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+        got = colmap.read_images(spark, f"{tmp_path}/*{points}.bin", points, 10_000)
+        assert sorted(map(tuple, got.collect())) == want
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        for bad in (data[:-5], data + b"x"):
+            path.write_bytes(bad)
+            with pytest.raises(ValueError):
+                list(colmap.image_parts(str(path), points))
+            with pytest.raises(Exception):
+                colmap.read_images(spark, str(path), points).collect()
