@@ -26,7 +26,8 @@ def knn_cosine(
     rows, queries: by.., id long, vec array<float>. Ties go to the smaller id.
     """
     if not by:
-        one = lambda df: df.select(F.lit(1).alias("all"), "id", "vec")
+        # One group by a key that is no literal: a join on a literal would be a product.
+        one = lambda df: df.select(F.pmod(F.xxhash64("id"), F.lit(1)).alias("all"), "id", "vec")
         return knn_cosine(one(rows), one(queries), k, rows_block, queries_block, ("all",)).drop("all")
     up = lambda n, m: F.greatest(F.lit(1), F.ceil(n / m)).cast("int")
     count = lambda df, m, name: df.groupBy(*by).agg(up(F.count("*"), F.lit(m)).alias(name))

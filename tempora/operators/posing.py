@@ -372,13 +372,16 @@ def evaluate(queries: DataFrame, truth: DataFrame, scales: DataFrame) -> DataFra
 
 
 def _medians(df: DataFrame, *columns: str) -> DataFrame:
-    """One row (all, <column>_median..), none of an empty table; no column meets in one buffer."""
-    one = df.select(F.lit(1).alias("all"), *columns)
-    return quantiles(one, ["all"], {f"{c}_median": (c, 0.5) for c in columns})
+    """One row <column>_median.., none of an empty table; no column meets in one buffer."""
+    # One group by a key that is no literal: joins on a literal would be products.
+    one = df.select(F.pmod(F.xxhash64(columns[0]), F.lit(1)).alias("all"), *columns)
+    return quantiles(one, ["all"], {f"{c}_median": (c, 0.5) for c in columns}).drop("all")
 
 
 def _beside(row: DataFrame, medians: DataFrame) -> DataFrame:
-    return row.withColumn("all", F.lit(1)).join(medians, "all", "left").drop("all")
+    """The columns of two tables of at most one row."""
+    both = row.unionByName(medians, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def summarize_log(log: DataFrame) -> DataFrame:

@@ -22,12 +22,21 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert {c.split(":")[0] for c in schema.split(",")} == {"l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"}
 
 
-@pytest.mark.parametrize("name", ["text_date_parse", "qs_parse", "category_parse", "title_parse", "exif_parse", "resolve_dates", "medium_classify", "legacy_year_parse"])
+@pytest.mark.parametrize("name", ["text_date_parse", "qs_parse", "category_parse", "title_parse", "exif_parse", "medium_classify", "legacy_year_parse"])
 def test_dating_needs_no_python_and_no_shuffle(spark, small, name):
     text = plan(QUERIES[name](spark, small))
     assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
 
 
+def test_a_row_dated_where_it_is_needs_no_python_and_no_shuffle(spark, small):
+    """Streams date a row in place; a batch reads a dictionary of the distinct strings, which costs a shuffle."""
+    from tempora.dating.resolve import gather_candidates
+    from tempora.queries.dates import _meta
+
+    text = plan(_meta(spark, small).select("file_key", gather_candidates()))
+    assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
+
+
 def test_size_check_needs_no_single_task(spark):
     """A limit would bring rows of every partition into one task; a count adds up numbers."""
     from tempora.plans.materialize import broadcast_if_small, is_small, materialize
