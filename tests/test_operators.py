@@ -266,13 +266,22 @@ def test_alignments_survive_outliers():
 
 
 def test_registered_queries_are_where_they_should_be(spark, small):
-    from tempora.queries.vision import _true_pose, register_images
-
-    rows = register_images(spark, small).collect()
-    true = _true_pose(pd.Series([r.image for r in rows]))
-    assert rows
-    for r, m in zip(rows, true, strict=True):
-        assert np.allclose(r.c2w, m, atol=1e-6) and r.n_batches == 2 and r.rot_spread_deg < 1e-3
+    """Cameras of the embeddings, posed from predictions in another frame, come back to their own."""
+    from tempora.queries import vision
+
+    rows = vision._posed(spark, small)
+    own = lambda name, df=rows: df.select("scene_id", "image", F.col("camera").alias(name))
+    scales = geo.scene_scale(rows.where("anchor"), ["scene_id"])
+    images = rows.select("scene_id", "image", "anchor", *retrieval.POSE)
+    placed, log = posing.register(images, own("known", rows.where("anchor")), vision._shifted, scales, inputs=own("camera"), repeats=2)
+    true = {r.image: r.camera for r in rows.where("not anchor").collect()}
+    got = placed.collect()
+    assert {r.image for r in got} == set(true) and got
+    for r in got:
+        assert np.allclose(r.c2w, true[r.image], atol=1e-6) and r.n_batches == 2 and r.rot_spread_deg < 1e-3
+    assert all(r.used for r in log.collect())
+    judged = vision.register_images(spark, small).collect()
+    assert len(judged) == len(got) and all(r.placed and r.right_turn and r.right_place for r in judged)
 
 
 def test_queries_that_no_batch_places_stay(spark):
