@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tempora.functions.strings import lower_ascii
 from tempora.llm.arrow_text import encoded, grouped, split_words, summed
 from tempora.plans.bitmap import bits_for
-from tempora.plans.materialize import is_small, materialize
+from tempora.plans.materialize import is_small, materialize, release_shuffles
 from tempora.session import bound_arrow_batches
 
 LONGEST = 4
@@ -265,12 +265,16 @@ def covered(candidates: DataFrame, longest: int = LONGEST) -> DataFrame:
 def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each lang's first phrases by score."""
     bound_arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
     pieces = materialize(distinct_pieces(docs), "phrase-pieces")
+    release_shuffles(spark)
     words = pieces.groupBy("lang").agg(F.sum(F.col("m") * F.col("n_words")).alias("n"))
     single = count_phrases(pieces, {1: None}, least)
     known = {1: frequent(word_hashes(single))}
     for k in range(2, LONGEST + 1):
+        release_shuffles(spark)
         known[k] = frequent(phrase_hashes(pieces, k, known[k - 1], least))
+    release_shuffles(spark)
     candidates = count_phrases(pieces, {k: known[k] for k in range(2, LONGEST + 1)}, least)
     counts = single.unionByName(candidates)
     scored = with_parts(candidates, counts).join(covered(candidates), ["lang", "phrase"], "left")

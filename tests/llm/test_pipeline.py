@@ -80,4 +80,4 @@ def test_run_leaves_only_what_its_result_reads(spark, small, monkeypatch, tmp_pa
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
