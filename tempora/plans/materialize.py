@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, name)[0]
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files of tables that are written go before the next ones come.
+
+    Spark removes a shuffle's files when the driver's JVM has collected its plan,
+    which a driver with room to spare puts off; disks of executors fill meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scope:
     """What is open inside `intermediates`."""
 
