@@ -178,8 +178,8 @@ f AS (
 c AS (SELECT * FROM f WHERE k > 1),
 cut AS (SELECT lang, phrase, ws, k, f AS a, unnest(range(1, k)) AS s FROM c),
 scored AS (
-  SELECT cut.*, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score
-  FROM cut JOIN f x ON x.lang = cut.lang AND x.ws = cut.ws[1:s] JOIN f y ON y.lang = cut.lang AND y.ws = cut.ws[s+1:k]
+  SELECT cut.lang, cut.phrase, cut.k, cut.a, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.ws = cut.ws[1:s] JOIN f y ON y.lang = cut.lang AND y.ws = cut.ws[s+1:cut.k]
   QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY 2000000::HUGEINT * a // (x.f + y.f), s) = 1),
 kept AS (
   SELECT * FROM scored WHERE NOT EXISTS (
