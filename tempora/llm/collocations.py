@@ -266,7 +266,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each lang's first phrases by score."""
     bound_arrow_batches(docs.sparkSession)
     spark = docs.sparkSession
-    pieces = materialize(distinct_pieces(docs), "phrase-pieces")
+    pieces = materialize(distinct_pieces(docs), "phrase-pieces", "zstd")
     release_shuffles(spark)
     words = pieces.groupBy("lang").agg(F.sum(F.col("m") * F.col("n_words")).alias("n"))
     single = count_phrases(pieces, {1: None}, least)
