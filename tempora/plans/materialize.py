@@ -52,16 +52,16 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(hadoop).delete(at, True)
 
 
-def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def write_table(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFrame, str]:
     """Write df once as Parquet in the shared folder; (the table read back, its path)."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back."""
-    return write_table(df, name)[0]
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back; large texts may ask for zstd."""
+    return write_table(df, name, codec)[0]
 
 
 def release_shuffles(spark: SparkSession) -> None:
