@@ -291,6 +291,8 @@ SELECT vec_id, round(saturation, 6) AS saturation, round(chroma_minor, 4) AS chr
 """,
 )
 def color_stats(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x + 1) * 127).cast("int")).alias("p"))
+    # Single precision throughout, as in the SQL: float and int are double in Spark's ANSI mode.
+    one, most = F.lit(1).cast("float"), F.lit(127).cast("float")
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x + one) * most).cast("int")).alias("p"))
     s = e.select("vec_id", views.color_stats(F.slice("p", 1, 63)).alias("s"))
     return s.select("vec_id", F.round("s.saturation", 6).alias("saturation"), F.round("s.chroma_minor", 4).alias("chroma_minor"), "s.is_monochrome")
