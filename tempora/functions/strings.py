@@ -64,14 +64,14 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def strip_html(value: Column, hidden: bool = True) -> Column:
-    """Text of an HTML fragment; hidden blocks go first if asked, blanks collapse."""
+def strip_html(value: Column, hidden: bool = True, blanks: str = "(?U)\\s+") -> Column:
+    """Text of an HTML fragment; hidden blocks go first if asked, runs of blanks (a regex) collapse."""
     text = F.coalesce(value, F.lit(""))
     if hidden:
         text = F.regexp_replace(text, "(?is)<div[^>]*display:\\s*none[^>]*>.*?</div>", " ")
     text = F.regexp_replace(text, "<[^>]+>", " ")
     text = F.when(text.contains("&"), unescape(text)).otherwise(text)
-    return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
+    return F.trim(F.regexp_replace(text, blanks, " "))
 
 
 #: The characters that stay as they are in a stored name, and its length.

@@ -26,3 +26,13 @@ def test_color_stats_on_the_steps_of_single_precision(spark, tmp_path):
     rng = np.random.default_rng(0)
     x = (rng.integers(0, 255, (200, 64)) / 127 - 1).astype("f4")
     check(spark, tmp_path, "color_stats", embeddings=(EMBEDDINGS, [(i, 0, v.tolist()) for i, v in enumerate(x)]))
+
+
+HTML = [
+    "a &amp b &amp; c &ampd", "&copy x &copy; y", "\xa0 a \xa0b　", None, "", "&#xA0;x&#65;&#x41;", "<p>a</p>&a&copy;mp;b&co&lt;py;",
+    "a\x0bb\x85\t\nc", "&amp;lt;b&amp;gt;", "<a <b>> x < y", "&notit; &lt &AMP; &", "&amp;amp; &amp;#65;", "&am<b>p;",
+]
+
+
+def test_strip_html_on_cut_entities_and_blanks(spark, tmp_path):
+    check(spark, tmp_path, "strip_html", pages=("page_id long, url string, html string", [(i, "", h) for i, h in enumerate(HTML)]))
