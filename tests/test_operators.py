@@ -412,6 +412,34 @@ def test_nearest_modern_views(spark):
         assert [r.row_id for r in got if r.query == query] == ids[order].tolist()
 
 
+@pytest.mark.parametrize("k", [3, 12])
+def test_nearest_modern_views_by_cells(spark, monkeypatch, k):
+    """Clusters, lone views, copies and ties of rounded distances, with cells of a few views, against all pairs."""
+    from tempora.operators import nearest
+
+    monkeypatch.setattr(nearest, "CELL_ROWS", 2)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 20)
+    rng = np.random.default_rng(5)
+    f = rng.normal(size=(400, 6)) * np.repeat([0.02, 1.0, 30.0, 0.0], 100)[:, None] + np.repeat(rng.normal(size=(4, 6)), 100, axis=0)
+    f[150:200] = f[100:150] + rng.normal(size=(50, 6)) * 1e-8
+    rows = [(1, i, 2001.0, *v) for i, v in enumerate(f.tolist())] + [(1, 1000, 2001.0, None, *f[0, 1:].tolist()), (2, 2000, 2001.0, *f[0].tolist())]
+    views = spark.createDataFrame(rows, "scene_id long, row_id long, date double, " + ", ".join(f"{c} double" for c in ("cx", "cy", "cz", "dx", "dy", "dz")))
+    asked = [*range(0, 400, 7), 1000, 2000]
+    got = nearest.nearest_modern_views(views, views.where(F.col("row_id").isin(asked)).select("scene_id", "row_id"), k)
+    got = {(r.query, r["rank"]): (r.row_id, r.dist) for r in got.collect()}
+    x = f.copy()
+    with_null = np.concatenate([f[:, 0]]), np.concatenate([f[:, 1], f[:1, 1]]), np.concatenate([f[:, 2], f[:1, 2]])
+    mid = np.array([np.median(c) for c in with_null])
+    x[:, :3] /= np.median(np.linalg.norm(f[:, :3] - mid, axis=1))
+    want = {(2000, 1): (2000, 0.0)}
+    for q in asked[:-2]:
+        d = np.round(np.linalg.norm(x - x[q], axis=1), 6)
+        for n, i in enumerate(sorted(range(400), key=lambda i: (d[i], i != q, i))[:k]):
+            want[q, n + 1] = (i, d[i])
+    assert set(got) == set(want) and all(got[w][0] == want[w][0] and abs(got[w][1] - want[w][1]) < 2e-6 for w in want)
+
+
 def test_small_summaries(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "cat string")
     assert [tuple(r) for r in census.largest_groups(rows, ["cat"], 2).collect()] == [("b", 2), ("a", 1)]
