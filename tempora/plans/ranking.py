@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.plans.materialize import materialize
+from tempora.plans.materialize import broadcast_if_small, materialize
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -86,12 +86,13 @@ def quantiles(df: DataFrame, by: list[str], asked: dict[str, tuple[str, float]])
         *[((F.count(c) - 1) * p).alias(f"{n}{i}") for i, (_, (c, p)) in rows],
         *[(F.count(c) > 10_000).alias(f"{hi}{i}") for i, (_, (c, _)) in rows],
     )
+    sketch = materialize(sketch, "sketches")
     edge = lambda i, j, end: F.when(F.col(f"{hi}{i}"), F.col(f"{x}{i}")[j]).otherwise(F.lit(float(end)))
     one = lambda i, c: F.struct(
         F.lit(i).alias(k), F.col(c).cast("double").alias(v), edge(i, 0, "-inf").alias(lo), edge(i, 1, "inf").alias(hi),
         F.col(f"{n}{i}").alias(pos),
     )
-    values = df.join(sketch, by).select(*by, F.inline(F.array(*[one(i, c) for i, (_, (c, _)) in rows])))
+    values = df.join(broadcast_if_small(sketch), by).select(*by, F.inline(F.array(*[one(i, c) for i, (_, (c, _)) in rows])))
     low = F.when(F.col(v) < F.col(lo), F.lit(float("-inf"))).otherwise(F.col(v))
     counted = values.where(F.col(v) <= F.col(hi)).groupBy(*by, k, pos, low.alias(v)).agg(F.count("*").alias(n))
     ordered = counted.withColumn(upto, F.sum(n).over(Window.partitionBy(*by, k).orderBy(v)))

@@ -90,3 +90,19 @@ def test_ranks_keep_columns_of_any_name(spark):
     ranked = rank_by_hash(df.withColumn("h", F.shiftright(F.xxhash64("id"), 16).bitwiseAND(F.lit((1 << 48) - 1))), ["n"], "h", ["id"])
     assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 21)) and ranked.first()["FIRST"] == "FIRST"
     assert [r.row for r in row_numbers(df, "id").orderBy("id").collect()] == list(range(20))
+
+
+def test_quantiles_keep_rows_of_a_large_group_where_they_are(spark):
+    """A join with the sketches by key would bring the group's rows into one task, whatever sizes Catalyst expects."""
+    from tempora.plans.ranking import quantiles
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        df = spark.range(20_001).selectExpr("id % 2 AS g", "double(id) AS v")
+        out = quantiles(df, ["g"], {"mid": ("v", 0.5)})
+        assert "BroadcastHashJoin" in plan(out)
+        assert {r.g: r.mid for r in out.collect()} == {0: 10_000.0, 1: 10_000.0}
+    finally:
+        spark.conf.set(threshold, before)
