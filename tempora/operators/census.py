@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.plans.materialize import deal_by, materialize
 from tempora.plans.ranking import medians, quantiles
 
 # Era names, their first years, and the limits.
@@ -31,10 +32,17 @@ def photographic(medium: Column) -> Column:
 
 def scene_table(index: DataFrame, categories: DataFrame, recon: DataFrame) -> DataFrame:
     """Per scene: paths, files, subcategories, models and the largest one (the first of ties)."""
-    per_scene = index.groupBy(F.col("cat").alias("scene")).agg(
-        F.count("*").alias("n_paths"),
-        F.count_distinct("file_key").alias("n_files"),
-        F.count_distinct("subcat").alias("n_subcats"),
+    files = materialize(index.select(F.col("cat").alias("scene"), "file_key", "subcat"), "scene-files")
+    # Distinct values of either kind are counted where their scene's rows are, in tasks of bounded numbers of rows.
+    kind = F.col("kind")
+    each = deal_by(files, "scene").withColumn("kind", F.explode(F.array(F.lit("file"), F.lit("subcat"))))
+    each = each.groupBy(
+        "scene", "kind", F.when(kind == "file", F.col("file_key")).alias("file_key"), F.when(kind == "subcat", F.col("subcat")).alias("subcat")
+    ).agg(F.count("*").alias("n"))
+    per_scene = each.groupBy("scene").agg(
+        F.sum(F.when(kind == "file", F.col("n"))).alias("n_paths"),
+        F.count("file_key").alias("n_files"),
+        F.count("subcat").alias("n_subcats"),
     )
     per_model = recon.groupBy("scene_id").agg(
         F.count("*").alias("n_models"),

@@ -119,3 +119,15 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if df (materialised, of narrow rows) has few rows; beyond, the join shuffles."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+#: Rows of a task that keeps what is distinct of them in memory.
+TASK_ROWS = 500_000
+
+
+def deal_by(df: DataFrame, *by: str, rows: int = TASK_ROWS) -> DataFrame:
+    """A materialised table dealt by its keys into as many tasks as its rows ask for, whatever their size on disk.
+
+    Adaptive execution fills tasks by compressed bytes, of which rows that repeat much take few.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *by)

@@ -106,3 +106,15 @@ def test_quantiles_keep_rows_of_a_large_group_where_they_are(spark):
         assert {r.g: r.mid for r in out.collect()} == {0: 10_000.0, 1: 10_000.0}
     finally:
         spark.conf.set(threshold, before)
+
+
+def test_tasks_of_bounded_rows(spark):
+    from tempora.plans.materialize import deal_by, materialize
+
+    df = materialize(spark.range(0, 1000, 1, 2), "dealt")
+    assert deal_by(df, "id", rows=100).rdd.getNumPartitions() == 10 and deal_by(df.limit(0), "id").rdd.getNumPartitions() == 1
+
+
+def test_scene_table_doubles_no_row_before_a_shuffle(spark, small):
+    """Spark's own count of two distinct columns does, and keeps both in one task's memory."""
+    assert "Expand" not in plan(QUERIES["scene_table"](spark, small))
