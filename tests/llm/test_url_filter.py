@@ -87,6 +87,20 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     assert sizes == [500] and model.names[1]["h.net"].sum(axis=0).tolist() == [3000, 1000]
 
 
+def test_names_beyond_those_in_every_task_count_in_full(spark, monkeypatch):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    pages = pages.select("page_id", "url").unionByName(pages.selectExpr("page_id + 1000000", "replace(url, 'example', 'a' || page_id % 40)").toDF("page_id", "url"))
+    pages = pages.unionByName(spark.createDataFrame([(i, u) for i, u in enumerate(ODD, 5_000_000)] * 2, "page_id long, url string"))
+    known = url_filter.by_rules(pages, url_filter.RULES)
+    rows = lambda: sorted(map(repr, url_filter.filter_urls(pages, labelled=known).collect()))
+    whole = rows()
+    for most in (3, 0):
+        monkeypatch.setattr(url_filter, "MAX_SUFFIXES", most)
+        model = url_filter.learn(known)
+        assert sum(map(len, model.names)) == most and model.table is not None
+        assert rows() == whole
+
+
 def test_trees_equal_a_plain_walk_and_learn_an_exclusive_or():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 3))
